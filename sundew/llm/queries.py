@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundew.llm import byte_bpe, media_columns, ngram_join, quality_rules, source_mix, substring_dedup, token_counts
+from sundew.llm import byte_bpe, chat_format, line_dedup, media_columns, ngram_join, quality_rules, sharding, source_mix, substring_dedup, token_counts
 from sundew.plans.tables import shared_folder
 
 
@@ -21,6 +21,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/media/{uuid.uuid4().hex}"
     media_columns.write_texts(documents(spark, sf_dir), path)
@@ -30,6 +35,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("meta", meta).select(F.col("meta.key").alias("doc_id"), F.col("meta.n_bytes").alias("n_bytes"), *features)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat_format.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    spans = F.array_join(F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return views.select("conv_id", "perspective", "piece", "n_turns", "start", "rendered", spans.alias("mask"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"])
@@ -48,6 +59,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(documents(spark, sf_dir))
 
@@ -63,7 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "kept", "ratio", "reason")
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op4_byte_bpe, op5_substring_dedup, op6_source_mix, op8_ngram_join, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_chat_format, op4_byte_bpe, op5_substring_dedup, op6_source_mix, op7_sharding, op8_ngram_join, op9_token_counts, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
 
@@ -92,3 +107,33 @@ reach(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, c FROM reac
 SELECT doc_id, min(c) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links
 FROM documents JOIN reach ON d = doc_id GROUP BY doc_id
 """
+
+SQL["op1_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+lines AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+first AS (SELECT line, length(line) AS n, arg_min(doc_id, (doc_id, pos)) AS d, arg_min(pos, (doc_id, pos)) AS a FROM lines GROUP BY line),
+long AS (SELECT * FROM first WHERE n >= 16),
+met AS (SELECT x.line AS x, y.line AS y FROM long x JOIN long y ON left(x.line, 8) = left(y.line, 8) AND y.n - x.n BETWEEN 0 AND 1 AND x.line <> y.line
+        UNION SELECT x.line, y.line FROM long x JOIN long y ON right(x.line, 8) = right(y.line, 8) AND y.n - x.n BETWEEN 0 AND 1 AND x.line <> y.line),
+near AS (SELECT x, y FROM met WHERE CASE WHEN length(x) = length(y)
+  THEN len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) = 1
+  ELSE len(list_filter(range(1, length(y) + 1), lambda i: substr(y, 1, i - 1) || substr(y, i + 1) = x)) > 0 END),
+pairs AS (SELECT x AS line, y AS other FROM near UNION SELECT y, x FROM near),
+worse AS (SELECT DISTINCT p.line FROM pairs p JOIN first f ON f.line = p.line JOIN first g ON g.line = p.other WHERE (g.d, g.a) < (f.d, f.a)),
+judged AS (SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AS is_line, coalesce((l.doc_id, l.pos) <> (f.d, f.a), false) AS again, w.line IS NOT NULL AS near
+  FROM l LEFT JOIN first f ON f.line = l.line AND regexp_matches(l.line, '[^\x20\x09-\x0D]') LEFT JOIN worse w ON w.line = f.line)
+SELECT doc_id, count(*) FILTER (is_line) AS n_lines, count(*) FILTER (is_line AND (again OR near)) AS n_removed, count(*) FILTER (is_line AND near AND NOT again) AS n_near,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_line OR NOT (again OR near)), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+SQL["op3_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, turn // 64 AS piece, role, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+v AS (SELECT t.*, perspective, role IS NOT DISTINCT FROM perspective AS mine,
+  CASE WHEN role = perspective THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || coalesce(role, 'unknown') END || chr(10) AS head FROM t JOIN people USING (conv_id)),
+o AS (SELECT *, length(head) + length(text) + 11 AS size, row_number() OVER w AS k, sum(length(head) + length(text) + 11) OVER w AS upto FROM v WINDOW w AS (PARTITION BY conv_id, perspective, piece ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT conv_id, perspective, piece, count(*)::INTEGER AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered, sum(size) AS size,
+  coalesce(string_agg((upto - 11 - length(text))::BIGINT::VARCHAR || '-' || (upto - 11)::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (mine), '') AS mask FROM o GROUP BY ALL)
+SELECT conv_id, perspective, piece::BIGINT AS piece, n_turns, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, rendered, mask FROM p
+"""
