@@ -1 +1 @@
-
+"""Column functions: no shuffles, all inside generated code."""

@@ -1 +1 @@
-
+"""Operators over the canonical event table: DataFrame in, DataFrame out."""

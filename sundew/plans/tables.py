@@ -33,7 +33,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     # shuffle files of finished jobs go when the driver collects its garbage, which an idle one may not do for long
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read again."""
+    jvm = table.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table._written_to)
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str, label: str = "ranked") -> DataFrame:

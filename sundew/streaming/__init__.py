@@ -1 +1 @@
-
+"""Streaming forms: events arrive with ``ts`` (timestamp), ``ts_ms`` and ``seq``."""
