@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a task; a longer single text is handled alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sundew.llm._arrow import with_columns
 
 #: Most slices that a worker remembers; beyond it the cache starts anew.
-CACHE_SLICES = 600_000
+CACHE_SLICES = 150_000
 #: Stands for no rank.
 NONE = 1 << 40
 
