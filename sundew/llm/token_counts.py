@@ -25,7 +25,7 @@ from sundew.llm._arrow import with_columns
 
 BLANK = "▁"
 #: Most chunks whose maps a worker keeps, and most states; beyond it they are compiled anew.
-CACHE_CHUNKS, CACHE_STATES = 400_000, 400_000
+CACHE_CHUNKS, CACHE_STATES = 300_000, 300_000
 
 
 def merge_symbols(text: str, scores: dict[str, float]) -> list[str]:
