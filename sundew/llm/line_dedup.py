@@ -106,7 +106,7 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     state = F.when(F.col("first").isNull(), 0).when(~at_first, 1).when(F.col("near"), 2).otherwise(0).cast("byte")
     flags = judged.groupBy("__doc", "__text_hash").agg(F.array_sort(F.collect_set(F.struct("at", state.alias("state")))).alias("__flags"), F.max(state).alias("__any"))
     flags = flags.select(F.col("__doc").alias("__flag_doc"), F.col("__text_hash").alias("__flag_hash"), "__flags", "__any")
-    both = df.withColumn("__hash", F.xxhash64(text)).join(flags, F.col(key).eqNullSafe(F.col("__flag_doc")) & (F.col("__hash") == F.col("__flag_hash")), "left")
+    both = df.withColumn("__hash", F.xxhash64(text)).join(flags.hint("merge"), F.col(key).eqNullSafe(F.col("__flag_doc")) & (F.col("__hash") == F.col("__flag_hash")), "left")
     n_lines = F.coalesce(F.size("__flags"), F.lit(0))
     count = lambda test: F.coalesce(F.size(F.filter("__flags", test)), F.lit(0)).cast("long")
     # blank lines have no flag: spread the flags over all places, then keep by place

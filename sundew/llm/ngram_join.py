@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sundew.llm._arrow import with_columns
+from sundew.llm._hashing import finish, window_hashes, word_hashes
 from sundew.plans.tables import materialize
 
 #: Words in a shingle, least similarity, posterior below which a pair is dropped.
@@ -28,53 +29,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
 #: MinHash values, values in a band (a pair at 0.8 shares no band with probability 5e-8), values compared in a step.
 VALUES, BAND, STEP = 128, 4, 32
 #: Representatives and bytes of shingles in a block, about.
-BLOCK_ROWS, BLOCK_BYTES = 64, 1 << 20
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, all at once over its bytes."""
-    data = np.frombuffer(raw, np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = stops - starts
-    first = np.cumsum(sizes) - sizes
-    own = data[~blank]
-    place = np.arange(len(own)) - np.repeat(first, sizes)
-    mixed = byte_values()[own] * powers(1 << int(sizes.max()).bit_length())[place]
-    return finish(np.add.reduceat(mixed, first) + sizes.astype(np.uint64))
-
-
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@lru_cache(maxsize=8)
-def powers(n: int) -> np.ndarray:
-    """Powers of an odd constant, modulo 2**64."""
-    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def finish(x: np.ndarray) -> np.ndarray:
-    """Mix the bits of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of ``n`` words; none if there are fewer words."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        out = finish(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(out)])
-    return out
+BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
 
 
 def shingles(raw: bytes, n: int = WORDS) -> np.ndarray:
@@ -232,7 +187,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     at = member.select("bucket", "rid").join(reps.select("rid", "block"), "rid").select("bucket", "block").distinct()
     pairs = at.join(at.withColumnRenamed("block", "other"), "bucket").where("block <= other").select("block", "other").distinct()
     sides = pairs.select("block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("side"))
-    held = reps.join(source, F.col("first_key").eqNullSafe(F.col("__key"))).select("set_id", "copies", F.col("block").alias("side"), "__text")
+    # the texts of candidates grow with the input, so this join is planned alike at every size
+    held = reps.hint("merge").join(source, F.col("first_key").eqNullSafe(F.col("__key"))).select("set_id", "copies", F.col("block").alias("side"), "__text")
     placed = materialize(with_sets(held).where("set_id = set_now").drop("set_now"), "ngram-placed")
     work = sides.join(placed, "side").select("block", "other", "side", "set_id", "copies", "signature", "shingles")
     work = work.repartition("block", "other").sortWithinPartitions("block", "other", "side")

@@ -5,7 +5,7 @@ quarter of the full length, half of it and the whole, rounded up: 4, 7 and 13 wo
 level a full window is judged by one sub-window, the one of smallest hash inside it, which equal windows
 choose alike, so that few sub-windows are shuffled. Only full windows whose chosen sub-window starts in two
 documents go on to the next length; rounds end early when no candidate survives. At the full length the windows
-are compared whole, by two independent 64-bit hashes.
+are compared whole, by 96 bits of two independent hashes.
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sundew.llm._arrow import with_columns
-from sundew.llm.ngram_join import finish, window_hashes, word_hashes
-from sundew.plans.tables import materialize
+from sundew.llm._arrow import text_slices, with_columns
+from sundew.llm._hashing import finish, joined_words, window_hashes, word_hashes
+from sundew.plans.tables import materialize, release
 
-WINDOW = 13
+#: Words of a window, and bytes of its hash.
+WINDOW, KEY_BYTES = 13, 12
 
 
 def levels(window: int) -> tuple[int, int, int]:
@@ -38,9 +40,11 @@ def chosen(hashes: np.ndarray, inside: int) -> np.ndarray:
     return np.arange(n) + view.argmin(axis=1)
 
 
-def twice(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every full window."""
-    return window_hashes(words, window), window_hashes(finish(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)
+def windows(raws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the texts, the text of each, and the places at which a full window of one text starts."""
+    words, owner = joined_words(raws)
+    n = max(len(words) - window + 1, 0)
+    return words, owner, np.flatnonzero(owner[:n] == owner[window - 1 :])
 
 
 def first_keys(window: int, length: int):
@@ -48,11 +52,16 @@ def first_keys(window: int, length: int):
 
     def compute():
         def call(texts: list[bytes | None]) -> dict[str, pa.Array]:
-            rows = []
-            for t in texts:
-                hashes = window_hashes(word_hashes(t or b""), length)
-                rows.append(np.unique(hashes[np.unique(chosen(hashes, window - length + 1))]).view(np.int64))
-            return {"keys": pa.array(rows, pa.list_(pa.int64()))}
+            words, owner, starts = windows([t or b"" for t in texts], window)
+            hashes = window_hashes(words, length)
+            at = np.unique(chosen(hashes, window - length + 1)[starts]) if len(starts) else starts
+            keys, own = hashes[at], owner[at]
+            order = np.lexsort((keys, own))
+            keys, own = keys[order], own[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+            bounds = np.searchsorted(own[new], np.arange(len(texts) + 1)).astype(np.int32)
+            return {"keys": pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[new].view(np.int64)))}
 
         return call
 
@@ -62,60 +71,65 @@ def first_keys(window: int, length: int):
 def extend(df: DataFrame, window: int, length: int, following: int) -> DataFrame:
     """From texts with the ``keys`` of ``length`` words that two documents share: the windows that go on.
 
-    One row for each sub-window of ``following`` words and text: ``key``, ``doc``, and packed pairs of hashes of
-    the full windows that it judges. (At the last length a sub-window is the full window.)
+    One row for each sub-window of ``following`` words and text: ``key``, ``doc``, and the packed hashes (KEY_BYTES each) of
+    the full windows that it judges.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys, packs = [], [], []
-            for doc, text, known in zip(*(batch.column(c) for c in ("doc", "__text", "keys")), strict=True):
-                words = word_hashes((text.as_py() or "").encode())
-                short = window_hashes(words, length)
-                alive = np.flatnonzero(np.isin(short[chosen(short, window - length + 1)], known.values.to_numpy().view(np.uint64)))
+            for start, stop in text_slices(batch, "__text"):
+                part = batch.slice(start, stop - start)
+                words, owner, starts = windows([t or b"" for t in part.column("__text").cast(pa.binary()).to_pylist()], window)
+                known = part.column("keys")
+                sizes = pc.list_value_length(known).to_numpy(zero_copy_only=False)
+                tagged = known.flatten().to_numpy().view(np.uint64) ^ finish(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes))
+                short, longer = window_hashes(words, length), window_hashes(words, following)
+                if not len(starts):
+                    continue
+                judge = chosen(short, window - length + 1)[starts]
+                alive = starts[np.isin(short[judge] ^ finish(owner[starts].astype(np.uint64)), tagged)]
                 if not len(alive):
                     continue
-                one, two = twice(words, window)
-                longer = window_hashes(words, following)
-                key = longer[chosen(longer, window - following + 1)[alive]]
-                order = np.argsort(key, kind="stable")
-                pairs = np.stack([one[alive], two[alive]], axis=1)[order]
-                cut = np.flatnonzero(key[order] != np.concatenate([~key[order][:1], key[order][:-1]]))
-                docs += [doc.as_py()] * len(cut)
-                keys.append(key[order][cut].view(np.int64))
-                packed, ends = pairs.tobytes(), [*(cut * 16).tolist(), len(pairs) * 16]
-                packs += [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-                if len(packs) >= 32768:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(keys)), pa.array(packs, pa.binary())], names=["doc", "key", "windows"])
-                    docs, keys, packs = [], [], []
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(keys)), pa.array(packs, pa.binary())], names=["doc", "key", "windows"])
+                one, two = window_hashes(words, window)[alive], window_hashes(finish(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)[alive]
+                key, own = longer[chosen(longer, window - following + 1)[alive]], owner[alive]
+                order = np.lexsort((key, own))
+                key, own = key[order], own[order]
+                packed = np.zeros(len(order), np.dtype([("one", "<u8"), ("two", "<u4")]))
+                packed["one"], packed["two"] = one[order], (two[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
+                ends = np.append(cut, len(order)) * KEY_BYTES
+                packs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+                docs = part.column("doc").take(pa.array(own[cut]))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(key[cut].view(np.int64)), packs], names=["doc", "key", "windows"])
 
     return df.mapInArrow(run, "doc long, key long, windows binary")
 
 
-def shared_keys(df: DataFrame) -> DataFrame:
-    """Keys that two documents have. Summed up before the shuffle, so a key that very many have is a row from each task."""
-    return df.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
+def ends_of(df: DataFrame) -> DataFrame:
+    """The smallest document of every key that two documents have. Summed up before the shuffle, so a key that very many have is a row from each task."""
+    return df.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
 
 
 def repeated_windows(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """``doc`` and ``hashes``: the first hashes of its windows that also start in a document with a smaller key."""
+    """``doc`` and ``hashes``: the hashes of its windows that also start in a document with a smaller key."""
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text"))
     quarter, half, _ = levels(window)
-    keyed = with_columns(source, "__text", "keys array<bigint>", first_keys(window, quarter), keep=["doc"])
-    keyed = keyed.select("doc", F.explode("keys").alias("key"))
-    alive = keyed.join(shared_keys(keyed), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    listed = materialize(with_columns(source, "__text", "keys array<bigint>", first_keys(window, quarter), keep=["doc"]), f"substring-keys-{quarter}")
+    keyed = listed.select("doc", F.explode("keys").alias("key"))
+    alive = keyed.join(ends_of(keyed).drop("low"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
     alive = materialize(alive, f"substring-{quarter}")
-    kept = materialize(extend(source.join(alive, "doc"), window, quarter, half), f"substring-{half}")
-    kept = kept.join(shared_keys(kept), "key")
-    size = 16
-    spots = F.sequence(F.lit(0), (F.length("windows") / size).cast("int") - 1)
-    pair = F.explode(F.transform(spots, lambda i: F.substring("windows", i * size + 1, F.lit(size)))).alias("key")
-    full = materialize(kept.select("doc", pair), f"substring-{window}")
-    first = full.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
-    later = full.join(first, "key").where("low < doc")
-    return later.groupBy("doc").agg(F.collect_set(F.substring("key", F.lit(1), F.lit(8))).alias("hashes"))
+    release(listed)
+    kept = materialize(extend(source.join(alive.hint("merge"), "doc"), window, quarter, half), f"substring-{half}")
+    shared = kept.join(ends_of(kept).drop("low"), "key")
+    spots = F.sequence(F.lit(0), (F.length("windows") / KEY_BYTES).cast("int") - 1)
+    pair = F.explode(F.transform(spots, lambda i: F.substring("windows", i * KEY_BYTES + 1, F.lit(KEY_BYTES)))).alias("key")
+    full = materialize(shared.select("doc", pair), f"substring-{window}")
+    release(kept)
+    later = full.join(ends_of(full), "key").where("low < doc")
+    found = later.groupBy("doc").agg(F.collect_set(F.substring("key", F.lit(1), F.lit(8))).alias("hashes"))
+    found = materialize(found, "substring-found")
+    release(full)
+    return found
 
 
 def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -126,31 +140,34 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     stay are joined by one blank. Nulls are texts without words. A row with a null key has no smaller
     documents and is smaller than none, so it stays whole. Rows with one key are one document, and
     each is judged by its own text. An empty table gives an empty result; a column with the name of a computed one
-    is replaced.
+    is replaced. Windows are compared by 96 bits of hash.
     """
-    found = materialize(repeated_windows(df, key, text, window), "substring-found")
+    found = repeated_windows(df, key, text, window)
     given = df.drop("n_words", "n_removed", "kept_text")
-    both = given.join(found.withColumnsRenamed({"doc": "__doc", "hashes": "__hashes"}), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    both = given.join(found.hint("merge").withColumnsRenamed({"doc": "__doc", "hashes": "__hashes"}), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
     out = given.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
     columns = given.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, gone, texts = [], [], []
-            for raw, hashes in zip(batch.column(text), batch.column("__hashes"), strict=True):
-                raw = (raw.as_py() or "").encode()
-                words = raw.split()
-                cover = np.zeros(len(words) + 1, np.int64)
-                if hashes.is_valid:
-                    known = np.frombuffer(b"".join(hashes.as_py()), np.uint64)
-                    at = np.flatnonzero(np.isin(window_hashes(word_hashes(raw), window), known))
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
-                stays = np.cumsum(cover)[: len(words)] == 0
-                counts.append(len(words))
-                gone.append(len(words) - int(stays.sum()))
-                texts.append(b" ".join(words if not gone[-1] else [w for w, s in zip(words, stays.tolist(), strict=True) if s]))
-            kept = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), kept], names=out.names)
+            for start, stop in text_slices(batch, text):
+                part = batch.slice(start, stop - start)
+                counts, gone, texts = [], [], []
+                for raw, hashes in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("__hashes"), strict=True):
+                    words = (raw or b"").split()
+                    removed = 0
+                    if hashes.is_valid:
+                        known = np.frombuffer(b"".join(hashes.as_py()), np.uint64)
+                        at = np.flatnonzero(np.isin(window_hashes(word_hashes(raw), window), known))
+                        cover = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + window, -1)
+                        stays = np.cumsum(cover)[: len(words)] == 0
+                        removed = len(words) - int(stays.sum())
+                    counts.append(len(words))
+                    gone.append(removed)
+                    texts.append(b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s] if removed else words))
+                kept = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), kept], names=out.names)
 
     return both.mapInArrow(run, out)
