@@ -74,7 +74,9 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     labels = propagate(nodes.select("node"), edges, shards, rounds)
     anchors = edges.select(F.col("a").alias("node"), F.col("b").alias("anchor"))
     placed = nodes.drop("h1", "h2").join(labels, "node").join(anchors, "node", "left").withColumn("anchor", F.coalesce("anchor", "node"))
-    # members of a group that ended in different shards stand where most of a group can be: with their own label
+    # a group that propagation has left in several shards stands where most of it is; the slices keep the counts
+    votes = placed.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("anchor").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("b"))
+    placed = placed.drop("label").join(votes.select("anchor", (-F.col("b.minus")).alias("label")), "anchor")
     placed = ranked(placed, [F.col("label"), F.col("anchor"), F.col("node")], "rank", "shard-order")
     number = F.floor(F.col("rank") * shards / total)
     start = F.ceil(number * F.lit(total) / shards)
