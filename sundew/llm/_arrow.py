@@ -10,7 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a task; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Most rows of an Arrow batch. Rows hold whole texts or their hashes, so the usual 10,000 can be hundreds of MB.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let the session send no more than BATCH_ROWS rows to Python at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int]]:
@@ -51,4 +63,4 @@ def with_columns(
                 got = call(raw.to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(got[f.name] for f in added.fields)], names=out.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, out)
+    return small_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, out)

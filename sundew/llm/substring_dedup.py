@@ -5,7 +5,7 @@ quarter of the full length, half of it and the whole, rounded up: 4, 7 and 13 wo
 level a full window is judged by one sub-window, the one of smallest hash inside it, which equal windows
 choose alike, so that few sub-windows are shuffled. Only full windows whose chosen sub-window starts in two
 documents go on to the next length; rounds end early when no candidate survives. At the full length the windows
-are compared whole, by 96 bits of two independent hashes.
+are compared whole, by 80 bits of two independent hashes.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sundew.llm._arrow import text_slices, with_columns
+from sundew.llm._arrow import small_batches, text_slices, with_columns
 from sundew.llm._hashing import finish, joined_words, window_hashes, word_hashes
 from sundew.plans.tables import materialize, release
 
 #: Words of a window, and bytes of its hash.
-WINDOW, KEY_BYTES = 13, 12
+WINDOW, KEY_BYTES = 13, 10
 
 
 def levels(window: int) -> tuple[int, int, int]:
@@ -94,15 +94,15 @@ def extend(df: DataFrame, window: int, length: int, following: int) -> DataFrame
                 key, own = longer[chosen(longer, window - following + 1)[alive]], owner[alive]
                 order = np.lexsort((key, own))
                 key, own = key[order], own[order]
-                packed = np.zeros(len(order), np.dtype([("one", "<u8"), ("two", "<u4")]))
-                packed["one"], packed["two"] = one[order], (two[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                packed = np.zeros(len(order), np.dtype([("one", "<u8"), ("two", "<u2")]))
+                packed["one"], packed["two"] = one[order], (two[order] & np.uint64(0xFFFF)).astype(np.uint16)
                 cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
                 ends = np.append(cut, len(order)) * KEY_BYTES
                 packs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
                 docs = part.column("doc").take(pa.array(own[cut]))
                 yield pa.RecordBatch.from_arrays([docs, pa.array(key[cut].view(np.int64)), packs], names=["doc", "key", "windows"])
 
-    return df.mapInArrow(run, "doc long, key long, windows binary")
+    return small_batches(df).mapInArrow(run, "doc long, key long, windows binary")
 
 
 def ends_of(df: DataFrame) -> DataFrame:
@@ -120,6 +120,7 @@ def repeated_windows(df: DataFrame, key: str, text: str, window: int) -> DataFra
     alive = materialize(alive, f"substring-{quarter}")
     release(listed)
     kept = materialize(extend(source.join(alive.hint("merge"), "doc"), window, quarter, half), f"substring-{half}")
+    release(alive)
     shared = kept.join(ends_of(kept).drop("low"), "key")
     spots = F.sequence(F.lit(0), (F.length("windows") / KEY_BYTES).cast("int") - 1)
     pair = F.explode(F.transform(spots, lambda i: F.substring("windows", i * KEY_BYTES + 1, F.lit(KEY_BYTES)))).alias("key")
@@ -140,7 +141,7 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     stay are joined by one blank. Nulls are texts without words. A row with a null key has no smaller
     documents and is smaller than none, so it stays whole. Rows with one key are one document, and
     each is judged by its own text. An empty table gives an empty result; a column with the name of a computed one
-    is replaced. Windows are compared by 96 bits of hash.
+    is replaced. Windows are compared by 80 bits of hash.
     """
     found = repeated_windows(df, key, text, window)
     given = df.drop("n_words", "n_removed", "kept_text")
@@ -170,4 +171,4 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
                 kept = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), kept], names=out.names)
 
-    return both.mapInArrow(run, out)
+    return small_batches(both).mapInArrow(run, out)
