@@ -49,10 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids (packed), checked by decoding them again."""
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(docs.select("doc_id", "source", "text"), path)
-    both = byte_bpe.decode(encoded, path)
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return both.select("doc_id", "source", "n_tokens", "ids", exact.alias("exact"))
+    encoded = byte_bpe.encode(docs.select("doc_id", "source", "text"), path, keep=["doc_id", "source"], verify=True)
+    return encoded.select("doc_id", "source", "n_tokens", "ids", "exact")
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("mixing sources to target weights", mixing), ("byte-level BPE", encoding)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sundew.llm._arrow import with_columns
+from sundew.llm._arrow import small_batches, with_columns
 from sundew.llm._hashing import finish, window_hashes, word_hashes
 from sundew.plans.tables import materialize
 
@@ -192,7 +192,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     placed = materialize(with_sets(held).where("set_id = set_now").drop("set_now"), "ngram-placed")
     work = sides.join(placed, "side").select("block", "other", "side", "set_id", "copies", "signature", "shingles")
     work = work.repartition("block", "other").sortWithinPartitions("block", "other", "side")
-    found = materialize(work.mapInArrow(_compare(threshold, tolerance), "set_id binary, links long, near binary"), "ngram-links")
+    found = materialize(small_batches(work).mapInArrow(_compare(threshold, tolerance), "set_id binary, links long, near binary"), "ngram-links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("set_id").alias("a"), F.col("near").alias("b")), links.select(F.col("set_id").alias("rep")))
     linked = labels.withColumnRenamed("rep", "set_id").join(sets.select("set_id", "first_key"), "set_id").join(links, "set_id")
