@@ -40,6 +40,16 @@ def deleted_blocks(line: Column, n: Column, blocks: int) -> Column:
     return F.array(*out)
 
 
+def halves_of(line: Column, n: Column) -> Column:
+    """The same for two blocks, without the blocks and the second hash, which the first pass doesn't need."""
+    out = []
+    for same, size in ((True, n), (False, n - 1)):
+        width = F.ceil(size / 2).cast("int")
+        left, right = F.substring(line, F.lit(1), width), F.substring(line, width + n - size + 1, size - width)
+        out += [F.struct(F.lit(same).alias("same"), F.xxhash64(F.lit(q), size, part).alias("c1")) for q, part in enumerate((left, right))]
+    return F.array(*out)
+
+
 def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of ``rows`` that different lines have, one of them laid out for its own length."""
     ends = rows.groupBy(*keys).agg(F.min("h1").alias("__low"), F.max("h1").alias("__high"), F.max("same").alias("__same"))
@@ -49,14 +59,15 @@ def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
 def near_lines(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``h1, h2`` of the lines that have an earlier line within one edit.
 
-    ``lines`` are distinct: ``h1, h2, first, line``. In every set of equal variants the earliest line stands for
+    ``lines`` are distinct and laid out by ``h1, h2``, with ``first`` and ``line``, so that finding the survivors of the first
+    pass moves hashes, not texts. In every set of equal variants the earliest line stands for
     all that another could be linked to, so a set is summed up before the shuffle and never paired.
     """
     long = lines.where(F.char_length("line") >= min_chars)
     n = F.char_length("line")
-    halves = long.select("h1", F.explode(deleted_blocks(F.col("line"), n, 2)).alias("d")).select("h1", F.col("d.same").alias("same"), F.col("d.c1").alias("c1"))
-    alive = halves.join(shared(halves, ["c1"]), "c1").select("h1").distinct()
-    long = materialize(long.join(alive, "h1", "left_semi"), "line-halves")
+    halves = long.select("h1", "h2", F.explode(halves_of(F.col("line"), n)).alias("d")).select("h1", "h2", F.col("d.same").alias("same"), F.col("d.c1").alias("c1"))
+    alive = halves.join(shared(halves, ["c1"]), "c1").select("h1", "h2").distinct()
+    long = materialize(long.join(alive.hint("merge"), ["h1", "h2"], "left_semi"), "line-halves")
     eighths = long.select("h1", "h2", "first", F.explode(deleted_blocks(F.col("line"), n, 8)).alias("d")).select("h1", "h2", "first", "d.*")
     eighths = materialize(eighths.join(shared(eighths, ["c1"]), "c1"), "line-eighths")
     middle, size = F.col("middle"), F.char_length("middle")
@@ -95,13 +106,14 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     own = [F.col(key).alias("__doc"), F.xxhash64(text).alias("__text_hash")]
     spread = df.select(*own, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     spread = spread.where(F.col("line").rlike(NOT_BLANK)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), "line")})
-    first = F.min(F.struct(F.col("__doc").alias("doc"), "at", "line")).alias("f")
-    lines = spread.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("n"))
-    lines = materialize(lines.select("h1", "h2", "n", F.struct("f.doc", "f.at").alias("first"), "f.line"), "lines")
-    near = near_lines(lines, min_chars).withColumn("near", F.lit(True))
-    again = lines.drop("line").join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    place = F.struct(F.col("__doc").alias("doc"), "at")
+    lines = spread.groupBy("h1", "h2").agg(F.min(F.struct(F.col("__doc").alias("doc"), "at", "line")).alias("f"))
+    near = near_lines(lines.select("h1", "h2", F.struct("f.doc", "f.at").alias("first"), "f.line"), min_chars).withColumn("near", F.lit(True))
+    near = materialize(near, "line-near")
+    counted = spread.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    again = counted.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     again = materialize(again, "lines-again")
-    at_first = F.col("first") == F.struct(F.col("__doc").alias("doc"), "at")
+    at_first = F.col("first") == place
     judged = spread.select("__doc", "__text_hash", "at", "h1", "h2").join(again, ["h1", "h2"], "left")
     state = F.when(F.col("first").isNull(), 0).when(~at_first, 1).when(F.col("near"), 2).otherwise(0).cast("byte")
     flags = judged.groupBy("__doc", "__text_hash").agg(F.array_sort(F.collect_set(F.struct("at", state.alias("state")))).alias("__flags"), F.max(state).alias("__any"))
@@ -122,8 +134,15 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars
 
 
 def _without(items: Column, places: Column) -> Column:
-    """``items`` without those at the sorted ``places``: the runs between them, so that no place is searched for."""
-    n = F.size(places)
+    """``items`` without those at the sorted ``places``: the runs between them, so that no place is searched for.
+
+    The array of one struct computes the items and the bounds once; a lambda would compute them for every run.
+    """
     bounds = F.concat(F.array(F.lit(-1)), places, F.array(F.size(items)))
-    run = lambda i: F.slice(items, F.element_at(bounds, i + 1) + 2, F.element_at(bounds, i + 2) - F.element_at(bounds, i + 1) - 1)
-    return F.flatten(F.transform(F.sequence(F.lit(0), n), run))
+    once = F.array(F.struct(items.alias("items"), bounds.alias("bounds")))
+
+    def runs(x: Column) -> Column:
+        run = lambda i: F.slice(x["items"], F.element_at(x["bounds"], i + 1) + 2, F.element_at(x["bounds"], i + 2) - F.element_at(x["bounds"], i + 1) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["bounds"]) - 2), run))
+
+    return F.element_at(F.transform(once, runs), 1)
