@@ -3,7 +3,8 @@
 Very repetitive text compresses far below the usual ratio for its length, and random text (keys,
 encoded blobs) hardly at all. The usual ratio falls with length, so the limits depend on it. A
 document is rejected when its whole text leaves the band of its length, or when any full chunk
-leaves the band for chunks, which finds a bad passage that an otherwise good text would hide.
+leaves the band for chunks, which finds a bad passage that an otherwise good text would hide. The last
+chunk ends with the text, so every byte of a text of at least one chunk is judged in a chunk.
 """
 
 from __future__ import annotations
@@ -65,6 +66,12 @@ def band(n_bytes: int) -> tuple[float, float]:
     return next((low, high) for longest, low, high in BANDS if n_bytes <= longest)
 
 
+def chunk_starts(n_bytes: int) -> list[int]:
+    """Where full chunks start; the last one ends with the text and may overlap the one before it."""
+    starts = list(range(0, n_bytes - CHUNK_BYTES + 1, CHUNK_BYTES))
+    return starts + [n_bytes - CHUNK_BYTES] if starts and n_bytes % CHUNK_BYTES else starts
+
+
 def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add the base features, the compression ratios and the verdict to every row.
 
@@ -89,7 +96,7 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
                 n, chars, symbols, lines, repeated = base_features(raw)
                 failed = n < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * n
                 ratio = shrink(raw) if raw else None
-                chunks = [shrink(raw[i : i + CHUNK_BYTES]) for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+                chunks = [shrink(raw[i : i + CHUNK_BYTES]) for i in chunk_starts(len(raw))]
                 low, high = band(len(raw))
                 worst_low, worst_high = min(chunks, default=None), max(chunks, default=None)
                 reason = (

@@ -1,5 +1,6 @@
 """The ten operators against brute force, and their edge rows."""
 
+import base64
 import hashlib
 import io
 import os
@@ -368,6 +369,17 @@ def test_bands_reject_repetition_and_noise(spark):
     assert got[0] == (True, None) and not got[2][0] and not got[3][0]
 
 
+def test_the_end_of_a_text_is_judged_like_its_start(spark):
+    rnd = random.Random(0)
+    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(12_000))
+    noise = " ".join(base64.b64encode(rnd.randbytes(54)).decode() for _ in range(53))
+    loop = " ".join(f"row {i % 97} of the table is {i % 7} long" for i in range(700))
+    texts = [noise, prose[:40_960] + noise[:3900], noise[:3900] + prose[:40_960], prose[:60_000] + loop[:5000], prose[:40_960], prose[:45_000]]
+    got = {r.doc_id: (r.kept, r.reason) for r in quality_rules.quality_rules(docs(spark, texts)).collect()}
+    assert not got[0][0] and got[1] == got[2] == (False, "incompressible chunk")
+    assert got[3] == (False, "repetitive chunk") and got[4] == got[5] == (True, None)
+
+
 # all
 OPERATORS = {
     "1": lambda d, t: line_dedup.line_dedup(d),
