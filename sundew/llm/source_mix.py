@@ -48,7 +48,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], most: float) -> D
     while True:
         full = cap <= F.col("weight") * F.lit(level)
         row = shares.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight")))).first()
-        if not row[1] or not row[0]:
+        # full sources may sum to 0, when none of their texts has a word: their weight is shared too
+        if row[0] is None or not row[1]:
             break
         higher = ((total[0] or 0) - row[0]) / row[1]
         if higher <= level:

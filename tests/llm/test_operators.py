@@ -260,6 +260,14 @@ def test_mix_balances_and_reruns_agree(spark):
     assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in got)
 
 
+def test_a_source_of_size_zero_leaves_its_weight_to_the_others(spark):
+    rows = [(i, "abc"[i % 3], 0 if i % 3 == 1 else 10) for i in range(300)]
+    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    targets = {r.source: r.target for r in got}
+    assert targets["b"] == 0 and sum(targets.values()) == pytest.approx(2000)
+    assert targets["c"] == pytest.approx(3 * targets["a"]) and abs(sum(r.taken for r in got) - 2000) <= 20
+
+
 def test_flight_keeps_both_totals():
     rnd = random.Random(1)
     units = [[i, rnd.randint(1, 99), rnd.random()] for i in range(500)]
