@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sundew.llm import byte_bpe, line_dedup, ngram_join, quality_rules, source_mix
 from sundew.llm.queries import tokenizer_file
-from sundew.plans.tables import materialize
+from sundew.plans.tables import materialize, ranked
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,19 +30,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(~changed | F.col("kept_text").rlike(line_dedup.NOT_BLANK)).select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """The documents with ``__row``, a number of each row's own, whatever its id. Written once, so that it stays."""
+    return materialize(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), label)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one of smallest id; rows with that id all stay."""
-    classes = ngram_join.similar(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id")))
-    gone = classes.select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each class of near copies, the one of smallest id, null last. Rows are classed one by one, whatever their ids."""
+    rows = numbered(docs, "pipeline-copies")
+    classes = ngram_join.similar(rows.select("__row", "text"), key="__row").where("n_links > 0").select("__row", "class_id")
+    # rows with one id go by their texts, so that the choice does not depend on the partitions
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "source", "lang", "n_chars").alias("h"), "__row")
+    classed = materialize(classes.join(rows.select("__row", order.alias("place")), "__row"), "pipeline-classes")
+    first = classed.groupBy("class_id").agg(F.min("place")["__row"].alias("__row"))
+    gone = classed.select("__row").join(first, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Rows with one id and source are taken alike."""
-    sized = docs.select("doc_id", "source", source_mix.word_count().alias("size"))
-    units = sized.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    mixed = source_mix.mix(units).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies")
-    taken = docs.select(*COLUMNS).join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    """Every document as often as the mix takes it. Rows are taken one by one, whatever their ids."""
+    rows = numbered(docs, "pipeline-mix")
+    # the mix draws by a place that depends on the rows alone; equal rows may change places
+    light = rows.select("__row", "doc_id", "source", F.xxhash64("text", "lang", "n_chars").alias("h"), source_mix.word_count().alias("size"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("h"), F.col("__row")]
+    places = materialize(ranked(light, order, "place", "pipeline-order").select("place", "__row", "source", "size"), "pipeline-places")
+    mixed = source_mix.mix(places.select(F.col("place").alias("doc_id"), "source", "size")).where("copies > 0").select(F.col("doc_id").alias("place"), "copies")
+    taken = rows.join(places.select("place", "__row").join(mixed, "place").drop("place"), "__row")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

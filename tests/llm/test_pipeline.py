@@ -44,5 +44,17 @@ def test_edge_rows_and_empty_tables(spark):
             assert len(out.collect()) >= 0
 
 
+def test_rows_are_told_apart_whatever_their_ids(spark):
+    texts = [" ".join(f"{g}{i}" for i in range(60)) for g in "abcd"]
+    rows = [(3, texts[1]), (7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[2]), (9, texts[3]), (9, texts[3]), (None, texts[3]), (1, None), (1, None)]
+    given = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOCS)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, given, "").collect())
+    assert left == Counter([(3, texts[1]), (7, texts[0]), (None, texts[2]), (9, texts[3]), (1, None), (1, None)])
+    # a null id and a repeated one hold most of a source: it still comes within one document of its target
+    many = [(None if i % 3 else 7, f"n{i} " * 10, "en", "a", 0) for i in range(300)] + [(1000 + i, f"m{i} " * 10, "en", "b", 0) for i in range(300)]
+    taken = Counter(r.source for r in corpus_pipeline.mixing(spark, spark.createDataFrame(many, DOCS), "").collect())
+    assert abs(taken["a"] - 200) <= 1 and abs(taken["b"] - 400) <= 1
+
+
 def test_run_over_the_whole_table(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where("exact").count() > 100
