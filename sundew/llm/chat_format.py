@@ -1,8 +1,9 @@
 """Chat formatting (3): every participant's view of a dialogue, in DataFrame functions only.
 
 For each participant the dialogue is rendered with that speaker as the assistant and everyone else as a named
-user; the mask covers what the assistant says. Long dialogues are cut into pieces of a bounded number of turns by
-turn number, so that no task gathers a whole dialogue of any length; the offsets of the pieces in the whole text are kept.
+user; the mask covers what the assistant says. Long dialogues are cut into pieces by turn number, and a piece with more
+turns than numbers into parts of as many turns, so that no row gathers a dialogue of any length, however its turns are
+numbered; the offsets of the pieces in the whole text are kept.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers in a piece.
+from sundew.plans.tables import materialize
+
+#: Turn numbers in a piece, and turns in a part of it.
 PIECE_TURNS = 64
 #: Rendered as instructions in every view, and no participant.
 SYSTEM = "system"
@@ -24,9 +27,32 @@ def rendered(speaker: Column, me: Column, text: Column) -> tuple[Column, Column]
     return head, mine
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the earlier rows of equal ``keys``, without gathering a key in one task.
+
+    As in ``ranked``: rows are range-partitioned and summed inside each range; only a key that goes on from an earlier range
+    is shifted, one at most for each range.
+    """
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    # a long text is told apart by its first characters; the full order holds inside a range
+    cut = [F.substring(c, 1, 128).asc_nulls_first() if df.schema[c].dataType.simpleString() == "string" else F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    laid = materialize(df.repartitionByRange(*cut).withColumn("__range", F.spark_partition_id()), f"chat-{name}")
+    sums = laid.groupBy("__range", *keys).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("__carry", F.sum("__sum").over(before)).where(F.col("__carry").isNotNull())
+    carried = carried.select(F.col("__range").alias("__r"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__carry")
+    inside = Window.partitionBy("__range", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    own = laid.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(F.broadcast(carried), same, "left").withColumn(name, F.col("__own") + F.coalesce("__carry", F.lit(0))).select(*df.columns, name)
+
+
 def perspectives(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", piece_turns: int = PIECE_TURNS) -> DataFrame:
     """One row per conversation, participant and piece: ``perspective``, ``piece``, ``n_turns``, ``start`` (characters before it in the whole view), ``rendered``, ``mask``.
 
+    A piece of more than ``piece_turns`` turns (repeated or null numbers) gives several rows, in order of ``start``.
     ``mask`` has the spans ``(start, end)`` of the participant's contents in ``rendered``, in characters, the
     closing mark excluded. Participants are the different roles but "system"; a dialogue without any gives no row. Turns go by number,
     then role, then text; a null number counts as the first, a null role speaks as "unknown" and is no
@@ -38,12 +64,18 @@ def perspectives(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
     )
     # repeated rows become one with a count before anything is gathered
     turns = turns.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    turns = turns.withColumn("piece", F.floor(F.col("turn") / piece_turns))
+    turns = turns.withColumns({"piece": F.floor(F.col("turn") / piece_turns), "speaker": F.coalesce("role", F.lit(""))})
+    turns = running(turns, ["conv", "piece"], ["turn", "speaker", "text", "role"], "times", "at")
+    # a repeated turn may go on over several parts, in each as often as it fits
+    last = F.floor((F.col("at") + F.col("times") - 1) / piece_turns)
+    turns = turns.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / piece_turns), last)))
+    upto = F.least(F.col("at") + F.col("times"), (F.col("part") + 1) * piece_turns)
+    turns = turns.withColumn("times", (upto - F.greatest(F.col("at"), F.col("part") * piece_turns)).cast("int"))
     people = turns.where(F.col("role").isNotNull() & (F.col("role") != SYSTEM)).select("conv", F.col("role").alias("perspective")).distinct()
     view = turns.join(people.withColumnRenamed("conv", "__conv"), F.col("conv").eqNullSafe(F.col("__conv"))).drop("__conv")
     head, mine = rendered(F.col("role"), F.col("perspective"), F.col("text"))
-    line = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "text", "times", head.alias("head"), mine.alias("mine"))
-    pieces = view.groupBy("conv", "perspective", "piece").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    line = F.struct("at", "text", "times", head.alias("head"), mine.alias("mine"))
+    pieces = view.groupBy("conv", "perspective", "piece", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     each = F.flatten(F.transform("lines", lambda x: F.array_repeat(x, x["times"])))
     pieces = pieces.withColumn("lines", each)
     whole = F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["text"], F.lit(CLOSE))), "")
@@ -55,10 +87,10 @@ def perspectives(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
         spans = F.when(x["mine"], F.array_append(state["spans"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(state["spans"])
         return F.struct((end + len(CLOSE)).alias("at"), spans.alias("spans"))
 
-    pieces = pieces.select("conv", "perspective", "piece", F.size("lines").alias("n_turns"), whole.alias("rendered"), F.aggregate("lines", start, add)["spans"].alias("mask"))
+    pieces = pieces.select("conv", "perspective", "piece", "part", F.size("lines").alias("n_turns"), whole.alias("rendered"), F.aggregate("lines", start, add)["spans"].alias("mask"))
     # where a piece starts in its view: only lengths meet, a row for each piece
-    lengths = pieces.select("conv", "perspective", "piece", F.char_length("rendered").cast("long").alias("chars"))
-    before = Window.partitionBy("conv", "perspective").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lengths.select(F.col("conv").alias("__conv"), F.col("perspective").alias("__me"), F.col("piece").alias("__piece"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start"))
-    same = F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("perspective") == F.col("__me")) & (F.col("piece") == F.col("__piece"))
+    lengths = pieces.select("conv", "perspective", "piece", "part", F.char_length("rendered").cast("long").alias("chars"))
+    starts = running(lengths, ["conv", "perspective"], ["piece", "part"], "chars", "start")
+    starts = starts.select(F.col("conv").alias("__conv"), F.col("perspective").alias("__me"), F.col("piece").alias("__piece"), F.col("part").alias("__part"), "start")
+    same = F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("perspective") == F.col("__me")) & (F.col("piece") == F.col("__piece")) & (F.col("part") == F.col("__part"))
     return pieces.join(starts, same).select(F.col("conv").alias(conversation), "perspective", "piece", "n_turns", "start", "rendered", "mask")

@@ -164,6 +164,19 @@ def test_perspectives(spark):
     assert chat_format.perspectives(df.where("false")).count() == 0
 
 
+def test_no_piece_holds_more_than_its_turns(spark):
+    rows = [(None, None, "ann" if i % 2 else "bob", f"t{i:04d}") for i in range(400)] + [(5, 3, "ann", "again")] * 150 + [(5, 4, "bob", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = sorted(chat_format.perspectives(df).collect(), key=lambda r: r.start)
+    assert max(r.n_turns for r in got) == 64
+    for conv, me, want in ((None, "ann", sorted((r[2:] for r in rows[:400]))), (5, "bob", [r[2:] for r in rows[400:]])):
+        own = [r for r in got if (r.conv_id, r.perspective) == (conv, me)]
+        heads = {True: "assistant"}
+        whole = "".join(f"<|im_start|>{heads.get(who == me, f'user name={who}')}\n{text}<|im_end|>\n" for who, text in want)
+        assert "".join(r.rendered for r in own) == whole and all(whole[r.start :].startswith(r.rendered) for r in own)
+        assert [r.rendered[m.start : m.end] for r in own for m in r.mask] == [text for who, text in want if who == me]
+
+
 # 4
 def odd_texts(n=1500):
     rnd = random.Random(1)
