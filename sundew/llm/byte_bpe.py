@@ -113,9 +113,12 @@ def scan(syms: np.ndarray, width: int = 512) -> np.ndarray:
     maps = np.broadcast_to(np.arange(N_STATES, dtype=np.uint8), (blocks, N_STATES)).copy()
     for column in columns:  # function composition, one column of all blocks at a time
         maps = goto[column[:, None].astype(np.intp) * N_STATES + maps]
+    span = 1
+    while span < blocks:  # prefix scan: every map is composed with the one that ends where it begins, over doubling distances
+        maps[span:] = np.take_along_axis(maps[span:], maps[:-span].astype(np.intp), axis=1)
+        span *= 2
     state = np.zeros(blocks, np.uint8)
-    for i in range(1, blocks):
-        state[i] = maps[i - 1, state[i - 1]]
+    state[1:] = maps[:-1, S_START]
     cut = CUT.reshape(-1)
     out = np.empty((width, blocks), bool)
     for j, column in enumerate(columns):

@@ -33,7 +33,8 @@ _ARROW = pa.schema([("member", pa.string()), ("meta", pa.string()), ("archive",
 #: Bytes of an archive that one task reads, of a batch, and of an archive at which the writer starts another.
 SPLIT_BYTES, BATCH_BYTES, ARCHIVE_BYTES = 16 << 20, 4 << 20, 64 << 20
 TRIES = 3
-LIST_NAME = "_archives.json"
+#: Each write leaves one list of its archives; the reader takes all lists together.
+LIST_NAME = "_archives"
 
 
 def store(path: str):
@@ -67,9 +68,13 @@ class MediaReader(DataSourceReader):
 
         fs, root = store(self.path)
         found = {f.base_name: f for f in fs.get_file_info(FileSelector(root)) if f.type == FileType.File}
-        if LIST_NAME in found:  # what the writer committed; files of failed attempts stay unread
-            with fs.open_input_stream(f"{root}/{LIST_NAME}") as f:
-                found = {name: found[name] for name in json.loads(f.read())}
+        lists = [name for name in found if name.startswith(LIST_NAME)]
+        if lists:  # what writers committed; files of failed attempts stay unread
+            named = []
+            for name in lists:
+                with fs.open_input_stream(f"{root}/{name}") as f:
+                    named += json.loads(f.read())
+            found = {name: found[name] for name in named}
         archives = sorted((f for name, f in found.items() if name.endswith(".zip")), key=lambda f: f.base_name)
         return [ByteRange(f.base_name, at, min(at + self.split, f.size)) for f in archives for at in range(0, f.size, self.split)] or [ByteRange("", 0, 0)]
 
@@ -154,7 +159,7 @@ class MediaWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = store(self.path)
-        with fs.open_output_stream(f"{root}/{LIST_NAME}") as f:
+        with fs.open_output_stream(f"{root}/{LIST_NAME}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.archives)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -211,8 +216,8 @@ def signal_features(data: bytes) -> str:
     return f"mean={x.mean():.3f};std={x.std():.3f};peak={int(x.max())};crossings={crossings};entropy={-(p * np.log2(p)).sum():.4f}"
 
 
-def write_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Store every whole text as a media file in archives under ``path``.
+def write_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", mode: str = "append") -> None:
+    """Store every whole text as a media file in archives under ``path``; ``mode`` is append or overwrite.
 
     Nulls count as empty texts. Each row makes one member; repeated keys make members of one name,
     told apart by their offset. Only the key and the text are stored. One Arrow pass, no shuffle.
@@ -229,7 +234,13 @@ def write_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
     meta = F.to_json(F.struct(F.col("__key").alias("key"), "n_bytes"))
     named = media.select(F.concat(F.coalesce(F.col("__key").cast("string"), F.lit("null")), F.lit(".wav")).alias("member"), meta.alias("meta"), "media")
     named.sparkSession.dataSource.register(MediaArchive)
-    named.write.format("media_archive").mode("append").save(path)
+    named.write.format("media_archive").mode(mode).save(path)
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """Rows of ``read_media``, of which every one has to have its payload: a member that stayed unreadable fails the job."""
+    failed = F.concat(F.lit("unreadable member "), F.coalesce("member", F.lit("")), F.lit(" of "), F.col("archive"), F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), F.coalesce("error", F.lit("")))
+    return df.withColumn("media", F.when(F.col("media").isNull(), F.raise_error(failed).cast("binary")).otherwise(F.col("media")))
 
 
 def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:

@@ -4,7 +4,11 @@ Very repetitive text compresses far below the usual ratio for its length, and ra
 encoded blobs) hardly at all. The usual ratio falls with length, so the limits depend on it. A
 document is rejected when its whole text leaves the band of its length, or when any full chunk
 leaves the band for chunks, which finds a bad passage that an otherwise good text would hide. The last
-chunk ends with the text, so every byte of a text of at least one chunk is judged in a chunk.
+chunk ends with the text, so every byte of a text of at least one chunk is judged in a chunk, and a shorter
+text is one chunk, judged by the band of its length.
+
+Random text over few characters (hex digits) compresses as its alphabet allows and no further. So a ratio is also
+taken relative to the one that coding single bytes would give: prose of some length falls below it, noise doesn't.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -32,13 +37,17 @@ BANDS = (
 )
 #: The band of one full chunk of CHUNK_BYTES bytes.
 CHUNK_BYTES, CHUNK_BAND = 4096, (0.36, 0.64)
+#: Longest length in bytes and greatest accepted relative ratio; shorter texts can't be told from noise by it. Alphabets that alone
+#: make a text shorter than DENSE are not judged so.
+NOISE = ((3072, 9.9), (8192, 1.02), (16384, 1.0), (1 << 62, 0.97))
+CHUNK_NOISE, DENSE = 1.015, 0.47
 
 MIN_WORDS, REPEAT_PERCENT, LEVEL = 50, 50, 3
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "ratio double, worst_low double, worst_high double, kept boolean, reason string"
+    "ratio double, worst_low double, worst_high double, noise double, worst_noise double, kept boolean, reason string"
 )
 
 
@@ -66,6 +75,17 @@ def band(n_bytes: int) -> tuple[float, float]:
     return next((low, high) for longest, low, high in BANDS if n_bytes <= longest)
 
 
+def byte_entropy(raw: bytes) -> float:
+    """The ratio that an ideal code of single bytes would reach."""
+    counts = np.bincount(np.frombuffer(raw, np.uint8))
+    share = counts[counts > 0] / len(raw)
+    return float(-(share * np.log2(share)).sum() / 8)
+
+
+def noise_limit(n_bytes: int) -> float:
+    return next(most for longest, most in NOISE if n_bytes <= longest)
+
+
 def chunk_starts(n_bytes: int) -> list[int]:
     """Where full chunks start; the last one ends with the text and may overlap the one before it."""
     starts = list(range(0, n_bytes - CHUNK_BYTES + 1, CHUNK_BYTES))
@@ -75,8 +95,8 @@ def chunk_starts(n_bytes: int) -> list[int]:
 def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add the base features, the compression ratios and the verdict to every row.
 
-    Nulls and empty texts count as texts without words: they fail the base rule. Repeated rows get
-    equal verdicts. Extra columns pass through; one with the name of a computed column is replaced.
+    Nulls and empty texts count as texts without words: they fail the base rule. ``noise`` and ``worst_noise`` are the relative ratios of
+    the text and of its chunks, 0 where a text is not dense. Repeated rows get equal verdicts. Extra columns pass through; one with the name of a computed column is replaced.
     One Arrow pass, no shuffle; a task holds one slice of texts at a time.
     """
 
@@ -87,6 +107,10 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
             # a compressor for each call would cost more than the work on short texts
             return len(packer.compress(raw)) / len(raw)
 
+        def relative(raw: bytes, ratio: float) -> float:
+            # only a dense text can be noise: of few letters, prose and noise come to the same
+            return ratio / byte_entropy(raw) if ratio > DENSE else 0.0
+
         packer = zstandard.ZstdCompressor(level=LEVEL)
 
         def call(texts: list[bytes | None]) -> dict[str, pa.Array]:
@@ -96,21 +120,24 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
                 n, chars, symbols, lines, repeated = base_features(raw)
                 failed = n < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * n
                 ratio = shrink(raw) if raw else None
-                chunks = [shrink(raw[i : i + CHUNK_BYTES]) for i in chunk_starts(len(raw))]
+                noise = relative(raw, ratio) if raw else None
+                parts = [raw[i : i + CHUNK_BYTES] for i in chunk_starts(len(raw))]
+                chunks = [shrink(part) for part in parts]
                 low, high = band(len(raw))
                 worst_low, worst_high = min(chunks, default=None), max(chunks, default=None)
+                worst_noise = max((relative(part, r) for part, r in zip(parts, chunks, strict=True)), default=None)
                 reason = (
                     "too few words" if n < MIN_WORDS
                     else "repeated words" if failed
                     else "repetitive text" if ratio < low
-                    else "incompressible text" if ratio > high
+                    else "incompressible text" if ratio > high or noise > noise_limit(len(raw))
                     else "repetitive chunk" if chunks and worst_low < CHUNK_BAND[0]
-                    else "incompressible chunk" if chunks and worst_high > CHUNK_BAND[1]
+                    else "incompressible chunk" if chunks and (worst_high > CHUNK_BAND[1] or worst_noise > CHUNK_NOISE)
                     else None
                 )
-                rows.append((n, chars, symbols, lines, repeated, failed, ratio, worst_low, worst_high, reason is None, reason))
+                rows.append((n, chars, symbols, lines, repeated, failed, ratio, worst_low, worst_high, noise, worst_noise, reason is None, reason))
             columns = zip(*rows, strict=True)
-            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.bool_(), pa.string()]
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 5 + [pa.bool_(), pa.string()]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return {k: pa.array(list(c), t) for k, c, t in zip(names, columns, kinds, strict=True)}
 

@@ -29,9 +29,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/media/{uuid.uuid4().hex}"
     media_columns.write_texts(documents(spark, sf_dir), path)
-    found = media_columns.media_features(media_columns.read_media(spark, path).select("meta", "media", "attempts", "error"))
+    found = media_columns.media_features(media_columns.whole(media_columns.read_media(spark, path)).select("meta", "media", "attempts"))
     meta = F.from_json("meta", "key long, n_bytes long")
-    features = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "attempts", "error"]
+    features = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "attempts"]
     return found.withColumn("meta", meta).select(F.col("meta.key").alias("doc_id"), F.col("meta.n_bytes").alias("n_bytes"), *features)
 
 
