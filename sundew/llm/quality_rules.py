@@ -40,7 +40,7 @@ CHUNK_BYTES, CHUNK_BAND = 4096, (0.36, 0.64)
 #: Longest length in bytes and greatest accepted relative ratio; shorter texts can't be told from noise by it. Alphabets that alone
 #: make a text shorter than DENSE are not judged so.
 NOISE = ((3072, 9.9), (8192, 1.02), (16384, 1.0), (1 << 62, 0.97))
-CHUNK_NOISE, DENSE = 1.015, 0.47
+CHUNK_NOISE, DENSE = 1.015, 0.515
 
 MIN_WORDS, REPEAT_PERCENT, LEVEL = 50, 50, 3
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -130,9 +130,10 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
                     "too few words" if n < MIN_WORDS
                     else "repeated words" if failed
                     else "repetitive text" if ratio < low
-                    else "incompressible text" if ratio > high or noise > noise_limit(len(raw))
+                    else "incompressible text" if ratio > high
                     else "repetitive chunk" if chunks and worst_low < CHUNK_BAND[0]
                     else "incompressible chunk" if chunks and (worst_high > CHUNK_BAND[1] or worst_noise > CHUNK_NOISE)
+                    else "incompressible text" if noise > noise_limit(len(raw))
                     else None
                 )
                 rows.append((n, chars, symbols, lines, repeated, failed, ratio, worst_low, worst_high, noise, worst_noise, reason is None, reason))

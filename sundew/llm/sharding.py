@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sundew.plans.tables import lookup, materialize, ranked, release
 
 #: Shards, and how far over its size propagation may fill one; the counts are made exact afterwards.
-SHARDS, SLACK = 40, 0.2
+SHARDS, SLACK = 40, 0.3
 
 
 def quotas(flows: dict[tuple[int, int], int], free: list[int]) -> list[float]:

@@ -113,6 +113,28 @@ def test_media_round_trip(spark, tmp_path):
     assert f[0].media_sha256 == hashlib.sha256(rows[0].media).hexdigest() and f[0].tail_crc32 == zlib.crc32(media_columns.samples(rows[0].media)[-64:]) and f[1].feature is None
 
 
+def test_writes_into_one_folder_add_up_and_an_overwrite_starts_anew(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    media_columns.write_texts(docs(spark, ["a", "b"]), path)
+    media_columns.write_texts(docs(spark, ["c"]), path)
+    assert media_columns.read_media(spark, path).count() == 3
+    media_columns.write_texts(docs(spark, ["d"]), path, mode="overwrite")
+    assert [media_columns.samples(r.media)[:1] for r in media_columns.read_media(spark, path).collect()] == [b"d"]
+
+
+def test_an_unreadable_member_fails_a_job_that_wants_all(spark, tmp_path):
+    media_columns.write_texts(docs(spark, ["a", "b"]), f"file://{tmp_path}/m")
+    for name in os.listdir(tmp_path / "m"):
+        if name.endswith(".zip"):
+            with open(tmp_path / "m" / name, "r+b") as f:
+                f.seek(60)
+                f.write(b"broken")
+    rows = media_columns.read_media(spark, f"file://{tmp_path}/m", tries="1", wait_seconds="0")
+    assert any(r.media is None for r in rows.collect())
+    with pytest.raises(Exception, match="unreadable member"):
+        media_columns.whole(rows).collect()
+
+
 def test_a_broken_member_spares_the_others(spark, tmp_path):
     os.makedirs(f"{tmp_path}/m")
     path = f"{tmp_path}/m/a.zip"
@@ -307,6 +329,33 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(docs(spark, texts)).collect())
 
 
+def test_propagation_takes_away_cut_links_round_by_round(spark):
+    n, shards = 1200, 12
+    drawn = random.Random(9).sample(range(n), n)
+    # chains of six nodes from all over: no text, no group, only links
+    chains = [drawn[i : i + 6] for i in range(0, n, 6)]
+    edges = spark.createDataFrame([(a, b) for c in chains for a, b in zip(c, c[1:])], "a long, b long")
+    start = spark.range(n).select(F.col("id").alias("node"), F.floor(F.col("id") * shards / n).cast("int").alias("label"))
+    cuts = []
+    for rounds in (0, 1, 2, 3, None):
+        labels = sharding.propagate(start, edges, shards, n // shards + 20, rounds)
+        cuts.append(sharding.cut_links(labels, edges))
+        sizes = Counter(r.label for r in labels.collect())
+        assert sum(sizes.values()) == n and max(sizes.values()) <= 1.6 * n / shards
+    assert cuts == sorted(cuts, reverse=True) and cuts[-1] < 0.45 * cuts[0], cuts
+
+
+def test_groups_are_together_through_propagation(spark):
+    texts = [f"text {i % 500 if i < 1500 else i}" for i in range(4000)]
+    apart = {}
+    for rounds in (0, 1, None):
+        where = {}
+        for r in sharding.shard(docs(spark, texts), rounds=rounds).collect():
+            where.setdefault(texts[r.doc_id], set()).add(r.shard)
+        apart[rounds] = sum(len(s) - 1 for s in where.values())
+    assert apart[0] > 900 and apart[1] < apart[0] and apart[None] <= 40, apart
+
+
 # 8
 def brute_similar(rows, threshold=0.8):
     sets = {d: {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} for d, t in rows if (w := words(t))}
@@ -388,6 +437,50 @@ def test_bands_reject_repetition_and_noise(spark):
     texts = [prose, noise * 1, loop, prose[:9000] + loop[:9000]]
     got = {r.doc_id: (r.kept, r.reason) for r in quality_rules.quality_rules(docs(spark, texts)).collect()}
     assert got[0] == (True, None) and not got[2][0] and not got[3][0]
+    assert got[1] == (False, "incompressible chunk")
+
+
+def test_noise_over_a_small_alphabet_is_rejected_at_any_length_it_can_be_told_at(spark):
+    rnd = random.Random(4)
+    hexes = " ".join("%032x" % rnd.getrandbits(128) for _ in range(2000))
+    base = " ".join(base64.b64encode(rnd.randbytes(54)).decode() for _ in range(900))
+    texts = [x[:n] for n in (3500, 6600, 12_000, 60_000) for x in (hexes, base)]
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    assert not any(r.kept for r in quality_rules.quality_rules(docs(spark, texts)).collect())
+    kept = quality_rules.quality_rules(good.select("doc_id", "text")).where("not base_failed").groupBy("kept").count().collect()
+    assert {r.kept for r in kept} == {True}
+
+
+def test_verdicts_agree_with_a_plain_reading_of_the_limits(spark):
+    import math
+
+    import zstandard
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rnd = random.Random(8)
+    texts = [r.text for r in rows] + [" ".join("%032x" % rnd.getrandbits(128) for _ in range(n)) for n in (60, 120, 500)] + ["", None, "word " * 2000]
+
+    def ratio(b):
+        return len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+
+    def noise(b):
+        return ratio(b) / (-sum(n / len(b) * math.log2(n / len(b)) for n in Counter(b).values()) / 8) if ratio(b) > quality_rules.DENSE else 0.0
+
+    def verdict(text):
+        b = (text or "").encode()
+        w = words(text)
+        grams = Counter(zip(w, w[1:], w[2:]))
+        if len(w) < 50 or 2 * len({i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}) > len(w):
+            return False
+        low, high = next((x, y) for n, x, y in quality_rules.BANDS if len(b) <= n)
+        if not low <= ratio(b) <= high or noise(b) > next(y for n, y in quality_rules.NOISE if len(b) <= n):
+            return False
+        whole = [b[i : i + 4096] for i in range(0, len(b), 4096) if i + 4096 <= len(b)]
+        parts = whole + ([b[-4096:]] if whole else [])
+        return all(0.36 <= ratio(p) <= 0.64 and noise(p) <= quality_rules.CHUNK_NOISE for p in parts)
+
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs(spark, texts)).collect()}
+    assert got == {i: verdict(t) for i, t in enumerate(texts)}
 
 
 def test_the_end_of_a_text_is_judged_like_its_start(spark):
