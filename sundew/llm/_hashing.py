@@ -9,9 +9,9 @@ import numpy as np
 _STEP = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@lru_cache(maxsize=4)
+def byte_values(seed: int = 11) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @lru_cache(maxsize=8)
@@ -33,8 +33,8 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def located_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a text, and the bytes at which they start. Words are cut at 0x20 and 0x09-0x0D."""
+def located_words(raw: bytes, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text, and the bytes at which they start. Words are cut at 0x20 and 0x09-0x0D. Hashes of two seeds are independent."""
     data = np.frombuffer(raw, np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
@@ -45,17 +45,17 @@ def located_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(sizes) - sizes
     own = data[~blank]
     place = np.arange(len(own)) - np.repeat(first, sizes)
-    mixed = byte_values()[own] * powers(int(sizes.max()))[place]
+    mixed = byte_values(seed)[own] * powers(int(sizes.max()), _STEP if seed == 11 else _STEP ^ seed << 8)[place]
     return finish(np.add.reduceat(mixed, first) + sizes.astype(np.uint64)), starts
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    return located_words(raw)[0]
+def word_hashes(raw: bytes, seed: int = 11) -> np.ndarray:
+    return located_words(raw, seed)[0]
 
 
-def joined_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def joined_words(raws: list[bytes], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of several texts, and the text that each is of."""
-    hashes, starts = located_words(b"\n".join(raws))
+    hashes, starts = located_words(b"\n".join(raws), seed)
     ends = np.cumsum([len(r) + 1 for r in raws])
     return hashes, np.searchsorted(ends, starts, side="right")
 

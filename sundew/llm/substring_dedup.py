@@ -4,8 +4,10 @@ A window of the full length repeats only if every shorter window inside it repea
 quarter of the full length, half of it and the whole, rounded up: 4, 7 and 13 words for 13. At each
 level a full window is judged by one sub-window, the one of smallest hash inside it, which equal windows
 choose alike, so that few sub-windows are shuffled. Only full windows whose chosen sub-window starts in two
-documents go on to the next length; rounds end early when no candidate survives. At the full length the windows
-are compared whole, by 80 bits of two independent hashes.
+documents go on to the next length. At the full length the windows are compared whole, by 96 bits of two hashes that are independent
+from the bytes on, and by the same 96 bits they are found again in the texts.
+
+Of equal texts only that of the smallest document is searched: every window of the others starts in it.
 """
 
 from __future__ import annotations
@@ -20,10 +22,30 @@ from pyspark.sql import functions as F
 
 from sundew.llm._arrow import small_batches, text_slices, with_columns
 from sundew.llm._hashing import finish, joined_words, window_hashes, word_hashes
-from sundew.plans.tables import materialize, release
+from sundew.plans.tables import lookup, materialize, release, tidy
+
+#: Words of a window, the seed of the second hash, and the two hashes of a window as they are packed.
+WINDOW, SECOND = 13, 29
+PACK = np.dtype([("one", "<u8"), ("two", "<u4")])
+KEY_BYTES = PACK.itemsize
+
+
+def packed_windows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    out = np.empty(len(one), PACK)
+    out["one"], out["two"] = one, two.astype(np.uint32)
+    return out
 
-#: Words of a window, and bytes of its hash.
-WINDOW, KEY_BYTES = 13, 10
+
+def members(these: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``these`` packed windows are among ``known``, by all their bits."""
+    known = np.sort(known, order=["one", "two"])
+    first, after = (np.searchsorted(known["one"], these["one"], side=s) for s in ("left", "right"))
+    out = np.zeros(len(these), bool)
+    for shift in range(int((after - first).max(initial=0))):
+        at = first + shift
+        inside = at < after
+        out[inside] |= known["two"][at[inside]] == these["two"][inside]
+    return out
 
 
 def levels(window: int) -> tuple[int, int, int]:
@@ -79,7 +101,8 @@ def extend(df: DataFrame, window: int, length: int, following: int) -> DataFrame
         for batch in batches:
             for start, stop in text_slices(batch, "__text"):
                 part = batch.slice(start, stop - start)
-                words, owner, starts = windows([t or b"" for t in part.column("__text").cast(pa.binary()).to_pylist()], window)
+                raws = [t or b"" for t in part.column("__text").cast(pa.binary()).to_pylist()]
+                words, owner, starts = windows(raws, window)
                 known = part.column("keys")
                 sizes = pc.list_value_length(known).to_numpy(zero_copy_only=False)
                 tagged = known.flatten().to_numpy().view(np.uint64) ^ finish(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes))
@@ -90,12 +113,11 @@ def extend(df: DataFrame, window: int, length: int, following: int) -> DataFrame
                 alive = starts[np.isin(short[judge] ^ finish(owner[starts].astype(np.uint64)), tagged)]
                 if not len(alive):
                     continue
-                one, two = window_hashes(words, window)[alive], window_hashes(finish(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)[alive]
+                both = packed_windows(window_hashes(words, window)[alive], window_hashes(joined_words(raws, SECOND)[0], window)[alive])
                 key, own = longer[chosen(longer, window - following + 1)[alive]], owner[alive]
                 order = np.lexsort((key, own))
                 key, own = key[order], own[order]
-                packed = np.zeros(len(order), np.dtype([("one", "<u8"), ("two", "<u2")]))
-                packed["one"], packed["two"] = one[order], (two[order] & np.uint64(0xFFFF)).astype(np.uint16)
+                packed = both[order]
                 cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
                 ends = np.append(cut, len(order)) * KEY_BYTES
                 packs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
@@ -106,30 +128,40 @@ def extend(df: DataFrame, window: int, length: int, following: int) -> DataFrame
 
 
 def ends_of(df: DataFrame) -> DataFrame:
-    """The smallest document of every key that two documents have. Summed up before the shuffle, so a key that very many have is a row from each task."""
-    return df.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    """The smallest document of every key that two documents have, and the key's rows. Summed up before the shuffle, so a key that very many have is a row from each task."""
+    ends = df.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"))
+    return ends.where("low < high").drop("high")
 
 
 def repeated_windows(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """``doc`` and ``hashes``: the hashes of its windows that also start in a document with a smaller key."""
+    """``doc``, ``hashes`` and ``copies``: its windows that also start in a document with a smaller key, and hashes of its texts that equal a smaller document's."""
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text"))
     quarter, half, _ = levels(window)
-    listed = materialize(with_columns(source, "__text", "keys array<bigint>", first_keys(window, quarter), keep=["doc"]), f"substring-keys-{quarter}")
-    keyed = listed.select("doc", F.explode("keys").alias("key"))
-    alive = keyed.join(ends_of(keyed).drop("low"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    alive = materialize(alive, f"substring-{quarter}")
+    hashed = source.withColumns({"h1": F.xxhash64("__text"), "h2": F.xxhash64(F.lit(5), "__text")})
+    listed = materialize(with_columns(hashed, "__text", "keys array<bigint>", first_keys(window, quarter), keep=["doc", "h1", "h2"]).where(F.size("keys") > 0), f"substring-keys-{quarter}")
+    equal = listed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = materialize(lookup(listed, equal, ["h1", "h2"], listed.count(), F.col("doc"), "left").drop("h2"), "substring-marked")
     release(listed)
+    copies = marked.where("doc > first").select("doc", F.lit(None).cast("binary").alias("key"), "h1")
+    keyed = marked.where("first is null or doc <= first").select("doc", F.explode("keys").alias("key"))
+    total = marked.agg(F.sum(F.size("keys"))).first()[0] or 0
+    alive = lookup(keyed, ends_of(keyed).drop("low"), ["key"], total, F.xxhash64("doc", "key")).groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    alive = materialize(alive, f"substring-{quarter}")
+    tidy(df.sparkSession)
     kept = materialize(extend(source.join(alive.hint("merge"), "doc"), window, quarter, half), f"substring-{half}")
     release(alive)
-    shared = kept.join(ends_of(kept).drop("low"), "key")
+    tidy(df.sparkSession)
+    shared = lookup(kept, ends_of(kept).drop("low"), ["key"], kept.count(), F.xxhash64("doc", "key"))
     spots = F.sequence(F.lit(0), (F.length("windows") / KEY_BYTES).cast("int") - 1)
     pair = F.explode(F.transform(spots, lambda i: F.substring("windows", i * KEY_BYTES + 1, F.lit(KEY_BYTES)))).alias("key")
     full = materialize(shared.select("doc", pair), f"substring-{window}")
     release(kept)
-    later = full.join(ends_of(full), "key").where("low < doc")
-    found = later.groupBy("doc").agg(F.collect_set(F.substring("key", F.lit(1), F.lit(8))).alias("hashes"))
+    tidy(df.sparkSession)
+    later = lookup(full, ends_of(full), ["key"], full.count(), F.xxhash64("doc", "key")).where("low < doc").select("doc", "key", F.lit(None).cast("long").alias("h1"))
+    found = later.unionByName(copies).groupBy("doc").agg(F.collect_set("key").alias("hashes"), F.collect_set("h1").alias("copies"))
     found = materialize(found, "substring-found")
-    release(full)
+    release(full, marked)
+    tidy(df.sparkSession)
     return found
 
 
@@ -141,11 +173,13 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     stay are joined by one blank. Nulls are texts without words. A row with a null key has no smaller
     documents and is smaller than none, so it stays whole. Rows with one key are one document, and
     each is judged by its own text. An empty table gives an empty result; a column with the name of a computed one
-    is replaced. Windows are compared by 80 bits of hash.
+    is replaced. Windows are compared by 96 bits of hash.
     """
     found = repeated_windows(df, key, text, window)
     given = df.drop("n_words", "n_removed", "kept_text")
-    both = given.join(found.hint("merge").withColumnsRenamed({"doc": "__doc", "hashes": "__hashes"}), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    both = given.join(found.hint("merge").withColumnsRenamed({"doc": "__doc", "hashes": "__hashes", "copies": "__copies"}), F.col(key).cast("long") == F.col("__doc"), "left")
+    copied = F.coalesce(F.array_contains("__copies", F.xxhash64(text)), F.lit(False))
+    both = both.withColumn("__copied", copied).drop("__doc", "__copies")
     out = given.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
     columns = given.columns
 
@@ -154,12 +188,14 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
             for start, stop in text_slices(batch, text):
                 part = batch.slice(start, stop - start)
                 counts, gone, texts = [], [], []
-                for raw, hashes in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("__hashes"), strict=True):
+                for raw, hashes, copied in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("__hashes"), part.column("__copied").to_pylist(), strict=True):
                     words = (raw or b"").split()
                     removed = 0
-                    if hashes.is_valid:
-                        known = np.frombuffer(b"".join(hashes.as_py()), np.uint64)
-                        at = np.flatnonzero(np.isin(window_hashes(word_hashes(raw), window), known))
+                    if copied:  # all of its windows start in a smaller document
+                        removed, stays = len(words), np.zeros(len(words), bool)
+                    elif raw and hashes.is_valid and len(hashes):
+                        known = np.frombuffer(b"".join(hashes.as_py()), PACK)
+                        at = np.flatnonzero(members(packed_windows(window_hashes(word_hashes(raw), window), window_hashes(word_hashes(raw, SECOND), window)), known))
                         cover = np.zeros(len(words) + 1, np.int64)
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + window, -1)
