@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sundew.plans.tables import materialize, ranked
+from sundew.llm.chat_format import running
+from sundew.plans.tables import lookup, materialize, ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a block of the flight phase, about.
@@ -31,31 +32,27 @@ def word_count(text: str = "text"):
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
-    """One row per source: ``sid``, ``source``, ``source_size``, ``target``.
+    """One row per source: ``sid``, ``source``, ``source_size``, ``n`` (its rows), ``target``.
 
     Sources by code point, null last, take ``weights`` in turn. Shares above ``most`` times the
-    source's size stop there, and the excess is shared again by weight, until none is above. Each pass
-    sees two sums; the sources themselves stay distributed.
+    source's size stop there, and the excess is shared again by weight, until none is above. A source stops before every other that has
+    more size for its weight, so running sums over the sources in that order give the level at each of them, and the first that
+    stays under it has the final one. The sources themselves stay distributed.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     order = [F.col("source").asc_nulls_last()]
     shares = ranked(totals, order, "sid", "mix-sources")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int")).cast("double")
     shares = materialize(shares.withColumn("weight", weight), "mix-weights")
     cap = F.col("source_size") * F.lit(float(most))
     total = shares.agg(F.sum("source_size"), F.sum("weight")).first()
-    level = (total[0] or 0) / (total[1] or 1.0)
-    while True:
-        full = cap <= F.col("weight") * F.lit(level)
-        row = shares.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight")))).first()
-        # full sources may sum to 0, when none of their texts has a word: their weight is shared too
-        if row[0] is None or not row[1]:
-            break
-        higher = ((total[0] or 0) - row[0]) / row[1]
-        if higher <= level:
-            break
-        level = higher
-    return shares.select("sid", "source", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
+    placed = shares.select("sid", "weight", cap.alias("cap"), (cap / F.col("weight")).alias("ratio"))
+    placed = running(running(placed, [], ["ratio", "sid"], "cap", "cap_before"), [], ["ratio", "sid"], "weight", "weight_before")
+    level = (F.lit(float(total[0] or 0)) - F.col("cap_before")) / (F.lit(float(total[1] or 1)) - F.col("weight_before"))
+    found = placed.withColumn("level", level).where("ratio > level").agg(F.min(F.struct("ratio", "sid", "level"))).first()[0]
+    # without one, all sources stop at their greatest share
+    target = cap if found is None else F.least(cap, F.col("weight") * F.lit(found.level))
+    return shares.select("sid", "source", "source_size", "n", target.alias("target"))
 
 
 def flight(units: list[list], stream: Iterator[list], rng: random.Random) -> Iterator[list]:
@@ -97,15 +94,15 @@ def land(units: list[list]) -> list[list]:
     return units
 
 
-def cube_round(units: DataFrame, number: int, seed: int) -> DataFrame:
+def cube_round(units: DataFrame, number: int, seed: int, total: int) -> DataFrame:
     """One round over ``sid, size, pi, ...``; a source's only block also lands.
 
     A block is met as a run of sorted rows, so a task holds three of them at a time, however many
     rows share a source or even an id. Blocks depend on the data alone, not on the partitions.
     """
-    counts = units.groupBy("sid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__blocks"))
+    counts = units.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).withColumn("__blocks", F.ceil(F.col("n") / BLOCK))
     block = F.pmod(F.xxhash64(F.lit(seed + number), "__order", "size"), F.col("__blocks"))
-    laid = units.join(counts, "sid").withColumn("__block", block)
+    laid = lookup(units, counts, ["sid"], total, F.xxhash64("__order", "size")).withColumn("__block", block)
     laid = laid.repartition("sid", "__block").sortWithinPartitions("sid", "__block", "__order", "size", "pi")
     out, names = units.schema, laid.columns
     sid, block, blocks, size, pi = (names.index(n) for n in ("sid", "__block", "__blocks", "size", "pi"))
@@ -147,10 +144,13 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.
     empty result. Equal input gives an equal result on any number of partitions.
     """
     sized = materialize(sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    targets = materialize(source_targets(sized, weights, most), "mix-targets")
+    # null is a source too
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    targets = materialize(source_targets(sized, weights, most).withColumn("__source", named).drop("source"), "mix-targets")
+    total = sized.count()
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     units = (
-        sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+        lookup(sized.withColumn("__source", named), targets, ["__source"], total, F.xxhash64("doc_id", "size"))
         .drop("__source")
         .withColumns({"__rate": rate, "__order": F.xxhash64("doc_id")})
         .withColumns({"whole": F.floor("__rate"), "pi": F.col("__rate") - F.floor("__rate")})
@@ -161,7 +161,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.
     left = units.where(still)
     while True:
         number += 1
-        after = materialize(cube_round(left, number, seed), f"mix-round-{number}")
+        after = materialize(cube_round(left, number, seed, total), f"mix-round-{number}")
         decided.append(after.where(~still))
         left = after.where(still)
         if left.isEmpty():
