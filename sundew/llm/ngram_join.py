@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from sundew.llm._arrow import small_batches, with_columns
 from sundew.llm._hashing import finish, window_hashes, word_hashes
-from sundew.plans.tables import materialize
+from sundew.plans.tables import lookup, materialize, release, tidy
 
 #: Words in a shingle, least similarity, posterior below which a pair is dropped.
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
 #: MinHash values, values in a band (a pair at 0.8 shares no band with probability 5e-8), values compared in a step.
 VALUES, BAND, STEP = 128, 4, 32
-#: Representatives and bytes of shingles in a block, about.
-BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
+#: Representatives and bytes of shingles in a block, about, and representatives of two blocks that are compared at once.
+BLOCK_ROWS, BLOCK_BYTES, TILE = 1024, 4 << 20, 256
 
 
 def shingles(raw: bytes, n: int = WORDS) -> np.ndarray:
@@ -95,6 +95,16 @@ def links_of(left: list[tuple], right: list[tuple] | None, threshold: float, tol
     return out
 
 
+def tiled_links(left: list[tuple], right: list[tuple] | None, threshold: float, tolerance: float) -> Iterator[tuple[int, int]]:
+    """The pairs of ``links_of``, a tile of both blocks at a time, so that blocks can be long and travel seldom."""
+    other = left if right is None else right
+    for i in range(0, len(left), TILE):
+        for j in range(i if right is None else 0, len(other), TILE):
+            one = right is None and i == j
+            for x, y in links_of(left[i : i + TILE], None if one else other[j : j + TILE], threshold, tolerance):
+                yield i + x, j + y
+
+
 def signed(df: DataFrame) -> DataFrame:
     """Add ``set_id`` (digest of the shingle set), ``n_shingles`` and the packed ``signature`` of ``__text``; null without a word."""
 
@@ -110,7 +120,7 @@ def signed(df: DataFrame) -> DataFrame:
 
         return call
 
-    return with_columns(df, "__text", "set_id binary, n_shingles long, signature binary", compute, keep=["__key"])
+    return with_columns(df, "__text", "set_id binary, n_shingles long, signature binary", compute, keep=["__key", "__hash"])
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -142,18 +152,26 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Every round takes the smallest label among neighbours and then the label of that label, so that chains
     halve; rounds end when no label has changed. Only a count comes to the driver.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "components-edges")
-    labels = materialize(nodes.select("rep", F.col("rep").alias("component")), "components-0")
-    number = 0
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "components-edges")
+    total = both.count()
+    degrees = both.groupBy(F.col("b").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
+    labels = materialize(nodes.select("rep", F.col("rep").alias("component")).join(degrees, "rep", "left"), "components-0")
+    n_nodes = labels.count()
+    number, spread = 0, F.xxhash64("a", "b")
     while True:
         number += 1
-        near = both.join(labels.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "rep", "left").select("rep", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jump = labels.select(F.col("rep").alias("mid"), F.col("component").alias("far"))
-        after = materialize(lower.join(jump, "mid").select("rep", "old", F.least("mid", "far").alias("component")), f"components-{number}")
-        labels = after.select("rep", "component")
+        # many have one neighbour, and many one label: both are looked up
+        near = lookup(both, labels.select(F.col("rep").alias("b"), "component", "n"), ["b"], total, spread).groupBy(F.col("a").alias("rep")).agg(F.min("component").alias("near"))
+        lower = labels.join(near, "rep", "left").select("rep", "n", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
+        lower = materialize(lower, f"components-lower-{number}")
+        asked = lower.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
+        jump = labels.select(F.col("rep").alias("mid"), F.col("component").alias("far")).join(asked, "mid")
+        after = lookup(lower.withColumnRenamed("n", "degree"), jump, ["mid"], n_nodes, F.xxhash64("rep"))
+        after = materialize(after.select("rep", "old", F.least("mid", "far").alias("component"), F.col("degree").alias("n")), f"components-{number}")
+        release(labels, lower)
+        labels = after
         if after.where(F.col("old") != F.col("component")).isEmpty():
-            return labels
+            return labels.select("rep", "component")
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -166,44 +184,52 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     one key keep their own links. An empty table gives an empty result. Keys are numbers; a null key stays
     null, and is counted as a row.
     """
-    source = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    source = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
     rows = materialize(signed(source), "ngram-rows")
     worded = rows.where(F.col("set_id").isNotNull())
     rid = F.xxhash64("set_id").alias("rid")
     band = worded.select(rid, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), lambda i: F.substring("signature", i * 4 * BAND + 1, F.lit(4 * BAND)))))
     band = band.select("rid", F.xxhash64("pos", "col").alias("bucket"))
     # equal sets have one rid, so a bucket of copies alone has one
-    shared = band.groupBy("bucket").agg(F.min("rid").alias("hub"), F.max("rid").alias("top")).where("hub < top").drop("top")
-    member = materialize(band.join(shared, "bucket").distinct(), "ngram-members")
-    # one representative for each shingle set that shares a bucket
-    sets = worded.groupBy("set_id").agg(F.min("__key").alias("first_key"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    n_rows = worded.count()
+    shared = band.groupBy("bucket").agg(F.min("rid").alias("hub"), F.max("rid").alias("top"), F.count(F.lit(1)).alias("n")).where("hub < top").drop("top")
+    member = lookup(band, shared, ["bucket"], n_rows * (VALUES // BAND), F.xxhash64("rid", "bucket")).distinct()
+    member = materialize(member, "ngram-members")
+    tidy(df.sparkSession)
+    # one representative for each shingle set that shares a bucket, and the text it is read from again: rows of one key are told apart by the text's hash
+    first = F.min(F.struct(F.col("__key"), F.col("__hash")))
+    sets = worded.groupBy("set_id").agg(F.min("__key").alias("first_key"), first.alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
     sets = materialize(sets, "ngram-sets")
     hubs = member.groupBy("rid").agg(F.min("hub").alias("hub"))
     reps = sets.withColumn("rid", F.xxhash64("set_id")).join(hubs, "rid")
     # a hub's representatives are dealt to blocks of bounded size
     parts = reps.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("parts"))
     block = F.xxhash64("hub", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("parts")))
-    reps = materialize(reps.join(parts, "hub").select("rid", "set_id", "first_key", "copies", block.alias("block")), "ngram-reps")
+    reps = materialize(reps.join(parts, "hub").select("rid", "set_id", "first", "copies", block.alias("block")), "ngram-reps")
     at = member.select("bucket", "rid").join(reps.select("rid", "block"), "rid").select("bucket", "block").distinct()
     pairs = at.join(at.withColumnRenamed("block", "other"), "bucket").where("block <= other").select("block", "other").distinct()
     sides = pairs.select("block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("side"))
     # the texts of candidates grow with the input, so this join is planned alike at every size
-    held = reps.hint("merge").join(source, F.col("first_key").eqNullSafe(F.col("__key"))).select("set_id", "copies", F.col("block").alias("side"), "__text")
+    same = F.col("first.__key").eqNullSafe(F.col("__key")) & (F.col("first.__hash") == F.col("__hash"))
+    held = reps.hint("merge").join(source, same).select("set_id", "copies", F.col("block").alias("side"), "__text")
     placed = materialize(with_sets(held).where("set_id = set_now").drop("set_now"), "ngram-placed")
     work = sides.join(placed, "side").select("block", "other", "side", "set_id", "copies", "signature", "shingles")
     work = work.repartition("block", "other").sortWithinPartitions("block", "other", "side")
     found = materialize(small_batches(work).mapInArrow(_compare(threshold, tolerance), "set_id binary, links long, near binary"), "ngram-links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("set_id").alias("a"), F.col("near").alias("b")), links.select(F.col("set_id").alias("rep")))
-    linked = labels.withColumnRenamed("rep", "set_id").join(sets.select("set_id", "first_key"), "set_id").join(links, "set_id")
-    least = linked.groupBy("component").agg(F.min("first_key").alias("least"))
-    known = linked.join(least, "component").select("set_id", "links", "least")
+    linked = materialize(labels.withColumnRenamed("rep", "set_id").join(sets.select("set_id", "first_key"), "set_id").join(links, "set_id"), "ngram-linked")
+    least = linked.groupBy("component").agg(F.min("first_key").alias("least"), F.count(F.lit(1)).alias("n"))
+    known = lookup(linked, least, ["component"], n_rows, F.xxhash64("set_id")).select("set_id", "links", "least")
     per_set = sets.join(known, "set_id", "left").select(
-        "set_id", F.coalesce("least", "first_key").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "set_id", F.col("copies").alias("n"), F.coalesce("least", "first_key").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
+    per_set = materialize(per_set, "ngram-classes")
+    release(member, reps, placed, found, linked)
+    tidy(df.sparkSession)
     named = lambda d: d.select(F.col("__key").alias(key), "class_id", "n_links")
     alone = rows.where(F.col("set_id").isNull()).withColumns({"class_id": F.col("__key"), "n_links": F.lit(0).cast("long")})
-    return named(worded.select("__key", "set_id").join(per_set, "set_id")).unionByName(named(alone))
+    return named(lookup(worded.select("__key", "__hash", "set_id"), per_set, ["set_id"], n_rows, F.xxhash64("__key", "__hash"))).unionByName(named(alone))
 
 
 def _compare(threshold: float, tolerance: float):
@@ -223,7 +249,7 @@ def _compare(threshold: float, tolerance: float):
             members = left + (right or [])
             shift = 0 if right is None else len(left)
             links, near = [0] * len(members), list(range(len(members)))
-            for x, y in links_of(left, right, threshold, tolerance):
+            for x, y in tiled_links(left, right, threshold, tolerance):
                 y += shift
                 links[x] += members[y][3]
                 links[y] += members[x][3]
