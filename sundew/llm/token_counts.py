@@ -6,9 +6,12 @@ pieces of shorter prefixes, and what matters at a position is finite: the pieces
 spelled, each with the last piece before it and its count. Those sets are the states; each transition
 is annotated with the change of the count. States are compiled when first reached and kept per worker.
 
-A blank resets the transducer: no piece continues across one. A text is therefore cut into chunks at
-blanks, each chunk's state map is constant (any state before, the reset state after) plus a count, and
-maps compose by addition; a prefix scan over a batch's chunks gives every text's count.
+A blank resets the transducer: no piece continues across one. A text is therefore cut at blanks first. A short
+chunk between two blanks has a constant state map (any state before, the reset state after) and a count, which is remembered. A long
+one is cut again at fixed widths. Each of those has a real map, from the states that can stand before it to the state after it and
+the tokens in between: that of the few characters before the cut, and the reset state. The maps of all pieces of a batch are composed by a
+parallel prefix scan, over doubling distances. Where the state that arrives is not among those a map was made
+for, the map gets it and the scan runs again, so the count never rests on a guess.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sundew.llm._arrow import with_columns
 
 BLANK = "▁"
 #: Most chunks whose maps a worker keeps, and most states; beyond it they are compiled anew.
 CACHE_CHUNKS, CACHE_STATES = 300_000, 300_000
+#: Longest chunk that has one constant map; characters of a piece of a longer one, and characters before a cut that suggest a state.
+SHORT, WIDTH, LOOK = 64, 64, 24
 
 
 def merge_symbols(text: str, scores: dict[str, float]) -> list[str]:
@@ -120,27 +124,83 @@ class Transducer:
         self.delta[state, char] = (number, gain)
         return number, gain
 
+    def move(self, state: int, char: str) -> tuple[int, int]:
+        move = self.delta.get((state, char))
+        if move is None:
+            if char not in self.alphabet:  # spelled in bytes, and nothing joins across them
+                return 0, len(char.encode())
+            move = self.step(state, char)
+        return move
+
+    def walk(self, state: int, text: str) -> tuple[int, int]:
+        """The state after ``text``, and the tokens on the way."""
+        count, get = 0, self.delta.get
+        for char in text:
+            state, more = get((state, char)) or self.move(state, char)
+            count += more
+        return state, count
+
     def chunk(self, word: str) -> int:
-        """The map of one chunk, a blank and what follows up to the next: any state before, the reset state after, and this count."""
+        """The count of one short chunk, a blank and what follows up to the next, whatever the state before."""
         if len(self.states) > CACHE_STATES:
             self.forget()
-        state, count, delta = 0, 0, self.delta
-        for char in BLANK + word:
-            move = delta.get((state, char))
-            if move is None:
-                if char not in self.alphabet:  # spelled in bytes, and nothing joins across them
-                    count += len(char.encode())
-                    state = 0
-                    continue
-                move = self.step(state, char)
-            state = move[0]
-            count += move[1]
-        if len(word) <= 64:
-            if len(self.chunks) >= CACHE_CHUNKS:
-                self.chunks.clear()
-            self.chunks[word] = count
+        count = self.walk(0, BLANK + word)[1]
+        if len(self.chunks) >= CACHE_CHUNKS:
+            self.chunks.clear()
+        self.chunks[word] = count
         return count
 
+    def piece_map(self, text: str, before: list[int]) -> dict[int, tuple[int, int]]:
+        """The map of one piece: for each state ``before`` it the state after and the tokens. Paths that meet are walked once."""
+        out: dict[int, tuple[int, int]] = {}
+        seen: list[dict[int, int]] = [{} for _ in text]  # states at each place, with the tokens still to come on their paths
+        last: list[dict[int, int]] = [{} for _ in text]
+        for first in before:
+            state, path = first, []
+            for i, char in enumerate(text):
+                if state in seen[i]:
+                    end, rest = last[i][state], seen[i][state]
+                    break
+                after, more = self.move(state, char)
+                path.append((state, more))
+                state = after
+            else:
+                end, rest = state, 0
+            for i in range(len(path) - 1, -1, -1):
+                rest += path[i][1]
+                seen[i][path[i][0]], last[i][path[i][0]] = rest, end
+            out[first] = (end, rest)
+        return out
+
+    def long_counts(self, words: list[str]) -> list[int]:
+        """Counts of long chunks: pieces of fixed width, their maps, and a prefix scan over all of them together."""
+        texts, first = [], []
+        for word in words:
+            whole = BLANK + word
+            first.append(len(texts))
+            texts += [(whole, at) for at in range(0, len(whole), WIDTH)]
+        if len(self.states) > CACHE_STATES:
+            self.forget()
+        # a chunk's first piece follows a blank, so its map is constant
+        opens = np.zeros(len(texts), bool)
+        opens[first] = True
+        maps = []
+        for (whole, at), opening in zip(texts, opens.tolist(), strict=True):
+            before = [0] if opening else list(dict.fromkeys([self.walk(0, whole[max(at - LOOK, 0) : at])[0], 0]))
+            maps.append(self.piece_map(whole[at : at + WIDTH], before))
+        while True:
+            states, counts = scan(maps, opens)
+            arrived = np.concatenate([[0], states[:-1]])
+            arrived[opens] = 0
+            lost = [i for i in np.flatnonzero(states < 0).tolist() if arrived[i] >= 0]
+            if not lost:
+                break
+            for i in lost:
+                whole, at = texts[i]
+                maps[i] |= self.piece_map(whole[at : at + WIDTH], [int(arrived[i])])
+        ends = [*first[1:], len(texts)]
+        return [int(counts[b - 1]) - (int(counts[a - 1]) if a else 0) for a, b in zip(first, ends, strict=True)]
+
     def joins(self, word: str) -> bool:
         """Whether the blank before ``word`` joins its first characters: walk the last pieces of prefixes back to the start."""
         state, last_at = 0, []
@@ -169,7 +229,13 @@ class Transducer:
     def maps(self, text: str) -> list[int]:
         """Counts of the text's chunk maps. ``text`` has its blanks written as BLANK and starts with one."""
         words = text.split(BLANK)[1:]
-        known, chunk = self.chunks, self.chunk
+        long = [w for w in words if len(w) > SHORT]
+        counted = dict(zip(long, self.long_counts(long), strict=True)) if long else {}
+        known = self.chunks
+
+        def chunk(w: str) -> int:
+            return counted[w] if len(w) > SHORT else self.chunk(w)
+
         if "" not in words:
             return [known.get(w) or chunk(w) for w in words]
         out, blanks = [], 0
@@ -187,6 +253,33 @@ class Transducer:
         return out
 
 
+def scan(maps: list[dict[int, tuple[int, int]]], opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the state after it and the tokens up to it, by composing all maps up to there; -1 where a map lacks the state that arrives.
+
+    Maps are arrays of (state before, state after, tokens). ``opens`` marks maps that hold for any state before.
+    """
+    n, width = len(maps), max(map(len, maps))
+    before, after, tokens = np.full((n, width), -2, np.int64), np.full((n, width), -1, np.int64), np.zeros((n, width), np.int64)
+    for i, m in enumerate(maps):
+        for j, (state, (end, count)) in enumerate(m.items()):
+            before[i, j], after[i, j], tokens[i, j] = state, end, count
+    constant = opens.copy()
+    span = 1
+    while span < n:
+        # the map of the pieces up to i: first the one that ends span places earlier, then the one so far
+        arrives = after[:-span, :, None]
+        hit = (before[span:, None, :] == arrives) | constant[span:, None, None] & (np.arange(width) == 0)
+        place, met = hit.argmax(axis=2), hit.any(axis=2)
+        goes = np.where(met, np.take_along_axis(after[span:], place, axis=1), -1)
+        more = np.where(met, np.take_along_axis(tokens[span:], place, axis=1), 0)
+        spent = tokens[:-span] + more
+        after[span:], tokens[span:] = goes, spent
+        before[span:] = before[:-span].copy()
+        constant[span:] = constant[:-span].copy()
+        span *= 2
+    return after[:, 0], tokens[:, 0]
+
+
 def read_model(path: str) -> tuple[dict[str, float], bool]:
     """Pieces with scores, and whether a blank is put before a text. Only what the transducer can express is accepted."""
     from sentencepiece import sentencepiece_model_pb2 as pb2
@@ -212,7 +305,7 @@ def transducer(path: str) -> tuple[Transducer, bool]:
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 4096, keep: list[str] | None = None) -> DataFrame:
-    """Add ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
+    """Add ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) to the columns ``keep``, all by default.
 
     Nulls count as empty texts, which have no tokens. Rows are independent, so repeated rows and
     extra columns need no care; a column named as a computed one is replaced. ``path`` is a model file
@@ -229,11 +322,9 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 4096
                     counts += machine.maps(BLANK + raw.decode().replace(" ", BLANK))
                 bounds.append(len(counts))
             scanned = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])  # the maps' composition up to each chunk
-            return {"n_tokens": pa.array(np.diff(scanned[bounds]))}
+            tokens = np.diff(scanned[bounds])
+            return {"n_bytes": pa.array([len(raw or b"") for raw in texts], pa.int64()), "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)}
 
         return call
 
-    counted = with_columns(df, text, "n_tokens long", compute, keep)
-    if text not in counted.columns:
-        return counted
-    return counted.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "over_limit": F.col("n_tokens") > limit})
+    return with_columns(df, text, "n_bytes long, n_tokens long, over_limit boolean", compute, keep)
