@@ -14,10 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sundew.plans.tables import materialize
+from sundew.plans.tables import lookup, materialize, release, tidy
 
-#: Shorter lines count as duplicates only when they are equal: one edit changes too much of them.
-MIN_CHARS = 16
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -51,25 +49,26 @@ def halves_of(line: Column, n: Column) -> Column:
 
 
 def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of ``rows`` that different lines have, one of them laid out for its own length."""
-    ends = rows.groupBy(*keys).agg(F.min("h1").alias("__low"), F.max("h1").alias("__high"), F.max("same").alias("__same"))
-    return ends.where("__low < __high and __same").select(*keys)
+    """Keys of ``rows`` that different lines have, one of them laid out for its own length, with their number of rows ``n``."""
+    ends = rows.groupBy(*keys).agg(F.min("h1").alias("__low"), F.max("h1").alias("__high"), F.max("same").alias("__same"), F.count(F.lit(1)).alias("n"))
+    return ends.where("__low < __high and __same").select(*keys, "n")
 
 
-def near_lines(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_lines(lines: DataFrame, total: int) -> DataFrame:
     """``h1, h2`` of the lines that have an earlier line within one edit.
 
-    ``lines`` are distinct and laid out by ``h1, h2``, with ``first`` and ``line``, so that finding the survivors of the first
+    ``lines`` (``total`` at most) are distinct and laid out by ``h1, h2``, with ``first`` and ``line``, so that finding the survivors of the first
     pass moves hashes, not texts. In every set of equal variants the earliest line stands for
     all that another could be linked to, so a set is summed up before the shuffle and never paired.
     """
-    long = lines.where(F.char_length("line") >= min_chars)
     n = F.char_length("line")
-    halves = long.select("h1", "h2", F.explode(halves_of(F.col("line"), n)).alias("d")).select("h1", "h2", F.col("d.same").alias("same"), F.col("d.c1").alias("c1"))
-    alive = halves.join(shared(halves, ["c1"]), "c1").select("h1", "h2").distinct()
-    long = materialize(long.join(alive.hint("merge"), ["h1", "h2"], "left_semi"), "line-halves")
-    eighths = long.select("h1", "h2", "first", F.explode(deleted_blocks(F.col("line"), n, 8)).alias("d")).select("h1", "h2", "first", "d.*")
-    eighths = materialize(eighths.join(shared(eighths, ["c1"]), "c1"), "line-eighths")
+    halves = lines.select("h1", "h2", F.explode(halves_of(F.col("line"), n)).alias("d")).select("h1", "h2", F.col("d.same").alias("same"), F.col("d.c1").alias("c1"))
+    alive = lookup(halves, shared(halves, ["c1"]), ["c1"], 4 * total, F.col("h2")).select("h1", "h2").distinct()
+    left = materialize(lines.join(alive.hint("merge"), ["h1", "h2"], "left_semi"), "line-halves")
+    tidy(lines.sparkSession)
+    eighths = left.select("h1", "h2", "first", F.explode(deleted_blocks(F.col("line"), n, 8)).alias("d")).select("h1", "h2", "first", "d.*")
+    eighths = materialize(lookup(eighths, shared(eighths, ["c1"]), ["c1"], 16 * left.count(), F.col("h2")), "line-eighths")
+    release(left)
     middle, size = F.col("middle"), F.char_length("middle")
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     without = lambda i: F.concat(F.substring(middle, F.lit(1), i - 1), F.substring(middle, i + 1, size))
@@ -91,12 +90,12 @@ def near_lines(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return met.where(F.levenshtein(F.col("other.middle"), middle, 1) >= 0).select("h1", "h2").distinct()
 
 
-def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove every line that has an earlier equal line, or an earlier line within one edit (insertion, deletion, substitution).
 
     Adds ``kept_text``, ``n_lines`` (with a word), ``n_removed`` and ``n_near`` (removed, but first of their
     wording). Lines end at \\n; earlier means a smaller key, then a smaller line number; all is judged on the input, not on what
-    is left. Lines without a word always stay; lines under ``min_chars`` characters are duplicates only if equal. A
+    is left. The bound is one edit for a line of any length, so lines of one character are all alike. Lines without a word always stay. A
     null text stays null and has no lines; a null key comes first. Rows with one key are one document: their equal lines
     at one place are not earlier than each other. Repeated rows are treated alike. An empty table gives an
     empty result; a column with the name of an added one is replaced.
@@ -107,14 +106,18 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     spread = df.select(*own, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     spread = spread.where(F.col("line").rlike(NOT_BLANK)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), "line")})
     place = F.struct(F.col("__doc").alias("doc"), "at")
+    # an upper bound of the lines, from which a key is told to be hot
+    total = df.agg(F.sum(F.coalesce(F.regexp_count(text, F.lit("\n")), F.lit(0)) + 1)).first()[0] or 0
     lines = spread.groupBy("h1", "h2").agg(F.min(F.struct(F.col("__doc").alias("doc"), "at", "line")).alias("f"))
-    near = near_lines(lines.select("h1", "h2", F.struct("f.doc", "f.at").alias("first"), "f.line"), min_chars).withColumn("near", F.lit(True))
+    near = near_lines(lines.select("h1", "h2", F.struct("f.doc", "f.at").alias("first"), "f.line"), total).withColumn("near", F.lit(True))
     near = materialize(near, "line-near")
+    tidy(df.sparkSession)
     counted = spread.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = counted.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    again = counted.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
     again = materialize(again, "lines-again")
+    tidy(df.sparkSession)
     at_first = F.col("first") == place
-    judged = spread.select("__doc", "__text_hash", "at", "h1", "h2").join(again, ["h1", "h2"], "left")
+    judged = lookup(spread.select("__doc", "__text_hash", "at", "h1", "h2"), again, ["h1", "h2"], total, F.xxhash64("__doc", "at", "__text_hash"), "left")
     state = F.when(F.col("first").isNull(), 0).when(~at_first, 1).when(F.col("near"), 2).otherwise(0).cast("byte")
     flags = judged.groupBy("__doc", "__text_hash").agg(F.array_sort(F.collect_set(F.struct("at", state.alias("state")))).alias("__flags"), F.max(state).alias("__any"))
     flags = flags.select(F.col("__doc").alias("__flag_doc"), F.col("__text_hash").alias("__flag_hash"), "__flags", "__any")

@@ -113,12 +113,16 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(ra
 lines AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 first AS (SELECT line, length(line) AS n, arg_min(doc_id, (doc_id, pos)) AS d, arg_min(pos, (doc_id, pos)) AS a FROM lines GROUP BY line),
 long AS (SELECT * FROM first WHERE n >= 16),
+short AS (SELECT line, n, i, substr(line, 1, i - 1) || substr(line, i + 1) AS v FROM (SELECT line, n, unnest(range(1, n + 1)) AS i FROM first WHERE n <= 16)),
 met AS (SELECT x.line AS x, y.line AS y FROM long x JOIN long y ON left(x.line, 8) = left(y.line, 8) AND y.n - x.n BETWEEN 0 AND 1 AND x.line <> y.line
         UNION SELECT x.line, y.line FROM long x JOIN long y ON right(x.line, 8) = right(y.line, 8) AND y.n - x.n BETWEEN 0 AND 1 AND x.line <> y.line),
 near AS (SELECT x, y FROM met WHERE CASE WHEN length(x) = length(y)
   THEN len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) = 1
   ELSE len(list_filter(range(1, length(y) + 1), lambda i: substr(y, 1, i - 1) || substr(y, i + 1) = x)) > 0 END),
-pairs AS (SELECT x AS line, y AS other FROM near UNION SELECT y, x FROM near),
+few AS (SELECT a.line AS x, b.line AS y FROM short a JOIN short b ON a.n = b.n AND a.i = b.i AND a.v = b.v AND a.line <> b.line WHERE a.n < 16
+        UNION SELECT f.line, b.line FROM short b JOIN first f ON f.line = b.v),
+every AS (SELECT x, y FROM near UNION SELECT x, y FROM few),
+pairs AS (SELECT x AS line, y AS other FROM every UNION SELECT y, x FROM every),
 worse AS (SELECT DISTINCT p.line FROM pairs p JOIN first f ON f.line = p.line JOIN first g ON g.line = p.other WHERE (g.d, g.a) < (f.d, f.a)),
 judged AS (SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AS is_line, coalesce((l.doc_id, l.pos) <> (f.d, f.a), false) AS again, w.line IS NOT NULL AS near
   FROM l LEFT JOIN first f ON f.line = l.line AND regexp_matches(l.line, '[^\x20\x09-\x0D]') LEFT JOIN worse w ON w.line = f.line)
@@ -128,11 +132,13 @@ FROM judged GROUP BY doc_id
 """
 
 SQL["op3_chat_format"] = r"""
-WITH t AS (SELECT conv_id, turn, turn // 64 AS piece, role, coalesce(text, '') AS text FROM conversations),
-people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+WITH r AS (SELECT conv_id, coalesce(turn, -1) AS turn, role, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), text, role) - 1) // 64 AS piece,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), text, role) AS place, role, replace(text, '<|im_', '<\|im_') AS text FROM r),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
 v AS (SELECT t.*, perspective, role IS NOT DISTINCT FROM perspective AS mine,
-  CASE WHEN role = perspective THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || coalesce(role, 'unknown') END || chr(10) AS head FROM t JOIN people USING (conv_id)),
-o AS (SELECT *, length(head) + length(text) + 11 AS size, row_number() OVER w AS k, sum(length(head) + length(text) + 11) OVER w AS upto FROM v WINDOW w AS (PARTITION BY conv_id, perspective, piece ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+  CASE WHEN role = perspective THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || replace(translate(coalesce(role, 'unknown'), chr(13) || chr(10), '  '), '<|im_', '<\|im_') END || chr(10) AS head FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+o AS (SELECT *, length(head) + length(text) + 11 AS size, row_number() OVER w AS k, sum(length(head) + length(text) + 11) OVER w AS upto FROM v WINDOW w AS (PARTITION BY conv_id, perspective, piece ORDER BY place ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT conv_id, perspective, piece, count(*)::INTEGER AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered, sum(size) AS size,
   coalesce(string_agg((upto - 11 - length(text))::BIGINT::VARCHAR || '-' || (upto - 11)::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (mine), '') AS mask FROM o GROUP BY ALL)
 SELECT conv_id, perspective, piece::BIGINT AS piece, n_turns, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, rendered, mask FROM p
