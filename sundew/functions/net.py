@@ -1,11 +1,11 @@
-"""Addresses: IPv4 as a long, IPv6 as 32 hex digits, networks as prefix ranges."""
+"""Addresses: IPv4 as a long, IPv6 as 32 hex digits, networks of both as leading hex digits with a length."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
@@ -46,13 +46,51 @@ def ipv6_hex(ip: Column) -> Column:
     return _ipv6_hex(F.when(ip.contains(":"), ip))
 
 
+@F.pandas_udf(StructType([StructField("base", StringType()), StructField("len", IntegerType())]))
+def _ipv6_network(values: pd.Series) -> pd.DataFrame:
+    import ipaddress
+
+    def one(x):
+        try:
+            net = ipaddress.IPv6Network(x, strict=False)
+            return f"{int(net.network_address):032x}", net.prefixlen
+        except (ValueError, TypeError):
+            return None, None
+
+    return pd.DataFrame([one(x) for x in values], columns=["base", "len"]).astype({"len": "Int32"})
+
+
+def address_hex(ip: Column) -> Column:
+    """8 hex digits of an IPv4 address, 32 of an IPv6 address; null for anything else. Only rows with a colon are parsed in Python."""
+    return F.coalesce(F.lower(F.lpad(F.hex(ipv4_long(ip)), 8, "0")), ipv6_hex(ip))
+
+
+def network_of(text: Column) -> Column:
+    """Struct ``base`` (hex digits as in ``address_hex``, bits behind the prefix cleared) and ``len`` of an address or network of either kind; null for anything else."""
+    four = prefix_length(text)
+    own = F.struct(F.lower(F.lpad(F.hex(keep_prefix(ipv4_long(F.substring_index(text, "/", 1)), four)), 8, "0")).alias("base"), four.alias("len"))
+    six = _ipv6_network(F.when(text.contains(":"), text))
+    return F.when(four.isNotNull(), own).when(six["base"].isNotNull(), six)
+
+
+def hex_prefix(digits: Column, length: Column) -> Column:
+    """``digits`` with all bits behind ``length`` cleared: whole digits, and the high bits of one more."""
+    whole = F.floor(length / 4).cast("int")
+    unit = F.pow(F.lit(2.0), F.lit(4) - length % 4).cast("int")
+    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    part = F.when(length % 4 == 0, F.lit("")).otherwise(F.lower(F.conv((digit - digit % unit).cast("string"), 10, 16)))
+    return F.rpad(F.concat(F.substring(digits, F.lit(1), whole), part), F.length(digits), F.lit("0"))
+
+
 def is_ip(ip: Column, v6: bool = False) -> Column:
     """An address; with ``v6`` also IPv6, at the price of an Arrow pass."""
     return is_ipv4(ip) | ipv6_hex(ip).isNotNull() if v6 else is_ipv4(ip)
 
 
-def is_ip_or_cidr(text: Column) -> Column:
-    return F.coalesce(is_ipv4(text) | text.rlike(CIDR4), F.lit(False))
+def is_ip_or_cidr(text: Column, v6: bool = False) -> Column:
+    """An address or network; with ``v6`` also of IPv6."""
+    four = F.coalesce(is_ipv4(text) | text.rlike(CIDR4), F.lit(False))
+    return four | _ipv6_network(F.when(text.contains(":"), text))["base"].isNotNull() if v6 else four
 
 
 def prefix_length(text: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from sundew.functions.fields import campaign_tier, is_common_word, is_targeted
 from sundew.functions.net import slash24, slash28
 from sundew.operators.rates import distinct_in_window
+from sundew.operators.rules import first_values
+from sundew.plans.tables import materialize
 
 #: Weight and severity of a check.
 CHECKS = {
@@ -29,8 +31,16 @@ def tumbling(events: DataFrame, seconds: int) -> DataFrame:
     return events.withColumn("campaign", F.col("ts_ms") - F.pmod(F.col("ts_ms"), F.lit(ms)))
 
 
-def first_ips(n: int = 10):
-    return F.slice(F.array_sort(F.collect_set("source_ip")), 1, n)
+def with_first_ips(groups: DataFrame, events: DataFrame, by: list[str], n: int = 10) -> DataFrame:
+    """``groups`` with ``ips``, the first ``n`` addresses of their events. Only ``n`` of a group are ever gathered."""
+    return groups.join(first_values(events, by, "source_ip", n).withColumnRenamed("values", "ips"), by)
+
+
+def address_groups(events: DataFrame, by: list[str], least: int) -> DataFrame:
+    """``by`` with ``n`` addresses (``least`` or more), the first event ``seen``, and ``ips``."""
+    each = events.groupBy(*by, "source_ip").agg(F.min("seq").alias("seen"))
+    groups = each.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen")).where(F.col("n") >= least)
+    return with_first_ips(groups, each, by)
 
 
 def _best(groups: DataFrame, check: str) -> DataFrame:
@@ -42,8 +52,8 @@ def _best(groups: DataFrame, check: str) -> DataFrame:
 def camp001(events: DataFrame) -> DataFrame:
     """A credential from three addresses or more."""
     known = events.where((F.coalesce("username", F.lit("")) != "") & (F.coalesce("password", F.lit("")) != ""))
-    groups = known.groupBy("campaign", "username", "password").agg(F.count_distinct("source_ip").alias("n"), F.min("seq").alias("seen"), first_ips().alias("ips"))
-    return _best(groups.where("n >= 3").withColumn("evidence", F.concat("username", F.lit(" from "), F.col("n").cast("string"), F.lit(" addresses"))), "CAMP-001")
+    groups = address_groups(known, ["campaign", "username", "password"], 3)
+    return _best(groups.withColumn("evidence", F.concat("username", F.lit(" from "), F.col("n").cast("string"), F.lit(" addresses"))), "CAMP-001")
 
 
 def camp002(events: DataFrame, least: int = 5, window_ms: int = 3_600_000) -> DataFrame:
@@ -55,7 +65,7 @@ def camp002(events: DataFrame, least: int = 5, window_ms: int = 3_600_000) -> Da
     best = peak.join(seen, by).groupBy("campaign").agg(F.max(F.struct("p.n", (-F.col("seen")).alias("__seen"), "service", "p.__t", "p.__s")).alias("b"))
     best = best.select("campaign", F.col("b.service").alias("service"), F.col("b.n").alias("n"), (-F.col("b.__t")).alias("end_ms"), (-F.col("b.__s")).alias("end_seq"))
     inside = (F.col("ts_ms") >= F.col("end_ms") - window_ms) & (F.struct("ts_ms", "seq") <= F.struct(F.col("end_ms").alias("ts_ms"), F.col("end_seq").alias("seq")))
-    ips = events.join(best, by).where(inside).groupBy("campaign", "service", "n").agg(first_ips().alias("ips"))
+    ips = first_values(events.join(best, by).where(inside), ["campaign", "service", "n"], "source_ip", 10).withColumnRenamed("values", "ips")
     return ips.select(F.lit("CAMP-002").alias("check_id"), "campaign", F.concat("service", F.lit(" from "), F.col("n").cast("string"), F.lit(" addresses")).alias("evidence"), "ips")
 
 
@@ -77,21 +87,30 @@ def camp003(events: DataFrame, gap_ms: int = 300_000) -> DataFrame:
 def camp004(events: DataFrame) -> DataFrame:
     """A user agent of three addresses or more."""
     known = events.where(F.trim(F.coalesce("user_agent", F.lit(""))) != "")
-    groups = known.groupBy("campaign", "user_agent").agg(F.count_distinct("source_ip").alias("n"), F.min("seq").alias("seen"), first_ips().alias("ips"))
-    return _best(groups.where("n >= 3").withColumn("evidence", F.substring("user_agent", 1, 60)), "CAMP-004")
+    groups = address_groups(known, ["campaign", "user_agent"], 3)
+    return _best(groups.withColumn("evidence", F.substring("user_agent", 1, 60)), "CAMP-004")
 
 
 def camp005(events: DataFrame, least: int = 20, least_ips: int = 3, burst_ms: int = 300_000, silence_ms: int = 1_800_000) -> DataFrame:
-    """A burst followed by silence. Only the last event before a silence can fire, so only those look back."""
-    order = Window.partitionBy("campaign").orderBy("ts_ms", "seq")
-    wait = F.lead("ts_ms").over(order) - F.col("ts_ms")
-    ends = events.withColumn("wait", wait).where(F.col("wait").isNull() | (F.col("wait") >= silence_ms)).select("campaign", F.col("ts_ms").alias("end_ms"))
+    """A burst followed by silence. Only the last event before a silence can fire, so only those look back.
+
+    Silences are found among spans as long as a silence at most: their first and last events are a row each, and inside one only events
+    of that span are ordered, so a campaign of any length is spread.
+    """
+    cell = events.select("campaign", "ts_ms").distinct().withColumn("cell", F.floor(F.col("ts_ms") / max(min(silence_ms, 60_000), 1)))
+    edges = cell.groupBy("campaign", "cell").agg(F.min("ts_ms").alias("first"))
+    nxt = edges.withColumn("next", F.lead("first").over(Window.partitionBy("campaign").orderBy("cell"))).select("campaign", "cell", "next")
+    inside = F.lead("ts_ms").over(Window.partitionBy("campaign", "cell").orderBy("ts_ms"))
+    ends = cell.withColumn("inside", inside).join(nxt, ["campaign", "cell"]).withColumn("wait", F.coalesce("inside", "next") - F.col("ts_ms"))
+    ends = ends.where(F.col("wait").isNull() | (F.col("wait") >= silence_ms)).select("campaign", F.col("ts_ms").alias("end_ms"))
     # the burst may reach over one border of burst-long buckets
     bucket = F.floor(F.col("ts_ms") / burst_ms)
     near = ends.withColumn("bucket", F.explode(F.array(F.floor(F.col("end_ms") / burst_ms), F.floor(F.col("end_ms") / burst_ms) - 1))).distinct()
     back = events.withColumn("bucket", bucket).join(near, ["campaign", "bucket"]).where(F.col("ts_ms").between(F.col("end_ms") - burst_ms, F.col("end_ms")))
-    groups = back.groupBy("campaign", "end_ms").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("source_ip").alias("n"), first_ips().alias("ips")).where((F.col("events") >= least) & (F.col("n") >= least_ips))
-    first = groups.groupBy("campaign").agg(F.min(F.struct("end_ms", "events", "n", "ips")).alias("f"))
+    by = ["campaign", "end_ms"]
+    groups = back.groupBy(*by, "source_ip").agg(F.count(F.lit(1)).alias("k")).groupBy(*by).agg(F.sum("k").alias("events"), F.count(F.lit(1)).alias("n")).where((F.col("events") >= least) & (F.col("n") >= least_ips))
+    first = groups.groupBy("campaign").agg(F.min(F.struct("end_ms", "events", "n")).alias("f")).select("campaign", "f.*")
+    first = with_first_ips(first, back.join(first.select(*by), by, "left_semi"), by).select("campaign", F.struct("end_ms", "events", "n", "ips").alias("f"))
     return first.select(F.lit("CAMP-005").alias("check_id"), "campaign", F.format_string("%d events from %d addresses, then silence", "f.events", "f.n").alias("evidence"), F.col("f.ips").alias("ips"))
 
 
@@ -102,16 +121,21 @@ def camp006(events: DataFrame) -> DataFrame:
     placed = known.withColumns({"rn": F.row_number().over(by.orderBy("ts_ms", "seq")), "half": F.floor(F.count(F.lit(1)).over(by) / 2)})
     early, late = is_common_word(F.col("password")) & (F.col("rn") <= F.col("half")), is_targeted(F.col("password")) & (F.col("rn") > F.col("half"))
     ips = placed.groupBy("campaign", "source_ip").agg(F.bool_or(early).alias("early"), F.bool_or(late).alias("late")).where("early and late")
-    return ips.groupBy("campaign").agg(F.count(F.lit(1)).alias("n"), first_ips().alias("ips")).select(F.lit("CAMP-006").alias("check_id"), "campaign", F.concat(F.col("n").cast("string"), F.lit(" addresses")).alias("evidence"), "ips")
+    counted = with_first_ips(ips.groupBy("campaign").agg(F.count(F.lit(1)).alias("n")), ips, ["campaign"])
+    return counted.select(F.lit("CAMP-006").alias("check_id"), "campaign", F.concat(F.col("n").cast("string"), F.lit(" addresses")).alias("evidence"), "ips")
 
 
 def camp007(events: DataFrame, time: str = "ts_ms", span_ms: int = 172_800_000) -> DataFrame:
     """Addresses seen more than 48 hours apart; only where there are none, the first /28 with two addresses."""
-    spans = lambda *by: events.groupBy("campaign", *by).agg((F.max(time) - F.min(time)).alias("span"), F.min("seq").alias("seen"), F.count_distinct("source_ip").alias("n"), first_ips().alias("list"))
-    own = spans("source_ip").where(F.col("span") > span_ms).groupBy("campaign").agg(F.count(F.lit(1)).alias("n"), first_ips().alias("ips"))
+    each = events.groupBy("campaign", "source_ip").agg(F.min(time).alias("since"), F.max(time).alias("until"), F.min("seq").alias("seen"))
+    long = each.where(F.col("until") - F.col("since") > span_ms)
+    own = with_first_ips(long.groupBy("campaign").agg(F.count(F.lit(1)).alias("n")), long, ["campaign"])
     own = own.select("campaign", F.concat(F.col("n").cast("string"), F.lit(" addresses")).alias("evidence"), "ips")
-    wide = events.withColumn("net", slash28(F.col("source_ip"))).where(F.col("net").isNotNull()).groupBy("campaign", "net").agg((F.max(time) - F.min(time)).alias("span"), F.min("seq").alias("seen"), F.count_distinct("source_ip").alias("n"), first_ips().alias("ips"))
-    wide = wide.where((F.col("span") > span_ms) & (F.col("n") >= 2)).groupBy("campaign").agg(F.min(F.struct("seen", "n", "ips")).alias("f"))
+    nets = each.withColumn("net", slash28(F.col("source_ip"))).where(F.col("net").isNotNull())
+    wide = nets.groupBy("campaign", "net").agg((F.max("until") - F.min("since")).alias("span"), F.min("seen").alias("seen"), F.count(F.lit(1)).alias("n"))
+    wide = wide.where((F.col("span") > span_ms) & (F.col("n") >= 2)).groupBy("campaign").agg(F.min(F.struct("seen", "net", "n")).alias("f")).select("campaign", "f.net", "f.n")
+    # a /28 has sixteen addresses at most
+    wide = with_first_ips(wide, nets, ["campaign", "net"]).select("campaign", F.struct("n", "ips").alias("f"))
     wide = wide.select("campaign", F.format_string("/28 of %d addresses", "f.n").alias("evidence"), F.col("f.ips").alias("ips")).join(own, "campaign", "left_anti")
     return own.unionByName(wide).select(F.lit("CAMP-007").alias("check_id"), "campaign", "evidence", "ips")
 
@@ -120,6 +144,9 @@ REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {"CAMP-001": camp001, "C
 
 
 def campaign_checks(events: DataFrame, checks: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    # seven plans read the events: projected and written once, with the columns that checks use
+    names = ["campaign", "seq", "ts_ms", "source_ip", "service", "username", "password", "user_agent"]
+    events = materialize(events.select(*(c for c in names if c in events.columns)), "campaign-events")
     every = reduce(DataFrame.unionByName, (check(events) for check in (checks or REGISTRY).values()))
     fixed = lambda i: F.create_map(*(F.lit(x) for k, v in CHECKS.items() for x in (k, v[i])))[F.col("check_id")]
     return every.withColumns({"weight": fixed(0), "severity": fixed(1)})

@@ -48,9 +48,10 @@ def retained(events: DataFrame, now_ms: int, days: int = 90) -> DataFrame:
     return events.where(F.col("ts_ms") >= now_ms - days * 86_400_000)
 
 
-def is_upload() -> Column:
-    """A delivery of a program over HTTP (a POST or PUT, where a method is known) or FTP."""
-    web = (F.col("service") == "http") & (F.col("path").rlike(UPLOAD_PATH) | F.col("payload").rlike(UPLOAD_NAME) | F.col("payload").rlike(UPLOAD_MIME))
+def is_upload(method: Column | None = None) -> Column:
+    """A delivery of a program over HTTP or FTP. With ``method`` the HTTP request has to be a POST or PUT; events without the column can't be told."""
+    sent = F.lit(True) if method is None else F.upper(method).isin("POST", "PUT")
+    web = (F.col("service") == "http") & sent & (F.col("path").rlike(UPLOAD_PATH) | F.col("payload").rlike(UPLOAD_NAME) | F.col("payload").rlike(UPLOAD_MIME))
     return F.coalesce(web | ((F.col("service") == "ftp") & F.col("payload").rlike(UPLOAD_STOR)), F.lit(False))
 
 

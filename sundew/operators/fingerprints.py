@@ -27,20 +27,20 @@ def facts(events: DataFrame) -> DataFrame:
     timed = F.when(F.col("ts_ms") != 0, F.col("ts_ms"))
     return events.groupBy("source_ip").agg(
         F.count(F.lit(1)).alias("events"),
-        F.array_sort(F.collect_set(F.when(has("username"), F.col("username")))).alias("usernames"),
+        F.count_distinct(F.when(has("username"), F.col("username"))).alias("users"),
         F.count_distinct(F.when(has("password"), F.col("password"))).alias("passwords"),
         F.array_sort(F.collect_set(F.when(F.col("dest_port") != 0, F.col("dest_port")))).alias("ports"),
         F.when(F.count(timed) > 1, (F.max(timed) - F.min(timed)) / 1000.0 / (F.count(timed) - 1)).alias("gap_s"),
         match("user_agent", SHODAN).alias("shodan_ua"), match("user_agent", MASSCAN).alias("masscan_ua"),
         (match("user_agent", ZGRAB) | match("payload", ZGRAB)).alias("zgrab"), (match("payload", METASPLOIT) | match("username", METASPLOIT)).alias("msf"),
-        F.count_distinct(F.when(known, pair)).alias("bot_pairs"),
-    )
+        F.array_sort(F.collect_set(F.when(known, pair))).alias("pairs"),
+    ).withColumn("bot_pairs", F.size("pairs").cast("long"))
 
 
 def fingerprints(events: DataFrame, min_events: int = 1) -> DataFrame:
     """``source_ip``, the facts, ``scanner``, ``score``, ``confidence`` and ``signals`` (in a fixed order)."""
     f = facts(events)
-    gap, n, users = F.col("gap_s"), F.col("events"), F.size("usernames")
+    gap, n, users = F.col("gap_s"), F.col("events"), F.col("users")
     in_set = (F.size("ports") > 0) & (F.size(F.array_except("ports", F.array(*map(F.lit, SHODAN_PORTS)))) == 0)
     part = lambda test, points: F.when(F.coalesce(test, F.lit(False)), F.lit(points)).otherwise(0.0)
     tests = {
@@ -58,14 +58,22 @@ def fingerprints(events: DataFrame, min_events: int = 1) -> DataFrame:
         part(tests["human_speed"], 0.6) + part(tests["few"], 0.2),
     ]
     best = F.array_max(F.array(*(F.struct(s.cast("double").alias("score"), F.lit(-i).alias("rank")) for i, s in enumerate(scores))))
-    secs = lambda text, places: F.concat(F.lit(text), F.format_number(gap, places), F.lit("s"))
+    # Fixed texts of the contract.
     says: list[tuple[str, Column]] = [
-        ("shodan_ua", F.lit("Shodan User-Agent detected")), ("ports", F.concat(F.lit("Ports match Shodan probe set: ["), F.array_join("ports", ", "), F.lit("]"))),
-        ("masscan_ua", F.lit("Masscan User-Agent detected")), ("fast", secs("Ultra-fast timing: ", 3)), ("probe", F.lit("High probe volume with no credentials")),
-        ("zgrab", F.lit("ZGrab signature")), ("msf", F.lit("Metasploit signature")), ("pairs", F.concat(F.col("bot_pairs").cast("string"), F.lit(" known bot credential pair(s)"))),
-        ("bot_speed", secs("Bot-speed timing: ", 2)), ("script_speed", secs("Script-speed timing: ", 2)), ("few_users", F.concat(F.lit("Low username diversity: "), users.cast("string"))),
-        ("human_speed", secs("Human-speed timing: ", 2)), ("few", F.lit("Low event count")),
-    ]
+        ("shodan_ua", F.lit("Shodan User-Agent detected")),
+        ("ports", F.concat(F.lit("Ports match Shodan probe set: ["), F.array_join("ports", ", "), F.lit("]"))),
+        ("masscan_ua", F.lit("Masscan User-Agent detected")),
+        ("fast", F.format_string("Ultra-fast timing (avg %.3fs) consistent with masscan", gap)),
+        ("probe", F.lit("High probe volume with no credentials — port scan pattern")),
+        ("zgrab", F.lit("ZGrab signature detected in UA or payload")),
+        ("msf", F.lit("Metasploit signature in payload or credentials")),
+        ("pairs", F.format_string("%d known bot credential pair(s): [%s]", "bot_pairs", F.array_join(F.transform(F.slice("pairs", 1, 3), lambda x: F.format_string("('%s', '%s')", x["u"], x["p"])), ", "))),
+        ("bot_speed", F.format_string("Bot-speed timing (avg %.2fs)", gap)),
+        ("script_speed", F.format_string("Script-speed timing (avg %.2fs)", gap)),
+        ("few_users", F.format_string("Low username diversity (%d) with high volume", users)),
+        ("human_speed", F.format_string("Human-speed timing (avg %.2fs)", gap)),
+        ("few", F.lit("Low event count consistent with manual exploration")),
+    ]
     signals = F.filter(F.array(*(F.when(F.coalesce(tests[k], F.lit(False)), text) for k, text in says)), lambda x: x.isNotNull())
     known = n >= min_events
     named = F.when(known & (F.col("__b.score") >= 0.1), F.element_at(F.array(*map(F.lit, TYPES)), 1 - F.col("__b.rank"))).otherwise("UNKNOWN")

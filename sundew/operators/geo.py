@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import geo_level
 from sundew.functions.net import ipv4_long, is_private
+from sundew.plans.tables import lookup, materialize, ranked
 
 # Known prefixes in order of precedence, and keywords in order.
 KNOWN_PREFIXES = (
@@ -72,9 +73,18 @@ def first_keyword(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def burst_number(records: DataFrame, window: list[str] | None = None) -> DataFrame:
-    """Add ``asn_count``: the running number of a known network's records, in each ``window`` if named."""
-    order = Window.partitionBy(*(window or []), "asn").orderBy("seq")
-    return records.withColumn("asn_count", F.when(F.coalesce("asn", F.lit(0)) != 0, F.row_number().over(order)))
+    """Add ``asn_count``: the running number of a known network's records, in each ``window`` if named.
+
+    A cloud provider has a large share of all records, so no network is sorted in one task: records are ranked range by range, and
+    the rank of a network's first one is taken off.
+    """
+    by = [*(window or []), "asn"]
+    known = records.where(F.coalesce("asn", F.lit(0)) != 0)
+    placed = materialize(ranked(known, [*(F.col(c) for c in by), F.col("seq")], "__rank", "asn-ranges"), "asn-ranks")
+    first = placed.groupBy(*by).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("n"))
+    counted = lookup(placed, first, by, placed.count(), F.col("__rank")).withColumn("asn_count", (F.col("__rank") - F.col("__first") + 1).cast("int"))
+    rest = records.where(F.coalesce("asn", F.lit(0)) == 0).withColumn("asn_count", F.lit(None).cast("int"))
+    return counted.select(*records.columns, "asn_count").unionByName(rest)
 
 
 def geo_signals(records: DataFrame, countries: tuple[str, ...], tor_exits: DataFrame | None = None, burst: int = 5, window: list[str] | None = None) -> DataFrame:

@@ -23,6 +23,12 @@ def brute_force(events: DataFrame, least: int = 10, minutes: int = 5) -> DataFra
     return grouped.agg(F.count(F.lit(1)).alias("attempts"), F.array_sort(F.collect_set("username")).alias("usernames")).where(F.col("attempts") >= least)
 
 
+def brute_force_tiers(events: DataFrame, medium: int = 10, high: int = 25, minutes: int = 5, longer: int = 10) -> DataFrame:
+    """Both tiers: ``medium`` failures in ``minutes`` is Medium, ``high`` in ``longer`` minutes is High. A source can have both."""
+    tier = lambda least, span, name: brute_force(events, least, span).select("source_ip", "service", "window_ms", "attempts", F.lit(name).alias("severity"))
+    return tier(medium, minutes, "Medium").unionByName(tier(high, longer, "High"))
+
+
 def lateral_behaviour(events: DataFrame, services: int = 3, ports: int = 5, minutes: int = 10) -> DataFrame:
     """Many services or ports of an address in a window; both is critical."""
     grouped = events.groupBy("source_ip", bucket(minutes * MINUTE).alias("window_ms")).agg(F.count_distinct("service").alias("services"), F.count_distinct("dest_port").alias("ports"))
@@ -68,11 +74,26 @@ def correlations(found: DataFrame, least: int = 2, minutes: int = 30) -> DataFra
 
 
 def alert_payloads(events: DataFrame, rule: str, severity: str, paths: int = 3) -> DataFrame:
-    """One alert for each address and service."""
-    return events.groupBy("source_ip", "service").agg(
+    """One alert for each address and service, with its first ``paths`` paths and, where events have ``session_id``, as many sessions.
+
+    Values are cut to the first few of each alert before they are gathered.
+    """
+    by = ["source_ip", "service"]
+    alerts = events.groupBy(*by).agg(
         F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.count(F.lit(1)).alias("events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("path")), 1, paths), ",").alias("sample_paths"),
     )
+    for column, name in (("path", "sample_paths"), ("session_id", "session_ids")):
+        if column in events.columns:
+            alerts = alerts.join(first_values(events, by, column, paths).withColumnRenamed("values", name), by, "left")
+            alerts = alerts.withColumn(name, F.coalesce(F.array_join(name, ","), F.lit("")))
+    return alerts
+
+
+def first_values(events: DataFrame, by: list[str], column: str, n: int) -> DataFrame:
+    """``by`` and ``values``: the ``n`` least different values of ``column``. Tasks keep ``n`` of a key before the shuffle, so no set grows with the data."""
+    order = Window.partitionBy(*by).orderBy(column)
+    few = events.where(F.col(column).isNotNull()).select(*by, column).distinct().withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= n)
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("values"))
 
 
 def reused_hashes(events: DataFrame, most_ips: int = 5, most_events: int | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sundew.functions.fields import session_seconds, session_severity
 
-#: Points of a phase.
+#: Types of events that are a success, and points of a phase.
+SUCCESS_TYPES = ("login_success", "auth_success", "authenticated")
 PHASE_POINTS = {"EXPLOITATION": 60, "BRUTE_FORCE": 40, "CREDENTIAL_SPRAY": 35, "CREDENTIAL_STUFFING": 35, "RECONNAISSANCE": 15, "UNKNOWN": 5}
 
 
@@ -57,13 +58,19 @@ def session_score(phase: Column, events: Column, services: Column, ok: Column) -
     return F.least(F.lit(100), points + volume + F.least(F.lit(20), ok * 5) + spread).cast("int")
 
 
+def succeeded(events: DataFrame) -> Column:
+    """A success by its flag, or, where ``event_type`` is a column, by its type."""
+    flag = F.coalesce(F.col("success"), F.lit(False))
+    return flag | F.coalesce(F.col("event_type").isin(*SUCCESS_TYPES), F.lit(False)) if "event_type" in events.columns else flag
+
+
 def sessions(events: DataFrame, gap_ms: int = 300_000) -> DataFrame:
     """One row per session with counts, phase, indicator, score and severity."""
     text = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
     grouped = session_index(events, gap_ms).groupBy("source_ip", "session_no", "session_id").agg(
         F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count(F.lit(1)).alias("events"),
         F.array_sort(F.collect_set(text("username"))).alias("usernames"), F.array_sort(F.collect_set(text("password"))).alias("passwords"),
-        F.array_sort(F.collect_set(F.lower(text("service")))).alias("services"), F.count_if("success").alias("auths_ok"),
+        F.array_sort(F.collect_set(F.lower(text("service")))).alias("services"), F.count_if(succeeded(events)).alias("auths_ok"),
     )
     return scored(grouped)
 

@@ -44,9 +44,26 @@ def _(hp: DataFrame) -> DataFrame:
     return dashboards.top_values(hp, "user_agent", 3)
 
 
-@over_events("a7_dashboard")
+def _list_sql(column: str) -> str:
+    return f"(SELECT string_agg(value || '=' || n, ',' ORDER BY n DESC, seen) FROM ({_TOP.format(c=column, k=10)}))"
+
+
+@over_events("a7_dashboard", f"""WITH h AS (SELECT strftime(make_timestamp((ts_ms - ts_ms % 3600000) * 1000), '%Y-%m-%dT%H:%M:%SZ') || '=' || count(*) AS e FROM hp GROUP BY ts_ms - ts_ms % 3600000), v AS (SELECT service || '=' || count(*) AS e FROM hp GROUP BY service)
+SELECT '2024-01-01T03:00:00Z' AS generated_at, 'all_time' AS span, (SELECT count(*) FROM hp) AS total_events, (SELECT count(DISTINCT source_ip) FROM hp) AS unique_source_ips,
+  (SELECT count(*) FROM (SELECT credential FROM hp WHERE credential IS NOT NULL GROUP BY credential HAVING count(DISTINCT source_ip) >= 2)) AS credential_reuse, (SELECT string_agg(e, ',' ORDER BY e) FROM v) AS services, (SELECT string_agg(e, ',' ORDER BY e) FROM h) AS hours,
+  {_list_sql('source_ip')} AS ips, {_list_sql('username')} AS users, {_list_sql('user_agent')} AS agents""")
 def _(hp: DataFrame) -> DataFrame:
-    return dashboards.document(filters.recent(hp, "all_time", T0), "all_time", "2024-01-01T03:00:00Z")
+    """The fields of the document, read back from its JSON."""
+    document = dashboards.document(filters.recent(hp, "all_time", T0), "all_time", "2024-01-01T03:00:00Z")
+    entry, counts = "array<struct<value:string,count:long>>", "map<string,long>"
+    schema = f"generated_at string, window string, summary struct<total_events:long,unique_source_ips:long,credential_reuse:long,events_by_service:{counts}>, top_source_ips {entry}, top_usernames {entry}, top_user_agents {entry}, hourly_distribution {counts}"
+    d = document.select(F.from_json("value", schema).alias("d")).select("d.*")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))), ",")
+    mapped = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))), ",")
+    return d.select(
+        "generated_at", F.col("window").alias("span"), "summary.total_events", "summary.unique_source_ips", "summary.credential_reuse", mapped("summary.events_by_service").alias("services"),
+        mapped("hourly_distribution").alias("hours"), listed("top_source_ips").alias("ips"), listed("top_usernames").alias("users"), listed("top_user_agents").alias("agents"),
+    )
 
 
 @over_events("a31_brute_force", "SELECT source_ip, service, ts_ms - ts_ms % 300000 AS window_ms, count(*) AS attempts, array_to_string(list_sort(list_distinct(list(username))), ',') AS usernames FROM hp WHERE service IN ('ssh', 'ftp', 'api') AND NOT success GROUP BY 1, 2, 3 HAVING count(*) >= 3")
@@ -54,6 +71,15 @@ def _(hp: DataFrame) -> DataFrame:
     return rules.brute_force(hp, 3).withColumn("usernames", F.array_join("usernames", ","))
 
 
+def _tier_sql(least: int, ms: int, name: str) -> str:
+    return f"SELECT source_ip, service, ts_ms - ts_ms % {ms} AS window_ms, count(*) AS attempts, '{name}' AS severity FROM hp WHERE service IN ('ssh', 'ftp', 'api') AND NOT success GROUP BY 1, 2, 3 HAVING count(*) >= {least}"
+
+
+@over_events("a31_tiers", _tier_sql(3, 300_000, "Medium") + " UNION ALL " + _tier_sql(4, 600_000, "High"))
+def _(hp: DataFrame) -> DataFrame:
+    return rules.brute_force_tiers(hp, 3, 4)
+
+
 @over_events("a32_lateral_behaviour", "SELECT source_ip, ts_ms - ts_ms % 600000 AS window_ms, count(DISTINCT service) AS services, count(DISTINCT dest_port) AS ports, CASE WHEN count(DISTINCT service) >= 3 AND count(DISTINCT dest_port) >= 5 THEN 'Critical' ELSE 'High' END AS severity FROM hp GROUP BY 1, 2 HAVING count(DISTINCT service) >= 3 OR count(DISTINCT dest_port) >= 5")
 def _(hp: DataFrame) -> DataFrame:
     return rules.lateral_behaviour(hp)
@@ -75,9 +101,9 @@ def _(hp: DataFrame) -> DataFrame:
     return hp.groupBy("service", F.coalesce("user_agent", F.lit("none")).alias("agent"), hour.alias("hour_of_day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_ip").alias("ips"))
 
 
-@over_events("a36_alert_payloads", "SELECT source_ip, service, 'r1' AS rule, 'High' AS severity, count(*) AS events, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, coalesce(array_to_string(list_sort(list_distinct(list(path)))[1:3], ','), '') AS sample_paths FROM hp GROUP BY 1, 2")
+@over_events("a36_alert_payloads", "SELECT source_ip, service, 'r1' AS rule, 'High' AS severity, count(*) AS events, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, coalesce(array_to_string(list_sort(list_distinct(list(path)))[1:3], ','), '') AS sample_paths, array_to_string(list_sort(list_distinct(list('s' || k % 7)))[1:3], ',') AS session_ids FROM hp GROUP BY 1, 2")
 def _(hp: DataFrame) -> DataFrame:
-    return rules.alert_payloads(hp, "r1", "High")
+    return rules.alert_payloads(hp.withColumn("session_id", F.concat(F.lit("s"), (F.col("k") % 7).cast("string"))), "r1", "High")
 
 
 @over_events("j12_escalations", f"WITH u AS (SELECT source_ip, ts_ms FROM hp WHERE {_UP}) SELECT c.seq, c.source_ip, c.ts_ms, min(abs(u.ts_ms - c.ts_ms)) AS upload_gap_ms FROM hp c JOIN u ON u.source_ip = c.source_ip AND abs(u.ts_ms - c.ts_ms) <= 900000 WHERE {_DO} GROUP BY 1, 2, 3".replace("regexp_matches(payload, ';')", "regexp_matches(c.payload, ';')").replace("service <> 'rdp'", "c.service <> 'rdp'"))

@@ -135,10 +135,11 @@ def _(hp: DataFrame) -> DataFrame:
     return filters.recent(hp, "last_hour", NOW).select("seq", "ts_ms")
 
 
-@over_events("f7_uploads", r"""SELECT seq, service, path, payload FROM hp WHERE (service = 'http' AND (regexp_matches(path, '(?i).*(upload|import|file|attachment).*') OR regexp_matches(payload, '(?i)\.(exe|dll|ps1|bat|vbs|js|jar|elf|php)')))
+@over_events("f7_uploads", r"""SELECT seq, service, path, payload FROM hp WHERE (service = 'http' AND k % 3 > 0 AND (regexp_matches(path, '(?i).*(upload|import|file|attachment).*') OR regexp_matches(payload, '(?i)\.(exe|dll|ps1|bat|vbs|js|jar|elf|php)')))
   OR (service = 'ftp' AND regexp_matches(payload, '(?i)^STOR\s+.*\.(exe|dll|ps1|bat|vbs|js|jar|elf|php)$'))""")
 def _(hp: DataFrame) -> DataFrame:
-    return hp.where(filters.is_upload()).select("seq", "service", "path", "payload")
+    method = F.element_at(F.array(*map(F.lit, ("GET", "POST", "put"))), (F.col("k") % 3 + 1).cast("int"))
+    return hp.where(filters.is_upload(method)).select("seq", "service", "path", "payload")
 
 
 @over_events("f8_commands", r"""SELECT seq, service, payload FROM hp WHERE service IN ('http', 'api', 'ftp', 'ssh') AND (regexp_matches(payload, ';|&&|\|\||`|\$\(') OR regexp_matches(payload, '(?i)\b(whoami|id|uname|cat\s+/etc/passwd|wget|curl|nc)\b'))""")

@@ -121,7 +121,7 @@ def _(hp: DataFrame) -> DataFrame:
     return intel.lookup(hp.select(F.col("source_ip").alias("ip")), intel.fresh(feed_of(hp), T0 + 3000, 2000)).select("ip", F.col("intel.source").alias("source"), "matched_cidr")
 
 
-@over_events("a26_intel_stats", _FEED + " SELECT count(DISTINCT indicator) FILTER (NOT contains(indicator, '/')) AS exact, count(DISTINCT indicator) FILTER (contains(indicator, '/')) AS cidr, count(DISTINCT indicator) AS total FROM feed")
+@over_events("a26_intel_stats", _FEED + " SELECT count(DISTINCT indicator) FILTER (NOT contains(indicator, '/')) AS exact, count(DISTINCT indicator) FILTER (contains(indicator, '/')) AS cidr, count(DISTINCT indicator) AS total, 3600::BIGINT AS ttl_seconds FROM feed")
 def _(hp: DataFrame) -> DataFrame:
     return intel.table_stats(feed_of(hp))
 
@@ -143,7 +143,7 @@ r AS (SELECT *, CASE WHEN n < 3 OR best < 0.1 THEN 'UNKNOWN' WHEN s0 = best THEN
 
 @over_events("a21_fingerprint_facts", _FACTS + "SELECT source_ip, n AS events, users::INTEGER AS users, bots AS bot_pairs, sh AS shodan_ua, round(gap, 6) AS gap FROM f")
 def _(hp: DataFrame) -> DataFrame:
-    return fingerprints.facts(hp).select("source_ip", "events", F.size("usernames").alias("users"), "bot_pairs", "shodan_ua", F.round("gap_s", 6).alias("gap"))
+    return fingerprints.facts(hp).select("source_ip", "events", F.col("users").cast("int").alias("users"), "bot_pairs", "shodan_ua", F.round("gap_s", 6).alias("gap"))
 
 
 @over_events("a23_fingerprints", _FACTS + "SELECT source_ip, scanner, round(score, 6) AS score, CASE WHEN score >= 0.75 THEN 'HIGH' WHEN score >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM r")
@@ -151,7 +151,16 @@ def _(hp: DataFrame) -> DataFrame:
     return fingerprints.fingerprints(hp, 3).select("source_ip", "scanner", F.round("score", 6).alias("score"), "confidence")
 
 
-@over_events("a25_fingerprint_signals")
+_SECS = "CAST(round(CAST(gap AS DECIMAL(30, 9)), {n}) AS DECIMAL(30, {n}))::VARCHAR"
+
+
+@over_events("a25_fingerprint_signals", _FACTS + f""", g AS (SELECT source_ip, array_to_string(list_sort(list_distinct(list(dest_port))), ', ') AS ports FROM hp GROUP BY 1),
+q AS (SELECT source_ip, array_to_string(list_sort(list_distinct(list((u, p))))[1:3].list_transform(lambda x: '(' || chr(39) || x[1] || chr(39) || ', ' || chr(39) || x[2] || chr(39) || ')'), ', ') AS sample FROM e WHERE {_PAIRS} GROUP BY 1)
+SELECT f.source_ip, concat_ws('; ', CASE WHEN sh THEN 'Shodan User-Agent detected' END, CASE WHEN in_set THEN 'Ports match Shodan probe set: [' || ports || ']' END, CASE WHEN ma THEN 'Masscan User-Agent detected' END,
+  CASE WHEN gap < 0.5 THEN 'Ultra-fast timing (avg ' || {_SECS.format(n=3)} || 's) consistent with masscan' END, CASE WHEN n >= 10 AND users = 0 THEN 'High probe volume with no credentials — port scan pattern' END, CASE WHEN zg THEN 'ZGrab signature detected in UA or payload' END,
+  CASE WHEN bots > 0 THEN bots || ' known bot credential pair(s): [' || sample || ']' END, CASE WHEN gap > 0.5 AND gap < 2 THEN 'Bot-speed timing (avg ' || {_SECS.format(n=2)} || 's)' END, CASE WHEN gap >= 2 AND gap < 5 THEN 'Script-speed timing (avg ' || {_SECS.format(n=2)} || 's)' END,
+  CASE WHEN users BETWEEN 1 AND 3 AND n >= 5 THEN 'Low username diversity (' || users || ') with high volume' END, CASE WHEN gap >= 5 THEN 'Human-speed timing (avg ' || {_SECS.format(n=2)} || 's)' END, CASE WHEN n <= 5 THEN 'Low event count consistent with manual exploration' END) AS signals
+FROM f JOIN g USING (source_ip) LEFT JOIN q USING (source_ip)""")
 def _(hp: DataFrame) -> DataFrame:
     return fingerprints.fingerprints(hp).select("source_ip", F.array_join("signals", "; ").alias("signals"))
 
@@ -217,12 +226,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark, sf_dir).select("token_id", "label", "owner")
 
 
+@over_events("j2_intel_v6", """WITH a AS (SELECT DISTINCT source_ip AS ip FROM hp), n AS (SELECT ip, split_part(ip, '.', 4)::INT AS o FROM a), v AS (SELECT '2001:db8:0:' || lower(to_hex(o)) || '::' || lower(to_hex(o)) AS ip, min(o) AS o FROM n GROUP BY 1)
+SELECT ip, CASE WHEN o % 3 = 0 THEN 'exact' WHEN o // 16 = 2 THEN 'net' END AS source, CASE WHEN o % 3 <> 0 AND o // 16 = 2 THEN '2001:db8:0:20::/60' END AS matched_cidr FROM v""")
+def _(hp: DataFrame) -> DataFrame:
+    """Addresses of the other kind, written in two ways: each 2001:db8:0:x::x of a last octet x."""
+    octet = F.element_at(F.split("source_ip", r"\."), 4).cast("int")
+    digits = F.lower(F.hex(octet))
+    seen = hp.select(octet.alias("o"), F.concat(F.lit("2001:db8:0:"), digits, F.lit("::"), digits).alias("ip"), F.concat(F.lit("2001:0DB8:0000:"), F.upper(digits), F.lit(":0:0:0:"), digits).alias("long")).distinct()
+    row = lambda df, ind, source, seq: df.select(ind.alias("indicator"), F.lit(source).alias("source"), F.array(F.lit("scan")).alias("categories"), F.lit(50).alias("confidence"), seq.cast("long").alias("load_seq"), F.lit(T0).alias("cached_ms"))
+    feed = row(seen.where("o % 3 = 0"), F.col("long"), "exact", F.col("o")).unionByName(row(seen.where("o between 32 and 47").limit(1), F.lit("2001:db8:0:20::/60"), "net", F.lit(1)))
+    return intel.lookup(seen.select("ip"), feed).select("ip", F.col("intel.source").alias("source"), "matched_cidr")
+
+
 # Blocks.
 _DECIDE = "CASE WHEN seq % 13 = 0 THEN 'missing_source_ip' WHEN seq % 13 = 1 THEN 'invalid_source_ip' WHEN seq % 4 = 0 THEN 'severity_below_threshold:low' WHEN seq % 4 = 1 THEN 'severity_below_threshold:odd' ELSE service END"
 
 
 def decided(hp: DataFrame) -> DataFrame:
-    ip = F.when(F.col("seq") % 13 == 0, "").when(F.col("seq") % 13 == 1, F.concat("source_ip", F.lit(".9"))).otherwise(F.col("source_ip"))
+    ip = F.when(F.col("seq") % 13 == 0, "").when(F.col("seq") % 13 == 1, F.concat("source_ip", F.lit(".9"))).when(F.col("seq") % 13 == 2, F.lit("2001:db8::7")).otherwise(F.col("source_ip"))
     severity = F.element_at(F.array(*map(F.lit, ("low", "odd", "high", "Critical"))), (F.col("seq") % 4 + 1).cast("int"))
     return blocklist.decisions(hp.select("seq", ip.alias("source_ip"), severity.alias("severity"), F.col("service").alias("event_type")))
 
@@ -232,7 +253,7 @@ def _(hp: DataFrame) -> DataFrame:
     return decided(hp).select("seq", "block_reason", "should_block")
 
 
-@over_events("j11_new_blocks", "WITH d AS (SELECT source_ip, min((seq, service)) AS f FROM hp WHERE seq % 13 > 1 AND seq % 4 > 1 AND NOT source_ip LIKE '10.%' GROUP BY source_ip) SELECT source_ip, f[2] AS reason, f[1] AS seq FROM d")
+@over_events("j11_new_blocks", "WITH d AS (SELECT CASE WHEN seq % 13 = 2 THEN '2001:db8::7' ELSE source_ip END AS source_ip, min((seq, service)) AS f FROM hp WHERE seq % 13 > 1 AND seq % 4 > 1 AND (seq % 13 = 2 OR NOT source_ip LIKE '10.%') GROUP BY 1) SELECT source_ip, f[2] AS reason, f[1] AS seq FROM d")
 def _(hp: DataFrame) -> DataFrame:
     blocked = hp.where(F.col("source_ip").startswith("10.")).select("source_ip")
     return blocklist.new_blocks(decided(hp), blocked).select("source_ip", "reason", "seq")

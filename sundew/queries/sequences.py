@@ -62,6 +62,14 @@ def _(hp: DataFrame) -> DataFrame:
     return s.select("source_ip", "session_id", "events", "start_ms", "end_ms", F.size("usernames").alias("users"), F.size("passwords").alias("pws"), F.size("services").alias("services"), "auths_ok")
 
 
+@over_events("a17_success_types", _SESSIONS + "SELECT session_id, ok AS auths_ok, phase FROM v")
+def _(hp: DataFrame) -> DataFrame:
+    """A lake without the flag: the type of the event tells the success."""
+    kind = F.when(F.col("success"), F.element_at(F.array(*map(F.lit, sessions.SUCCESS_TYPES)), (F.col("seq") % 3 + 1).cast("int"))).otherwise("auth_attempt")
+    typed = hp.withColumn("event_type", kind).withColumn("success", F.lit(None).cast("boolean"))
+    return sessions.sessions(typed).select("session_id", "auths_ok", "phase")
+
+
 @over_events("a18_session_phase", _SESSIONS + """SELECT session_id, phase, CASE WHEN ok > 0 THEN ok || ' successful authentication(s) detected' WHEN phase = 'CREDENTIAL_STUFFING' THEN 'Stuffing pattern: ' || users || ' users × ' || pws || ' passwords'
   WHEN events >= 20 AND users + pws > 0 AND users <= 3 THEN 'Brute-force pattern: ' || events || ' attempts against ≤3 usernames' WHEN users > 0 THEN 'Low-volume auth attempt: ' || events || ' events, ' || users || ' username(s)'
   ELSE 'Probe activity: ' || events || ' events across ' || services || ' service(s) with no credentials' END AS indicator FROM v""")
@@ -147,14 +155,20 @@ for _name, (_check, _sql) in _LATM.items():
     over_events(_name, _sql)(lambda hp, check=_check: _finding(check(hp)))
 
 
-@over_events("a15_lateral_risk")
+_FOUND = {name: sql for name, (_, sql) in _LATM.items() if name != "w14_latm007"}
+_FOUND["w14"] = _window_sql("LATM-007", "source_ip", "source_ip", "true", "ts_ms - lag(ts_ms, 10) OVER w <= 60000", 60_000)
+_FINDINGS = "WITH found AS (" + " UNION ALL ".join(f"SELECT check_id FROM ({sql})" for sql in _FOUND.values()) + "), rated AS (SELECT check_id, CASE check_id " + " ".join(f"WHEN '{k}' THEN {w}" for k, (w, _) in lateral.CHECKS.items()) + " END AS weight, CASE check_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, (_, v) in lateral.CHECKS.items()) + " END AS severity FROM found)"
+
+
+@over_events("a15_lateral_risk", _FINDINGS + """, r AS (SELECT least(100, coalesce((SELECT sum(weight) FROM (SELECT DISTINCT check_id, weight FROM rated)), 0))::INTEGER AS risk_score, (SELECT count(*) FROM rated) AS findings)
+SELECT risk_score, findings, CASE WHEN risk_score >= 70 THEN 'CRITICAL' WHEN risk_score >= 40 THEN 'HIGH' WHEN risk_score >= 15 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r""")
 def _(hp: DataFrame) -> DataFrame:
     return lateral.risk(lateral.findings(hp))
 
 
-@over_events("a16_by_severity")
+@over_events("a16_by_severity", _FINDINGS + " SELECT severity, count(*) AS findings, array_to_string(list_sort(list_distinct(list(check_id))), ',') AS checks FROM rated GROUP BY severity")
 def _(hp: DataFrame) -> DataFrame:
-    return lateral.by_severity(lateral.findings(hp))
+    return lateral.by_severity(lateral.findings(hp)).withColumn("checks", F.array_join("checks", ","))
 
 
 @over_events("w15_count_batches", "SELECT batch, count(*) AS n, min(seq) AS first_seq FROM (SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 500 AS batch FROM hp) GROUP BY batch")
@@ -196,12 +210,27 @@ for _name, (_camp, _sql) in _CAMP.items():
     over_events(_name, _sql)(lambda hp, check=_camp: _check(check(campaigns.tumbling(hp, 3600))))
 
 
-@over_events("w8_campaign_windows", "SELECT ts_ms - ts_ms % 3600000 AS campaign, count(*) AS n FROM hp GROUP BY ALL")
+@over_events("w8_campaign_windows", "SELECT seq, ts_ms - ts_ms % 3600000 AS campaign FROM hp")
 def _(hp: DataFrame) -> DataFrame:
-    return campaigns.tumbling(hp, 3600).groupBy("campaign").agg(F.count(F.lit(1)).alias("n"))
+    return campaigns.tumbling(hp, 3600).select("seq", "campaign")
+
 
+_CAMP_SQL = {name: sql for name, (_, sql) in _CAMP.items() if name != "a10_camp007"}
+_CAMP_SQL["w6_camp005"] = _CAMP_SQL["w6_camp005"].replace("wait >= 600)", "wait >= 1800000)").replace("HAVING count(*) >= 5 ", "HAVING count(*) >= 20 ")
 
-@over_events("a11_campaign_profiles")
+
+# CAMP-007 needs 48 hours, so it can't fire in campaigns of an hour
+@over_events("w4_camp002_sliding", _HOUR + """, p AS (SELECT *, (SELECT count(DISTINCT b.source_ip) FROM c b WHERE b.campaign = a.campaign AND b.service = a.service AND b.ts_ms >= a.ts_ms - 300000 AND (b.ts_ms, b.seq) <= (a.ts_ms, a.seq)) AS n FROM c a),
+k AS (SELECT campaign, service, min(seq) AS seen FROM c GROUP BY ALL), t AS (SELECT p.*, k.seen, row_number() OVER (PARTITION BY p.campaign ORDER BY n DESC, k.seen, ts_ms, seq) AS rk FROM p JOIN k USING (campaign, service) WHERE n >= 3)
+SELECT 'CAMP-002' AS check_id, t.campaign, t.service || ' from ' || t.n || ' addresses' AS evidence, array_to_string(list_sort(list_distinct(list(c.source_ip)))[1:10], ',') AS ips FROM t JOIN c ON c.campaign = t.campaign AND c.service = t.service AND c.ts_ms >= t.ts_ms - 300000 AND (c.ts_ms, c.seq) <= (t.ts_ms, t.seq) WHERE rk = 1 GROUP BY t.campaign, t.service, t.n""")
+def _(hp: DataFrame) -> DataFrame:
+    return _check(campaigns.camp002(campaigns.tumbling(hp, 3600), 3, 300_000))
+
+
+@over_events("a11_campaign_profiles", _HOUR + ", fired AS (" + " UNION ALL ".join(f"SELECT check_id, campaign FROM ({sql})" for sql in _CAMP_SQL.values()) + "), rated AS (SELECT campaign, least(100, sum(CASE check_id " + " ".join(f"WHEN '{k}' THEN {w}" for k, (w, _) in campaigns.CHECKS.items()) + """ END))::INTEGER AS score, string_agg(check_id, ', ' ORDER BY check_id) AS checks FROM fired GROUP BY campaign),
+i AS (SELECT campaign, list_sort(list(seq::VARCHAR)) AS ids, count(*) AS total_events, count(DISTINCT source_ip) AS unique_ips, (max(ts_ms) - min(ts_ms)) // 1000 AS span_s FROM c GROUP BY campaign),
+p AS (SELECT i.*, coalesce(score, 0) AS risk_score, coalesce(checks, 'none') AS checks FROM i LEFT JOIN rated USING (campaign))
+SELECT campaign, left(sha256(array_to_string(ids, ',')), 12) AS campaign_id, risk_score, CASE WHEN risk_score >= 60 THEN 'COORDINATED' WHEN risk_score >= 35 THEN 'LIKELY_COORDINATED' WHEN risk_score >= 15 THEN 'SUSPICIOUS' ELSE 'ISOLATED' END AS tier, total_events, unique_ips, span_s, checks FROM p""")
 def _(hp: DataFrame) -> DataFrame:
     events = campaigns.tumbling(hp, 3600)
     return campaigns.profiles(events, campaigns.campaign_checks(events))
@@ -215,4 +244,5 @@ def _(hp: DataFrame) -> DataFrame:
 
 @over_events("a13_campaign_addresses", _HOUR + " SELECT campaign, array_to_string(list_sort(list_distinct(list(source_ip)))[1:10], ',') AS ips FROM c GROUP BY campaign")
 def _(hp: DataFrame) -> DataFrame:
-    return campaigns.tumbling(hp, 3600).groupBy("campaign").agg(F.array_join(campaigns.first_ips(), ",").alias("ips"))
+    events = campaigns.tumbling(hp, 3600)
+    return campaigns.with_first_ips(events.select("campaign").distinct(), events, ["campaign"]).select("campaign", F.array_join("ips", ",").alias("ips"))

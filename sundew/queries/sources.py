@@ -46,11 +46,12 @@ def _(hp: DataFrame) -> DataFrame:
     return hp.sparkSession.read.schema("seq bigint, source_ip string, instance_id string").json(path)
 
 
-@over_events("s5_splunk_rows", """SELECT seq, '{"time":' || regexp_replace((ts_ms / 1000.0)::VARCHAR, '^', '') || '}' AS t, 'sensor:' || service AS sourcetype FROM hp WHERE false UNION ALL SELECT seq, source_ip, 'sensor:' || service FROM hp""")
+@over_events("s5_splunk_rows", "SELECT seq, ts_ms / 1000.0 AS time, 'sensors' AS index, 'lake' AS source, 'honeypot:' || service AS sourcetype, seq AS event_seq, ts_ms AS event_ms, service AS event_service, source_ip AS event_ip FROM hp")
 def _(hp: DataFrame) -> DataFrame:
     rows = siem.splunk_rows(hp.select("seq", "ts_ms", "service", "source_ip"), "sensors", "lake")
-    back = F.from_json("value", "time double, index string, sourcetype string, event struct<source_ip:string>")
-    return rows.withColumn("j", back).select("seq", F.col("j.event.source_ip").alias("t"), F.col("j.sourcetype").alias("sourcetype"))
+    back = F.from_json("value", "time double, index string, source string, sourcetype string, event struct<seq:long,ts_ms:long,service:string,source_ip:string>")
+    event = [F.col(f"j.event.{c}").alias(f"event_{n}") for c, n in (("seq", "seq"), ("ts_ms", "ms"), ("service", "service"), ("source_ip", "ip"))]
+    return rows.withColumn("j", back).select("seq", "j.time", "j.index", "j.source", "j.sourcetype", *event)
 
 
 @over_events("s6_elastic_rows", """SELECT seq, '{"index":{"_index":"sensors"}}' || chr(10) || '{"seq":' || seq || ',"source_ip":"' || source_ip || '"}' || chr(10) AS value FROM hp""")
@@ -64,7 +65,7 @@ def _(hp: DataFrame) -> DataFrame:
     return hp.select("seq", siem.cef("v|1", "p").alias("value"))
 
 
-@over_events("s8_cef_json", """SELECT seq, 'CEF:0|v|p|1.0|' || service || '|event|5|src=' || source_ip || ' msg={"seq":' || seq || ',"service":"' || service || '"}' AS value FROM hp""")
+@over_events("s8_cef_json", """SELECT seq, 'CEF:0|v|p|1.0|' || service || '|' || service || '|5|src=' || source_ip || ' msg={"seq":' || seq || ',"service":"' || service || '"}' AS value FROM hp""")
 def _(hp: DataFrame) -> DataFrame:
     return hp.select("seq", siem.cef_json(F.struct("seq", "service"), F.col("service"), F.col("source_ip"), "v", "p").alias("value"))
 
@@ -80,10 +81,14 @@ def refuse_hot(values: list[str]) -> None:
         raise ConnectionError("refused")
 
 
-@over_events("s11_deliveries", "SELECT target, count(*) AS n FROM hp, (SELECT unnest(['a', 'b']) AS target) GROUP BY target")
+@over_events("s11_deliveries", """WITH t AS (SELECT unnest(['a', 'b']) AS target) SELECT seq, target, CASE WHEN target = 'b' AND source_ip LIKE '10.%' THEN 'dropped' ELSE 'delivered' END AS status,
+  CASE WHEN target = 'b' AND source_ip LIKE '10.%' THEN 2 ELSE 1 END AS attempts, CASE WHEN target = 'b' AND source_ip LIKE '10.%' THEN 'ConnectionError: refused' END AS error FROM hp, t""")
 def _(hp: DataFrame) -> DataFrame:
-    sent = delivery.deliver(hp.select("seq", F.col("source_ip").alias("value")), {"a": len, "b": refuse_hot}, retries=1)
-    return sent.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    # a batch is sent as one, so internal addresses are dealt to batches of their own
+    rows = hp.select("seq", F.col("source_ip").alias("value"))
+    inside = F.col("value").startswith("10.")
+    senders = {"a": len, "b": refuse_hot}
+    return delivery.deliver(rows.where(inside), senders, retries=1).unionByName(delivery.deliver(rows.where(~inside), senders, retries=1))
 
 
 @over_events("s12_retry_queue", "SELECT seq, 2 AS attempts FROM hp WHERE service = 'rdp' ORDER BY ts_ms DESC, seq DESC LIMIT 100")
@@ -93,10 +98,12 @@ def _(hp: DataFrame) -> DataFrame:
     return kept.select("seq", "attempts")
 
 
-@over_events("s14_session_documents", "SELECT source_ip, count(*) AS n FROM hp GROUP BY source_ip")
+@over_events("s14_session_documents", "SELECT source_ip, count(*) AS n, string_agg(ts_ms || ':' || service, ',' ORDER BY ts_ms, seq) AS events FROM hp GROUP BY source_ip")
 def _(hp: DataFrame) -> DataFrame:
     docs = delivery.session_documents(hp.select(F.col("source_ip").alias("session_id"), "ts_ms", "seq", F.col("service").alias("kind"), F.col("payload").alias("data")))
-    return docs.select(F.col("session_id").alias("source_ip"), F.size(F.from_json("value", "events array<struct<n:int>>")["events"]).cast("long").alias("n"))
+    events = F.from_json("value", "events array<struct<ts_ms:long,kind:string>>")["events"]
+    each = F.transform("e", lambda x: F.concat(x["ts_ms"].cast("string"), F.lit(":"), x["kind"]))
+    return docs.select("session_id", events.alias("e")).select(F.col("session_id").alias("source_ip"), F.size("e").cast("long").alias("n"), F.array_join(each, ",").alias("events"))
 
 
 _IPS = "WITH a AS (SELECT source_ip AS ip, min(seq) AS s FROM hp GROUP BY source_ip)"
@@ -111,24 +118,26 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("indicator", "source", F.array_join("categories", ",").alias("categories"), "confidence", F.array_join(entries, ",").alias("tags"), "last_seen")
 
 
-@over_events("s16_ip_list_feed", _IPS + " SELECT CASE s % 3 WHEN 1 THEN ip || '/24' ELSE ip END AS indicator, 'l' AS source, 'scan' AS categories, 50 AS confidence, CASE s % 3 WHEN 0 THEN 'comment=seen # once' ELSE '' END AS tags, NULL::VARCHAR AS last_seen FROM a WHERE s % 4 <> 3")
+@over_events("s16_ip_list_feed", _IPS + " SELECT '2001:db8::' || s || '/64' AS indicator, 'l' AS source, 'scan' AS categories, 50 AS confidence, '' AS tags, NULL::VARCHAR AS last_seen FROM a WHERE s % 9999 < 5000 UNION ALL SELECT CASE s % 3 WHEN 1 THEN ip || '/24' ELSE ip END AS indicator, 'l' AS source, 'scan' AS categories, 50 AS confidence, CASE s % 3 WHEN 0 THEN 'comment=seen # once' ELSE '' END AS tags, NULL::VARCHAR AS last_seen FROM a WHERE s % 4 <> 3")
 def _(hp: DataFrame) -> DataFrame:
     ip, s = F.col("ip"), F.col("s")
     line = F.when(s % 4 == 3, F.concat(F.lit("# "), ip)).when(s % 3 == 0, F.concat(F.lit("  "), ip, F.lit(" # seen # once"))).when(s % 3 == 1, F.concat(ip, F.lit("/24"))).otherwise(ip)
     bad = _ips(hp).select(F.concat(ip, F.lit(".5")).alias("value"))
+    six = _ips(hp).where(s % 9999 < 5000).select(F.concat(F.lit("2001:db8::"), s.cast("string"), F.lit("/64")).alias("value"))
+    bad = bad.unionByName(six).unionByName(_ips(hp).select(F.lit("2001:db8::1::2").alias("value")))
     return _shown(feeds.ip_list(_ips(hp).select(line.alias("value")).unionByName(bad), feeds.Feed("l", 50, ("scan",))))
 
 
-@over_events("s17_csv_feed", _IPS + " SELECT ip AS indicator, 'c' AS source, CASE WHEN s % 2 = 0 THEN 'bot' ELSE 'x,y' END AS categories, CASE WHEN s % 3 = 0 THEN 100 WHEN s % 3 = 1 THEN 7 ELSE 33 END AS confidence, CASE WHEN s % 5 = 0 THEN '' ELSE 'note=n' || s END AS tags, NULL::VARCHAR AS last_seen FROM a")
+@over_events("s17_csv_feed", _IPS + " SELECT CASE WHEN s % 11 = 0 THEN 'fe80::1' ELSE ip END AS indicator, 'c' AS source, CASE WHEN s % 2 = 0 THEN 'bot' ELSE 'x,y' END AS categories, CASE WHEN s % 3 = 0 THEN 100 WHEN s % 3 = 1 THEN 7 ELSE 33 END AS confidence, CASE WHEN s % 5 = 0 THEN '' ELSE 'note=n' || s END AS tags, NULL::VARCHAR AS last_seen FROM a")
 def _(hp: DataFrame) -> DataFrame:
     s = F.col("s")
-    rows = _ips(hp).select("ip", F.when(s % 2 == 0, "bot").otherwise("").alias("category"), F.when(s % 3 == 0, "250").when(s % 3 == 1, "7").otherwise("high").alias("confidence"), F.when(s % 5 == 0, "").otherwise(F.concat(F.lit("n"), s.cast("string"))).alias("note"))
+    rows = _ips(hp).select(F.when(s % 11 == 0, "fe80::1").otherwise(F.col("ip")).alias("ip"), F.when(s % 2 == 0, "bot").otherwise("").alias("category"), F.when(s % 3 == 0, "250").when(s % 3 == 1, "7").otherwise("high").alias("confidence"), F.when(s % 5 == 0, "").otherwise(F.concat(F.lit("n"), s.cast("string"))).alias("note"))
     return _shown(feeds.csv(rows, feeds.Feed("c", 33, ("x", "y"))))
 
 
-@over_events("s18_abuse_feed", _IPS + " SELECT ip AS indicator, 'ab' AS source, 'abuse' AS categories, least(100, s % 150)::INTEGER AS confidence, 'country=NL,total_reports=' || s AS tags, 't' || s AS last_seen FROM a")
+@over_events("s18_abuse_feed", _IPS + " SELECT CASE WHEN s % 13 = 0 THEN '2001:db8::1' ELSE ip END AS indicator, 'ab' AS source, 'abuse' AS categories, least(100, s % 150)::INTEGER AS confidence, 'country=NL,total_reports=' || s AS tags, 't' || s AS last_seen FROM a")
 def _(hp: DataFrame) -> DataFrame:
-    entry = F.struct(F.col("ip").alias("ipAddress"), (F.col("s") % 150).alias("abuseConfidenceScore"), F.lit("NL").alias("countryCode"), F.col("s").alias("totalReports"), F.concat(F.lit("t"), F.col("s").cast("string")).alias("lastSeen"))
+    entry = F.struct(F.when(F.col("s") % 13 == 0, "2001:db8::1").otherwise(F.col("ip")).alias("ipAddress"), (F.col("s") % 150).alias("abuseConfidenceScore"), F.lit("NL").alias("countryCode"), F.col("s").alias("totalReports"), F.concat(F.lit("t"), F.col("s").cast("string")).alias("lastSeen"))
     texts = _ips(hp).groupBy((F.col("s") % 7).alias("file")).agg(F.to_json(F.struct(F.collect_list(entry).alias("data"))).alias("value"))
     return _shown(feeds.abuse_json(texts.select("value"), feeds.Feed("ab")))
 
@@ -142,12 +151,12 @@ def _(hp: DataFrame) -> DataFrame:
     return _shown(feeds.stix2_json(texts.select("value"), feeds.Feed("st", 50, ("d",))))
 
 
-@over_events("s21_loaded_feeds", _IPS + " SELECT 'one' AS source, 0::BIGINT AS number, count(*) AS n FROM a UNION ALL SELECT 'two', 1, count(*) FILTER (ip LIKE '10.%') FROM a")
+@over_events("s21_loaded_feeds", _IPS + " SELECT 'one' AS source, 0::BIGINT AS number, ip AS indicator, 50 AS confidence FROM a UNION ALL SELECT 'two', 1, ip, 50 FROM a WHERE ip LIKE '10.%'")
 def _(hp: DataFrame) -> DataFrame:
     lines = _ips(hp).select(F.col("ip").alias("value"))
     table = feeds.load(None, lines, feeds.Feed("one"), "ip_list", 0, 0)
     table = feeds.load(table, lines.where(F.col("value").startswith("10.")), feeds.Feed("two"), "no such kind", 1, 0)
-    return table.groupBy("source", F.shiftright("load_seq", 40).alias("number")).agg(F.count(F.lit(1)).alias("n"))
+    return table.select("source", F.shiftright("load_seq", 40).alias("number"), "indicator", "confidence")
 
 
 @over_events("n17_probe_previews", "SELECT seq, left(sha256(payload), 16) AS digest, lower(left(hex(encode(payload)), 16)) AS preview FROM hp")

@@ -40,7 +40,7 @@ def _tags(*pairs: tuple[str, Column]) -> Column:
 def _rows(df: DataFrame, feed: Feed, indicator: Column, categories: Column, confidence: Column, tags: Column, seen: Column) -> DataFrame:
     bounded = F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(confidence, F.lit(feed.confidence))))
     out = df.select(F.trim(indicator).alias("indicator"), F.lit(feed.source).alias("source"), categories.alias("categories"), bounded.cast("int").alias("confidence"), tags.alias("tags"), seen.cast("string").alias("last_seen"))
-    return out.where(is_ip_or_cidr(F.col("indicator")))
+    return out.where(is_ip_or_cidr(F.col("indicator"), v6=True))
 
 
 def ip_list(lines: DataFrame, feed: Feed) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SIGNATURES = {"ssh": "1001", "http": "1002", "api": "1003"}
+SOURCETYPE, EVENT_NAME = "honeypot:", "honeypot_event"
 
 
 def splunk_rows(events: DataFrame, index: str, source: str) -> DataFrame:
     body = F.struct(*events.columns)
-    row = F.struct((F.col("ts_ms") / 1000.0).alias("time"), F.lit(index).alias("index"), F.lit(source).alias("source"), F.concat(F.lit("sensor:"), "service").alias("sourcetype"), body.alias("event"))
+    row = F.struct((F.col("ts_ms") / 1000.0).alias("time"), F.lit(index).alias("index"), F.lit(source).alias("source"), F.concat(F.lit(SOURCETYPE), "service").alias("sourcetype"), body.alias("event"))
     return events.select("seq", F.to_json(row).alias("value"))
 
 
@@ -50,8 +51,9 @@ def cef(vendor: str, product: str, method: Column | None = None) -> Column:
 
 
 def cef_json(event: Column, kind: Column, source: Column, vendor: str, product: str) -> Column:
-    """A CEF line with the whole event as JSON in ``msg``."""
-    return F.concat(F.lit(f"CEF:0|{vendor}|{product}|1.0|"), F.coalesce(kind, F.lit("sensor_event")), F.lit("|event|5|src="), F.coalesce(source, F.lit("")), F.lit(" msg="), F.to_json(event))
+    """A CEF line with the whole event as JSON in ``msg``; the signature is the name too."""
+    named = F.coalesce(kind, F.lit(EVENT_NAME))
+    return F.concat(F.lit(f"CEF:0|{vendor}|{product}|1.0|"), named, F.lit("|"), named, F.lit("|5|src="), F.coalesce(source, F.lit("")), F.lit(" msg="), F.to_json(event))
 
 
 def syslog(message: Column, ts: Column, host: str, app: str, facility: int = 16) -> Column:
