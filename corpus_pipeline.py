@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from sundew.llm import byte_bpe, line_dedup, ngram_join, quality_rules, source_mix
 from sundew.llm.queries import tokenizer_file
-from sundew.plans.tables import materialize, ranked
+from sundew.plans.tables import materialize, ranked, release, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts have too few words and go; an empty table gives an empty one."""
     return quality_rules.quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -60,7 +60,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids (packed), checked by decoding them again."""
+    """The documents' token ids (packed), checked by decoding them again. A null text has no ids and is exact; an empty table gives an empty one."""
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(docs.select("doc_id", "source", "text"), path, keep=["doc_id", "source"], verify=True)
     return encoded.select("doc_id", "source", "n_tokens", "ids", "exact")
@@ -73,7 +73,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES[:-1]):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{number}")
+        after = materialize(stage(spark, docs, sf_dir), f"pipeline-{number}")
+        if number:
+            release(docs)
+        tidy(spark)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
