@@ -29,7 +29,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
 #: MinHash values, values in a band (a pair at 0.8 shares no band with probability 5e-8), values compared in a step.
 VALUES, BAND, STEP = 128, 4, 32
 #: Representatives and bytes of shingles in a block, about, and representatives of two blocks that are compared at once.
-BLOCK_ROWS, BLOCK_BYTES, TILE = 1024, 4 << 20, 256
+BLOCK_ROWS, BLOCK_BYTES, TILE = 256, 2 << 20, 256
 
 
 def shingles(raw: bytes, n: int = WORDS) -> np.ndarray:
