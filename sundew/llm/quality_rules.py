@@ -109,7 +109,9 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
 
         def relative(raw: bytes, ratio: float) -> float:
             # only a dense text can be noise: of few letters, prose and noise come to the same
-            return ratio / byte_entropy(raw) if ratio > DENSE else 0.0
+            # a text of one byte value has no noise
+            least = byte_entropy(raw)
+            return ratio / least if ratio > DENSE and least > 0 else 0.0
 
         packer = zstandard.ZstdCompressor(level=LEVEL)
 
