@@ -11,6 +11,7 @@ MASKED = r"^\[masked:len=[0-9]+,hash_prefix=[0-9a-f]{8}\]$"
 # Fixed values of the contract and of the rules.
 SERVICES = ("ssh", "http", "api", "ftp", "rdp")
 CREDENTIAL_PATHS = ("/login", "/signin", "/auth", "/api/login", "/api/auth", "/wp-login.php", "/admin", "/administrator", "/xmlrpc.php")
+CONTRACT_FIELDS = ("timestamp", "service", "source_ip", "source_port", "username", "credential_observed", "path", "method", "user_agent", "metadata")
 AUTH_ENDPOINTS = ("/auth/token", "/api/v1/auth", "/oauth/token", "/api/keys/validate", "/v1/authenticate", "/login", "/signin")
 
 
@@ -58,6 +59,17 @@ def violations(required: list[Column], names: list[str], service: Column, port:
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
+def unknown_fields(names: Column, known: tuple[str, ...] = CONTRACT_FIELDS) -> Column:
+    """Names of an event's fields that the contract doesn't have, sorted; empty if none. ``names`` is an array, as of ``json_object_keys``."""
+    return F.array_sort(F.filter(names, lambda n: ~n.isin(*known)))
+
+
+def api_request(body: Column) -> tuple[Column, Column]:
+    """User name and masked credential of an API request's parsed body: of the fields that may hold one, the first that isn't empty; else null."""
+    first = lambda *names: F.coalesce(*(F.nullif(body[n], F.lit("")) for n in names))
+    return first("client_id", "username"), mask_credential(first("client_secret", "password", "api_key", "credential_header"))
+
+
 def credential_key(c: Column) -> Column:
     """For dedup: the hash prefix, else the text, else a constant."""
     return F.coalesce(F.nullif(F.regexp_extract(c, "hash_prefix=([0-9a-f]+)", 1), F.lit("")), F.nullif(c, F.lit("")), F.lit("__no_cred__"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,18 @@ def export(events: DataFrame, service: str | None = None, source_ip: str | None
     return in_time(matching(events, service, source_ip), start_ms, end_ms).orderBy("seq").limit(limit)
 
 
+def time_parameter(text: str | None) -> int | None:
+    """A request's ISO time in ms since 1970; without a zone it is UTC. Unlike times in rows, a broken one is an error."""
+    if text is None:
+        return None
+    try:
+        at = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError as error:
+        raise ValueError(f"Invalid timestamp: {text}") from error
+    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    return round(at.timestamp() * 1000)
+
+
 def matching(events: DataFrame, service: str | None = None, source_ip: str | None = None) -> DataFrame:
     if service is not None:
         events = events.where(F.col("service") == service)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,13 @@ def _(hp: DataFrame) -> DataFrame:
     return hp.select("seq", F.array_join(broken, ",").alias("broken"))
 
 
+@over_events("n7_unknown_fields", "SELECT seq, CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN 'color' ELSE 'a_b,color' END AS unknown FROM hp")
+def _(hp: DataFrame) -> DataFrame:
+    three = F.col("seq") % 3
+    row = F.to_json(F.struct("service", "source_ip", F.when(three > 0, "red").alias("color"), F.when(three == 2, 1).alias("a_b")))
+    return hp.select("seq", F.array_join(f.unknown_fields(F.json_object_keys(row)), ",").alias("unknown"))
+
+
 @over_events("n8_networks", f"""SELECT seq, true AS valid, false AS odd, {_LONG} AS number, split_part(source_ip, '.', 1) || '.' || split_part(source_ip, '.', 2) || '.' || split_part(source_ip, '.', 3) || '.' || (split_part(source_ip, '.', 4)::INT // 64 * 64) || '/26' AS net FROM hp""")
 def _(hp: DataFrame) -> DataFrame:
     ip = F.col("source_ip")
@@ -96,15 +105,14 @@ def _(hp: DataFrame) -> DataFrame:
 
 @over_events("n15_api_request", """SELECT seq, username, CASE WHEN seq % 2 = 0 THEN credential ELSE left(credential, 11) || '...' END AS c, coalesce(path IN ('/oauth/token', '/login'), false) AS endpoint FROM hp WHERE service = 'api'""")
 def _(hp: DataFrame) -> DataFrame:
-    secret = F.when(F.col("seq") % 2 == 0, F.struct(F.lit("").alias("client_secret"), F.col("password").alias("password"), F.lit(None).cast("string").alias("api_key")))
-    other = F.struct(F.lit(None).cast("string").alias("client_secret"), F.lit(None).cast("string").alias("password"), F.col("password").alias("api_key"))
-    body = F.to_json(F.struct(F.lit("").alias("client_id"), "username", F.coalesce(secret, other).alias("s")))
-    parsed = F.from_json(body, "client_id string, username string, s struct<client_secret:string,password:string,api_key:string>")
+    # the secret is in another field by turns
+    secrets = [F.when(F.col("seq") % 4 == i, F.col("password")).alias(n) for i, n in enumerate(("password", "api_key", "client_secret", "credential_header"))]
+    body = F.to_json(F.struct(F.lit("").alias("client_id"), "username", *secrets))
+    parsed = F.from_json(body, "client_id string, username string, client_secret string, password string, api_key string, credential_header string")
     rows = hp.where("service = 'api'").withColumn("b", parsed)
-    some = lambda *c: F.coalesce(*(F.nullif(F.col(x), F.lit("")) for x in c))
-    masked = f.mask_credential(some("b.s.client_secret", "b.s.password", "b.s.api_key"))
+    username, masked = f.api_request(F.col("b"))
     cut = F.when(F.col("seq") % 2 == 0, masked).otherwise(F.concat(F.substring(masked, 1, 11), F.lit("...")))
-    return rows.select("seq", some("b.client_id", "b.username").alias("username"), cut.alias("c"), F.coalesce(F.col("path").isin(*f.AUTH_ENDPOINTS), F.lit(False)).alias("endpoint"))
+    return rows.select("seq", username.alias("username"), cut.alias("c"), F.coalesce(F.col("path").isin(*f.AUTH_ENDPOINTS), F.lit(False)).alias("endpoint"))
 
 
 @over_events("n16_password_classes", "SELECT seq, regexp_full_match(password, '[a-z]{1,8}') AS common, regexp_matches(password, '20[0-9][0-9]|@') AS targeted FROM hp")
@@ -130,6 +138,14 @@ def _(hp: DataFrame) -> DataFrame:
     return filters.export(hp, service="ssh", start_ms=T0, end_ms=NOW - 3_600_000, limit=500).select("seq", "source_ip", "service", "ts_ms")
 
 
+@over_events("n5_time_parameters", f"SELECT seq, ts_ms FROM hp WHERE ts_ms >= {NOW - 7200000} AND ts_ms <= {NOW - 3600000}")
+def _(hp: DataFrame) -> DataFrame:
+    text = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc)
+    start = filters.time_parameter(text(NOW - 7_200_000).isoformat().replace("+00:00", "Z"))
+    end = filters.time_parameter(text(NOW - 3_600_000).replace(tzinfo=None).isoformat())
+    return filters.in_time(hp, start, end).select("seq", "ts_ms")
+
+
 @over_events("f2_recent", f"SELECT seq, ts_ms FROM hp WHERE ts_ms >= {NOW - 3600000}")
 def _(hp: DataFrame) -> DataFrame:
     return filters.recent(hp, "last_hour", NOW).select("seq", "ts_ms")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sundew.operators import geo
 from sundew.plans.events import T0
+from sundew.plans.tables import materialize
 from sundew.queries.joins import _GEO
 from sundew.queries.registry import over_events
 from sundew.queries.sequences import _DEDUP, _SESSIONS, RULES
@@ -47,9 +48,15 @@ def _(hp: DataFrame) -> DataFrame:
     return replayed(hp.sparkSession, hp, lambda s: detect.lateral_behaviour(detect.timed(s)), END).select("source_ip", "window_ms", "services", "ports")
 
 
+@over_events("ws5_stream_high_volume", "SELECT source_ip, ts_ms - ts_ms % 300000 AS window_ms, count(*) AS events FROM hp WHERE service = 'ssh' GROUP BY 1, 2 HAVING count(*) > 2")
+def _(hp: DataFrame) -> DataFrame:
+    return replayed(hp.sparkSession, hp, lambda s: detect.high_volume(detect.timed(s), most=2), END)
+
+
 @over_events("ws6_stream_enriched", f"SELECT seq, cc AS country_code FROM (SELECT {_GEO} FROM hp)")
 def _(hp: DataFrame) -> DataFrame:
     places = geo.resolve(hp.select(F.col("source_ip").alias("ip")), geo.known_prefixes(hp.sparkSession)).withColumnRenamed("ip", "source_ip")
+    places = materialize(places, "stream-places")
     return replayed(hp.sparkSession, hp, lambda s: detect.enriched(s, places)).select("seq", "country_code")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -22,7 +23,9 @@ def timed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A key's rows of one micro-batch in order of time."""
-    return pd.concat(list(frames)).sort_values(["ts_ms", "seq"], kind="stable")
+    held = list(frames)
+    rows = held[0] if len(held) == 1 else pd.concat(held)
+    return rows if len(rows) == 1 else rows.sort_values(["ts_ms", "seq"], kind="stable")
 
 
 def _keyed(events: DataFrame, keys: list[str], columns: list[str], out: str, state: str, step: Callable, idle_ms: int) -> DataFrame:
@@ -71,7 +74,8 @@ def rate_limit(events: DataFrame, threshold: int, window_ms: int) -> DataFrame:
         times = list(state[0]) if state else []
         out = []
         for ts, seq in zip(rows["ts_ms"], rows["seq"], strict=True):
-            times = [t for t in times if t >= ts - window_ms] + [int(ts)]
+            del times[: bisect_left(times, ts - window_ms)]
+            insort(times, int(ts))
             out.append((seq, len(times), len(times) > threshold))
         return pd.DataFrame(out, columns=["seq", "hits", "triggered"]), (times,)
 
@@ -119,6 +123,12 @@ def lateral_behaviour(events: DataFrame, services: int = 3, ports: int = 5, wind
     return grouped.where(wide | deep).select("source_ip", F.unix_millis("w.start").alias("window_ms"), "services", "ports", F.when(wide & deep, "Critical").otherwise("High").alias("severity"))
 
 
+def high_volume(events: DataFrame, service: str = "ssh", most: int = 50, window: str = "5 minutes") -> DataFrame:
+    """Addresses with more than ``most`` events of the service in a tumbling window."""
+    grouped = events.where(F.col("service") == service).groupBy("source_ip", F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return grouped.where(F.col("events") > most).select("source_ip", F.unix_millis("w.start").alias("window_ms"), "events")
+
+
 def without_repeats(events: DataFrame, by: list[str], delay: str = "30 minutes") -> DataFrame:
     """The first of equal ``by`` within the watermark's delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(by)

@@ -11,17 +11,22 @@ from pyspark.sql import functions as F
 from sundew.plans.tables import materialize, shared_folder
 
 
-def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFrame], DataFrame], closing_ms: int | None = None) -> DataFrame:
+def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFrame], DataFrame], closing_ms: int | None = None, runs: int = 3) -> DataFrame:
     """``events`` as a stream through ``transform``, in append mode, read to the end; the result as a table.
 
-    ``closing_ms`` adds one event far ahead, whose watermark closes what is open.
+    The events arrive in ``runs`` parts in order of time, in any order inside one; after each part the stream ends, and the next run goes on
+    from its checkpoint. ``closing_ms`` adds one event far ahead, whose watermark closes what is open.
     """
     if closing_ms is not None:
         last = events.orderBy("seq").limit(1).withColumns({"seq": F.lit(-1).cast("long"), "source_ip": F.lit("closing"), "ts_ms": F.lit(closing_ms).cast("long"), "service": F.lit("ssh"), "success": F.lit(False)})
         events = events.unionByName(last)
     table = materialize(events, "stream-input")
+    bounds = table.approxQuantile("ts_ms", [i / runs for i in range(1, runs)], 0.01) or [0.0] * (runs - 1)
+    part = sum((F.when(F.col("ts_ms") > b, 1).otherwise(0) for b in bounds), F.lit(0))
     out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    result = transform(spark.readStream.schema(table.schema).parquet(table._written_to))
-    query = result.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for run in range(runs):
+        table.where(part == run).write.mode("append").parquet(f"{out}/events")
+        result = transform(spark.readStream.schema(table.schema).parquet(f"{out}/events"))
+        query = result.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{out}/rows")

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sundew.functions import fields, net
-from sundew.operators import campaigns, dedup, fingerprints, geo, intel, lateral, rates, rules, sessions
+from sundew.operators import campaigns, dedup, filters, fingerprints, geo, intel, lateral, rates, rules, sessions
 from sundew.sources import delivery, jsonl, probes
 from sundew.streaming import detect
+from sundew.streaming.run import replayed
 
 EVENT = "seq long, ts_ms long, source_ip string, service string, sensor_host string, username string, password string, credential string, success boolean, dest_port int, user_agent string, path string, payload string"
 
@@ -239,6 +240,24 @@ def test_stream_state_goes_on_between_batches(spark, tmp_path):
     assert {r.seq: r.is_alert for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
 
 
+def test_stream_limits_agree_with_batch_over_unordered_rows(spark):
+    ms = [1_700_000_000_000 + t for t in (50, 0, 60, 60, 100, 161, 400, 161, 90_000, 90_060)]
+    whole = times(spark, *ms)
+    want = {r.seq: r.hits for r in rates.rate_limit(whole, 2, 60).collect()}
+    got = replayed(spark, whole, lambda s: detect.rate_limit(detect.timed(s), 2, 60))
+    assert {r.seq: r.hits for r in got.collect()} == want
+
+
+def test_replay_of_no_events(spark):
+    assert replayed(spark, times(spark, 1).where("false"), lambda s: detect.high_volume(detect.timed(s))).count() == 0
+
+
+def test_time_parameters_are_strict():
+    assert [filters.time_parameter(t) for t in (None, "1970-01-01T00:00:01Z", "1970-01-01T01:00:00+01:00", "1970-01-01")] == [None, 1000, 0, 0]
+    with pytest.raises(ValueError, match="Invalid timestamp"):
+        filters.time_parameter("yesterday")
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     base = 1_700_000_000_000
     for t in (base + 3_600_000, base):
