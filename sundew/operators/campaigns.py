@@ -152,18 +152,22 @@ def campaign_checks(events: DataFrame, checks: dict[str, Callable[[DataFrame], D
     return every.withColumns({"weight": fixed(0), "severity": fixed(1)})
 
 
-def profiles(events: DataFrame, checked: DataFrame, event_id: str = "seq", chunked: bool = False) -> DataFrame:
-    """One row for each campaign: id (12 hex of the digest of its sorted ids), score, tier, totals, span, fired checks.
+def campaign_ids(events: DataFrame, event_id: str = "seq", chunked: bool = False) -> DataFrame:
+    """``campaign, campaign_id``: 12 hex of the digest of the campaign's sorted ids.
 
-    The id needs all ids of a campaign in one row; ``chunked`` digests them by the thousand first, for campaigns that
+    It needs all ids of a campaign in one row; ``chunked`` digests them by the thousand first, for campaigns that
     don't fit, and gives other ids.
     """
     ids = F.array_join(F.array_sort(F.collect_set(F.col(event_id).cast("string"))), ",")
     if chunked:
         part = events.withColumn("__part", F.floor(F.col(event_id) / 1000)).groupBy("campaign", "__part").agg(F.sha2(ids, 256).alias("d"))
-        named = part.groupBy("campaign").agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", "d"))), lambda x: x["d"]), ","), 256), 1, 12).alias("campaign_id"))
-    else:
-        named = events.groupBy("campaign").agg(F.substring(F.sha2(ids, 256), 1, 12).alias("campaign_id"))
+        return part.groupBy("campaign").agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", "d"))), lambda x: x["d"]), ","), 256), 1, 12).alias("campaign_id"))
+    return events.groupBy("campaign").agg(F.substring(F.sha2(ids, 256), 1, 12).alias("campaign_id"))
+
+
+def profiles(events: DataFrame, checked: DataFrame, event_id: str = "seq", chunked: bool = False) -> DataFrame:
+    """One row for each campaign: id (see ``campaign_ids``), score, tier, totals, span, fired checks."""
+    named = campaign_ids(events, event_id, chunked)
     totals = events.groupBy("campaign").agg(F.count(F.lit(1)).alias("total_events"), F.count_distinct("source_ip").alias("unique_ips"), F.floor((F.max("ts_ms") - F.min("ts_ms")) / 1000).alias("span_s"))
     fired = checked.groupBy("campaign").agg(F.least(F.lit(100), F.sum("weight")).cast("int").alias("risk_score"), F.array_join(F.array_sort(F.collect_list("check_id")), ", ").alias("checks"))
     score = F.coalesce("risk_score", F.lit(0))

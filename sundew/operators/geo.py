@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ KNOWN_PREFIXES = (
 )
 HOSTING = ("digitalocean", "linode", "vultr", "hetzner", "ovh", "aws", "amazon", "google", "microsoft", "cloudflare", "contabo", "hostinger", "namecheap", "leaseweb")
 ANONYMISERS = ("vpn", "proxy", "tor", "anonymize", "hide", "private", "tunnel", "nordvpn", "expressvpn", "mullvad", "proton")
+#: Widths, in bits, of the buckets in which ranges and addresses meet.
+WIDTHS = (4, 8, 12, 16)
 PLACE = "country_code string, country_name string, city string, latitude double, longitude double, asn int, org string"
 
 
@@ -38,8 +42,10 @@ def _place(row: str) -> list[Column]:
 def resolve(ips: DataFrame, prefixes: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """``ip`` with its place: private first, then the range table, then the first known prefix, else unknown.
 
-    Prefixes are whole octets, so an address asks for two keys. Ranges (``ip_from, ip_to`` as numbers and the place) are met by
-    /16 buckets; a range that spans several has a row for each.
+    Prefixes are whole octets, so an address asks for two keys. Ranges (``ip_from, ip_to`` as numbers and the place) are met in
+    buckets of the first of WIDTHS that is no narrower than the range, so it has two rows at most (one for each /16 if it is wider).
+    An address asks for one bucket of each width, and a bucket has at most seventeen ranges that don't overlap. Of ranges that do,
+    the one that starts last counts. A range that ends before it starts meets nothing.
     """
     names = [c.split()[0] for c in PLACE.split(", ")]
     distinct = ips.select("ip").distinct()
@@ -48,9 +54,14 @@ def resolve(ips: DataFrame, prefixes: DataFrame, ranges: DataFrame | None = None
     stub = distinct.select("ip", F.explode(keys).alias("prefix")).join(rows, "prefix").groupBy("ip").agg(F.min("rule").alias("stub"))
     out = distinct.join(stub, "ip", "left")
     if ranges is not None:
-        wide = ranges.select("ip_from", "ip_to", F.struct("ip_from", *names).alias("range"), F.explode(F.sequence(F.shiftright("ip_from", 16), F.shiftright("ip_to", 16))).alias("bucket"))
-        number = distinct.select("ip", ipv4_long(F.col("ip")).alias("number")).withColumn("bucket", F.shiftright("number", 16))
-        hit = number.join(wide, "bucket").where("number between ip_from and ip_to").groupBy("ip").agg(F.max("range").alias("range"))
+        span = F.col("ip_to") - F.col("ip_from") + 1
+        width = reduce(lambda wider, w: F.when(span <= 1 << w, w).otherwise(wider), WIDTHS[-2::-1], F.lit(WIDTHS[-1]))
+        wide = ranges.where("ip_from <= ip_to").select("ip_from", "ip_to", F.struct("ip_from", *names).alias("range"), width.alias("width"))
+        bucket = F.call_function("shiftright", F.col("ip_from"), F.col("width")), F.call_function("shiftright", F.col("ip_to"), F.col("width"))
+        wide = wide.withColumn("bucket", F.explode(F.sequence(*bucket)))
+        number = distinct.select("ip", ipv4_long(F.col("ip")).alias("number"), F.explode(F.array(*map(F.lit, WIDTHS))).alias("width"))
+        number = number.withColumn("bucket", F.call_function("shiftright", F.col("number"), F.col("width")))
+        hit = number.join(wide, ["width", "bucket"]).where("number between ip_from and ip_to").groupBy("ip").agg(F.max("range").alias("range"))
         out = out.join(hit, "ip", "left")
     else:
         out = out.withColumn("range", F.lit(None).cast(f"struct<ip_from:bigint,{','.join(f'{c.split()[0]}:{c.split()[1]}' for c in PLACE.split(', '))}>"))

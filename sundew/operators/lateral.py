@@ -79,6 +79,11 @@ def latm004(events: DataFrame) -> DataFrame:
     return _finding(rows, "LATM-004", F.lit("internal"), F.col("ips"), F.col("ids"))
 
 
+def latm004_events(events: DataFrame) -> DataFrame:
+    """The events of LATM-004 as rows ``check_id, source_ip, seq``: any number of them, none gathered."""
+    return events.where(is_internal(F.col("source_ip"))).select(F.lit("LATM-004").alias("check_id"), "source_ip", "seq")
+
+
 def latm005(events: DataFrame) -> DataFrame:
     """A success followed within five minutes by another host: the next host is the next run's, so there is no self-join."""
     order = _order("source_ip")

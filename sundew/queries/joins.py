@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import callback_url, token_fingerprint
+from sundew.functions import summaries
 from sundew.functions.net import ipv4_long
 from sundew.operators import blocklist, canary, dashboards, fingerprints, geo, intel
 from sundew.plans.events import HP_SQL, T0, attack_events
 from sundew.queries.registry import over_events, over_tables
+from sundew.sources import geo_records as geo_db
 
 _GEO = "hp.*, CASE WHEN source_ip LIKE '10.%' THEN '--' WHEN source_ip LIKE '203.%' THEN '??' ELSE 'US' END AS cc, CASE WHEN source_ip LIKE '8.8.8.%' THEN 15169 WHEN source_ip LIKE '3.80.%' THEN 16509 WHEN source_ip LIKE '198.20.99.%' THEN 20473 END AS asn, CASE WHEN source_ip LIKE '8.8.8.%' THEN 'Google LLC' WHEN source_ip LIKE '3.80.%' THEN 'Amazon.com, Inc.' WHEN source_ip LIKE '198.20.99.%' THEN 'Shodan.io' END AS org"
 
@@ -33,6 +35,17 @@ def _(hp: DataFrame) -> DataFrame:
     return geo.resolve(hp.select(F.col("source_ip").alias("ip")), geo.known_prefixes(hp.sparkSession), geo_ranges(hp)).select("ip", "country_code", "asn", "geo_source")
 
 
+@over_events("s20_geo_records", f"""SELECT DISTINCT source_ip AS ip, CASE WHEN low THEN 'ZZ' WHEN high THEN '??' ELSE cc END AS country_code, CASE WHEN low THEN 'Testland' ELSE CASE WHEN source_ip LIKE '203.%' THEN 'Unknown' END END AS country_name, CASE WHEN low OR high THEN 'range' ELSE 'stub' END AS geo_source
+  FROM (SELECT {_GEO}, source_ip LIKE '203.%' AND split_part(source_ip, '.', 4)::INT < 128 AS low, source_ip LIKE '203.%' AND split_part(source_ip, '.', 4)::INT >= 192 AS high FROM hp) WHERE source_ip LIKE '203.%'""")
+def _(hp: DataFrame) -> DataFrame:
+    """Records of the seen 203.0.x.0/24: a full one for the lower half, one without a country for the last quarter, a broken one between."""
+    net = hp.where(F.col("source_ip").startswith("203.")).select(F.substring_index("source_ip", ".", 3).alias("net")).distinct()
+    made = F.array(*(F.struct(F.lit(end).alias("end"), F.lit(text).alias("record")) for end, text in ((".0/25", '{"country": {"iso_code": "ZZ", "names": {"en": "Testland"}}}'), (".192/26", '{"city": null}'), (".128/26", "{broken"))))
+    rows = net.select("net", F.explode(made).alias("m")).select(F.concat("net", "m.end").alias("network"), "m.record")
+    ips = hp.where(F.col("source_ip").startswith("203.")).select(F.col("source_ip").alias("ip"))
+    return geo.resolve(ips, geo.known_prefixes(hp.sparkSession), geo_db.ranges(rows)).select("ip", "country_code", "country_name", "geo_source")
+
+
 @over_events("j5_enriched", f"SELECT seq, cc AS country_code, org FROM (SELECT {_GEO} FROM hp)")
 def _(hp: DataFrame) -> DataFrame:
     return geo.enrich(hp, geo.known_prefixes(hp.sparkSession)).select("seq", "country_code", "org")
@@ -67,6 +80,11 @@ def _(hp: DataFrame) -> DataFrame:
     return geo_records(hp).select("seq", "risk_score", "risk_level")
 
 
+@over_events("n23_geo_summary", _SIGNALS + "SELECT n.seq, n.source_ip || ' [' || n.cc || '] risk=' || least(100, raw) || ' (' || CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 55 THEN 'HIGH' WHEN raw >= 35 THEN 'MEDIUM' WHEN raw >= 15 THEN 'LOW' ELSE 'INFO' END || '): ' || CASE WHEN signals = '' THEN 0 ELSE len(string_split(signals, ',')) END || ' signal(s)' AS line FROM s JOIN n USING (seq)")
+def _(hp: DataFrame) -> DataFrame:
+    return geo_records(hp).select("seq", summaries.geo_alert().alias("line"))
+
+
 @over_events("j8_tor", "SELECT seq, seq % 11 = 0 OR source_ip LIKE '%.7' AS is_tor FROM hp")
 def _(hp: DataFrame) -> DataFrame:
     return geo_records(hp).select("seq", "is_tor")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sundew.functions import summaries
 from sundew.operators import campaigns, dedup, geo, lateral, rates, sessions
 from sundew.plans.events import T0
 from sundew.queries.registry import over_events
@@ -84,7 +85,7 @@ def _(hp: DataFrame) -> DataFrame:
 
 @over_events("n23_session_summary", _SESSIONS + "SELECT '[' || severity || '] ' || session_id || ' | phase=' || phase || ' score=' || score || ' | ' || events || ' events | users=' || users || ' auths_ok=' || ok AS line FROM v")
 def _(hp: DataFrame) -> DataFrame:
-    return sessions.sessions(hp).select(F.format_string("[%s] %s | phase=%s score=%d | %d events | users=%d auths_ok=%d", "severity", "session_id", "phase", "score", "events", F.size("usernames"), "auths_ok").alias("line"))
+    return sessions.sessions(hp).select(summaries.session().alias("line"))
 
 
 @over_events("a20_session_report", _SESSIONS + "SELECT count(*) AS sessions, sum(events)::BIGINT AS total_events, count(DISTINCT source_ip) AS source_ips, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high FROM v")
@@ -92,6 +93,11 @@ def _(hp: DataFrame) -> DataFrame:
     return sessions.session_report(sessions.sessions(hp))
 
 
+@over_events("n23_report_summary", _SESSIONS + "SELECT 'SessionReport: ' || count(*) || ' sessions | ' || coalesce(sum(events), 0)::BIGINT || ' events | ' || count(DISTINCT source_ip) || ' source IPs | CRITICAL=' || count(*) FILTER (severity = 'CRITICAL') || ' HIGH=' || count(*) FILTER (severity = 'HIGH') AS line FROM v")
+def _(hp: DataFrame) -> DataFrame:
+    return sessions.session_report(sessions.sessions(hp)).select(summaries.session_report().alias("line"))
+
+
 @over_events("o1_top_sessions", _SESSIONS + "SELECT session_id, score FROM v ORDER BY score DESC, start_ms, session_id LIMIT 20")
 def _(hp: DataFrame) -> DataFrame:
     return sessions.top_sessions(sessions.sessions(hp), 20).select("session_id", "score")
@@ -166,6 +172,17 @@ def _(hp: DataFrame) -> DataFrame:
     return lateral.risk(lateral.findings(hp))
 
 
+@over_events("a14_latm004_events", "SELECT 'LATM-004' AS check_id, source_ip, seq FROM hp WHERE source_ip LIKE '10.%'")
+def _(hp: DataFrame) -> DataFrame:
+    return lateral.latm004_events(hp)
+
+
+@over_events("n23_lateral_summary", _FINDINGS + """, r AS (SELECT least(100, coalesce((SELECT sum(weight) FROM (SELECT DISTINCT check_id, weight FROM rated)), 0))::INTEGER AS risk_score, (SELECT count(*) FROM rated) AS findings)
+SELECT '[' || CASE WHEN risk_score >= 70 THEN 'CRITICAL' WHEN risk_score >= 40 THEN 'HIGH' WHEN risk_score >= 15 THEN 'MEDIUM' ELSE 'LOW' END || '] risk_score=' || risk_score || ' findings=' || findings AS line FROM r""")
+def _(hp: DataFrame) -> DataFrame:
+    return lateral.risk(lateral.findings(hp)).select(summaries.lateral().alias("line"))
+
+
 @over_events("a16_by_severity", _FINDINGS + " SELECT severity, count(*) AS findings, array_to_string(list_sort(list_distinct(list(check_id))), ',') AS checks FROM rated GROUP BY severity")
 def _(hp: DataFrame) -> DataFrame:
     return lateral.by_severity(lateral.findings(hp)).withColumn("checks", F.array_join("checks", ","))
@@ -236,6 +253,13 @@ def _(hp: DataFrame) -> DataFrame:
     return campaigns.profiles(events, campaigns.campaign_checks(events))
 
 
+@over_events("a12_chunked_ids", _HOUR + ", p AS (SELECT campaign, seq // 1000 AS part, sha256(string_agg(seq::VARCHAR, ',' ORDER BY seq::VARCHAR)) AS d FROM c GROUP BY 1, 2) SELECT campaign, left(sha256(string_agg(d, ',' ORDER BY part)), 12) AS campaign_id FROM p GROUP BY campaign")
+def _(hp: DataFrame) -> DataFrame:
+    """No row or task has more than a thousand ids."""
+    c = campaigns.tumbling(hp, 3600)
+    return campaigns.campaign_ids(c, chunked=True).select("campaign", "campaign_id")
+
+
 @over_events("a12_campaign_ids", _HOUR + ", i AS (SELECT campaign, list_sort(list(seq::VARCHAR)) AS ids FROM c GROUP BY campaign) SELECT campaign, left(sha256(array_to_string(ids, ',')), 12) AS campaign_id FROM i")
 def _(hp: DataFrame) -> DataFrame:
     events = campaigns.tumbling(hp, 3600)

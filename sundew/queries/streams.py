@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sundew.operators import geo
+from sundew.operators import filters, geo
 from sundew.plans.events import T0
 from sundew.plans.tables import materialize
-from sundew.queries.joins import _GEO
+from sundew.queries.aggregates import _UP
+from sundew.queries.joins import _FEED, _GEO, _HIT, feed_of
 from sundew.queries.registry import over_events
 from sundew.queries.sequences import _DEDUP, _SESSIONS, RULES
 from sundew.streaming import detect
-from sundew.streaming.run import replayed
+from sundew.streaming.run import replayed, replayed_batches
 
 END = T0 + 10 * 86_400_000
 
@@ -60,6 +61,18 @@ def _(hp: DataFrame) -> DataFrame:
     return replayed(hp.sparkSession, hp, lambda s: detect.enriched(s, places)).select("seq", "country_code")
 
 
+@over_events("ws6_stream_intel", _FEED + f", young AS (SELECT * FROM feed WHERE {T0} + 3000 - cached_ms <= 2000)" + _HIT.format(feed="young") + "SELECT seq, m.source, m.matched_cidr FROM hp JOIN m ON m.ip = hp.source_ip")
+def _(hp: DataFrame) -> DataFrame:
+    found = replayed_batches(hp.sparkSession, hp, lambda path: detect.intel_batches(lambda: feed_of(hp), path, 2000, lambda: T0 + 3000))
+    return found.select("seq", F.col("intel.source").alias("source"), "matched_cidr")
+
+
 @over_events("ws7_stream_canary", "SELECT user_id::VARCHAR AS key, seq, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, seq)::BIGINT AS n, min(ts_ms) OVER (PARTITION BY user_id) AS first_ms FROM hp WHERE service = 'ftp'")
 def _(hp: DataFrame) -> DataFrame:
     return replayed(hp.sparkSession, hp.where("service = 'ftp'"), lambda s: detect.running_count(detect.timed(s), "user_id"))
+
+
+@over_events("ws9_stream_uploads", f"WITH u AS (SELECT * FROM hp WHERE ({_UP}) AND source_ip NOT LIKE '198.20.%'), g AS (SELECT seq, ts_ms - lag(ts_ms) OVER (PARTITION BY source_ip, payload ORDER BY ts_ms, seq) AS gap FROM u) SELECT seq FROM g WHERE gap IS NULL OR gap > 1800000")
+def _(hp: DataFrame) -> DataFrame:
+    shown = hp.where(filters.is_upload() & ~F.col("source_ip").startswith("198.20."))
+    return replayed(hp.sparkSession, shown, lambda s: detect.quiet_repeats(detect.timed(s), ["source_ip", "payload"]))

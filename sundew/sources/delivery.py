@@ -64,6 +64,12 @@ def retry_queue(queue: DataFrame, failed: DataFrame, most: int = 1000) -> tuple[
     return kept.withColumn("event", F.lit("siem_delivery_retry")), dropped
 
 
+def write_sessions(documents: DataFrame, path: str) -> None:
+    """Append the documents of ended sessions, a line each, below the UTC date on which they started."""
+    started = F.get_json_object("value", "$.started_ms").cast("long")
+    documents.select("value", F.to_date(F.timestamp_millis(started)).alias("date")).write.mode("append").partitionBy("date").text(path)
+
+
 def session_documents(events: DataFrame, session: str = "session_id") -> DataFrame:
     """One JSON document per session with its ordered events."""
     order = Window.partitionBy(session).orderBy("ts_ms", "seq")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sundew.functions.fields import credential_key
+from sundew.operators import intel
 from sundew.operators.dedup import Rule, suppression
 from sundew.operators.sessions import scored
+from sundew.plans.tables import owned_tables
 
 
 def timed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -134,6 +137,36 @@ def without_repeats(events: DataFrame, by: list[str], delay: str = "30 minutes")
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(by)
 
 
+def quiet_repeats(events: DataFrame, by: list[str], window_ms: int = 1_800_000) -> DataFrame:
+    """``seq`` of events whose ``by`` did not come within ``window_ms`` before; the state is the last time of each."""
+
+    def step(key: tuple, rows: pd.DataFrame, state: Any) -> tuple[pd.DataFrame, tuple]:
+        before = rows["ts_ms"].shift(1)
+        if state:
+            before.iloc[0] = state[0]
+        shown = before.isna() | (rows["ts_ms"] - before > window_ms)
+        return pd.DataFrame({"seq": rows["seq"][shown]}), (int(rows["ts_ms"].iloc[-1]),)
+
+    return _keyed(events, by, ["seq", "ts_ms"], "seq long", "last long", step, window_ms)
+
+
+def intel_batches(read_feed: Callable[[], DataFrame], path: str, ttl_ms: int, now_ms: Callable[[], int] = lambda: int(time.time() * 1000)) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: events with their intelligence, as a table by batch.
+
+    The feed is read anew for every batch, and rows older than ``ttl_ms`` are left out. A batch that runs again replaces itself.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            with owned_tables():
+                intel.enrich(kept, intel.fresh(read_feed(), now_ms(), ttl_ms)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            kept.unpersist()
+
+    return run
+
+
 def enriched(events: DataFrame, places: DataFrame) -> DataFrame:
     """A stream with the columns of a table by ``source_ip``; the table is read anew in every micro-batch."""
     return events.join(places, "source_ip", "left")

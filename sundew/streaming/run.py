@@ -11,6 +11,25 @@ from pyspark.sql import functions as F
 from sundew.plans.tables import materialize, shared_folder
 
 
+def replayed_batches(spark: SparkSession, events: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]], runs: int = 3) -> DataFrame:
+    """``events`` in ``runs`` parts in order of time through the ``foreachBatch`` function that ``sink`` makes for a folder; the tables it writes there."""
+    table = materialize(events, "stream-input")
+    out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    for part in _parts(table, runs):
+        part.write.mode("append").parquet(f"{out}/events")
+        stream = spark.readStream.schema(table.schema).parquet(f"{out}/events")
+        stream.writeStream.foreachBatch(sink(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    if table.isEmpty():  # no batch has run
+        sink(f"{out}/rows")(table, -1)
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+def _parts(table: DataFrame, runs: int) -> list[DataFrame]:
+    bounds = table.approxQuantile("ts_ms", [i / runs for i in range(1, runs)], 0.01) or [0.0] * (runs - 1)
+    part = sum((F.when(F.col("ts_ms") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    return [table.where(part == run) for run in range(runs)]
+
+
 def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFrame], DataFrame], closing_ms: int | None = None, runs: int = 3) -> DataFrame:
     """``events`` as a stream through ``transform``, in append mode, read to the end; the result as a table.
 
@@ -21,11 +40,9 @@ def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFr
         last = events.orderBy("seq").limit(1).withColumns({"seq": F.lit(-1).cast("long"), "source_ip": F.lit("closing"), "ts_ms": F.lit(closing_ms).cast("long"), "service": F.lit("ssh"), "success": F.lit(False)})
         events = events.unionByName(last)
     table = materialize(events, "stream-input")
-    bounds = table.approxQuantile("ts_ms", [i / runs for i in range(1, runs)], 0.01) or [0.0] * (runs - 1)
-    part = sum((F.when(F.col("ts_ms") > b, 1).otherwise(0) for b in bounds), F.lit(0))
     out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    for run in range(runs):
-        table.where(part == run).write.mode("append").parquet(f"{out}/events")
+    for part in _parts(table, runs):
+        part.write.mode("append").parquet(f"{out}/events")
         result = transform(spark.readStream.schema(table.schema).parquet(f"{out}/events"))
         query = result.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         query.awaitTermination()

@@ -5,11 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sundew.functions import fields, net
+from sundew.functions import fields, net, summaries
 from sundew.operators import campaigns, dedup, filters, fingerprints, geo, intel, lateral, rates, rules, sessions
-from sundew.sources import delivery, jsonl, probes
+from sundew.sources import delivery, geo_records, jsonl, probes
 from sundew.streaming import detect
-from sundew.streaming.run import replayed
+from sundew.streaming.run import replayed, replayed_batches
 
 EVENT = "seq long, ts_ms long, source_ip string, service string, sensor_host string, username string, password string, credential string, success boolean, dest_port int, user_agent string, path string, payload string"
 
@@ -266,3 +266,60 @@ def test_late_rows_are_counted(spark, tmp_path):
         q = detect.brute_force(detect.timed(stream, "1 minute"), 1).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     assert detect.late_rows(q) == 1
+
+
+def test_ranges_of_every_width(spark):
+    rows = [(0x01020304, 0x01020304, "one"), (0x0102FFF8, 0x01030007, "over a border"), (0x02000000, 0x02FFFFFF, "wide"), (0x02030000, 0x020300FF, "inner"), (0x09000005, 0x09000001, "backwards")]
+    ranges = spark.createDataFrame([(a, b, "XX", n, None, None, None, None, None) for a, b, n in rows], f"ip_from long, ip_to long, {geo.PLACE}")
+    ips = spark.createDataFrame([(i,) for i in ("1.2.3.4", "1.2.3.5", "1.2.255.247", "1.2.255.248", "1.3.0.7", "1.3.0.8", "2.0.0.0", "2.255.255.255", "2.3.0.255", "9.0.0.3", "bad", None)], "ip string")
+    got = {r.ip: r.country_name for r in geo.resolve(ips, geo.known_prefixes(spark), ranges).collect() if r.geo_source == "range"}
+    assert got == {"1.2.3.4": "one", "1.2.255.248": "over a border", "1.3.0.7": "over a border", "2.0.0.0": "wide", "2.255.255.255": "wide", "2.3.0.255": "inner"}
+
+
+def test_geo_records_fall_back(spark):
+    full = '{"country": {"iso_code": "NZ", "names": {"en": ""}}, "autonomous_system_number": 7}'
+    rows = [("9.9.9.9/24", full), ("9.9.8.8", "{}"), ("::/8", "{}"), ("9.9.7.0/24", "{broken"), ("9.9.6.0/24", None), ("9.9.5.0/40", "{}"), (None, "{}"), ("0.0.0.0/0", "{}")]
+    got = {(r.ip_from, r.ip_to): (r.country_code, r.country_name, r.city, r.asn) for r in geo_records.ranges(spark.createDataFrame(rows, "network string, record string")).collect()}
+    assert got == {(0x09090900, 0x090909FF): ("NZ", "Unknown", None, 7), (0x09090808, 0x09090808): ("??", "Unknown", None, None), (0, 0xFFFFFFFF): ("??", "Unknown", None, None)}
+
+
+def test_feed_is_read_anew_and_ages(spark, tmp_path):
+    def feed(*rows):
+        return spark.createDataFrame(list(rows), "indicator string, source string, categories array<string>, confidence int, load_seq long, cached_ms long")
+
+    held = {"feed": feed(("9.9.9.9", "old", ["x"], 1, 0, 100)), "now": 150}
+    run = detect.intel_batches(lambda: held["feed"], f"{tmp_path}/rows", 50, lambda: held["now"])
+    seen = lambda n: {r.source_ip: r.intel and r.intel.source for r in spark.read.parquet(f"{tmp_path}/rows/batch={n}").collect()}
+    batch = events(spark, {"ts_ms": 1, "source_ip": "9.9.9.9"}, {"ts_ms": 2, "source_ip": "8.8.8.8"})
+    run(batch, 0)
+    held["now"] = 151
+    run(batch, 1)
+    held["feed"] = feed(("9.9.9.0/24", "new", ["x"], 1, 0, 151))
+    run(batch, 2)
+    run(batch, 2)
+    assert [seen(n)["9.9.9.9"] for n in range(3)] == ["old", None, "new"] and seen(2)["8.8.8.8"] is None
+    assert replayed_batches(spark, batch.where("false"), lambda path: detect.intel_batches(lambda: held["feed"], path, 50, lambda: 151)).count() == 0
+
+
+def test_repeats_are_quiet_over_batches(spark):
+    ms = [1_700_000_000_000 + t for t in (0, 1_800_000, 3_600_001, 3_600_002, 9_000_000)]
+    whole = times(spark, *ms, payload="x")
+    got = replayed(spark, whole, lambda s: detect.quiet_repeats(detect.timed(s), ["source_ip", "payload"]))
+    assert {r.seq for r in got.collect()} == {r.seq for r in rules.first_in_window(whole, ["source_ip", "payload"]).collect()} == {0, 2, 4}
+
+
+def test_sessions_are_written_by_date(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 0, "start", ""), ("b", 86_400_000, 1, "start", "")], "session_id string, ts_ms long, seq long, kind string, data string")
+    delivery.write_sessions(delivery.session_documents(rows), f"{tmp_path}/s")
+    back = spark.read.text(f"{tmp_path}/s")
+    assert {str(r.date): json.loads(r.value)["session_id"] for r in back.collect()} == {"1970-01-01": "a", "1970-01-02": "b"}
+
+
+def test_summary_lines(spark):
+    found = fingerprints.fingerprints(times(spark, 1, 501, 1001, dest_port=1)).select(summaries.fingerprint().alias("s")).first().s
+    assert found.startswith("[HUMAN] 1.2.3.4 | confidence=") and "| 3 events avg_gap=0.50s | signals=[" in found
+    assert "timing=n/a" in fingerprints.fingerprints(times(spark, 1)).select(summaries.fingerprint().alias("s")).first().s
+    token = spark.createDataFrame([("0123456789", "API_KEY", "x")], "token_id string, token_type string, label string")
+    assert token.select(summaries.canary_token().alias("s")).first().s == "[01234567] API_KEY: x"
+    profile = spark.createDataFrame([("ab", "LOW", 5, 3, 2, 9, "none")], "campaign_id string, tier string, risk_score int, total_events long, unique_ips long, span_s long, checks string")
+    assert profile.select(summaries.campaign().alias("s")).first().s == "[ab] tier=LOW score=5 events=3 ips=2 span=9s checks=none"
