@@ -91,6 +91,11 @@ def session_report(found: DataFrame) -> DataFrame:
     )
 
 
+def severe_sessions(found: DataFrame, severities: tuple[str, ...] = ("CRITICAL", "HIGH")) -> DataFrame:
+    """The report's sessions of these severities as rows, any number of them."""
+    return found.where(F.col("severity").isin(*severities))
+
+
 def top_sessions(found: DataFrame, n: int) -> DataFrame:
     return found.orderBy(F.desc("score"), "start_ms", "session_id").limit(n)
 

@@ -93,6 +93,11 @@ def _(hp: DataFrame) -> DataFrame:
     return sessions.session_report(sessions.sessions(hp))
 
 
+@over_events("a20_severe_sessions", _SESSIONS + "SELECT session_id, severity, score FROM v WHERE severity IN ('CRITICAL', 'HIGH')")
+def _(hp: DataFrame) -> DataFrame:
+    return sessions.severe_sessions(sessions.sessions(hp)).select("session_id", "severity", "score")
+
+
 @over_events("n23_report_summary", _SESSIONS + "SELECT 'SessionReport: ' || count(*) || ' sessions | ' || coalesce(sum(events), 0)::BIGINT || ' events | ' || count(DISTINCT source_ip) || ' source IPs | CRITICAL=' || count(*) FILTER (severity = 'CRITICAL') || ' HIGH=' || count(*) FILTER (severity = 'HIGH') AS line FROM v")
 def _(hp: DataFrame) -> DataFrame:
     return sessions.session_report(sessions.sessions(hp)).select(summaries.session_report().alias("line"))
