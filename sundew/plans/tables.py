@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 _own_folder: dict[str, str] = {}
-_owners: list[list[DataFrame]] = []
+_of_thread = threading.local()
+
+
+def _owners() -> list[list[DataFrame]]:
+    """The open ``owned_tables`` of this thread; batches of other streams run in threads of their own."""
+    return _of_thread.__dict__.setdefault("owners", [])
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,8 +47,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
-    if _owners:
-        _owners[-1].append(table)
+    if _owners():
+        _owners()[-1].append(table)
     return table
 
 
@@ -57,11 +63,11 @@ def release(*tables: DataFrame) -> None:
 @contextmanager
 def owned_tables() -> Iterator[None]:
     """Delete at the end what ``materialize`` has written inside; results have to be read or written before."""
-    _owners.append([])
+    _owners().append([])
     try:
         yield
     finally:
-        release(*_owners.pop())
+        release(*_owners().pop())
 
 
 def tidy(spark: SparkSession) -> None:

@@ -1,12 +1,14 @@
 """Rows at, just under and just over the limits, and what SQL doesn't show."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from sundew.functions import fields, net, summaries
 from sundew.operators import campaigns, dedup, filters, fingerprints, geo, intel, lateral, rates, rules, sessions
+from sundew.plans import tables
 from sundew.sources import delivery, geo_records, jsonl, probes
 from sundew.streaming import detect
 from sundew.streaming.run import replayed, replayed_batches
@@ -323,3 +325,13 @@ def test_summary_lines(spark):
     assert token.select(summaries.canary_token().alias("s")).first().s == "[01234567] API_KEY: x"
     profile = spark.createDataFrame([("ab", "LOW", 5, 3, 2, 9, "none")], "campaign_id string, tier string, risk_score int, total_events long, unique_ips long, span_s long, checks string")
     assert profile.select(summaries.campaign().alias("s")).first().s == "[ab] tier=LOW score=5 events=3 ips=2 span=9s checks=none"
+
+
+def test_owned_tables_are_of_their_thread(spark):
+    with ThreadPoolExecutor(1) as other, tables.owned_tables():
+        with tables.owned_tables():
+            theirs = other.submit(tables.materialize, times(spark, 1), "theirs").result()
+            ours = tables.materialize(times(spark, 1), "ours")
+        assert theirs.count() == 1
+        with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
+            ours.count()
