@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundew.llm import byte_bpe, chat_format, line_dedup, media_columns, ngram_join, quality_rules, sharding, source_mix, substring_dedup, token_counts
+from sundew.llm import alignment, byte_bpe, chat_format, fill_middle, language_id, line_dedup, media_columns, ngram_join, quality_rules, sharding, source_mix, substring_dedup, token_counts
 from sundew.plans.tables import shared_folder
 
 
@@ -78,7 +78,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "kept", "ratio", "reason")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_chat_format, op4_byte_bpe, op5_substring_dedup, op6_source_mix, op7_sharding, op8_ngram_join, op9_token_counts, op10_quality_rules)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = alignment.ByteRanks(tokenizer_file("byte_bpe_50k.json")), alignment.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    return alignment.align(documents(spark, sf_dir).select("doc_id", "text"), a, b, keep=["doc_id"])
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.fill_middle(documents(spark, sf_dir).select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    return language_id.identify(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_chat_format, op4_byte_bpe, op5_substring_dedup, op6_source_mix, op7_sharding, op8_ngram_join, op9_token_counts, op10_quality_rules, op11_alignment, op12_fill_middle, op13_language_id)}
 
 SQL: dict[str, str] = {}
 
@@ -131,6 +147,16 @@ SELECT doc_id, count(*) FILTER (is_line) AS n_lines, count(*) FILTER (is_line AN
 FROM judged GROUP BY doc_id
 """
 
+SQL["op12_fill_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(s, i, 8))::BIGINT) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(text) AS restored_sha256,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256 FROM p
+"""
+
 SQL["op3_chat_format"] = r"""
 WITH r AS (SELECT conv_id, coalesce(turn, -1) AS turn, role, coalesce(text, '') AS text FROM conversations),
 t AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), text, role) - 1) // 64 AS piece,
