@@ -7,8 +7,9 @@ leaves the band for chunks, which finds a bad passage that an otherwise good tex
 chunk ends with the text, so every byte of a text of at least one chunk is judged in a chunk, and a shorter
 text is one chunk, judged by the band of its length.
 
-Random text over few characters (hex digits) compresses as its alphabet allows and no further. So a ratio is also
-taken relative to the one that coding single bytes would give: prose of some length falls below it, noise doesn't.
+Random text over few characters (digits, hex digits) compresses as its alphabet allows, so no ratio tells it from prose. What
+does, at any length and for any alphabet, is that in prose a byte tells something of the next one and in noise it doesn't. How much it seems to
+tell in the same bytes shuffled, which is chance alone, is taken off.
 """
 
 from __future__ import annotations
@@ -37,17 +38,18 @@ BANDS = (
 )
 #: The band of one full chunk of CHUNK_BYTES bytes.
 CHUNK_BYTES, CHUNK_BAND = 4096, (0.36, 0.64)
-#: Longest length in bytes and greatest accepted relative ratio; shorter texts can't be told from noise by it. Alphabets that alone
-#: make a text shorter than DENSE are not judged so.
-NOISE = ((3072, 9.9), (8192, 1.02), (16384, 1.0), (1 << 62, 0.97))
-CHUNK_NOISE, DENSE = 1.015, 0.515
+#: Fixed value: least accepted share of a byte's entropy that the byte before tells, for texts and chunks alike. Of texts labelled good it is
+#: 0.13 and more, of random letters, digits, hex or base64 in words of two and more characters 0.09 at most.
+LEAST_ORDER = 0.09
+#: Bytes whose pairs are counted at once.
+PAIR_BYTES = 1 << 20
 
 MIN_WORDS, REPEAT_PERCENT, LEVEL = 50, 50, 3
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "ratio double, worst_low double, worst_high double, noise double, worst_noise double, kept boolean, reason string"
+    "ratio double, worst_low double, worst_high double, pair_order double, worst_order double, kept boolean, reason string"
 )
 
 
@@ -75,15 +77,32 @@ def band(n_bytes: int) -> tuple[float, float]:
     return next((low, high) for longest, low, high in BANDS if n_bytes <= longest)
 
 
-def byte_entropy(raw: bytes) -> float:
-    """The ratio that an ideal code of single bytes would reach."""
-    counts = np.bincount(np.frombuffer(raw, np.uint8))
-    share = counts[counts > 0] / len(raw)
-    return float(-(share * np.log2(share)).sum() / 8)
-
-
-def noise_limit(n_bytes: int) -> float:
-    return next(most for longest, most in NOISE if n_bytes <= longest)
+def entropy(counts: np.ndarray) -> float:
+    share = counts[counts > 0] / counts.sum()
+    return float(-(share * np.log2(share)).sum())
+
+
+def pair_order(raw: bytes) -> float:
+    """The share of a byte's entropy that the byte before it tells, less what it seems to tell in the same bytes shuffled (with a fixed seed). 1 for one repeated byte."""
+    data = np.frombuffer(raw, np.uint8)
+    counts = np.bincount(data, minlength=256)
+    used = np.flatnonzero(counts)
+    wide = len(used)
+    if wide < 2:
+        return 1.0
+    number = np.zeros(256, np.int64)
+    number[used] = np.arange(wide)
+    chance = np.random.Generator(np.random.PCG64(5))
+    both = []
+    for mixed in (False, True):
+        pairs = np.zeros(wide * wide, np.int64)
+        for at in range(0, len(data), PAIR_BYTES):
+            block = number[data[at : at + PAIR_BYTES + 1]]
+            block = chance.permutation(block) if mixed else block
+            pairs += np.bincount(block[:-1] * wide + block[1:], minlength=wide * wide)
+        table = pairs.reshape(wide, wide)
+        both.append(entropy(table.sum(axis=0)) + entropy(table.sum(axis=1)) - entropy(pairs))
+    return (both[0] - both[1]) / entropy(counts)
 
 
 def chunk_starts(n_bytes: int) -> list[int]:
@@ -95,8 +114,9 @@ def chunk_starts(n_bytes: int) -> list[int]:
 def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add the base features, the compression ratios and the verdict to every row.
 
-    Nulls and empty texts count as texts without words: they fail the base rule. ``noise`` and ``worst_noise`` are the relative ratios of
-    the text and of its chunks, 0 where a text is not dense. Repeated rows get equal verdicts. Extra columns pass through; one with the name of a computed column is replaced.
+    Nulls and empty texts count as texts without words: they fail the base rule. ``pair_order`` and ``worst_order`` are what a byte tells of the next one,
+    in the text and in its chunk of least order. Repeated rows get equal verdicts. Extra columns pass through; one with the name of a computed column is replaced.
+    An empty table gives an empty result.
     One Arrow pass, no shuffle; a task holds one slice of texts at a time.
     """
 
@@ -107,12 +127,6 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
             # a compressor for each call would cost more than the work on short texts
             return len(packer.compress(raw)) / len(raw)
 
-        def relative(raw: bytes, ratio: float) -> float:
-            # only a dense text can be noise: of few letters, prose and noise come to the same
-            # a text of one byte value has no noise
-            least = byte_entropy(raw)
-            return ratio / least if ratio > DENSE and least > 0 else 0.0
-
         packer = zstandard.ZstdCompressor(level=LEVEL)
 
         def call(texts: list[bytes | None]) -> dict[str, pa.Array]:
@@ -122,23 +136,24 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
                 n, chars, symbols, lines, repeated = base_features(raw)
                 failed = n < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * n
                 ratio = shrink(raw) if raw else None
-                noise = relative(raw, ratio) if raw else None
+                order = pair_order(raw) if raw else None
                 parts = [raw[i : i + CHUNK_BYTES] for i in chunk_starts(len(raw))]
                 chunks = [shrink(part) for part in parts]
                 low, high = band(len(raw))
                 worst_low, worst_high = min(chunks, default=None), max(chunks, default=None)
-                worst_noise = max((relative(part, r) for part, r in zip(parts, chunks, strict=True)), default=None)
+                worst_order = min(map(pair_order, parts), default=None)
                 reason = (
                     "too few words" if n < MIN_WORDS
                     else "repeated words" if failed
                     else "repetitive text" if ratio < low
                     else "incompressible text" if ratio > high
                     else "repetitive chunk" if chunks and worst_low < CHUNK_BAND[0]
-                    else "incompressible chunk" if chunks and (worst_high > CHUNK_BAND[1] or worst_noise > CHUNK_NOISE)
-                    else "incompressible text" if noise > noise_limit(len(raw))
+                    else "incompressible chunk" if chunks and worst_high > CHUNK_BAND[1]
+                    else "noise" if order < LEAST_ORDER
+                    else "noise in a chunk" if chunks and worst_order < LEAST_ORDER
                     else None
                 )
-                rows.append((n, chars, symbols, lines, repeated, failed, ratio, worst_low, worst_high, noise, worst_noise, reason is None, reason))
+                rows.append((n, chars, symbols, lines, repeated, failed, ratio, worst_low, worst_high, order, worst_order, reason is None, reason))
             columns = zip(*rows, strict=True)
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 5 + [pa.bool_(), pa.string()]
             names = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -1,51 +1,44 @@
 """Substring dedup (5): windows repeated at one length alone are extended to twice that length.
 
 A window of the full length repeats only if every shorter window inside it repeats. The levels are a
-quarter of the full length, half of it and the whole, rounded up: 4, 7 and 13 words for 13. At each
-level a full window is judged by one sub-window, the one of smallest hash inside it, which equal windows
-choose alike, so that few sub-windows are shuffled. Only full windows whose chosen sub-window starts in two
-documents go on to the next length. At the full length the windows are compared whole, by 96 bits of two hashes that are independent
-from the bytes on, and by the same 96 bits they are found again in the texts.
+quarter of the full length, half of it and the whole, rounded up: 4, 7 and 13 words for 13. At each of the first
+two a full window is judged by one sub-window, the one of smallest hash inside it, which equal windows
+choose alike, so that few sub-windows are shuffled, 8 bytes each. Only full windows whose chosen sub-window starts in two
+documents go on to the next length. Sub-windows are compared by a hash: one that is taken for another lets a window go on, no more.
+At the full length the windows that are left are decided by their words: by 128 bits of BLAKE2b over the words, joined by one blank.
 
 Of equal texts only that of the smallest document is searched: every window of the others starts in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sundew.llm._arrow import small_batches, text_slices, with_columns
-from sundew.llm._hashing import finish, joined_words, window_hashes, word_hashes
+from sundew.llm._hashing import finish, joined_words, window_hashes
 from sundew.plans.tables import lookup, materialize, release, tidy
 
-#: Words of a window, the seed of the second hash, and the two hashes of a window as they are packed.
-WINDOW, SECOND = 13, 29
-PACK = np.dtype([("one", "<u8"), ("two", "<u4")])
-KEY_BYTES = PACK.itemsize
+#: Words of a window, and bytes of its digest.
+WINDOW, DIGEST_BYTES = 13, 16
 
 
-def packed_windows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    out = np.empty(len(one), PACK)
-    out["one"], out["two"] = one, two.astype(np.uint32)
-    return out
-
-
-def members(these: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of ``these`` packed windows are among ``known``, by all their bits."""
-    known = np.sort(known, order=["one", "two"])
-    first, after = (np.searchsorted(known["one"], these["one"], side=s) for s in ("left", "right"))
-    out = np.zeros(len(these), bool)
-    for shift in range(int((after - first).max(initial=0))):
-        at = first + shift
-        inside = at < after
-        out[inside] |= known["two"][at[inside]] == these["two"][inside]
-    return out
+def window_digests(raw: bytes, places: Iterable[int], window: int) -> Iterator[bytes]:
+    """Digests of the words of the windows that start at these words, whatever stands between the words."""
+    words = raw.split()
+    text = memoryview(b" ".join(words))
+    sizes = np.array([len(w) + 1 for w in words])
+    stops = np.cumsum(sizes) - 1
+    starts = (stops + 1 - sizes).tolist()
+    stops = stops.tolist()
+    digest = hashlib.blake2b
+    return (digest(text[starts[i] : stops[i + window - 1]], digest_size=DIGEST_BYTES).digest() for i in places)
 
 
 def levels(window: int) -> tuple[int, int, int]:
@@ -90,11 +83,23 @@ def first_keys(window: int, length: int):
     return compute
 
 
+def listed(docs: pa.Array, own: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """``doc, keys``: the different keys of each of ``docs`` that has some; ``own`` is the place of each key's document."""
+    order = np.lexsort((keys, own))
+    keys, own = keys[order], own[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+    keys, own = keys[new], own[new]
+    with_keys, first = np.unique(own, return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64)))
+    return pa.RecordBatch.from_arrays([docs.take(pa.array(with_keys)), lists], names=["doc", "keys"])
+
+
 def extend(df: DataFrame, window: int, length: int, following: int) -> DataFrame:
-    """From texts with the ``keys`` of ``length`` words that two documents share: the windows that go on.
+    """From texts with the ``keys`` of ``length`` words that two documents share: what the windows that go on are judged by next.
 
-    One row for each sub-window of ``following`` words and text: ``key``, ``doc``, and the packed hashes (KEY_BYTES each) of
-    the full windows that it judges.
+    One row for each text: ``doc`` and ``keys``, its sub-windows of ``following`` words, or, where that is the whole window, one row
+    for each different window: ``doc`` and ``key``, the digest of its words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,28 +108,31 @@ def extend(df: DataFrame, window: int, length: int, following: int) -> DataFrame
                 part = batch.slice(start, stop - start)
                 raws = [t or b"" for t in part.column("__text").cast(pa.binary()).to_pylist()]
                 words, owner, starts = windows(raws, window)
+                if not len(starts):
+                    continue
                 known = part.column("keys")
                 sizes = pc.list_value_length(known).to_numpy(zero_copy_only=False)
                 tagged = known.flatten().to_numpy().view(np.uint64) ^ finish(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes))
-                short, longer = window_hashes(words, length), window_hashes(words, following)
-                if not len(starts):
-                    continue
+                short = window_hashes(words, length)
                 judge = chosen(short, window - length + 1)[starts]
                 alive = starts[np.isin(short[judge] ^ finish(owner[starts].astype(np.uint64)), tagged)]
                 if not len(alive):
                     continue
-                both = packed_windows(window_hashes(words, window)[alive], window_hashes(joined_words(raws, SECOND)[0], window)[alive])
-                key, own = longer[chosen(longer, window - following + 1)[alive]], owner[alive]
-                order = np.lexsort((key, own))
-                key, own = key[order], own[order]
-                packed = both[order]
-                cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
-                ends = np.append(cut, len(order)) * KEY_BYTES
-                packs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
-                docs = part.column("doc").take(pa.array(own[cut]))
-                yield pa.RecordBatch.from_arrays([docs, pa.array(key[cut].view(np.int64)), packs], names=["doc", "key", "windows"])
+                if following < window:
+                    longer = window_hashes(words, following)
+                    yield listed(part.column("doc"), owner[alive], longer[chosen(longer, window - following + 1)[alive]])
+                    continue
+                first = np.searchsorted(owner, np.arange(len(raws)))  # the first word of each text
+                cuts = np.searchsorted(owner[alive], np.arange(len(raws) + 1))
+                for i in np.flatnonzero(np.diff(cuts)).tolist():
+                    found = list(set(window_digests(raws[i], (alive[cuts[i] : cuts[i + 1]] - first[i]).tolist(), window)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array([i] * len(found))), pa.array(found, pa.binary())], names=["doc", "key"])
+
+    return small_batches(df).mapInArrow(run, "doc long, key binary" if following == window else "doc long, keys array<bigint>")
 
-    return small_batches(df).mapInArrow(run, "doc long, key long, windows binary")
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 2 * DIGEST_BYTES))
 
 
 def ends_of(df: DataFrame) -> DataFrame:
@@ -133,32 +141,38 @@ def ends_of(df: DataFrame) -> DataFrame:
     return ends.where("low < high").drop("high")
 
 
+def shared_keys(table: DataFrame, label: str) -> DataFrame:
+    """``doc, keys``: of the keys of each document those that another document has too."""
+    rows = table.select("doc", F.explode("keys").alias("key"))
+    total = table.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = lookup(rows, ends_of(rows).drop("low"), ["key"], total, F.xxhash64("doc", "key")).groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    out = materialize(shared, label)
+    tidy(table.sparkSession)
+    return out
+
+
 def repeated_windows(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """``doc``, ``hashes`` and ``copies``: its windows that also start in a document with a smaller key, and hashes of its texts that equal a smaller document's."""
+    """``doc``, ``hashes`` and ``copies``: digests of its windows that also start in a document with a smaller key, and digests of its texts that equal a smaller document's."""
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text"))
     quarter, half, _ = levels(window)
-    hashed = source.withColumns({"h1": F.xxhash64("__text"), "h2": F.xxhash64(F.lit(5), "__text")})
-    listed = materialize(with_columns(hashed, "__text", "keys array<bigint>", first_keys(window, quarter), keep=["doc", "h1", "h2"]).where(F.size("keys") > 0), f"substring-keys-{quarter}")
-    equal = listed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = materialize(lookup(listed, equal, ["h1", "h2"], listed.count(), F.col("doc"), "left").drop("h2"), "substring-marked")
-    release(listed)
-    copies = marked.where("doc > first").select("doc", F.lit(None).cast("binary").alias("key"), "h1")
-    keyed = marked.where("first is null or doc <= first").select("doc", F.explode("keys").alias("key"))
-    total = marked.agg(F.sum(F.size("keys"))).first()[0] or 0
-    alive = lookup(keyed, ends_of(keyed).drop("low"), ["key"], total, F.xxhash64("doc", "key")).groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    alive = materialize(alive, f"substring-{quarter}")
-    tidy(df.sparkSession)
-    kept = materialize(extend(source.join(alive.hint("merge"), "doc"), window, quarter, half), f"substring-{half}")
+    hashed = source.withColumn("whole", text_digest(F.col("__text")))
+    keyed = materialize(with_columns(hashed, "__text", "keys array<bigint>", first_keys(window, quarter), keep=["doc", "whole"]).where(F.size("keys") > 0), f"substring-keys-{quarter}")
+    equal = keyed.groupBy("whole").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = materialize(lookup(keyed, equal, ["whole"], keyed.count(), F.col("doc"), "left"), "substring-marked")
+    release(keyed)
+    copies = marked.where("doc > first").select("doc", F.lit(None).cast("binary").alias("key"), "whole")
+    own = marked.where("first is null or doc <= first").select("doc", "keys")
+    alive = shared_keys(own, f"substring-{quarter}")
+    longer = materialize(extend(source.join(alive.hint("merge"), "doc"), window, quarter, half), f"substring-keys-{half}")
     release(alive)
     tidy(df.sparkSession)
-    shared = lookup(kept, ends_of(kept).drop("low"), ["key"], kept.count(), F.xxhash64("doc", "key"))
-    spots = F.sequence(F.lit(0), (F.length("windows") / KEY_BYTES).cast("int") - 1)
-    pair = F.explode(F.transform(spots, lambda i: F.substring("windows", i * KEY_BYTES + 1, F.lit(KEY_BYTES)))).alias("key")
-    full = materialize(shared.select("doc", pair), f"substring-{window}")
-    release(kept)
+    alive = shared_keys(longer, f"substring-{half}")
+    release(longer)
+    full = materialize(extend(source.join(alive.hint("merge"), "doc"), window, half, window), f"substring-{window}")
+    release(alive)
     tidy(df.sparkSession)
-    later = lookup(full, ends_of(full), ["key"], full.count(), F.xxhash64("doc", "key")).where("low < doc").select("doc", "key", F.lit(None).cast("long").alias("h1"))
-    found = later.unionByName(copies).groupBy("doc").agg(F.collect_set("key").alias("hashes"), F.collect_set("h1").alias("copies"))
+    later = lookup(full, ends_of(full), ["key"], full.count(), F.xxhash64("doc", "key")).where("low < doc").select("doc", "key", F.lit(None).cast("binary").alias("whole"))
+    found = later.unionByName(copies).groupBy("doc").agg(F.collect_set("key").alias("hashes"), F.collect_set("whole").alias("copies"))
     found = materialize(found, "substring-found")
     release(full, marked)
     tidy(df.sparkSession)
@@ -173,12 +187,12 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     stay are joined by one blank. Nulls are texts without words. A row with a null key has no smaller
     documents and is smaller than none, so it stays whole. Rows with one key are one document, and
     each is judged by its own text. An empty table gives an empty result; a column with the name of a computed one
-    is replaced. Windows are compared by 96 bits of hash.
+    is replaced. Windows are compared by 128 bits of a cryptographic digest of their words, and so are whole texts.
     """
     found = repeated_windows(df, key, text, window)
     given = df.drop("n_words", "n_removed", "kept_text")
     both = given.join(found.hint("merge").withColumnsRenamed({"doc": "__doc", "hashes": "__hashes", "copies": "__copies"}), F.col(key).cast("long") == F.col("__doc"), "left")
-    copied = F.coalesce(F.array_contains("__copies", F.xxhash64(text)), F.lit(False))
+    copied = F.coalesce(F.array_contains("__copies", text_digest(F.col(text))), F.lit(False))
     both = both.withColumn("__copied", copied).drop("__doc", "__copies")
     out = given.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
     columns = given.columns
@@ -194,8 +208,8 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
                     if copied:  # all of its windows start in a smaller document
                         removed, stays = len(words), np.zeros(len(words), bool)
                     elif raw and hashes.is_valid and len(hashes):
-                        known = np.frombuffer(b"".join(hashes.as_py()), PACK)
-                        at = np.flatnonzero(members(packed_windows(window_hashes(word_hashes(raw), window), window_hashes(word_hashes(raw, SECOND), window)), known))
+                        known = set(hashes.as_py())
+                        at = np.array([i for i, d in enumerate(window_digests(raw, range(len(words) - window + 1), window)) if d in known], np.int64)
                         cover = np.zeros(len(words) + 1, np.int64)
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + window, -1)

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, and their edge rows."""
+"""The operators against brute force, and their edge rows."""
 
 import base64
 import hashlib
@@ -6,15 +6,17 @@ import io
 import os
 import random
 import re
+import string
 import wave
 import zipfile
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sundew.llm import byte_bpe, chat_format, line_dedup, media_columns, ngram_join, quality_rules, sharding, source_mix, substring_dedup, token_counts
+from sundew.llm import alignment, byte_bpe, chat_format, fill_middle, language_id, line_dedup, media_columns, ngram_join, quality_rules, sharding, source_mix, substring_dedup, token_counts
 from sundew.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -274,6 +276,16 @@ def test_substrings_agree_with_brute_force(spark):
     assert got == brute_substring(list(enumerate(texts)))
 
 
+def test_windows_are_decided_by_their_words(spark):
+    one = "a"
+    while len(one) < 1024:  # equal under any sum of bytes weighed by powers of one odd number, modulo 2**64
+        one += one.translate(str.maketrans("ab", "ba"))
+    other, shared = one.translate(str.maketrans("ab", "ba")), " ".join(f"w{i}" for i in range(12))
+    texts = [f"{shared} {one}", f"{shared} {other}", f"x {shared}\n{one}"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs(spark, texts)).collect()}
+    assert got == brute_substring(list(enumerate(texts))) and got[1][1] == 0 and got[2][1] == 13
+
+
 # 6
 def test_mix_balances_and_reruns_agree(spark):
     rnd = random.Random(2)
@@ -460,24 +472,36 @@ def test_base_features_agree_with_brute_force(spark):
         assert not (r.kept and r.base_failed)
 
 
+def prose_of(spark, size):
+    """Text of documents labelled good, one after the other."""
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    texts = [r.text for r in good.where("lang = 'en' and n_chars > 500").orderBy("doc_id").select("text").collect()]
+    return " ".join(dict.fromkeys(texts))[:size]
+
+
 def test_bands_reject_repetition_and_noise(spark):
     rnd = random.Random(0)
-    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(2500))
+    prose = prose_of(spark, 14_000)
     noise = " ".join("%032x" % rnd.getrandbits(128) for _ in range(200))
     loop = " ".join(f"row {i % 97} of the table is {i % 7} long" for i in range(700))
-    texts = [prose, noise * 1, loop, prose[:9000] + loop[:9000]]
+    letters = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(2500))
+    texts = [prose, noise, loop, prose[:9000] + loop[:9000], letters]
     got = {r.doc_id: (r.kept, r.reason) for r in quality_rules.quality_rules(docs(spark, texts)).collect()}
     assert got[0] == (True, None) and not got[2][0] and not got[3][0]
-    assert got[1] == (False, "incompressible chunk")
+    assert got[1] == got[4] == (False, "noise")
+
 
+@pytest.mark.parametrize("size", [600, 1000, 3000, 200_000])
+def test_noise_over_any_alphabet_is_rejected_at_any_length(spark, size):
+    rnd = random.Random(size)
+    alphabets = ["0123456789", "0123456789abcdef", "etaoinshrdlu", string.ascii_lowercase, string.ascii_letters + string.digits + "+/"]
+    texts = [" ".join("".join(rnd.choices(a, k=k or rnd.randint(2, 9))) for _ in range(size // 8 + 60))[: max(size, 560)] for a in alphabets for k in (0, 8)]
+    got = quality_rules.quality_rules(docs(spark, texts)).collect()
+    assert not any(r.kept for r in got) and all(r.pair_order < quality_rules.LEAST_ORDER for r in got)
 
-def test_noise_over_a_small_alphabet_is_rejected_at_any_length_it_can_be_told_at(spark):
-    rnd = random.Random(4)
-    hexes = " ".join("%032x" % rnd.getrandbits(128) for _ in range(2000))
-    base = " ".join(base64.b64encode(rnd.randbytes(54)).decode() for _ in range(900))
-    texts = [x[:n] for n in (3500, 6600, 12_000, 60_000) for x in (hexes, base)]
+
+def test_documents_labelled_good_are_kept(spark):
     good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
-    assert not any(r.kept for r in quality_rules.quality_rules(docs(spark, texts)).collect())
     kept = quality_rules.quality_rules(good.select("doc_id", "text")).where("not base_failed").groupBy("kept").count().collect()
     assert {r.kept for r in kept} == {True}
 
@@ -495,7 +519,12 @@ def test_verdicts_agree_with_a_plain_reading_of_the_limits(spark):
         return len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
 
     def noise(b):
-        return ratio(b) / (-sum(n / len(b) * math.log2(n / len(b)) for n in Counter(b).values()) / 8) if ratio(b) > quality_rules.DENSE else 0.0
+        def told(x):
+            bits = lambda c: -sum(n / c.total() * math.log2(n / c.total()) for n in c.values())
+            return bits(Counter(x[:-1])) + bits(Counter(x[1:])) - bits(Counter(zip(x, x[1:]))), bits(Counter(x))
+
+        mixed = bytes(np.random.Generator(np.random.PCG64(5)).permutation(np.frombuffer(b, np.uint8)))
+        return told(b)[1] > 0 and (told(b)[0] - told(mixed)[0]) / told(b)[1] < 0.09
 
     def verdict(text):
         b = (text or "").encode()
@@ -504,11 +533,11 @@ def test_verdicts_agree_with_a_plain_reading_of_the_limits(spark):
         if len(w) < 50 or 2 * len({i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}) > len(w):
             return False
         low, high = next((x, y) for n, x, y in quality_rules.BANDS if len(b) <= n)
-        if not low <= ratio(b) <= high or noise(b) > next(y for n, y in quality_rules.NOISE if len(b) <= n):
+        if not low <= ratio(b) <= high or noise(b):
             return False
         whole = [b[i : i + 4096] for i in range(0, len(b), 4096) if i + 4096 <= len(b)]
         parts = whole + ([b[-4096:]] if whole else [])
-        return all(0.36 <= ratio(p) <= 0.64 and noise(p) <= quality_rules.CHUNK_NOISE for p in parts)
+        return all(0.36 <= ratio(p) <= 0.64 and not noise(p) for p in parts)
 
     got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs(spark, texts)).collect()}
     assert got == {i: verdict(t) for i, t in enumerate(texts)}
@@ -516,7 +545,8 @@ def test_verdicts_agree_with_a_plain_reading_of_the_limits(spark):
 
 def test_the_end_of_a_text_is_judged_like_its_start(spark):
     rnd = random.Random(0)
-    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(12_000))
+    prose = prose_of(spark, 66_000)
+    assert len(prose) == 66_000
     noise = " ".join(base64.b64encode(rnd.randbytes(54)).decode() for _ in range(53))
     loop = " ".join(f"row {i % 97} of the table is {i % 7} long" for i in range(700))
     texts = [noise, prose[:40_960] + noise[:3900], noise[:3900] + prose[:40_960], prose[:60_000] + loop[:5000], prose[:40_960], prose[:45_000]]
@@ -536,6 +566,9 @@ OPERATORS = {
     "8": lambda d, t: ngram_join.similar(d),
     "9": lambda d, t: token_counts.count_tokens(d, tokenizer_file("piece_bpe_32k.model")),
     "10": lambda d, t: quality_rules.quality_rules(d),
+    "11": lambda d, t: alignment.align(d, alignment.ByteRanks(tokenizer_file("byte_bpe_50k.json")), alignment.Pieces(tokenizer_file("piece_bpe_32k.model"))),
+    "12": lambda d, t: fill_middle.restore(fill_middle.fill_middle(d)),
+    "13": lambda d, t: language_id.identify(d, F.lit(True)),
 }
 
 
