@@ -165,6 +165,17 @@ def campaign_ids(events: DataFrame, event_id: str = "seq", chunked: bool = False
     return events.groupBy("campaign").agg(F.substring(F.sha2(ids, 256), 1, 12).alias("campaign_id"))
 
 
+def merged_ids(events: DataFrame, event_id: str = "seq") -> DataFrame:
+    """``campaign, campaign_id``: 12 hex of a digest that doesn't depend on the order, so that partial sums merge and no row or task has a list of ids.
+
+    Every id's SHA-256 gives eight numbers of 24 bits; they are summed over the campaign, and the sums are hashed. An id that comes twice counts twice.
+    """
+    digest = F.sha2(F.col(event_id).cast("string"), 256)
+    each = events.select("campaign", *(F.conv(F.substring(digest, 1 + 6 * i, 6), 16, 10).cast("long").alias(f"d{i}") for i in range(8)))
+    sums = each.groupBy("campaign").agg(*(F.sum(f"d{i}").cast("string").alias(f"d{i}") for i in range(8)))
+    return sums.select("campaign", F.substring(F.sha2(F.concat_ws(",", *(f"d{i}" for i in range(8))), 256), 1, 12).alias("campaign_id"))
+
+
 def profiles(events: DataFrame, checked: DataFrame, event_id: str = "seq", chunked: bool = False) -> DataFrame:
     """One row for each campaign: id (see ``campaign_ids``), score, tier, totals, span, fired checks."""
     named = campaign_ids(events, event_id, chunked)

@@ -69,6 +69,11 @@ def is_upload(method: Column | None = None) -> Column:
     return F.coalesce(web | ((F.col("service") == "ftp") & F.col("payload").rlike(UPLOAD_STOR)), F.lit(False))
 
 
+def uploads(events: DataFrame) -> Column:
+    """``is_upload`` by the events' column ``method``; events without one can't be told apart by it."""
+    return is_upload(F.col("method") if "method" in events.columns else None)
+
+
 def is_command() -> Column:
     """An attempt to run a command."""
     text = F.col("payload")

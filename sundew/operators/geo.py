@@ -65,7 +65,7 @@ def resolve(ips: DataFrame, prefixes: DataFrame, ranges: DataFrame | None = None
         out = out.join(hit, "ip", "left")
     else:
         out = out.withColumn("range", F.lit(None).cast(f"struct<ip_from:bigint,{','.join(f'{c.split()[0]}:{c.split()[1]}' for c in PLACE.split(', '))}>"))
-    private = is_private(F.col("ip"))
+    private = is_private(F.col("ip"), v6=True)
     found = {n: F.when(~private, F.coalesce(F.col(f"range.{n}"), F.when(F.col("range").isNull(), F.col(f"stub.{n}")))) for n in names}
     found["country_code"] = F.when(private, "--").otherwise(F.coalesce(found["country_code"], F.lit("??")))
     found["country_name"] = F.when(private, "Private/Reserved").otherwise(F.coalesce(found["country_name"], F.lit("Unknown")))

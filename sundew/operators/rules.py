@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sundew.operators.filters import is_command, is_upload
+from sundew.operators.filters import is_command, uploads
 
 MINUTE = 60_000
 
@@ -45,13 +45,14 @@ def detections(events: DataFrame, least: int = 10) -> DataFrame:
     """``rule, source_ip, ts_ms`` of the four rules; a window counts at its start."""
     event = lambda test, name: events.where(test).select(F.lit(name).alias("rule"), "source_ip", "ts_ms")
     window = lambda df, name: df.select(F.lit(name).alias("rule"), "source_ip", F.col("window_ms").alias("ts_ms"))
-    parts = [window(brute_force(events, least), "brute_force"), event(is_upload(), "upload"), event(is_command(), "command"), window(lateral_behaviour(events), "lateral")]
+    parts = [window(brute_force(events, least), "brute_force"), event(uploads(events), "upload"), event(is_command(), "command"), window(lateral_behaviour(events), "lateral")]
     return reduce(DataFrame.unionByName, parts)
 
 
 def escalations(events: DataFrame, minutes: int = 15) -> DataFrame:
     """Commands with an upload of the same address within ``minutes``, before or after: the nearest upload on each side decides, so events aren't paired."""
-    marked = events.where(is_upload() | is_command()).withColumns({"__up": is_upload(), "__do": is_command()})
+    up = uploads(events)
+    marked = events.where(up | is_command()).withColumns({"__up": up, "__do": is_command()})
     order = Window.partitionBy("source_ip").orderBy("ts_ms", "seq")
     up = F.when(F.col("__up"), F.col("ts_ms"))
     before = F.last(up, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -14,6 +14,7 @@ T0 = 1704067200000
 USERS = ("root", "admin", "test", "ubuntu", "pi", "guest", "oracle", "svc")
 PASSWORDS = ("root", "admin", "password", "123456", "dragon", "Summer2024", "raspberry", "p@ss", "toor", "letmein")
 AGENTS = ("curl/8.7.1", "zgrab/0.x", "masscan/1.3", "shodan", "Mozilla/5.0", "python-requests/2")
+METHODS = ("GET", "POST", "put")
 PATHS = ("/login", "/.env", "/admin", "/oauth/token", "/upload", "/index", "/.git/config", "/api/login")
 PAYLOADS = ("STOR a.exe", "; cat /etc/passwd", "whoami", "*2\r\n$4\r\nAUTH\r\n$1\r\nx\r\n", "PING", "GET /")
 
@@ -30,7 +31,7 @@ def pick(values: tuple[str, ...], at: Column) -> Column:
 
 
 def attack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event: seq, raw_ms, ts_ms, source_ip, service, sensor_host, username, password, credential, success, dest_port, user_agent, path, payload."""
+    """One row per event: seq, raw_ms, ts_ms, source_ip, service, sensor_host, username, password, credential, success, dest_port, user_agent, path, payload, user_id, k, method, source_port."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     u = F.col("user_id")
     k = F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("long")
@@ -58,6 +59,7 @@ def attack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(web, pick(AGENTS, F.col("u") % 6)).alias("user_agent"),
         F.when(web, pick(PATHS, F.col("k") % 8)).alias("path"),
         pick(PAYLOADS, F.col("k") % 6).alias("payload"), F.col("u").alias("user_id"), "k",
+        F.when(web, pick(METHODS, F.floor(F.col("k") / 2) % 3)).alias("method"), F.when(F.col("u") % 5 > 0, F.col("u") * 7 % 60000 + 1024).cast("int").alias("source_port"),
     )
 
 
@@ -79,6 +81,7 @@ hp1 AS (
     value > 120 AS success, CAST(CASE service WHEN 'ssh' THEN 22 WHEN 'http' THEN 80 WHEN 'api' THEN 8443 WHEN 'ftp' THEN 21 WHEN 'rdp' THEN 3389 END AS INTEGER) AS dest_port,
     CASE WHEN service IN ('http', 'api') THEN {_sql_list(AGENTS, "u % 6")} END AS user_agent,
     CASE WHEN service IN ('http', 'api') THEN {_sql_list(PATHS, "k % 8")} END AS path,
-    replace({_sql_list(tuple(p.replace(chr(13) + chr(10), "~") for p in PAYLOADS), "k % 6")}, '~', chr(13) || chr(10)) AS payload, u AS user_id, k
+    replace({_sql_list(tuple(p.replace(chr(13) + chr(10), "~") for p in PAYLOADS), "k % 6")}, '~', chr(13) || chr(10)) AS payload, u AS user_id, k,
+    CASE WHEN service IN ('http', 'api') THEN {_sql_list(METHODS, "k // 2 % 3")} END AS method, CASE WHEN u % 5 > 0 THEN (u * 7 % 60000 + 1024)::INTEGER END AS source_port
   FROM hp0),
 hp AS (SELECT *, '[masked:len=' || length(password) || ',hash_prefix=' || left(sha256(password), 8) || ']' AS credential FROM hp1)"""

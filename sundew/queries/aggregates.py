@@ -9,7 +9,7 @@ from sundew.operators import dashboards, filters, rules
 from sundew.plans.events import T0
 from sundew.queries.registry import over_events
 
-_UP = r"(service = 'http' AND (regexp_matches(coalesce(path, ''), '(?i)(upload|import|file|attachment)') OR regexp_matches(payload, '(?i)\.(exe|dll|ps1|bat|vbs|js|jar|elf|php)'))) OR (service = 'ftp' AND regexp_matches(payload, '(?i)^STOR\s+.*\.exe$'))"
+_UP = r"(service = 'http' AND upper(coalesce(method, '')) IN ('POST', 'PUT') AND (regexp_matches(coalesce(path, ''), '(?i)(upload|import|file|attachment)') OR regexp_matches(payload, '(?i)\.(exe|dll|ps1|bat|vbs|js|jar|elf|php)'))) OR (service = 'ftp' AND regexp_matches(payload, '(?i)^STOR\s+.*\.exe$'))"
 _DO = r"service <> 'rdp' AND (regexp_matches(payload, ';') OR regexp_matches(payload, '(?i)\b(whoami|cat\s+/etc/passwd)\b'))"
 _TOP = "SELECT {c} AS value, count(*) AS n, min(seq) AS seen FROM hp WHERE coalesce({c}, '') <> '' GROUP BY {c} ORDER BY n DESC, seen LIMIT {k}"
 
@@ -122,5 +122,5 @@ def _(hp: DataFrame) -> DataFrame:
 
 @over_events("ws9_tuned_uploads", f"WITH u AS (SELECT * FROM hp WHERE ({_UP}) AND source_ip NOT LIKE '198.20.%'), g AS (SELECT seq, source_ip, payload, ts_ms - lag(ts_ms) OVER (PARTITION BY source_ip, payload ORDER BY ts_ms, seq) AS gap FROM u) SELECT seq, source_ip, payload FROM g WHERE gap IS NULL OR gap > 1800000")
 def _(hp: DataFrame) -> DataFrame:
-    shown = hp.where(filters.is_upload() & ~F.col("source_ip").startswith("198.20."))
+    shown = hp.where(filters.uploads(hp) & ~F.col("source_ip").startswith("198.20."))
     return rules.first_in_window(shown, ["source_ip", "payload"]).select("seq", "source_ip", "payload")

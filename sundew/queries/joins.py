@@ -46,6 +46,13 @@ def _(hp: DataFrame) -> DataFrame:
     return geo.resolve(ips, geo.known_prefixes(hp.sparkSession), geo_db.ranges(rows)).select("ip", "country_code", "country_name", "geo_source")
 
 
+@over_events("j3_private_v6", "SELECT ip, ip IN ('::1', 'fc00::1', '0:0:0:0:0:0:0:1', 'FD12::2') OR starts_with(ip, '10.') AS is_private, CASE WHEN ip IN ('::1', 'fc00::1', '0:0:0:0:0:0:0:1', 'FD12::2') OR starts_with(ip, '10.') THEN '--' WHEN NOT contains(ip, ':') THEN cc ELSE '??' END AS country_code FROM (SELECT DISTINCT source_ip AS ip, cc FROM (SELECT *, " + _GEO + " FROM hp) UNION SELECT unnest(['::1', 'fc00::1', '0:0:0:0:0:0:0:1', 'FD12::2', 'fe80::1', '2001:db8::1']), NULL)")
+def _(hp: DataFrame) -> DataFrame:
+    spark = hp.sparkSession
+    more = spark.createDataFrame([(i,) for i in ("::1", "fc00::1", "0:0:0:0:0:0:0:1", "FD12::2", "fe80::1", "2001:db8::1")], "ip string")
+    return geo.resolve(hp.select(F.col("source_ip").alias("ip")).unionByName(more), geo.known_prefixes(spark)).select("ip", "is_private", "country_code")
+
+
 @over_events("j5_enriched", f"SELECT seq, cc AS country_code, org FROM (SELECT {_GEO} FROM hp)")
 def _(hp: DataFrame) -> DataFrame:
     return geo.enrich(hp, geo.known_prefixes(hp.sparkSession)).select("seq", "country_code", "org")

@@ -265,6 +265,12 @@ def _(hp: DataFrame) -> DataFrame:
     return campaigns.campaign_ids(c, chunked=True).select("campaign", "campaign_id")
 
 
+@over_events("a12_merged_ids", _HOUR + ", s AS (SELECT campaign, " + ", ".join(f"sum(('0x' || substr(sha256(seq::VARCHAR), {1 + 6 * i}, 6))::BIGINT)::VARCHAR AS d{i}" for i in range(8)) + " FROM c GROUP BY campaign) SELECT campaign, left(sha256(concat_ws(',', " + ", ".join(f"d{i}" for i in range(8)) + ")), 12) AS campaign_id FROM s")
+def _(hp: DataFrame) -> DataFrame:
+    """No list of ids anywhere."""
+    return campaigns.merged_ids(campaigns.tumbling(hp, 3600))
+
+
 @over_events("a12_campaign_ids", _HOUR + ", i AS (SELECT campaign, list_sort(list(seq::VARCHAR)) AS ids FROM c GROUP BY campaign) SELECT campaign, left(sha256(array_to_string(ids, ',')), 12) AS campaign_id FROM i")
 def _(hp: DataFrame) -> DataFrame:
     events = campaigns.tumbling(hp, 3600)

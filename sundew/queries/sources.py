@@ -59,10 +59,10 @@ def _(hp: DataFrame) -> DataFrame:
     return siem.elastic_rows(hp.select("seq", "source_ip"), "sensors")
 
 
-@over_events("s7_cef", r"""SELECT seq, 'CEF:0|v\|1|p|1.0|' || CASE service WHEN 'ssh' THEN '1001' WHEN 'http' THEN '1002' WHEN 'api' THEN '1003' ELSE '1000' END || '|' || upper(service) || ' connection attempt observed|5|src=' || source_ip || ' spt=' || dest_port || ' rt=' || ts_ms
+@over_events("s7_cef", r"""SELECT seq, 'CEF:0|v\|1|p|1.0|' || CASE service WHEN 'ssh' THEN '1001' WHEN 'http' THEN '1002' WHEN 'api' THEN '1003' ELSE '1000' END || '|' || upper(service) || ' connection attempt observed|5|src=' || source_ip || coalesce(' spt=' || source_port, '') || ' rt=' || ts_ms
   || coalesce(' duser=' || username, '') || coalesce(' request=' || path, '') || coalesce(' cs1=' || user_agent || ' cs1Label=UserAgent', '') AS value FROM hp""")
 def _(hp: DataFrame) -> DataFrame:
-    return hp.select("seq", siem.cef("v|1", "p").alias("value"))
+    return hp.select("seq", siem.cef("v|1", "p", source_port=F.col("source_port")).alias("value"))
 
 
 @over_events("s8_cef_json", """SELECT seq, 'CEF:0|v|p|1.0|' || service || '|' || service || '|5|src=' || source_ip || ' msg={"seq":' || seq || ',"service":"' || service || '"}' AS value FROM hp""")
@@ -144,7 +144,7 @@ def _(hp: DataFrame) -> DataFrame:
 
 @over_events("s19_stix_feed", _IPS + " SELECT ip AS indicator, 'st' AS source, CASE WHEN s % 2 = 0 THEN 'c2' ELSE 'd' END AS categories, 50 AS confidence, 'id=i' || s || ',name=n' AS tags, 'm' AS last_seen FROM a UNION ALL SELECT '1.2.3.4', 'st', CASE WHEN s % 2 = 0 THEN 'c2' ELSE 'd' END, 50, 'id=i' || s || ',name=n', 'm' FROM a")
 def _(hp: DataFrame) -> DataFrame:
-    pattern = F.concat(F.lit("[ipv4-addr:value = '"), F.col("ip"), F.lit("' OR ipv4-addr:value = '1.2.3.4']"))
+    pattern = F.concat(F.lit("[ipv4-addr:value = '"), F.col("ip"), F.lit("' OR IPV4-ADDR:Value=\"1.2.3.4\"]"))
     labels = F.when(F.col("s") % 2 == 0, F.array(F.lit("c2"))).otherwise(F.array().cast("array<string>"))
     entry = lambda kind: F.struct(F.lit(kind).alias("type"), F.concat(F.lit("i"), F.col("s").cast("string")).alias("id"), F.lit("n").alias("name"), pattern.alias("pattern"), labels.alias("labels"), F.lit("m").alias("modified"))
     texts = _ips(hp).groupBy((F.col("s") % 7).alias("file")).agg(F.to_json(F.struct(F.concat(F.collect_list(entry("indicator")), F.collect_list(entry("malware"))).alias("objects"))).alias("value"))

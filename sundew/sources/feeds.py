@@ -16,7 +16,7 @@ from sundew.functions.net import is_ip_or_cidr
 
 #: Loading order leaves this many rows to a feed.
 FEED_ROWS = 1 << 40
-IPV4_IN_PATTERN = r"ipv4-addr:value\s*=\s*'([^']+)'"
+IPV4_IN_PATTERN = r"""(?i)ipv4-addr:value\s*=\s*['"]([0-9./]+)['"]"""
 
 
 @dataclass(frozen=True)

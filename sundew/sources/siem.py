@@ -37,11 +37,11 @@ def cef_value(text: Column) -> Column:
     return _chain(text.cast("string"), "=", "\n", "\r")
 
 
-def cef(vendor: str, product: str, method: Column | None = None) -> Column:
+def cef(vendor: str, product: str, method: Column | None = None, source_port: Column | None = None) -> Column:
     """A CEF line of the canonical columns; parts that are null or empty are left out."""
     pair = lambda k, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}="), cef_value(c)))
     agent = F.col("user_agent")
-    parts = [F.concat(F.lit("src="), cef_value(F.col("source_ip"))), F.concat(F.lit("spt="), cef_value(F.col("dest_port"))), F.concat(F.lit("rt="), F.col("ts_ms").cast("string")), pair("duser", F.col("username")), pair("request", F.col("path"))]
+    parts = [F.concat(F.lit("src="), cef_value(F.col("source_ip"))), pair("spt", F.lit(None) if source_port is None else source_port), F.concat(F.lit("rt="), F.col("ts_ms").cast("string")), pair("duser", F.col("username")), pair("request", F.col("path"))]
     parts += [pair("requestMethod", method)] if method is not None else []
     parts += [pair("cs1", agent), F.when(F.coalesce(agent, F.lit("")) != "", F.lit("cs1Label=UserAgent"))]
     signature = F.coalesce(F.create_map(*(F.lit(x) for pair in SIGNATURES.items() for x in pair))[F.col("service")], F.lit("1000"))

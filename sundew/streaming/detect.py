@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import time
-from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
 
 from sundew.functions.fields import credential_key
-from sundew.operators import intel
+from sundew.operators import campaigns, intel
 from sundew.operators.dedup import Rule, suppression
+from sundew.operators.filters import is_command, uploads
 from sundew.operators.sessions import scored
 from sundew.plans.tables import owned_tables
 
@@ -24,81 +28,226 @@ def timed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one micro-batch in order of time."""
-    held = list(frames)
-    rows = held[0] if len(held) == 1 else pd.concat(held)
-    return rows if len(rows) == 1 else rows.sort_values(["ts_ms", "seq"], kind="stable")
+#: Events of a key that wait in its value; more wait in a map, by buckets of so many milliseconds.
+HELD_EVENTS, BUCKET_MS = 1024, 60_000
 
 
-def _keyed(events: DataFrame, keys: list[str], columns: list[str], out: str, state: str, step: Callable, idle_ms: int) -> DataFrame:
-    """Rows of each key in order through ``step(key, rows, state) -> (columns, state)``; a key that is idle for ``idle_ms`` is forgotten."""
+class InOrder(StatefulProcessor):
+    """Events of a key in order of time, whatever order they come in; they are handled when the watermark has passed them.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
+    A key has one timer, at the earliest time at which it has something to do. When that fires, all that the watermark has
+    passed is handled in order. Few waiting events are part of the key's value, which is read and written once for each batch; those of a
+    key that has many wait in a map by buckets of time, so that a task never holds more than HELD_EVENTS and one bucket of them.
+
+    Subclasses name their part of the value in ``columns`` and have ``arrive``; a value leaves at ``leaves_at``, and ``leave`` may give rows for it.
+    """
+
+    columns: str
+    row: Callable[..., Row]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", f"timer long, times array<long>, seqs array<long>, buckets array<long>, known boolean, {self.columns}")
+        self.waiting = handle.getMapState("waiting", "bucket long", "times array<long>, seqs array<long>")
+        self.nothing = (None,) * len(self.columns.split(", "))
+
+    def opened(self, stored: tuple) -> Any:
+        """The value as ``arrive`` takes it, made once when a timer fires."""
+        return stored
+
+    def stored(self, value: Any) -> tuple:
+        return value
+
+    def arrive(self, key: tuple, ts: int, seqs: list[int], value: Any) -> tuple[list[Row], Any]:
+        """Rows and the new value for the events of one time. ``value`` is None where there is none."""
+        raise NotImplementedError
+
+    def leaves_at(self, value: Any) -> int | None:
+        return None
+
+    def leave(self, key: tuple, value: Any) -> list[Row]:
+        return []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        timer, times, seqs, buckets, *value = self.held.get() or (None, [], [], [], False, *self.nothing)
+        times, seqs, buckets, first = list(times), list(seqs), set(buckets), timer
+        for row in rows:
+            times.append(row.ts_ms)
+            seqs.append(row.seq)
+            first = row.ts_ms if first is None else min(first, row.ts_ms)
+            if len(times) >= HELD_EVENTS:
+                buckets |= self._put_away(times, seqs)
+                times, seqs = [], []
+        self._keep(timer, first, times, seqs, buckets, value)
+        return iter(())
+
+    def _put_away(self, times: list[int], seqs: list[int]) -> set[int]:
+        found: dict[int, tuple[list[int], list[int]]] = {}
+        for ts, seq in zip(times, seqs, strict=True):
+            both = found.setdefault(ts // BUCKET_MS, ([], []))
+            both[0].append(ts)
+            both[1].append(seq)
+        for bucket, (some, own) in found.items():
+            earlier = self.waiting.getValue((bucket,)) or ([], [])
+            self.waiting.updateValue((bucket,), (list(earlier[0]) + some, list(earlier[1]) + own))
+        return set(found)
+
+    def _keep(self, timer: int | None, first: int | None, times: list[int], seqs: list[int], buckets: set[int], value: list) -> None:
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.held.update((first, times, seqs, sorted(buckets), *value))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        held = self.held.get()
+        if held is None:
+            return
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        _, times, seqs, buckets, known, *stored = held
+        value = self.opened(tuple(stored)) if known else None
+        early: dict[int, list[tuple[int, int]]] = {}
+        later: list[tuple[int, int]] = []
+        for ts, seq in zip(times, seqs, strict=True):
+            (early.setdefault(ts // BUCKET_MS, []) if ts <= now else later).append((ts, seq))
+        left = set(buckets)
+        for bucket in sorted(early.keys() | {b for b in buckets if b <= now // BUCKET_MS}):
+            events = early.get(bucket, [])
+            if bucket in left:
+                put = self.waiting.getValue((bucket,))
+                events = events + [e for e in zip(*put, strict=True) if e[0] <= now]
+                rest = [e for e in zip(*put, strict=True) if e[0] > now]
+                if rest:
+                    self.waiting.updateValue((bucket,), tuple(map(list, zip(*rest, strict=True))))
+                else:
+                    self.waiting.removeKey((bucket,))
+                    left.discard(bucket)
+            for ts, some in groupby(sorted(events), key=itemgetter(0)):
+                value, rows = self._left(key, value, ts)
+                yield from rows
+                rows, value = self.arrive(key, ts, [seq for _, seq in some], value)
+                yield from rows
+        value, rows = self._left(key, value, now)
+        yield from rows
+        ends = [t for t in (value and self.leaves_at(value), *(ts for ts, _ in later), *(max(b * BUCKET_MS, now + 1) for b in left)) if t is not None]
+        if value is None and not ends:
+            self.held.clear()
             return
-        rows = _ordered(frames)
-        result, new = step(key, rows, held.get if held.exists else None)
-        held.update(new)
-        held.setTimeoutTimestamp(max(int(rows["ts_ms"].iloc[-1]) + idle_ms, held.getCurrentWatermarkMs()) + 1)
-        yield result
+        kept = self.nothing if value is None else self.stored(value)
+        self.held.update((min(ends, default=None), [ts for ts, _ in later], [seq for _, seq in later], sorted(left), value is not None, *kept))
+        if ends:
+            self.handle.registerTimer(min(ends))
 
-    return events.select(*keys, *columns, "ts").groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    def _left(self, key: tuple, value: Any, now: int) -> tuple[Any, list[Row]]:
+        end = None if value is None else self.leaves_at(value)
+        return (value, []) if end is None or end > now else (None, self.leave(key, value))
 
 
-def dedup(events: DataFrame, window_ms: int = 300_000, max_group: int = 100, rules: Sequence[Rule] = ()) -> DataFrame:
-    """The batch operator's decisions for events that pass the rules; groups idle for longer than the window expire."""
-    passed = events.withColumn("key", credential_key(F.col("credential"))).where(suppression(rules, F.col("ts_ms")).isNull())
+def _keyed(events: DataFrame, keys: list[str], processor: InOrder, out: str) -> DataFrame:
+    kind = StructType.fromDDL(out)
+    processor.row = Row(*kind.names)
+    return events.select(*keys, "seq", "ts_ms", "ts").groupBy(*keys).transformWithState(processor, kind, "Append", "EventTime")
+
+
+class Groups(InOrder):
+    """Alert groups: one row for each event, and one for each run of events when it has been idle for longer than the window."""
 
-    def step(key: tuple, rows: pd.DataFrame, state: Any) -> tuple[pd.DataFrame, tuple]:
-        last, count, first = state or (None, 0, None)
+    columns = "last long, n long, first long, events long"
+
+    def __init__(self, window_ms: int, max_group: int):
+        self.window_ms, self.max_group = window_ms, max_group
+
+    def arrive(self, key: tuple, ts: int, seqs: list[int], value: tuple | None) -> tuple[list[Row], tuple]:
+        _, count, first, events = value or (None, 0, None, 0)
         out = []
-        for ts, seq in zip(rows["ts_ms"], rows["seq"], strict=True):
-            if last is None or ts - last > window_ms:
-                count, first = 0, seq
-            count += 1
-            filled = count > 1 and count >= max_group
-            alert = count == 1 or filled
-            out.append((seq, alert, count, first))
+        for seq in seqs:
+            count, events = count + 1, events + 1
+            first = seq if first is None else first
+            filled = count > 1 and count >= self.max_group
             if filled:  # this event stands for the next group's first
+                out.append(self.row(*key, "event", seq, True, max(self.max_group, 2), seq, ts))
                 count, first = 1, seq
-                out[-1] = (seq, True, max(max_group, 2), seq)
-            last = ts
-        return pd.DataFrame(out, columns=["seq", "is_alert", "group_count", "first_seq"]), (int(last), int(count), int(first))
+            else:
+                out.append(self.row(*key, "event", seq, count == 1, count, first, ts))
+        return out, (ts, count, first, events)
+
+    def leaves_at(self, value: tuple) -> int:
+        return value[0] + self.window_ms + 1
+
+    def leave(self, key: tuple, value: tuple) -> list[Row]:
+        return [self.row(*key, "expired", None, None, value[3], value[2], value[0])]
 
-    return _keyed(passed, ["source_ip", "service", "key"], ["seq", "ts_ms"], "seq long, is_alert boolean, group_count long, first_seq long", "last long, n long, first long", step, window_ms)
+
+def dedup_groups(events: DataFrame, window_ms: int = 300_000, max_group: int = 100, rules: Sequence[Rule] = ()) -> DataFrame:
+    """The batch operator's decisions for events that pass the rules (``kind`` event), and the end of every run of events of a key (expired).
+
+    An expired row has the number of events of the run as ``group_count``, the first of its last group as ``first_seq`` and the time of its last event as ``at_ms``.
+    """
+    passed = events.withColumn("key", credential_key(F.col("credential"))).where(suppression(rules, F.col("ts_ms")).isNull())
+    out = "source_ip string, service string, key string, kind string, seq long, is_alert boolean, group_count long, first_seq long, at_ms long"
+    return _keyed(passed, ["source_ip", "service", "key"], Groups(window_ms, max_group), out)
+
+
+def dedup(events: DataFrame, window_ms: int = 300_000, max_group: int = 100, rules: Sequence[Rule] = ()) -> DataFrame:
+    """``seq, is_alert, group_count, first_seq`` of every event that passes the rules; keys that are idle for longer than the window leave the state."""
+    return dedup_groups(events, window_ms, max_group, rules).where("kind = 'event'").select("seq", "is_alert", "group_count", "first_seq")
+
+
+class Hits(InOrder):
+    """Events of a key in the window that ends with each. The value holds how many each millisecond of the last window had."""
+
+    columns = "at array<long>, n array<long>"
+
+    def __init__(self, window_ms: int, threshold: int):
+        self.window_ms, self.threshold = window_ms, threshold
+
+    def opened(self, stored: tuple) -> tuple[deque, int]:
+        return deque(zip(*stored, strict=True)), sum(stored[1])
+
+    def stored(self, value: tuple[deque, int]) -> tuple:
+        return tuple(map(list, zip(*value[0], strict=True)))
+
+    def arrive(self, key: tuple, ts: int, seqs: list[int], value: tuple[deque, int] | None) -> tuple[list[Row], tuple]:
+        inside, n = value or (deque(), 0)
+        while inside and inside[0][0] < ts - self.window_ms:
+            n -= inside.popleft()[1]
+        inside.append((ts, len(seqs)))
+        return [self.row(seq, n + i, n + i > self.threshold) for i, seq in enumerate(seqs, 1)], (inside, n + len(seqs))
+
+    def leaves_at(self, value: tuple[deque, int]) -> int:
+        return value[0][-1][0] + self.window_ms + 1
 
 
 def rate_limit(events: DataFrame, threshold: int, window_ms: int) -> DataFrame:
-    """``seq, hits, triggered`` by address. The state holds the times of the last window, and no more than can matter."""
+    """``seq, hits, triggered`` by address; addresses that are idle for longer than the window leave the state."""
+    return _keyed(events, ["source_ip"], Hits(window_ms, threshold), "seq long, hits long, triggered boolean")
 
-    def step(key: tuple, rows: pd.DataFrame, state: Any) -> tuple[pd.DataFrame, tuple]:
-        times = list(state[0]) if state else []
-        out = []
-        for ts, seq in zip(rows["ts_ms"], rows["seq"], strict=True):
-            del times[: bisect_left(times, ts - window_ms)]
-            insort(times, int(ts))
-            out.append((seq, len(times), len(times) > threshold))
-        return pd.DataFrame(out, columns=["seq", "hits", "triggered"]), (times,)
 
-    return _keyed(events, ["source_ip"], ["seq", "ts_ms"], "seq long, hits long, triggered boolean", "times array<long>", step, window_ms)
+class Numbers(InOrder):
+    """The running number of a key's events and the time of the first; a key leaves when none has come for ``idle_ms``, or never."""
+
+    columns = "n long, first long, last long"
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def arrive(self, key: tuple, ts: int, seqs: list[int], value: tuple | None) -> tuple[list[Row], tuple]:
+        n, first, _ = value or (0, ts, ts)
+        return [self.row(key[0], seq, n + i, first) for i, seq in enumerate(seqs, 1)], (n + len(seqs), first, ts)
+
+    def leaves_at(self, value: tuple) -> int | None:
+        return None if self.idle_ms is None else value[2] + self.idle_ms + 1
 
 
 def running_count(events: DataFrame, key: str, window_ms: int | None = None) -> DataFrame:
     """``key, seq, n, first_ms``: the running number of a key's rows; it starts anew in each tumbling window if one is given.
 
-    Serves network bursts (number over the threshold) and canary tokens (first trigger and count).
+    Serves network bursts (number over the threshold) and canary tokens (first trigger and count). Windows leave the state after they
+    have passed; without a window a key stays.
     """
     bucket = F.lit(0).cast("long") if window_ms is None else F.floor(F.col("ts_ms") / window_ms)
-
-    def step(keys: tuple, rows: pd.DataFrame, state: Any) -> tuple[pd.DataFrame, tuple]:
-        n, first = state or (0, int(rows["ts_ms"].iloc[0]))
-        out = pd.DataFrame({"key": [str(keys[0])] * len(rows), "seq": rows["seq"], "n": range(n + 1, n + 1 + len(rows)), "first_ms": first})
-        return out, (n + len(rows), first)
-
     rows = events.withColumns({"__key": F.col(key).cast("string"), "__bucket": bucket})
-    return _keyed(rows, ["__key", "__bucket"], ["seq", "ts_ms"], "key string, seq long, n long, first_ms long", "n long, first long", step, window_ms or 30 * 86_400_000)
+    return _keyed(rows, ["__key", "__bucket"], Numbers(window_ms), "key string, seq long, n long, first_ms long")
 
 
 def sessions(events: DataFrame, gap_ms: int = 300_000) -> DataFrame:
@@ -126,6 +275,20 @@ def lateral_behaviour(events: DataFrame, services: int = 3, ports: int = 5, wind
     return grouped.where(wide | deep).select("source_ip", F.unix_millis("w.start").alias("window_ms"), "services", "ports", F.when(wide & deep, "Critical").otherwise("High").alias("severity"))
 
 
+def escalations(events: DataFrame, minutes: int = 15) -> DataFrame:
+    """``seq, source_ip, ts_ms`` of commands with an upload of the same address within ``minutes``, before or after: a join of two streams.
+
+    Uploads are summed up to the first and the last of an address and minute before they are joined, so that a command meets no more than one row for each
+    minute, however many uploads there are. Both sides have a watermark and a bound of time, beyond which rows leave the state.
+    """
+    up = events.where(uploads(events)).groupBy(F.col("source_ip").alias("up_ip"), F.window("ts", "1 minute").alias("w")).agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    up = up.select("up_ip", F.window_time("w").alias("up_ts"), "first_ms", "last_ms")
+    done = events.where(is_command()).select("seq", "source_ip", "ts_ms", "ts")
+    span, near = F.expr(f"interval {minutes + 1} minutes"), minutes * 60_000
+    within = F.col("up_ts").between(F.col("ts") - span, F.col("ts") + span) & (F.col("last_ms") >= F.col("ts_ms") - near) & (F.col("first_ms") <= F.col("ts_ms") + near)
+    return done.join(up, (F.col("source_ip") == F.col("up_ip")) & within, "left_semi").select("seq", "source_ip", "ts_ms")
+
+
 def high_volume(events: DataFrame, service: str = "ssh", most: int = 50, window: str = "5 minutes") -> DataFrame:
     """Addresses with more than ``most`` events of the service in a tumbling window."""
     grouped = events.where(F.col("service") == service).groupBy("source_ip", F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("events"))
@@ -137,17 +300,24 @@ def without_repeats(events: DataFrame, by: list[str], delay: str = "30 minutes")
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(by)
 
 
-def quiet_repeats(events: DataFrame, by: list[str], window_ms: int = 1_800_000) -> DataFrame:
-    """``seq`` of events whose ``by`` did not come within ``window_ms`` before; the state is the last time of each."""
+class Quiet(InOrder):
+    """Events before which none came for ``window_ms``."""
+
+    columns = "last long"
+
+    def __init__(self, window_ms: int):
+        self.window_ms = window_ms
+
+    def arrive(self, key: tuple, ts: int, seqs: list[int], value: tuple | None) -> tuple[list[Row], tuple]:
+        return [self.row(seqs[0])] if value is None else [], (ts,)
 
-    def step(key: tuple, rows: pd.DataFrame, state: Any) -> tuple[pd.DataFrame, tuple]:
-        before = rows["ts_ms"].shift(1)
-        if state:
-            before.iloc[0] = state[0]
-        shown = before.isna() | (rows["ts_ms"] - before > window_ms)
-        return pd.DataFrame({"seq": rows["seq"][shown]}), (int(rows["ts_ms"].iloc[-1]),)
+    def leaves_at(self, value: tuple) -> int:
+        return value[0] + self.window_ms + 1
 
-    return _keyed(events, by, ["seq", "ts_ms"], "seq long", "last long", step, window_ms)
+
+def quiet_repeats(events: DataFrame, by: list[str], window_ms: int = 1_800_000) -> DataFrame:
+    """``seq`` of events whose ``by`` did not come within ``window_ms`` before; the state is the last time of each."""
+    return _keyed(events, by, Quiet(window_ms), "seq long")
 
 
 def intel_batches(read_feed: Callable[[], DataFrame], path: str, ttl_ms: int, now_ms: Callable[[], int] = lambda: int(time.time() * 1000)) -> Callable[[DataFrame, int], None]:
@@ -167,6 +337,41 @@ def intel_batches(read_feed: Callable[[], DataFrame], path: str, ttl_ms: int, no
     return run
 
 
+def profile_batches(path: str, seconds: int = 3600, delay_ms: int = 600_000) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the profile of every campaign window, once, when no event of it can come any more.
+
+    Events are kept by campaign in a table beside ``path``, written anew if a batch runs again. A window is closed when an event later than its end and
+    ``delay_ms`` has come. The tables that earlier batches left in ``path`` are the ledger: their windows are done, and a batch that runs again
+    replaces its own. Only the partitions of windows that close are read. Later events of a window that is done are kept and count nowhere.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = campaigns.tumbling(batch.select("seq", "ts_ms", "source_ip", "service", "username", "password", "user_agent"), seconds)
+        rows.withColumn("part", F.lit(number)).write.mode("overwrite").partitionBy("campaign").parquet(f"{path}-events/batch={number}")
+        rows.agg(F.max("ts_ms").alias("newest"), F.array_sort(F.collect_set("campaign")).alias("campaigns")).write.mode("overwrite").parquet(f"{path}-seen/batch={number}")
+        seen = spark.read.parquet(f"{path}-seen").where(F.col("batch") <= number)
+        newest = seen.agg(F.max("newest")).first()[0]
+        windows = {r[0] for r in seen.select(F.explode("campaigns")).distinct().collect()}
+        done = {r.campaign for r in spark.read.schema("campaign long, batch int").parquet(path).where(F.col("batch") < number).collect()} if number > 0 and _exists(spark, path) else set()
+        closed = sorted(w for w in windows - done if w + seconds * 1000 + delay_ms <= newest) if newest is not None else []
+        if not closed and number >= 0:
+            return
+        kinds = "seq long, ts_ms long, source_ip string, service string, username string, password string, user_agent string, batch int, campaign long"
+        events = spark.read.schema(kinds).parquet(f"{path}-events").where(F.col("campaign").isin(closed) & (F.col("batch") <= number)).drop("batch") if closed else rows
+        with owned_tables():
+            campaigns.profiles(events, campaigns.campaign_checks(events)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.schema("campaign long").parquet(path).inputFiles())
+    except AnalysisException:
+        return False
+
+
 def enriched(events: DataFrame, places: DataFrame) -> DataFrame:
     """A stream with the columns of a table by ``source_ip``; the table is read anew in every micro-batch."""
     return events.join(places, "source_ip", "left")

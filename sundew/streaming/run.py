@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from sundew.plans.tables import materialize, shared_folder
 
 
-def replayed_batches(spark: SparkSession, events: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]], runs: int = 3) -> DataFrame:
+def replayed_batches(spark: SparkSession, events: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]], runs: int = 3, closing_ms: int | None = None) -> DataFrame:
     """``events`` in ``runs`` parts in order of time through the ``foreachBatch`` function that ``sink`` makes for a folder; the tables it writes there."""
     table = materialize(events, "stream-input")
     out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    for part in _parts(table, runs):
+    for part in _parts(table, runs) + ([_closing(table, closing_ms)] if closing_ms is not None else []):
         part.write.mode("append").parquet(f"{out}/events")
         stream = spark.readStream.schema(table.schema).parquet(f"{out}/events")
         stream.writeStream.foreachBatch(sink(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
@@ -25,25 +26,42 @@ def replayed_batches(spark: SparkSession, events: DataFrame, sink: Callable[[str
 
 
 def _parts(table: DataFrame, runs: int) -> list[DataFrame]:
+    if runs == 1:
+        return [table]
     bounds = table.approxQuantile("ts_ms", [i / runs for i in range(1, runs)], 0.01) or [0.0] * (runs - 1)
     part = sum((F.when(F.col("ts_ms") > b, 1).otherwise(0) for b in bounds), F.lit(0))
     return [table.where(part == run) for run in range(runs)]
 
 
-def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFrame], DataFrame], closing_ms: int | None = None, runs: int = 3) -> DataFrame:
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State on disk, which timers and maps by key need, for streams that are started inside."""
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def _closing(events: DataFrame, closing_ms: int, **values: str) -> DataFrame:
+    """One event far ahead, whose watermark closes what is open. Filters are applied before watermarks, so it has to pass them: ``values`` are its columns."""
+    last = {"seq": F.lit(-1).cast("long"), "source_ip": F.lit("closing"), "ts_ms": F.lit(closing_ms).cast("long"), "service": F.lit("ssh"), "success": F.lit(False)} | {k: F.lit(v) for k, v in values.items()}
+    return events.orderBy("seq").limit(1).withColumns({k: v for k, v in last.items() if k in events.columns})
+
+
+def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFrame], DataFrame], closing_ms: int | None = None, runs: int = 3, **closing: str) -> DataFrame:
     """``events`` as a stream through ``transform``, in append mode, read to the end; the result as a table.
 
     The events arrive in ``runs`` parts in order of time, in any order inside one; after each part the stream ends, and the next run goes on
-    from its checkpoint. ``closing_ms`` adds one event far ahead, whose watermark closes what is open.
+    from its checkpoint. ``closing_ms`` adds a run with one event far ahead, with the columns ``closing``, whose watermark closes what is open.
     """
-    if closing_ms is not None:
-        last = events.orderBy("seq").limit(1).withColumns({"seq": F.lit(-1).cast("long"), "source_ip": F.lit("closing"), "ts_ms": F.lit(closing_ms).cast("long"), "service": F.lit("ssh"), "success": F.lit(False)})
-        events = events.unionByName(last)
     table = materialize(events, "stream-input")
     out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    for part in _parts(table, runs):
-        part.write.mode("append").parquet(f"{out}/events")
-        result = transform(spark.readStream.schema(table.schema).parquet(f"{out}/events"))
-        query = result.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
+    with keyed_state(spark):
+        for part in _parts(table, runs) + ([_closing(table, closing_ms, **closing)] if closing_ms is not None else []):
+            part.write.mode("append").parquet(f"{out}/events")
+            result = transform(spark.readStream.schema(table.schema).parquet(f"{out}/events"))
+            query = result.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{out}/rows")

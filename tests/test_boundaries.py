@@ -1,7 +1,9 @@
 """Rows at, just under and just over the limits, and what SQL doesn't show."""
 
 import json
+import random
 from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 from sundew.functions import fields, net, summaries
 from sundew.operators import campaigns, dedup, filters, fingerprints, geo, intel, lateral, rates, rules, sessions
 from sundew.plans import tables
-from sundew.sources import delivery, geo_records, jsonl, probes
+from sundew.sources import delivery, feeds, geo_records, jsonl, probes, siem
 from sundew.streaming import detect
-from sundew.streaming.run import replayed, replayed_batches
+from sundew.streaming.run import keyed_state, replayed, replayed_batches
+
+END = 1_800_000_000_000
 
 EVENT = "seq long, ts_ms long, source_ip string, service string, sensor_host string, username string, password string, credential string, success boolean, dest_port int, user_agent string, path string, payload string"
 
@@ -233,20 +237,76 @@ def test_masking_is_idempotent_and_skips_nothing_else(spark):
 def test_stream_state_goes_on_between_batches(spark, tmp_path):
     whole = events(spark, *({"ts_ms": 1_700_000_000_000 + t} for t in (0, 1000, 2000, 400_000, 401_000)))
     want = {r.seq: r.is_alert for r in dedup.dedup_alerts(whole, 300_000, 3).collect()}
-    for part in ("seq < 2", "seq >= 2"):
-        whole.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(whole.schema).parquet(f"{tmp_path}/in")
-        out = detect.dedup(detect.timed(stream), 300_000, 3)
-        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert {r.seq: r.is_alert for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+    late = whole.where("seq = 0").withColumns({"seq": F.lit(-1).cast("long"), "ts_ms": F.lit(1_800_000_000_000).cast("long")})
+    with keyed_state(spark):
+        for part in (whole.where("seq < 2"), whole.where("seq >= 2"), late):
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(whole.schema).parquet(f"{tmp_path}/in")
+            out = detect.dedup_groups(detect.timed(stream), 300_000, 3)
+            q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert {r.seq: r.is_alert for r in found.where("kind = 'event'").collect()} == want
+    ends = found.where("kind = 'expired'").select("at_ms", "group_count", "first_seq").collect()
+    assert {tuple(r) for r in ends} == {(1_700_000_002_000, 3, 2), (1_700_000_401_000, 2, 3)}
+    # one key is left in the state: that of the late event, which waits
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_a_stream_of_one_hot_key(spark):
+    """More events of one address than wait in its value, in any order, with ties and a gap."""
+    rnd = random.Random(3)
+    whole = times(spark, *(1_700_000_000_000 + rnd.choice((0, 900_000)) + rnd.randrange(400) * 1000 for _ in range(3000)))
+    want = {r.seq: r.hits for r in rates.rate_limit(whole, 2, 60_000).collect()}
+    got = replayed(spark, whole, lambda s: detect.rate_limit(detect.timed(s), 2, 60_000), END, runs=2).where("seq >= 0")
+    assert {r.seq: r.hits for r in got.collect()} == want
+
+
+def test_waiting_events_come_in_order_from_every_place():
+    """The processor alone, against state kept in dictionaries."""
+    rnd = random.Random(1)
+    for held in (3, 10_000):
+        calls, timers, waiting, value = [], set(), {}, [None]
+
+        class Spy(detect.InOrder):
+            columns = "last long"
+
+            def arrive(self, key, ts, seqs, state):
+                assert state is None or state[0] < ts
+                calls.append((ts, seqs))
+                return [], (ts,)
+
+        spy = Spy()
+        spy.nothing = (None,)
+        spy.handle = SimpleNamespace(registerTimer=timers.add, deleteTimer=timers.discard)
+        spy.held = SimpleNamespace(get=lambda: value[0], update=lambda v: value.__setitem__(0, v), clear=lambda: value.__setitem__(0, None))
+        spy.waiting = SimpleNamespace(getValue=lambda k: waiting.get(k), updateValue=waiting.__setitem__, removeKey=waiting.pop)
+        events_, before = [(rnd.randrange(1, 600) * 1000, i) for i in range(300)], detect.HELD_EVENTS
+        detect.HELD_EVENTS = held
+        try:
+            mark = 0
+            for stop in (100_000, 250_000, 251_000, 10_000_000):
+                some = [e for e in events_ if mark < e[0] <= stop + 50_000 and e not in [(t, s) for t, ss in calls for s in ss]]
+                fresh = [e for e in some if e[1] not in {s for v in list(waiting.values()) for s in v[1]} | set(value[0][2] if value[0] else [])]
+                if fresh:
+                    list(spy.handleInputRows(("k",), iter([SimpleNamespace(ts_ms=t, seq=s) for t, s in fresh]), None))
+                for t in sorted(t for t in timers if t <= stop):
+                    timers.discard(t)
+                    list(spy.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: stop), SimpleNamespace(getExpiryTimeInMs=lambda: t)))
+                mark = stop
+        finally:
+            detect.HELD_EVENTS = before
+        want = {}
+        for ts, seq in sorted(events_):
+            want.setdefault(ts, []).append(seq)
+        assert calls == sorted(want.items()) and not waiting
 
 
 def test_stream_limits_agree_with_batch_over_unordered_rows(spark):
     ms = [1_700_000_000_000 + t for t in (50, 0, 60, 60, 100, 161, 400, 161, 90_000, 90_060)]
     whole = times(spark, *ms)
     want = {r.seq: r.hits for r in rates.rate_limit(whole, 2, 60).collect()}
-    got = replayed(spark, whole, lambda s: detect.rate_limit(detect.timed(s), 2, 60))
+    got = replayed(spark, whole, lambda s: detect.rate_limit(detect.timed(s), 2, 60), END).where("seq >= 0")
     assert {r.seq: r.hits for r in got.collect()} == want
 
 
@@ -306,7 +366,7 @@ def test_feed_is_read_anew_and_ages(spark, tmp_path):
 def test_repeats_are_quiet_over_batches(spark):
     ms = [1_700_000_000_000 + t for t in (0, 1_800_000, 3_600_001, 3_600_002, 9_000_000)]
     whole = times(spark, *ms, payload="x")
-    got = replayed(spark, whole, lambda s: detect.quiet_repeats(detect.timed(s), ["source_ip", "payload"]))
+    got = replayed(spark, whole, lambda s: detect.quiet_repeats(detect.timed(s), ["source_ip", "payload"]), END).where("seq >= 0")
     assert {r.seq for r in got.collect()} == {r.seq for r in rules.first_in_window(whole, ["source_ip", "payload"]).collect()} == {0, 2, 4}
 
 
@@ -335,3 +395,49 @@ def test_owned_tables_are_of_their_thread(spark):
         assert theirs.count() == 1
         with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
             ours.count()
+
+
+def test_only_sent_files_are_uploads(spark):
+    """A GET of an upload path neither escalates nor is detected."""
+    base = {"service": "http", "path": "/upload", "payload": "x"}
+    rows = events(spark, base | {"ts_ms": 0}, {"ts_ms": 1, "payload": "; id"}, base | {"ts_ms": 2_000_000}, {"ts_ms": 2_000_001, "payload": "; id"})
+    rows = rows.withColumn("method", F.when(F.col("seq") == 0, "GET").when(F.col("seq") == 2, "put"))
+    assert [r.seq for r in rules.escalations(rows).collect()] == [3]
+    assert [r.ts_ms for r in rules.detections(rows).where("rule = 'upload'").collect()] == [2_000_000]
+
+
+def test_patterns_with_either_quote_in_any_case(spark):
+    patterns = ["[ipv4-addr:value = '1.2.3.4']", '[IPV4-ADDR:Value="1.2.3.5"]', "[ipv4-addr:value = '2.0.0.0/8' OR ipv4-addr:value=\"1.2.3.6\"]", "[domain-name:value = '1.2.3.7']", "[ipv4-addr:value = 'x']"]
+    texts = spark.createDataFrame([(json.dumps({"objects": [{"type": "indicator", "id": "i", "pattern": p} for p in patterns]}),), ("{broken",)], "value string")
+    assert sorted(r.indicator for r in feeds.stix2_json(texts, feeds.Feed("s")).collect()) == ["1.2.3.4", "1.2.3.5", "1.2.3.6", "2.0.0.0/8"]
+
+
+def test_private_addresses_of_both_kinds(spark):
+    want = {"::1": True, "0:0:0:0:0:0:0:1": True, "fc00::5": True, "FDab::": True, "fe00::1": False, "2001:db8::1": False, "10.1.1.1": True, "8.8.8.8": False, "bad": False}
+    got = {r.ip: r for r in geo.resolve(spark.createDataFrame([(i,) for i in want], "ip string"), geo.known_prefixes(spark)).collect()}
+    assert {i: r.is_private for i, r in got.items()} == want and {r.country_code for i, r in got.items() if want[i]} == {"--"}
+
+
+def test_cef_has_the_source_port_or_none(spark):
+    rows = events(spark, {"ts_ms": 5}, {"ts_ms": 6}).withColumn("port", F.when(F.col("seq") == 0, 4711))
+    lines = [r.c for r in rows.select(siem.cef("v", "p", source_port=F.col("port")).alias("c")).collect()]
+    assert "src=1.2.3.4 spt=4711 rt=5" in lines[0] and "src=1.2.3.4 rt=6" in lines[1]
+
+
+def test_merged_ids_do_not_depend_on_order_or_partitions(spark):
+    rows = times(spark, *range(200)).withColumn("campaign", F.col("seq") % 3)
+    ids = lambda df: {r.campaign: r.campaign_id for r in campaigns.merged_ids(df).collect()}
+    assert ids(rows) == ids(rows.orderBy(F.rand(3)).repartition(7)) and len(set(ids(rows).values())) == 3
+    assert ids(rows.where("seq <> 5"))[2] != ids(rows)[2] and ids(rows.where("seq <> 5"))[0] == ids(rows)[0]
+    assert campaigns.merged_ids(rows.where("false")).count() == 0
+
+
+def test_profiles_come_once_over_restarts_and_repeated_batches(spark, tmp_path):
+    hour = 3_600_000
+    rows = times(spark, *(472_222 * hour + t for t in (0, 60_000, hour, hour + 5, 2 * hour, 3 * hour + 700_000)))
+    run = detect.profile_batches(f"{tmp_path}/p")
+    for number, part in enumerate(("seq < 3", "seq in (3, 4)", "seq = 5")):
+        run(rows.where(part), number)
+        run(rows.where(part), number)
+    got = spark.read.parquet(f"{tmp_path}/p").orderBy("campaign").collect()
+    assert [(r.campaign - 472_222 * hour, r.total_events, r.batch) for r in got] == [(0, 2, 1), (hour, 2, 2), (2 * hour, 1, 2)]
