@@ -145,8 +145,11 @@ def shared_keys(table: DataFrame, label: str) -> DataFrame:
     """``doc, keys``: of the keys of each document those that another document has too."""
     rows = table.select("doc", F.explode("keys").alias("key"))
     total = table.agg(F.sum(F.size("keys"))).first()[0] or 0
-    shared = lookup(rows, ends_of(rows).drop("low"), ["key"], total, F.xxhash64("doc", "key")).groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    ends = materialize(ends_of(rows).drop("low"), f"{label}-ends")
+    tidy(table.sparkSession)
+    shared = lookup(rows, ends, ["key"], total, F.xxhash64("doc", "key")).groupBy("doc").agg(F.collect_set("key").alias("keys"))
     out = materialize(shared, label)
+    release(ends)
     tidy(table.sparkSession)
     return out
 
@@ -171,10 +174,15 @@ def repeated_windows(df: DataFrame, key: str, text: str, window: int) -> DataFra
     full = materialize(extend(source.join(alive.hint("merge"), "doc"), window, half, window), f"substring-{window}")
     release(alive)
     tidy(df.sparkSession)
-    later = lookup(full, ends_of(full), ["key"], full.count(), F.xxhash64("doc", "key")).where("low < doc").select("doc", "key", F.lit(None).cast("binary").alias("whole"))
-    found = later.unionByName(copies).groupBy("doc").agg(F.collect_set("key").alias("hashes"), F.collect_set("whole").alias("copies"))
-    found = materialize(found, "substring-found")
-    release(full, marked)
+    # one shuffle of the windows at a time: each one's files go before the next
+    ends = materialize(ends_of(full), "substring-ends")
+    tidy(df.sparkSession)
+    later = lookup(full, ends, ["key"], full.count(), F.xxhash64("doc", "key")).where("low < doc").select("doc", "key", F.lit(None).cast("binary").alias("whole"))
+    later = materialize(later.unionByName(copies), "substring-later")
+    release(full, marked, ends)
+    tidy(df.sparkSession)
+    found = materialize(later.groupBy("doc").agg(F.collect_set("key").alias("hashes"), F.collect_set("whole").alias("copies")), "substring-found")
+    release(later)
     tidy(df.sparkSession)
     return found
 
