@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sundew.functions.fields import lateral_level
 from sundew.functions.net import is_internal
-from sundew.operators.rates import distinct_in_window
+from sundew.operators.rates import distinct_in_window, haloed
 from sundew.plans.tables import ranked
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -48,8 +48,9 @@ def latm001(events: DataFrame) -> DataFrame:
     """A credential from two addresses within an hour: the event before, in the pair's order, has another address and is near enough."""
     by = ["username", "password"]
     known = events.where(F.col("username").isNotNull() & F.col("password").isNotNull())
-    near = F.col("ts_ms") - F.lag("ts_ms").over(_order(*by)) <= HOUR
-    fired = _first(known.withColumn("hit", near & (F.lag("source_ip").over(_order(*by)) != F.col("source_ip"))).where("hit"), by)
+    order = _order(*by, "__bucket")
+    near = F.col("ts_ms") - F.lag("ts_ms").over(order) <= HOUR
+    fired = _first(haloed(known, HOUR).withColumn("hit", near & (F.lag("source_ip").over(order) != F.col("source_ip"))).where("hit and __own"), by)
     rows = _window_rows(known, fired, by, HOUR)
     return _finding(rows, "LATM-001", F.concat("username", F.lit(":****:"), F.substring(F.sha2("password", 256), 1, 8)), F.col("ips"), F.col("ids"))
 

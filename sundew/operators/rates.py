@@ -6,20 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Windows of time that a bucket is wide.
+WIDE = 4
+
+
+def haloed(events: DataFrame, window_ms: int) -> DataFrame:
+    """Events in buckets of time, so that a hot key is many partitions of ``key, __bucket``: each with the events of WIDE windows, and, as a halo, of the one before.
+
+    What an event needs of the last ``window_ms`` is in its own bucket. Rows with ``__own`` are the events, the others are copies: one in WIDE.
+    """
+    width = max(window_ms * WIDE, 1)
+    bucket = F.floor(F.col("ts_ms") / width)
+    place = lambda b, own: F.struct(b.alias("bucket"), F.lit(own).alias("own"))
+    near = F.col("ts_ms") >= (bucket + 1) * width - window_ms
+    places = F.when(near, F.array(place(bucket, True), place(bucket + 1, False))).otherwise(F.array(place(bucket, True)))
+    spread = events.withColumn("__place", F.explode(places))
+    return spread.select(*events.columns, F.col("__place.bucket").alias("__bucket"), F.col("__place.own").alias("__own"))
+
+
 def rate_limit(events: DataFrame, threshold: int, window_ms: int) -> DataFrame:
     """Add ``hits`` (of the address in the closed window up to the event, later ties not yet seen) and ``triggered``."""
-    by = Window.partitionBy("source_ip")
-    reach = by.orderBy("ts_ms").rangeBetween(-window_ms, 0)
-    ties = Window.partitionBy("source_ip", "ts_ms")
+    reach = Window.partitionBy("source_ip", "__bucket").orderBy("ts_ms").rangeBetween(-window_ms, 0)
+    ties = Window.partitionBy("source_ip", "__bucket", "ts_ms")
     later = F.count(F.lit(1)).over(ties) - F.row_number().over(ties.orderBy("seq"))
     hits = F.count(F.lit(1)).over(reach) - later
-    return events.withColumn("hits", hits).withColumn("triggered", F.col("hits") > threshold)
+    counted = haloed(events, window_ms).withColumn("hits", hits).where("__own").drop("__own", "__bucket")
+    return counted.withColumn("triggered", F.col("hits") > threshold)
 
 
 def over_limit(events: DataFrame, threshold: int, window_ms: int) -> DataFrame:
     """Only ``triggered``, by looking ``threshold`` events back: one sort and no frame."""
-    order = Window.partitionBy("source_ip").orderBy("ts_ms", "seq")
-    return events.withColumn("triggered", F.coalesce(F.col("ts_ms") - F.lag("ts_ms", threshold).over(order) <= window_ms, F.lit(False)))
+    order = Window.partitionBy("source_ip", "__bucket").orderBy("ts_ms", "seq")
+    triggered = F.coalesce(F.col("ts_ms") - F.lag("ts_ms", threshold).over(order) <= window_ms, F.lit(False))
+    return haloed(events, window_ms).withColumn("triggered", triggered).where("__own").drop("__own", "__bucket")
 
 
 def gaps(events: DataFrame) -> DataFrame:
@@ -29,9 +48,9 @@ def gaps(events: DataFrame) -> DataFrame:
 
 def first_burst(events: DataFrame, least: int, window_ms: int, by: str = "source_ip") -> DataFrame:
     """For each ``by`` the first event that closes a window of ``window_ms`` with ``least`` events: ``start_ms, end_ms, end_seq``."""
-    order = Window.partitionBy(by).orderBy("ts_ms", "seq")
-    marked = events.withColumn("start_ms", F.lag("ts_ms", least - 1).over(order) if least > 1 else F.col("ts_ms"))
-    hits = marked.where(F.col("ts_ms") - F.col("start_ms") <= window_ms)
+    order = Window.partitionBy(by, "__bucket").orderBy("ts_ms", "seq")
+    marked = haloed(events, window_ms).withColumn("start_ms", F.lag("ts_ms", least - 1).over(order) if least > 1 else F.col("ts_ms"))
+    hits = marked.where(F.col("__own") & (F.col("ts_ms") - F.col("start_ms") <= window_ms))
     return hits.groupBy(by).agg(F.min(F.struct("ts_ms", "seq", "start_ms")).alias("f")).select(by, "f.start_ms", F.col("f.ts_ms").alias("end_ms"), F.col("f.seq").alias("end_seq"))
 
 
@@ -39,17 +58,18 @@ def distinct_in_window(events: DataFrame, by: list[str], value: str, window_ms:
     """Events at which the number of different ``value`` within the closed window rises, with that number as ``n``.
 
     A value is present from an event until ``window_ms`` after it; touching times join. Counting the starts and
-    ends of those times gives the number without a set for each event. Null values are skipped.
+    ends of those times gives the number without a set for each event. It is counted anew in every bucket, whose halo has all values that are
+    present when it begins. Null values are skipped.
     """
-    seen = events.where(F.col(value).isNotNull()).select(*by, value, "ts_ms", "seq")
-    own = Window.partitionBy(*by, value).orderBy("ts_ms", "seq")
+    seen = haloed(events.where(F.col(value).isNotNull()).select(*by, value, "ts_ms", "seq"), window_ms)
+    own = Window.partitionBy(*by, "__bucket", value).orderBy("ts_ms", "seq")
     ends = seen.withColumns({"__back": F.col("ts_ms") - F.lag("ts_ms").over(own), "__on": F.lead("ts_ms").over(own) - F.col("ts_ms")})
     far = lambda c: F.col(c).isNull() | (F.col(c) > window_ms)
     # an end counts after every event of its time
     marks = F.array(
-        F.when(far("__back"), F.struct("ts_ms", "seq", F.lit(1).alias("step"))),
-        F.when(far("__on"), F.struct((F.col("ts_ms") + window_ms).alias("ts_ms"), F.lit((1 << 63) - 1).alias("seq"), F.lit(-1).alias("step"))),
+        F.when(far("__back"), F.struct("ts_ms", "seq", F.lit(1).alias("step"), "__own")),
+        F.when(far("__on"), F.struct((F.col("ts_ms") + window_ms).alias("ts_ms"), F.lit((1 << 63) - 1).alias("seq"), F.lit(-1).alias("step"), F.lit(False).alias("__own"))),
     )
-    steps = ends.select(*by, F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("m")).select(*by, "m.*")
-    upto = Window.partitionBy(*by).orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("n", F.sum("step").over(upto)).where("step > 0").drop("step")
+    steps = ends.select(*by, "__bucket", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("m")).select(*by, "__bucket", "m.*")
+    upto = Window.partitionBy(*by, "__bucket").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("n", F.sum("step").over(upto)).where("step > 0 and __own").drop("step", "__own", "__bucket")

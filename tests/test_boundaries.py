@@ -441,3 +441,22 @@ def test_profiles_come_once_over_restarts_and_repeated_batches(spark, tmp_path):
         run(rows.where(part), number)
     got = spark.read.parquet(f"{tmp_path}/p").orderBy("campaign").collect()
     assert [(r.campaign - 472_222 * hour, r.total_events, r.batch) for r in got] == [(0, 2, 1), (hour, 2, 2), (2 * hour, 1, 2)]
+
+
+def test_a_hot_address_is_many_partitions(spark):
+    """One address with most of the events: results as without buckets, and no partition with more than its share."""
+    rnd = random.Random(9)
+    rows = [{"ts_ms": rnd.choice((0, 7_000, 50_000)) * 10 + rnd.randrange(3000), "source_ip": "1.1.1.1" if i % 3 else f"2.2.2.{i % 50}", "sensor_host": f"h{rnd.randrange(9)}"} for i in range(1500)]
+    df = events(spark, *rows)
+    plain = sorted((r["source_ip"], r["ts_ms"], i, r["sensor_host"]) for i, r in enumerate(rows))
+    hits, different = {}, {}
+    for n, (ip, ts, seq, host) in enumerate(plain):
+        inside = [e for e in plain[: n + 1] if e[0] == ip and e[1] >= ts - 20]
+        hits[seq] = len(inside)
+        if host not in {e[3] for e in inside[:-1]}:
+            different[seq] = len({e[3] for e in inside})
+    assert {r.seq: r.hits for r in rates.rate_limit(df, 3, 20).collect()} == hits
+    assert {r.seq for r in rates.over_limit(df, 3, 20).where("triggered").collect()} == {s for s, n in hits.items() if n > 3}
+    assert {r.seq: r.n for r in rates.distinct_in_window(df, ["source_ip"], "sensor_host", 20).collect()} == different
+    sizes = rates.haloed(df, 20).groupBy("source_ip", "__bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] < 1000 / 10 and rates.haloed(df, 20).count() < 1.5 * len(rows)
