@@ -82,6 +82,15 @@ def hex_prefix(digits: Column, length: Column) -> Column:
     return F.rpad(F.concat(F.substring(digits, F.lit(1), whole), part), F.length(digits), F.lit("0"))
 
 
+def hex_last(digits: Column, length: Column) -> Column:
+    """``digits`` with all bits behind ``length`` set, the last address of a network."""
+    whole = F.floor(length / 4).cast("int")
+    unit = F.pow(F.lit(2.0), F.lit(4) - length % 4).cast("int")
+    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    part = F.when(length % 4 == 0, F.lit("")).otherwise(F.lower(F.conv((digit - digit % unit + unit - 1).cast("string"), 10, 16)))
+    return F.rpad(F.concat(F.substring(digits, F.lit(1), whole), part), F.length(digits), F.lit("f"))
+
+
 def is_ip(ip: Column, v6: bool = False) -> Column:
     """An address; with ``v6`` also IPv6, at the price of an Arrow pass."""
     return is_ipv4(ip) | ipv6_hex(ip).isNotNull() if v6 else is_ipv4(ip)

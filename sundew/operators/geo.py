@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import geo_level
-from sundew.functions.net import ipv4_long, is_private
+from sundew.functions.net import address_hex, ipv4_long, is_private
+from sundew.plans.intervals import covering
 from sundew.plans.tables import lookup, materialize, ranked
 
 # Known prefixes in order of precedence, and keywords in order.
@@ -46,6 +47,8 @@ def resolve(ips: DataFrame, prefixes: DataFrame, ranges: DataFrame | None = None
     buckets of the first of WIDTHS that is no narrower than the range, so it has two rows at most (one for each /16 if it is wider).
     An address asks for one bucket of each width, and a bucket has at most seventeen ranges that don't overlap. Of ranges that do,
     the one that starts last counts. A range that ends before it starts meets nothing.
+
+    Ranges of both kinds of addresses have ``low`` and ``high`` in hex digits instead; they may overlap in any way, and are sorted together with the addresses.
     """
     names = [c.split()[0] for c in PLACE.split(", ")]
     distinct = ips.select("ip").distinct()
@@ -53,7 +56,12 @@ def resolve(ips: DataFrame, prefixes: DataFrame, ranges: DataFrame | None = None
     rows = prefixes.select("prefix", F.struct("rule_seq", *names).alias("rule"))
     stub = distinct.select("ip", F.explode(keys).alias("prefix")).join(rows, "prefix").groupBy("ip").agg(F.min("rule").alias("stub"))
     out = distinct.join(stub, "ip", "left")
-    if ranges is not None:
+    if ranges is not None and "low" in ranges.columns:
+        kind = lambda c: F.length(c)
+        points = materialize(distinct.select("ip", address_hex(F.col("ip")).alias("at")), "geo-addresses").withColumn("kind", kind("at"))
+        known = ranges.select(kind("low").alias("kind"), "low", "high", F.struct(F.lit(None).cast("long").alias("ip_from"), *names).alias("row"))
+        out = out.join(covering(points, known, "at").where("row is not null").select("ip", F.col("row").alias("range")), "ip", "left")
+    elif ranges is not None:
         span = F.col("ip_to") - F.col("ip_from") + 1
         width = reduce(lambda wider, w: F.when(span <= 1 << w, w).otherwise(wider), WIDTHS[-2::-1], F.lit(WIDTHS[-1]))
         wide = ranges.where("ip_from <= ip_to").select("ip_from", "ip_to", F.struct("ip_from", *names).alias("range"), width.alias("width"))

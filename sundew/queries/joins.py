@@ -46,6 +46,30 @@ def _(hp: DataFrame) -> DataFrame:
     return geo.resolve(ips, geo.known_prefixes(hp.sparkSession), geo_db.ranges(rows)).select("ip", "country_code", "country_name", "geo_source")
 
 
+# Networks of both kinds that lie in each other, and one without a country; both halves of a /24 are in it.
+_NETS = """ FROM (SELECT DISTINCT source_ip AS ip, split_part(source_ip, '.', 4)::INT AS o FROM hp), (SELECT unnest([false, true]) AS six)"""
+
+
+@over_events("s20_geo_spans", """SELECT DISTINCT CASE WHEN six THEN '2001:db8:0:' || lower(to_hex(o)) || '::' || lower(to_hex(o)) ELSE ip END AS ip,
+  CASE WHEN six THEN CASE WHEN o % 3 = 0 THEN 'Z' || o % 10 WHEN o // 16 = 2 THEN '??' ELSE 'WW' END WHEN ip LIKE '10.%' THEN '--' WHEN ip LIKE '203.%' THEN CASE WHEN o < 128 THEN 'YY' ELSE 'ZZ' END ELSE 'US' END AS country_code,
+  CASE WHEN six OR ip LIKE '203.%' THEN 'range' ELSE 'stub' END AS geo_source""" + _NETS)
+def _(hp: DataFrame) -> DataFrame:
+    octet = F.element_at(F.split("source_ip", r"\."), 4).cast("int")
+    hexed = F.lower(F.hex("o"))
+    seen = hp.select(F.col("source_ip").alias("ip"), octet.alias("o")).distinct()
+    six = seen.select(F.concat(F.lit("2001:db8:0:"), hexed, F.lit("::"), hexed).alias("ip"), "o").distinct()
+    record = lambda code: F.concat(F.lit('{"country": {"iso_code": "'), code, F.lit('"}}'))
+    one = lambda df, network, text: df.select(network.alias("network"), text.alias("record"))
+    nets = seen.where(F.col("ip").startswith("203.")).select(F.substring_index("ip", ".", 3).alias("net")).distinct()
+    rows = one(nets, F.concat("net", F.lit(".0/24")), record(F.lit("ZZ"))).unionByName(one(nets, F.concat("net", F.lit(".5/25")), record(F.lit("YY"))))
+    rows = rows.unionByName(one(six.where("o % 3 = 0"), F.concat(F.lit("2001:0DB8:0:"), hexed, F.lit("::/64")), record(F.concat(F.lit("Z"), (F.col("o") % 10).cast("string")))))
+    # a wide one, one of sixteen networks without a country, a broken one, and one that no address lies in
+    fixed = (("2001:db8::/32", record(F.lit("WW"))), ("2001:db8:0:20::/60", F.lit('{"city": null}')), ("2001:db8::/40", F.lit("{broken")), ("2001:db9::/32", record(F.lit("NO"))))
+    for network, text in fixed:
+        rows = rows.unionByName(one(six.limit(1), F.lit(network), text))
+    return geo.resolve(seen.select("ip").unionByName(six.select("ip")), geo.known_prefixes(hp.sparkSession), geo_db.spans(rows)).select("ip", "country_code", "geo_source")
+
+
 @over_events("j3_private_v6", "SELECT ip, ip IN ('::1', 'fc00::1', '0:0:0:0:0:0:0:1', 'FD12::2') OR starts_with(ip, '10.') AS is_private, CASE WHEN ip IN ('::1', 'fc00::1', '0:0:0:0:0:0:0:1', 'FD12::2') OR starts_with(ip, '10.') THEN '--' WHEN NOT contains(ip, ':') THEN cc ELSE '??' END AS country_code FROM (SELECT DISTINCT source_ip AS ip, cc FROM (SELECT *, " + _GEO + " FROM hp) UNION SELECT unnest(['::1', 'fc00::1', '0:0:0:0:0:0:0:1', 'FD12::2', 'fe80::1', '2001:db8::1']), NULL)")
 def _(hp: DataFrame) -> DataFrame:
     spark = hp.sparkSession

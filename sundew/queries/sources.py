@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import mask_credential
+from sundew.operators import filters
+from sundew.plans.events import T0
 from sundew.plans.tables import shared_folder
 from sundew.queries.registry import over_events
-from sundew.sources import delivery, feeds, jsonl, probes, siem
+from sundew.sources import delivery, feeds, jsonl, lake, probes, siem
 
 
 def event_lines(hp: DataFrame) -> DataFrame:
@@ -106,6 +108,45 @@ def _(hp: DataFrame) -> DataFrame:
     return docs.select("session_id", events.alias("e")).select(F.col("session_id").alias("source_ip"), F.size("e").cast("long").alias("n"), F.array_join(each, ",").alias("events"))
 
 
+# The lake spans the month of the table's own times.
+LAKE_NOW = T0 + 20 * 86_400_000 + 7_000_000
+
+
+def written_lake(hp: DataFrame) -> tuple[str, DataFrame]:
+    """A lake in three steps: most rows, then late ones of a few dates among which some correct rows that are there, and these again."""
+    rows = hp.select("seq", F.when(F.col("seq") % 50 > 0, F.col("raw_ms")).alias("ts_ms"), "source_ip", "service")
+    path = f"{shared_folder(hp.sparkSession)}/lake-{uuid.uuid4().hex}"
+    late = (F.col("ts_ms") >= LAKE_NOW) & (F.col("ts_ms") < LAKE_NOW + 3 * 86_400_000) & (F.col("seq") % 7 == 0)
+    there = F.coalesce(~late, F.lit(True)) | (F.col("seq") % 2 == 0)
+    lake.write_dates(rows.where(there).withColumn("service", F.when(late, F.lit("to be corrected")).otherwise(F.col("service"))), path)
+    for _ in range(2):
+        lake.merge(rows.where(late), path)
+    return path, rows
+
+
+_LAKE = "WITH l AS (SELECT seq, CASE WHEN seq % 50 > 0 THEN raw_ms END AS ts_ms, source_ip, service FROM hp) "
+
+
+@over_events("f1_lake_export", _LAKE + f"SELECT seq, source_ip, service, ts_ms FROM l WHERE service = 'ssh' AND (ts_ms IS NULL OR ts_ms BETWEEN {LAKE_NOW - 86_400_000} AND {LAKE_NOW + 86_400_000}) ORDER BY seq LIMIT 500")
+def _(hp: DataFrame) -> DataFrame:
+    path, rows = written_lake(hp)
+    found = lake.read(hp.sparkSession, path, rows.schema, LAKE_NOW - lake.DAY_MS, LAKE_NOW + lake.DAY_MS)
+    return filters.export(found, service="ssh", limit=500).select("seq", "source_ip", "service", "ts_ms")
+
+
+@over_events("f12_lake_retained", _LAKE + f"SELECT seq, ts_ms, service FROM l WHERE ts_ms >= {LAKE_NOW}")
+def _(hp: DataFrame) -> DataFrame:
+    path, rows = written_lake(hp)
+    return lake.retained(hp.sparkSession, path, rows.schema, LAKE_NOW + 90 * lake.DAY_MS).select("seq", "ts_ms", "service")
+
+
+@over_events("f12_lake_expired", _LAKE + f"SELECT seq, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS date, service FROM l WHERE ts_ms IS NULL OR ts_ms >= {LAKE_NOW}")
+def _(hp: DataFrame) -> DataFrame:
+    path, rows = written_lake(hp)
+    lake.expire(hp.sparkSession, path, rows.schema, LAKE_NOW + 90 * lake.DAY_MS)
+    return lake.read(hp.sparkSession, path, rows.schema).select("seq", F.col("date").cast("string").alias("date"), "service")
+
+
 _IPS = "WITH a AS (SELECT source_ip AS ip, min(seq) AS s FROM hp GROUP BY source_ip)"
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sundew.functions.net import ipv4_long
+from sundew.functions.net import hex_last, ipv4_long, network_of
 
 RECORD = (
     "country struct<iso_code:string,names:struct<en:string>>, city struct<names:struct<en:string>>, location struct<latitude:double,longitude:double>, "
@@ -25,10 +25,20 @@ def ranges(rows: DataFrame) -> DataFrame:
     rows = rows.select(base.alias("base"), bits.alias("bits"), read.alias("r")).where("base is not null and bits between 0 and 32 and r is not null and r.broken is null")
     size = F.expr("shiftleft(1L, 32 - bits)")
     start = F.col("base") - F.col("base") % size
+    return rows.select(start.alias("ip_from"), (start + size - 1).alias("ip_to"), *_place())
+
+
+def _place() -> list[Column]:
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    return rows.select(
-        start.alias("ip_from"), (start + size - 1).alias("ip_to"), F.coalesce("r.country.iso_code", F.lit("??")).alias("country_code"),
-        F.coalesce(text("r.country.names.en"), F.lit("Unknown")).alias("country_name"), F.col("r.city.names.en").alias("city"),
-        F.col("r.location.latitude").alias("latitude"), F.col("r.location.longitude").alias("longitude"),
+    return [
+        F.coalesce("r.country.iso_code", F.lit("??")).alias("country_code"), F.coalesce(text("r.country.names.en"), F.lit("Unknown")).alias("country_name"),
+        F.col("r.city.names.en").alias("city"), F.col("r.location.latitude").alias("latitude"), F.col("r.location.longitude").alias("longitude"),
         F.col("r.autonomous_system_number").alias("asn"), F.col("r.autonomous_system_organization").alias("org"),
-    )
+    ]
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """As ``ranges``, but with networks of both kinds, as ``low`` and ``high`` in hex digits (8 or 32). Only networks with a colon are parsed in Python."""
+    read = F.from_json("record", RECORD, {"columnNameOfCorruptRecord": "broken"})
+    rows = rows.select(network_of(F.col("network")).alias("net"), read.alias("r")).where("net is not null and r is not null and r.broken is null")
+    return rows.select(F.col("net.base").alias("low"), hex_last(F.col("net.base"), F.col("net.len")).alias("high"), *_place())

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sundew.functions import fields, net, summaries
 from sundew.operators import campaigns, dedup, filters, fingerprints, geo, intel, lateral, rates, rules, sessions
-from sundew.plans import tables
-from sundew.sources import delivery, feeds, geo_records, jsonl, probes, siem
+from sundew.plans import intervals, tables
+from sundew.sources import delivery, feeds, geo_records, jsonl, lake, probes, siem
 from sundew.streaming import detect
 from sundew.streaming.run import keyed_state, replayed, replayed_batches
 
@@ -460,3 +460,97 @@ def test_a_hot_address_is_many_partitions(spark):
     assert {r.seq: r.n for r in rates.distinct_in_window(df, ["source_ip"], "sensor_host", 20).collect()} == different
     sizes = rates.haloed(df, 20).groupBy("source_ip", "__bucket").count()
     assert sizes.agg(F.max("count")).first()[0] < 1000 / 10 and rates.haloed(df, 20).count() < 1.5 * len(rows)
+
+
+def interval_rows(spark, rows):
+    return spark.createDataFrame([(k, a, b, (n,)) for k, a, b, n in rows], "kind int, low string, high string, row struct<name:int>")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_that_overlap_agree_with_brute_force(spark, seed):
+    """Any overlaps, both ends of the space, equal starts, repeats, ones that end before they start; points on and beside every end, repeated, null and of a kind without intervals."""
+    rng = random.Random(seed)
+    top, known = {2: 255, 6: (1 << 24) - 1}, []
+    for kind, last in top.items():
+        ends = [sorted(rng.choices(range(last + 1), k=2)) for _ in range(40)] + [[0, last], [last, last], [0, 0], [9, 5], [7, 9], [7, 8], [7, 8]]
+        known += [(kind, a, b, i % 45) for i, (a, b) in enumerate(ends)]
+    width = {2: 2, 6: 6}
+    asked = [(k, p) for k, a, b, _ in known for p in (a - 1, a, b, b + 1) if 0 <= p <= top[k]] * 2
+    points = [(i, k, f"{p:0{width[k]}x}") for i, (k, p) in enumerate(asked)] + [(-1, None, "05"), (-2, 2, None), (-3, 3, "005"), (-4, 7, "0000000")]
+    df = spark.createDataFrame(points, "id int, kind int, row_at string").withColumn("low", F.lit("clash")).repartition(3)
+    got = {r.id: r.row and r.row.name for r in intervals.covering(df, interval_rows(spark, [(k, f"{a:0{width[k]}x}", f"{b:0{width[k]}x}", n) for k, a, b, n in known]), "row_at").collect()}
+    want = {i: None for i in (-1, -2, -3, -4)}
+    for i, (kind, p) in enumerate(asked):
+        over = [(a, -b, n) for k, a, b, n in known if k == kind and a <= p <= b]
+        want[i] = max(over)[2] if over else None
+    assert got == want
+
+
+def test_intervals_of_empty_tables(spark):
+    points = spark.createDataFrame([(1, "0a")], "kind int, at string")
+    assert [r.row for r in intervals.covering(points, interval_rows(spark, []), "at").collect()] == [None]
+    assert intervals.covering(points.where("false"), interval_rows(spark, [(1, "00", "ff", 1)]), "at").count() == 0
+
+
+def test_crowded_network_is_no_hot_key(spark):
+    """A third of the points lie in one interval: they are spread over the ranges, and each asks once."""
+    points = spark.range(30_000).select(F.lit(1).alias("kind"), F.lower(F.lpad(F.hex(F.when(F.col("id") % 3 == 0, F.lit(0xAB0000) + F.col("id")).otherwise(F.col("id") * 500)), 8, "0")).alias("at"))
+    found = intervals.covering(points, interval_rows(spark, [(1, "00ab0000", "00abffff", 1), (1, "00000000", "ffffffff", 0)]), "at")
+    assert found.where("row.name = 1").count() == points.where("at between '00ab0000' and '00abffff'").count() and found.count() == 30_000
+
+
+def test_successor(spark):
+    rows = spark.createDataFrame([("00",), ("0f",), ("9f",), ("ff",), ("19",), (None,)], "d string")
+    assert [r.s for r in rows.select(intervals.successor(F.col("d")).alias("s")).collect()] == ["01", "10", "a0", None, "1a", None]
+
+
+def test_geo_spans_of_both_kinds(spark):
+    rows = [("9.9.9.9/24", "{}"), ("::/0", "{}"), ("2001:DB8::7", "{}"), ("2001:db8::/33", "{}"), ("9.9.7.0/24", "{broken"), ("9.9.6.0/24", None), ("x", "{}"), (None, "{}"), ("0.0.0.0/0", "{}"), ("128.0.0.0/3", "{}")]
+    got = {(r.low, r.high) for r in geo_records.spans(spark.createDataFrame(rows, "network string, record string")).collect()}
+    one = "20010db8" + "0" * 23 + "7"
+    assert got == {("09090900", "090909ff"), ("0" * 32, "f" * 32), (one, one), ("20010db8" + "0" * 24, "20010db87" + "f" * 23), ("0" * 8, "f" * 8), ("80000000", "9fffffff")}
+
+
+def test_lake_opens_only_the_dates_asked_for(spark, tmp_path):
+    day, path = lake.DAY_MS, str(tmp_path / "lake")
+    rows = times(spark, *(END + i * day for i in range(5)), None)
+    lake.write_dates(rows, path)
+    found = lake.read(spark, path, rows.schema, END + day, END + 2 * day)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(r.seq for r in found.collect()) == [1, 2, 5]
+    assert sorted(r.seq for r in lake.read(spark, path, rows.schema, END + day, END + 2 * day, untimed=False).collect()) == [1, 2]
+    read = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "date" in read(lake.retained(spark, path, rows.schema, END + 90 * day)).split("PartitionFilters: [")[1].split("]")[0]
+    assert {r.f.split("date=")[1].split("/")[0] for r in found.select(F.input_file_name().alias("f")).distinct().collect()} == {str(lake.day(END + day)), str(lake.day(END + 2 * day)), "__HIVE_DEFAULT_PARTITION__"}
+
+
+def test_late_rows_write_their_dates_only(spark, tmp_path):
+    import glob
+    import os
+
+    day, path = lake.DAY_MS, str(tmp_path / "lake")
+    assert lake.merge(times(spark), path) == 0
+    assert lake.merge(times(spark, END, END + day, END + 2 * day, None), path) == 4
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/date=*/*.parquet")}
+    late = events(spark, {"seq": 1, "ts_ms": END + day, "service": "ftp"}, {"seq": 1, "ts_ms": END + day, "service": "a"}, {"seq": 9, "ts_ms": END + day + 5}, {"seq": 3, "ts_ms": None, "service": "api"})
+    for _ in range(2):
+        assert lake.merge(late, path) == 2
+        got = {(r.seq, r.service, r.ts_ms) for r in lake.read(spark, path, late.schema).collect()}
+        assert got == {(0, "ssh", END), (1, "ftp", END + day), (9, "ssh", END + day + 5), (2, "ssh", END + 2 * day), (3, "api", None)}
+    after = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/date=*/*.parquet")}
+    untouched = [str(lake.day(END)), str(lake.day(END + 2 * day))]
+    assert all(after.get(f) == t for f, t in before.items() if any(d in f for d in untouched))
+
+
+def test_lake_expires_whole_dates_and_the_edge(spark, tmp_path):
+    day, path = lake.DAY_MS, str(tmp_path / "lake")
+    start = END // day * day
+    rows = times(spark, start, start + day, start + day + 10, start + day + 20, start + 2 * day, None)
+    lake.write_dates(rows, path)
+    assert lake.expire(spark, path, rows.schema, start + day + 10 + 90 * day) == [lake.day(start)]
+    for _ in range(2):
+        assert sorted(r.seq for r in lake.read(spark, path, rows.schema).collect()) == [2, 3, 4, 5]
+        assert lake.expire(spark, path, rows.schema, start + day + 10 + 90 * day) == []
+    assert lake.expire(spark, path, rows.schema, start + day + 21 + 90 * day) == [lake.day(start + day)]
+    assert sorted(r.seq for r in lake.read(spark, path, rows.schema).collect()) == [4, 5]
