@@ -3,8 +3,9 @@
 Two lines are within one edit when deleting one character at one place makes them equal (a
 substitution), or deleting one from the longer gives the shorter (an insertion). All variants of every line would
 be a row for each character, so the neighbourhood is taken from coarse to fine, and each pass keeps only lines
-that share a variant: first a half of the line is deleted, then an eighth, then single characters inside the
-eighth that differs. A line within one edit of another shares a variant at every pass, so none is lost.
+that share a variant: first a half of the line is deleted, then an eighth, then eighths of that until a block is
+short, then single characters inside the block that differs. So a line of n characters has O(log n) passes and no variant of it carries
+more than its block. A line within one edit of another shares a variant at every pass, so none is lost.
 Variants travel as hashes; the texts around a deleted block are compared by 128 bits of hash, what is left by
 edit distance.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from sundew.plans.tables import lookup, materialize, release, tidy
 
+#: Longest block, in characters, whose single characters are deleted; longer ones are cut into eighths again.
+SHORT_BLOCK = 512
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -38,6 +41,20 @@ def deleted_blocks(line: Column, n: Column, blocks: int) -> Column:
     return F.array(*out)
 
 
+def refined(rows: DataFrame) -> DataFrame:
+    """Rows of blocks, each cut into eighths, one of which is deleted; the hashes go on from those of the text around the block."""
+    middle, n = F.col("middle"), F.char_length("middle")
+    size = n - F.when(F.col("same"), 0).otherwise(1)
+    width = F.ceil(size / 8).cast("int")
+    out = []
+    for q in range(8):
+        behind = F.greatest(size - width * (q + 1), F.lit(0))
+        parts = [F.col("c1"), F.col("c2"), F.lit(q), size, F.substring(middle, F.lit(1), width * q), F.substring(middle, n - behind + 1, behind)]
+        inner = F.substring(middle, width * q + 1, F.greatest(n - behind - width * q, F.lit(0)))
+        out.append(F.struct(F.xxhash64(*parts).alias("c1"), F.xxhash64(F.lit(7), *parts).alias("c2"), inner.alias("middle")))
+    return rows.select("h1", "h2", "first", "same", F.explode(F.array(*out)).alias("d")).select("h1", "h2", "first", "same", "d.*")
+
+
 def halves_of(line: Column, n: Column) -> Column:
     """The same for two blocks, without the blocks and the second hash, which the first pass doesn't need."""
     out = []
@@ -69,6 +86,14 @@ def near_lines(lines: DataFrame, total: int) -> DataFrame:
     eighths = left.select("h1", "h2", "first", F.explode(deleted_blocks(F.col("line"), n, 8)).alias("d")).select("h1", "h2", "first", "d.*")
     eighths = materialize(lookup(eighths, shared(eighths, ["c1"]), ["c1"], 16 * left.count(), F.col("h2")), "line-eighths")
     release(left)
+    # what two lines within one edit have at one pass has one size, that of the shorter
+    reach = F.char_length("middle") - F.when(F.col("same"), 0).otherwise(1)
+    while longest := eighths.where(reach > SHORT_BLOCK).count():
+        finer = refined(eighths.where(reach > SHORT_BLOCK))
+        finer = lookup(finer, shared(finer, ["c1"]), ["c1"], 8 * longest, F.col("h2"))
+        finer = materialize(eighths.where(reach <= SHORT_BLOCK).unionByName(finer), "line-eighths")
+        release(eighths)
+        eighths = finer
     middle, size = F.col("middle"), F.char_length("middle")
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     without = lambda i: F.concat(F.substring(middle, F.lit(1), i - 1), F.substring(middle, i + 1, size))

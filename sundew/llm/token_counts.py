@@ -11,7 +11,8 @@ chunk between two blanks has a constant state map (any state before, the reset s
 one is cut again at fixed widths. Each of those has a real map, from the states that can stand before it to the state after it and
 the tokens in between: that of the few characters before the cut, and the reset state. The maps of all pieces of a batch are composed by a
 parallel prefix scan, over doubling distances. Where the state that arrives is not among those a map was made
-for, the map gets it and the scan runs again, so the count never rests on a guess.
+for, the maps of its chunk get the states that arrive, each in turn, and the scan runs once more, so the count never rests on a guess
+and the work grows with the chunk's length.
 """
 
 from __future__ import annotations
@@ -188,17 +189,18 @@ class Transducer:
         for (whole, at), opening in zip(texts, opens.tolist(), strict=True):
             before = [0] if opening else list(dict.fromkeys([self.walk(0, whole[max(at - LOOK, 0) : at])[0], 0]))
             maps.append(self.piece_map(whole[at : at + WIDTH], before))
-        while True:
-            states, counts = scan(maps, opens)
-            arrived = np.concatenate([[0], states[:-1]])
-            arrived[opens] = 0
-            lost = [i for i in np.flatnonzero(states < 0).tolist() if arrived[i] >= 0]
-            if not lost:
-                break
-            for i in lost:
-                whole, at = texts[i]
-                maps[i] |= self.piece_map(whole[at : at + WIDTH], [int(arrived[i])])
         ends = [*first[1:], len(texts)]
+        states, counts = scan(maps, opens)
+        lost = [(a, b) for a, b in zip(first, ends, strict=True) if (states[a:b] < 0).any()]
+        if lost:
+            for a, b in lost:
+                state = 0
+                for j in range(a, b):
+                    if state not in maps[j]:
+                        whole, at = texts[j]
+                        maps[j] |= self.piece_map(whole[at : at + WIDTH], [state])
+                    state = maps[j][state][0]
+            states, counts = scan(maps, opens)
         return [int(counts[b - 1]) - (int(counts[a - 1]) if a else 0) for a, b in zip(first, ends, strict=True)]
 
     def joins(self, word: str) -> bool:

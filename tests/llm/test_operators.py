@@ -424,6 +424,42 @@ def test_posterior_threshold_matches_the_beta_tail():
     assert tail(m, 32) >= 1e-3 > tail(m - 1, 32)
 
 
+def near_copies_of(line, rnd, n):
+    """Copies at one edit, and at two, which are no near copies."""
+    out = []
+    for _ in range(n):
+        i, c = rnd.randrange(len(line)), rnd.choice("xyzé")
+        out.append(rnd.choice([line[:i] + c + line[i + 1 :], line[:i] + line[i + 1 :], line[:i] + c + line[i:]]))
+        out.append("q" + out[-1][:-1] + "q")
+    return out
+
+
+@pytest.mark.parametrize("short", [1, 3, 8])
+def test_long_lines_are_cut_again_and_again(spark, monkeypatch, short):
+    """Edits at every place and beside every cut; blocks go on being cut until they are short."""
+    monkeypatch.setattr(line_dedup, "SHORT_BLOCK", short)
+    rnd = random.Random(short)
+    lines = []
+    for n in (1, 2, 7, 8, 9, 63, 64, 65, 130, 517):
+        line = "".join(rnd.choice("ab c") for _ in range(n)) + "e"
+        lines += [line, *near_copies_of(line, rnd, 12)]
+        lines += [line[:i] + line[i + 1 :] for i in range(0, n, max(n // 16, 1))]
+    rnd.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 9 : i * 9 + 9])) for i in range(len(lines) // 9 + 1)]
+    got = {r.doc_id: (r.kept_text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_very_long_lines(spark):
+    """Lines of a million characters: one edit apart at three places, two edits apart, and alike but for one character more."""
+    rnd = random.Random(3)
+    line = "".join(rnd.choices("abcdefgh ", k=1_000_000))
+    edits = [line[:i] + "X" + line[i + 1 :] for i in (5, 600_123, 999_999)] + [line[:3] + line[4:], "Y" + line[1:-1] + "Y"]
+    rows = spark.createDataFrame(list(enumerate([line, *edits])), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(rows).select("doc_id", "n_removed").collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
 # 9
 def test_counts_agree_with_the_library(spark):
     import sentencepiece
@@ -436,6 +472,20 @@ def test_counts_agree_with_the_library(spark):
         assert r.n_bytes == len((texts[r.doc_id] or "").encode()) and r.over_limit is (r.n_tokens > 4096)
 
 
+def test_one_run_of_a_million_characters():
+    """Work that grows with the length: maps that lack a state are completed in one walk."""
+    import time
+
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    library, (machine, _) = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.transducer(path)
+    for text in ("a" * 1_000_000, "ab" * 100_000 + " x " + "=-" * 50_000):
+        began = time.time()
+        assert sum(machine.maps(token_counts.BLANK + text.replace(" ", token_counts.BLANK))) == len(library.encode(text))
+        assert time.time() - began < 10
+
+
 def test_long_texts_without_blanks_are_counted_by_composed_maps(spark):
     import sentencepiece
 
