@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import mask_credential
 from sundew.operators import filters
 from sundew.plans.events import T0
-from sundew.plans.tables import shared_folder
+from sundew.plans.tables import materialize, shared_folder
 from sundew.queries.registry import over_events
 from sundew.sources import delivery, feeds, jsonl, lake, probes, siem
+from sundew.sources.delivery import Sender
 
 
 def event_lines(hp: DataFrame) -> DataFrame:
@@ -93,6 +95,34 @@ def _(hp: DataFrame) -> DataFrame:
     return delivery.deliver(rows.where(inside), senders, retries=1).unionByName(delivery.deliver(rows.where(~inside), senders, retries=1))
 
 
+def refuse_all(values: list[str]) -> None:
+    raise ConnectionError("down")
+
+
+@over_events("s10_delivery_ledger", """SELECT seq, 'a' AS target, 0 AS attempt, 'delivered' AS status FROM hp UNION ALL SELECT seq, 'b', 0, CASE seq % 2 WHEN 0 THEN 'dropped' ELSE 'delivered' END FROM hp
+  UNION ALL SELECT seq, 'b', 1, 'delivered' FROM hp WHERE seq % 2 = 0""")
+def _(hp: DataFrame) -> DataFrame:
+    """A target is down for the first batch; the stream ends, is started again when the target is back, and goes on with the second batch."""
+    spark = hp.sparkSession
+    out = f"{shared_folder(spark)}/delivery-{uuid.uuid4().hex}"
+    rows = materialize(hp.select("seq", F.col("source_ip").alias("value")), "deliveries")
+
+    def stream(second: Sender) -> None:
+        sink = delivery.delivered_once(f"{out}/ledger", lambda batch: batch, {"a": len, "b": second})
+        source = spark.readStream.schema(rows.schema).parquet(f"{out}/rows")
+        source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+
+    rows.where("seq % 2 = 0").write.mode("append").parquet(f"{out}/rows")
+    try:
+        stream(refuse_all)
+    except StreamingQueryException as error:
+        if "Undelivered" not in str(error):
+            raise
+    rows.where("seq % 2 = 1").write.mode("append").parquet(f"{out}/rows")
+    stream(len)
+    return delivery.ledger_rows(spark, f"{out}/ledger").select("seq", "target", "attempt", "status")
+
+
 @over_events("s12_retry_queue", "SELECT seq, 2 AS attempts FROM hp WHERE service = 'rdp' ORDER BY ts_ms DESC, seq DESC LIMIT 100")
 def _(hp: DataFrame) -> DataFrame:
     rows = hp.where("service = 'rdp'").select("seq", F.col("ts_ms").alias("enqueued_ms"), F.lit(1).alias("attempts"))

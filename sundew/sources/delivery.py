@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Sender = Callable[[list[str]], None]
@@ -53,6 +54,51 @@ def fan_out(lake: str, status: str, render: Callable[[DataFrame], DataFrame], se
     return run
 
 
+class Undelivered(Exception):
+    """Some rows of a batch have not reached all targets."""
+
+
+def ledger_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of ``delivered_once``: a status row for each row, target, ``batch`` and ``attempt``; empty before the first batch."""
+    schema = f"{STATUS}, batch long, attempt int"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def delivered_once(ledger: str, render: Callable[[DataFrame], DataFrame], senders: dict[str, Sender], retries: int = 0) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: a row goes to every target, and a batch that runs again sends only what its ledger doesn't have as delivered.
+
+    A batch that leaves a row undelivered raises ``Undelivered`` once all its statuses are written, so the stream ends and a restart takes it up again; a
+    target that had its rows gets none of them twice. A crash between sending and writing the ledger sends the rows of that attempt again (at least once).
+    Rows are told apart by ``seq`` inside a batch; null ones can't be and are sent at every attempt.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = render(batch).select("seq", "value").persist()
+        try:
+            before = ledger_rows(spark, ledger).where(F.col("batch") == number)
+            attempt = (before.agg(F.max("attempt")).first()[0] + 1) if not before.isEmpty() else 0
+            todo = None
+            for target, send in senders.items():
+                had = before.where((F.col("target") == target) & (F.col("status") == "delivered")).select("seq")
+                sent = deliver(kept.join(had, "seq", "left_anti") if attempt else kept, {target: send}, retries)
+                todo = sent if todo is None else todo.unionByName(sent)
+            path = f"{ledger}/batch={number}/attempt={attempt}"
+            todo.write.mode("overwrite").parquet(path)
+            missed = spark.read.schema(STATUS).parquet(path).where("status <> 'delivered'").count()
+        finally:
+            kept.unpersist()
+        if missed:
+            raise Undelivered(f"batch {number}: {missed} rows are undelivered after attempt {attempt}")
+
+    return run
+
+
 def retry_queue(queue: DataFrame, failed: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
     """The queue with new failures (attempts one more) and what falls out: the newest ``most`` rows stay, by ``enqueued_ms``.
 

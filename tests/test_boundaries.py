@@ -554,3 +554,38 @@ def test_lake_expires_whole_dates_and_the_edge(spark, tmp_path):
         assert lake.expire(spark, path, rows.schema, start + day + 10 + 90 * day) == []
     assert lake.expire(spark, path, rows.schema, start + day + 21 + 90 * day) == [lake.day(start + day)]
     assert sorted(r.seq for r in lake.read(spark, path, rows.schema).collect()) == [4, 5]
+
+
+def test_a_target_gets_no_row_twice(spark, tmp_path):
+    path, sent = str(tmp_path / "ledger"), str(tmp_path / "sent")
+
+    def keeper(name, refused=""):
+        def send(values):
+            import os
+            import uuid
+
+            if refused and any(v.startswith(refused) for v in values):
+                raise ConnectionError(refused)
+            os.makedirs(f"{sent}/{name}", exist_ok=True)
+            with open(f"{sent}/{name}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(values))
+
+        return send
+
+    def got(name):
+        import glob
+
+        return sorted(v for p in glob.glob(f"{sent}/{name}/*") for v in open(p).read().split("\n"))
+
+    rows = spark.createDataFrame([(i, f"{'bad' if i % 4 == 3 else 'good'}{i}") for i in range(8)], "seq long, value string").repartition(8, "seq").orderBy("seq")
+    for _ in range(2):
+        with pytest.raises(delivery.Undelivered, match="batch 5"):
+            delivery.delivered_once(path, lambda b: b, {"a": keeper("a"), "b": keeper("b", "bad")})(rows, 5)
+    delivery.delivered_once(path, lambda b: b, {"a": keeper("a"), "b": keeper("b")})(rows, 5)
+    delivery.delivered_once(path, lambda b: b, {"a": keeper("a"), "b": keeper("b")})(rows, 5)
+    want = sorted(r.value for r in rows.collect())
+    assert got("a") == got("b") == want
+    delivery.delivered_once(path, lambda b: b, {"a": keeper("a")})(rows, 6)  # another batch is no repeat
+    assert got("a") == sorted(want * 2)
+    assert delivery.ledger_rows(spark, f"{path}-none").count() == 0
+    delivery.delivered_once(path, lambda b: b, {"a": keeper("a")})(rows.where("false"), 7)
