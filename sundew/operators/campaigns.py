@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sundew.functions.fields import campaign_tier, is_common_word, is_targeted
 from sundew.functions.net import slash24, slash28
-from sundew.operators.rates import distinct_in_window
+from sundew.operators.rates import distinct_in_window, reachable
 from sundew.operators.rules import first_values
 from sundew.plans.tables import materialize
 
@@ -59,7 +59,7 @@ def camp001(events: DataFrame) -> DataFrame:
 def camp002(events: DataFrame, least: int = 5, window_ms: int = 3_600_000) -> DataFrame:
     """A service touched by ``least`` addresses within an hour, at the first event where they are most."""
     by = ["campaign", "service"]
-    rises = distinct_in_window(events, by, "source_ip", window_ms).where(F.col("n") >= least)
+    rises = distinct_in_window(reachable(events, by, "source_ip", window_ms, least), by, "source_ip", window_ms).where(F.col("n") >= least)
     peak = rises.groupBy(*by).agg(F.max(F.struct("n", (-F.col("ts_ms")).alias("__t"), (-F.col("seq")).alias("__s"))).alias("p"))
     seen = events.groupBy(*by).agg(F.min("seq").alias("seen"))
     best = peak.join(seen, by).groupBy("campaign").agg(F.max(F.struct("p.n", (-F.col("seen")).alias("__seen"), "service", "p.__t", "p.__s")).alias("b"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import credential_key
+from sundew.operators.rates import islands
 
 
 @dataclass(frozen=True)
@@ -44,19 +45,47 @@ def suppression(rules: Sequence[Rule], now_ms: Column) -> Column:
     return F.coalesce(*(F.when(r.matches(now_ms), F.lit(r.reason)) for r in rules), F.lit(None).cast("string"))
 
 
+#: Rules that a task meets at once; more are dealt to parts of about so many.
+RULES_TOGETHER = 10_000
+#: Copies of a part's lists, so that the events of a service are dealt to as many tasks.
+COPIES = 64
+
+
+def _first_rule(rules: Column) -> Column:
+    """The first of a sorted list of rules that matches the event."""
+
+    def matches(r: Column) -> Column:
+        ip = r["ip_prefix"].isNull() | F.col("source_ip").startswith(r["ip_prefix"])
+        user = r["username_regex"].isNull() | ((F.coalesce("username", F.lit("")) != "") & F.rlike("username", F.concat(F.lit("(?i)"), r["username_regex"])))
+        alive = r["expires_ms"].isNull() | (F.col("ts_ms") <= r["expires_ms"])
+        return F.coalesce(ip & user & alive, F.lit(False))
+
+    return F.get(F.filter(rules, matches), 0)
+
+
 def suppressed_by_table(events: DataFrame, rules: DataFrame) -> DataFrame:
     """The same with rules as rows: ``rule_seq, reason, ip_prefix, username_regex, service, expires_ms``.
 
-    Rules are joined on the service where they name one, so the rest (``service`` null) is the only part that meets all
-    events; each event then keeps its first rule.
+    An event meets two sorted lists, that of its service and that of the rules without one, and keeps its first rule. Up to RULES_TOGETHER rules are broadcast and
+    events stay where they are; more are counted first and dealt to parts, each of which meets the events of a service in COPIES tasks. ``seq`` tells events apart.
     """
-    keyed = events.withColumn("__services", F.array(F.col("service"), F.lit("*")))
-    spread = keyed.select("*", F.explode("__services").alias("__s")).drop("__services")
-    named = rules.select("rule_seq", "reason", "ip_prefix", "username_regex", F.coalesce("service", F.lit("*")).alias("__s"), "expires_ms")
-    ip = F.col("ip_prefix").isNull() | F.col("source_ip").startswith(F.col("ip_prefix"))
-    user = F.col("username_regex").isNull() | ((F.coalesce("username", F.lit("")) != "") & F.expr("username rlike concat('(?i)', username_regex)"))
-    alive = F.col("expires_ms").isNull() | (F.col("ts_ms") <= F.col("expires_ms"))
-    hits = spread.join(named, "__s").where(ip & user & alive).groupBy("seq").agg(F.min_by("reason", "rule_seq").alias("suppressed_by"))
+    rule = F.struct("rule_seq", "reason", "ip_prefix", "username_regex", "expires_ms")
+    listed = F.array_sort(F.collect_list(rule))
+    if rules.limit(RULES_TOGETHER + 1).count() <= RULES_TOGETHER:
+        named = rules.where("service is not null").groupBy(F.col("service").alias("__service")).agg(listed.alias("__named"))
+        others = rules.where("service is null").agg(listed.alias("__others"))
+        met = events.join(F.broadcast(named), F.col("service") == F.col("__service"), "left").join(F.broadcast(others), F.lit(True), "left")
+        # nulls are no smaller, so the first of both is the smaller of those that are there
+        return met.select(*events.columns, F.array_min(F.array(_first_rule(F.col("__named")), _first_rule(F.col("__others"))))["reason"].alias("suppressed_by"))
+    parts = -(-rules.count() // RULES_TOGETHER)
+    part = F.pmod(F.xxhash64("rule_seq", "reason"), F.lit(parts)).alias("part")
+    lists = rules.groupBy(F.struct("service", part).alias("k")).agg(listed.alias("__rules"))
+    lists = lists.select("k", "__rules", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy")).select(F.struct("k", "copy").alias("__k"), "__rules")
+    copy = F.pmod(F.xxhash64("seq"), F.lit(COPIES)).cast("int").alias("copy")
+    place = lambda service: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), lambda p: F.struct(F.struct(service.alias("service"), p.alias("part")).alias("k"), copy))
+    places = F.array_distinct(F.concat(place(F.col("service")), place(F.lit(None).cast("string"))))
+    met = events.select("seq", "source_ip", "username", "ts_ms", F.explode(places).alias("__k")).join(lists, "__k")
+    hits = met.select("seq", _first_rule(F.col("__rules")).alias("r")).groupBy("seq").agg(F.min("r")["reason"].alias("suppressed_by"))
     return events.join(hits, "seq", "left")
 
 
@@ -65,16 +94,12 @@ def dedup_alerts(events: DataFrame, window_ms: int = 300_000, max_group: int = 1
 
     Events of one address, service and credential form a group while no gap is over ``window_ms``. A group's first
     event alerts, and so does each that fills the group to ``max_group``, which then starts again at one. Suppressed events
-    neither alert nor count. Closed form: no state, one shuffle by key.
+    neither alert nor count. Closed form: no state, and a hot key is ordered in cells of time.
     """
-    marked = events.withColumns({"suppressed_by": suppression(rules, F.col("ts_ms")), "__key": credential_key(F.col("credential"))})
-    passed = F.col("suppressed_by").isNull()
-    by = [F.col("source_ip"), F.col("service"), F.col("__key"), passed]
-    order = Window.partitionBy(*by).orderBy("ts_ms", "seq")
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(order)
-    marked = marked.withColumn("__island", F.sum(F.when(gap > window_ms, 1).otherwise(0)).over(order))
-    inside = Window.partitionBy(*by, "__island").orderBy("ts_ms", "seq")
-    marked = marked.withColumn("__p", F.row_number().over(inside))
+    reason = suppression(rules, F.col("ts_ms"))
+    marked = events.withColumns({"suppressed_by": reason, "__key": credential_key(F.col("credential"))}).withColumn("__passed", F.col("suppressed_by").isNull())
+    by = ["source_ip", "service", "__key", "__passed"]
+    marked, passed = islands(marked, by, window_ms), F.col("__passed")
     m, p = max_group, F.col("__p")
     # the first alerts as number 1; the group then runs 2..m, where m alerts and stands for the next group's first
     again = F.lit(True) if m <= 2 else (p - 1) % (m - 1) == 0

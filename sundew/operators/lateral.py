@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sundew.functions.fields import lateral_level
 from sundew.functions.net import is_internal
-from sundew.operators.rates import distinct_in_window, haloed
+from sundew.operators.rates import distinct_in_window, haloed, reachable
 from sundew.plans.tables import ranked
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -57,9 +57,9 @@ def latm001(events: DataFrame) -> DataFrame:
 
 def _distinct_check(events: DataFrame, check: str, value: str, most: int, window_ms: int) -> DataFrame:
     """More than ``most`` different values of an address within the window, at the first event where it is so."""
-    seen = events.where(F.col(value).isNotNull())
+    seen = reachable(events, ["source_ip"], value, window_ms, most + 1)
     fired = _first(distinct_in_window(seen, ["source_ip"], value, window_ms).where(F.col("n") > most), ["source_ip"])
-    rows = _window_rows(seen, fired, ["source_ip"], window_ms)
+    rows = _window_rows(events.where(F.col(value).isNotNull()), fired, ["source_ip"], window_ms)
     return _finding(rows, check, F.col("source_ip"), F.array("source_ip"), F.col("ids"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import session_seconds, session_severity
+from sundew.operators.rates import islands
 
 #: Types of events that are a success, and points of a phase.
 SUCCESS_TYPES = ("login_success", "auth_success", "authenticated")
@@ -18,12 +19,8 @@ def session_index(events: DataFrame, gap_ms: int = 300_000) -> DataFrame:
     Events without a time come last and stay in the last session. A missing address is ``unknown``.
     """
     ip = F.coalesce(F.nullif("source_ip", F.lit("")), F.lit("unknown"))
-    order = Window.partitionBy("source_ip").orderBy(F.col("ts_ms").asc_nulls_last(), "seq")
-    split = F.when(F.col("ts_ms") - F.lag("ts_ms").over(order) > gap_ms, 1).otherwise(0)
-    return (
-        events.withColumn("source_ip", ip).withColumn("__split", split).withColumn("session_no", F.sum("__split").over(order)).drop("__split")
-        .withColumn("session_id", F.concat("source_ip", F.lit("-"), F.col("session_no").cast("string")))
-    )
+    numbered = islands(events.withColumn("source_ip", ip), ["source_ip"], gap_ms).withColumnRenamed("__island", "session_no").drop("__p")
+    return numbered.withColumn("session_id", F.concat("source_ip", F.lit("-"), F.col("session_no").cast("string")))
 
 
 def phase_of(users: Column, passwords: Column, events: Column, services: Column, ok: Column) -> Column:

@@ -589,3 +589,60 @@ def test_a_target_gets_no_row_twice(spark, tmp_path):
     assert got("a") == sorted(want * 2)
     assert delivery.ledger_rows(spark, f"{path}-none").count() == 0
     delivery.delivered_once(path, lambda b: b, {"a": keeper("a")})(rows.where("false"), 7)
+
+
+def test_islands_agree_with_one_event_at_a_time(spark):
+    """Over cells of any width, ties, null keys and events without a time."""
+    rng = random.Random(5)
+    rows = [{"ts_ms": rng.choice([None, rng.randrange(4000), rng.randrange(400) * 10]), "source_ip": rng.choice(["a", "b", None])} for _ in range(300)]
+    df = events(spark, *rows)
+    for gap in (0, 3, 40):
+        got = {r.seq: (r["__island"], r["__p"]) for r in rates.islands(df, ["source_ip"], gap).collect()}
+        assert len(got) == 300
+        for key in ("a", "b", None):
+            own = sorted((i for i, r in enumerate(rows) if r["source_ip"] == key), key=lambda i: (rows[i]["ts_ms"] is None, rows[i]["ts_ms"] or 0, i))
+            island, place, last = 0, 0, None
+            for i in own:
+                ts = rows[i]["ts_ms"]
+                new = ts is not None and last is not None and ts - last > gap
+                island, place, last = island + new, 1 if new else place + 1, ts
+                assert got[i] == (island, place), (gap, key, i)
+
+
+def test_islands_of_a_hot_key_are_many_partitions(spark):
+    """One address has a third of all events, in one island; no window partition has more than its cell."""
+    gap = 1000
+    df = times(spark, *range(0, 600_000, 100))
+    sizes = rates.islands(df, ["source_ip"], gap).groupBy(F.floor(F.col("ts_ms") / (gap * rates.CELL_GAPS))).count()
+    assert sizes.agg(F.max("count")).first()[0] == gap * rates.CELL_GAPS // 100
+    assert rates.islands(df, ["source_ip"], gap).agg(F.max("__island"), F.max("__p")).first() == (0, 6000)
+
+
+@pytest.mark.parametrize("least", [3, 6, 40])
+def test_sketches_lose_no_window(spark, least):
+    """The exact count over what the sketches leave is that over all events, wherever it reaches the bound."""
+    rng = random.Random(least)
+    rows = []
+    for key in range(30):
+        wide = key % 3 == 0  # of these alone a window can reach it
+        rows += [{"ts_ms": rng.randrange(3000 if wide else 100_000), "source_ip": f"k{key}", "username": f"u{rng.randrange(2 * least if wide else least // 2)}"} for _ in range(4 * least)]
+    df = events(spark, *rows)
+    left = rates.reachable(df, ["source_ip"], "username", 2000, least)
+    first = lambda d: {(r.source_ip, r.seq, r.n) for r in rates.distinct_in_window(d, ["source_ip"], "username", 2000).where(F.col("n") >= least).groupBy("source_ip").agg(F.min(F.struct("ts_ms", "seq", "n")).alias("f")).select("source_ip", "f.*").collect()}
+    assert first(left) == first(df) and first(df)
+    assert left.count() < df.count() / 2
+    assert rates.reachable(df.where("false"), ["source_ip"], "username", 2000, least).count() == 0
+
+
+@pytest.mark.parametrize("together", [10_000, 2])
+def test_rules_as_rows_agree_with_rules_as_columns(spark, monkeypatch, together):
+    """Few rules in one piece, many in parts; null services, names and addresses included."""
+    monkeypatch.setattr(dedup, "RULES_TOGETHER", together)
+    given = [dedup.Rule("a", service="ssh", username_regex="^ro"), dedup.Rule("b", ip_prefix="9."), dedup.Rule("c", service="ftp"), dedup.Rule("d", service="ssh", expires_ms=5), dedup.Rule("e", username_regex="x$", expires_ms=9), dedup.Rule("f", service="none")]
+    table = spark.createDataFrame([(i, r.reason, r.ip_prefix, r.username_regex, r.service, r.expires_ms) for i, r in enumerate(given)], "rule_seq int, reason string, ip_prefix string, username_regex string, service string, expires_ms long")
+    rows = [{"ts_ms": t, "service": s, "username": u, "source_ip": ip} for t in (5, 6, 9, 10, None) for s in ("ssh", "ftp", "api", None) for u in ("ROOT", "yX", "", None) for ip in ("9.1.1.1", "1.1.1.1", None)]
+    df = events(spark, *rows)
+    want = {r.seq: r.s for r in df.select("seq", dedup.suppression(given, F.col("ts_ms")).alias("s")).collect()}
+    got = dedup.suppressed_by_table(df, table)
+    assert {r.seq: r.suppressed_by for r in got.collect()} == want and got.count() == len(rows)
+    assert {r.suppressed_by for r in dedup.suppressed_by_table(df, table.where("false")).collect()} == {None}
