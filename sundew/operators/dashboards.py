@@ -43,6 +43,30 @@ def top_values(events: DataFrame, column: str, n: int) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seen")).orderBy(F.desc("n"), "seen").limit(n).drop("seen")
 
 
+def top_of_service(events: DataFrame, service: str, column: str, n: int = 10, missing: str = "") -> DataFrame:
+    """``value, n``: the most frequent values of a service's events. Nulls count as ``missing``, and are left out where that is empty, as empty values are."""
+    own = events.where(F.col("service") == service)
+    return top_values(own.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit(missing))), column, n)
+
+
+def unique_by_service(events: DataFrame, column: str = "source_ip", approximate: bool = False) -> DataFrame:
+    """``service, n``: how many different values each service has; nulls are none. Exact counts take a row for each value and service to the shuffle."""
+    count = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+    return events.groupBy("service").agg(count.alias("n"))
+
+
+def hours_of_day(events: DataFrame, by: str | None = None) -> DataFrame:
+    """``hour, n`` (for each ``by``): events by the UTC hour of the day, 24 rows at most; events without a time have a null hour."""
+    hour = F.floor(F.pmod(F.col("ts_ms"), F.lit(86_400_000)) / 3_600_000).cast("int").alias("hour")
+    return events.groupBy(*([by] if by else []), hour).agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_rates(events: DataFrame, by: str = "source_ip") -> DataFrame:
+    """``value, n, per_hour`` of each ``by``: its events over the time from its first to its last, an hour at least."""
+    each = events.groupBy(F.col(by).alias("value")).agg(F.count(F.lit(1)).alias("n"), (F.max("ts_ms") - F.min("ts_ms")).alias("span"))
+    return each.select("value", "n", (F.col("n") / F.greatest(F.coalesce("span", F.lit(0)) / 3_600_000, F.lit(1.0))).alias("per_hour"))
+
+
 def document(events: DataFrame, window: str, now_text: str, n: int = 10) -> DataFrame:
     """The whole dashboard as one row of JSON.
 

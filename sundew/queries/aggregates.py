@@ -101,6 +101,41 @@ def _(hp: DataFrame) -> DataFrame:
     return hp.groupBy("service", F.coalesce("user_agent", F.lit("none")).alias("agent"), hour.alias("hour_of_day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_ip").alias("ips"))
 
 
+def _top_sql(value: str, where: str, n: int) -> str:
+    return f"SELECT {value} AS value, count(*) AS n FROM hp WHERE {where} GROUP BY 1 ORDER BY n DESC, min(seq) LIMIT {n}"
+
+
+@over_events("a35_top_usernames", _top_sql("username", "service = 'ssh' AND username <> ''", 10))
+def _(hp: DataFrame) -> DataFrame:
+    return dashboards.top_of_service(hp, "ssh", "username", 10)
+
+
+@over_events("a35_top_paths", _top_sql("path", "service = 'http' AND path <> ''", 20))
+def _(hp: DataFrame) -> DataFrame:
+    return dashboards.top_of_service(hp, "http", "path", 20)
+
+
+@over_events("a35_top_agents", _top_sql("coalesce(user_agent, 'none')", "service = 'ftp'", 10))
+def _(hp: DataFrame) -> DataFrame:
+    """Of a service without agents, so that what is missing is counted."""
+    return dashboards.top_of_service(hp, "ftp", "user_agent", 10, "none")
+
+
+@over_events("a35_unique_by_service", "SELECT service, count(DISTINCT source_ip) AS n FROM hp GROUP BY 1")
+def _(hp: DataFrame) -> DataFrame:
+    return dashboards.unique_by_service(hp)
+
+
+@over_events("a35_hours_of_day", "SELECT service, (ts_ms // 3600000 % 24)::INTEGER AS hour, count(*) AS n FROM hp GROUP BY 1, 2")
+def _(hp: DataFrame) -> DataFrame:
+    return dashboards.hours_of_day(hp, "service")
+
+
+@over_events("a35_event_rates", "SELECT source_ip AS value, count(*) AS n, count(*) / greatest((max(ts_ms) - min(ts_ms)) / 3600000, 1.0::DOUBLE) AS per_hour FROM hp GROUP BY 1")
+def _(hp: DataFrame) -> DataFrame:
+    return dashboards.event_rates(hp)
+
+
 @over_events("a36_alert_payloads", "SELECT source_ip, service, 'r1' AS rule, 'High' AS severity, count(*) AS events, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, coalesce(array_to_string(list_sort(list_distinct(list(path)))[1:3], ','), '') AS sample_paths, array_to_string(list_sort(list_distinct(list('s' || k % 7)))[1:3], ',') AS session_ids FROM hp GROUP BY 1, 2")
 def _(hp: DataFrame) -> DataFrame:
     return rules.alert_payloads(hp.withColumn("session_id", F.concat(F.lit("s"), (F.col("k") % 7).cast("string"))), "r1", "High")

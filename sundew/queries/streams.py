@@ -12,8 +12,8 @@ from sundew.queries.aggregates import _DO, _UP
 from sundew.queries.joins import _FEED, _GEO, _HIT, feed_of
 from sundew.queries.registry import SQL, over_events
 from sundew.queries.sequences import _DEDUP, _SESSIONS, RULES
-from sundew.streaming import detect
-from sundew.streaming.run import replayed, replayed_batches
+from sundew.streaming import detect, retries
+from sundew.streaming.run import replayed, replayed_batches, replayed_by_clock
 
 END = T0 + 10 * 86_400_000
 
@@ -110,3 +110,22 @@ def _(hp: DataFrame) -> DataFrame:
 def _(hp: DataFrame) -> DataFrame:
     shown = hp.where(filters.uploads(hp) & ~F.col("source_ip").startswith("198.20."))
     return replayed(hp.sparkSession, shown, lambda s: detect.quiet_repeats(detect.timed(s), ["source_ip", "payload"]), END, runs=1).where("seq >= 0")
+
+
+def back_at_the_third(value: str, attempts: int) -> None:
+    """A target that takes internal addresses at the third attempt, all others at the second."""
+    if value.startswith("10.") and attempts < 2:
+        raise ConnectionError("down")
+
+
+@over_events("s12_retry_stream", """WITH f AS (SELECT *, service AS target, row_number() OVER (PARTITION BY service ORDER BY ts_ms DESC, seq DESC) AS r FROM hp)
+  SELECT target, seq, CASE WHEN r > 100 THEN 'siem_delivery_dropped' ELSE 'delivered' END AS event, CASE WHEN r > 100 THEN 1 WHEN source_ip LIKE '10.%' THEN 3 ELSE 2 END AS attempt, 1 + (r <= 100 AND source_ip LIKE '10.%')::INTEGER AS failures FROM f""")
+def _(hp: DataFrame) -> DataFrame:
+    """All events as failures of a target for each service: the newest 100 of each stay in its queue and are retried until they are delivered."""
+    spark = hp.sparkSession
+    failed = materialize(hp.select(F.col("service").alias("target"), "seq", F.col("source_ip").alias("value"), F.col("ts_ms").alias("enqueued_ms"), F.lit("down").alias("error")), "failures")
+    total = failed.count()
+    ended = F.col("event") != retries.RETRY
+    found = replayed_by_clock(spark, failed, lambda s: retries.retried(s, back_at_the_third, 100, 10), lambda rows: rows.where(ended).count() >= total)
+    last = F.max(F.when(ended, F.struct("event", "attempt")))
+    return found.groupBy("target", "seq").agg(last.alias("last"), F.count_if(~ended).cast("int").alias("failures")).select("target", "seq", "last.event", "last.attempt", "failures")

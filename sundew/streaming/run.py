@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,36 @@ def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFr
             query = result.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
             query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{out}/rows")
+
+
+def replayed_by_clock(spark: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], bool], seconds: int = 300) -> DataFrame:
+    """``rows`` as a stream through ``transform``, whose timers run on the clock, until ``done`` holds for the result; the result as a table.
+
+    The stream is stopped when its first rows are there, and another one goes on from its checkpoint. It is an error if ``seconds`` pass before the end.
+    """
+    table = materialize(rows, "clock-input")
+    out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    table.write.parquet(f"{out}/events")
+    end = time.monotonic() + seconds
+    for enough in (lambda found: not found.isEmpty(), done):
+        with keyed_state(spark):
+            result = transform(spark.readStream.schema(table.schema).parquet(f"{out}/events"))
+            query = result.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(processingTime="0 seconds").start()
+        try:
+            while not enough(_written(spark, f"{out}/rows", result)) and not table.isEmpty():
+                if query.awaitTermination(1):
+                    break  # only an error ends it, and is raised
+                if time.monotonic() > end:
+                    raise TimeoutError(f"the stream isn't done after {seconds} seconds")
+        finally:
+            query.stop()
+    return _written(spark, f"{out}/rows", result)
+
+
+def _written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)

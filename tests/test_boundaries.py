@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sundew.functions import fields, net, summaries
-from sundew.operators import campaigns, dedup, filters, fingerprints, geo, intel, lateral, rates, rules, sessions
+from sundew.operators import campaigns, dashboards, dedup, filters, fingerprints, geo, intel, lateral, rates, rules, sessions
 from sundew.plans import intervals, tables
 from sundew.sources import delivery, feeds, geo_records, jsonl, lake, probes, siem
-from sundew.streaming import detect
-from sundew.streaming.run import keyed_state, replayed, replayed_batches
+from sundew.streaming import detect, retries
+from sundew.streaming.run import keyed_state, replayed, replayed_batches, replayed_by_clock
 
 END = 1_800_000_000_000
 
@@ -646,3 +646,86 @@ def test_rules_as_rows_agree_with_rules_as_columns(spark, monkeypatch, together)
     got = dedup.suppressed_by_table(df, table)
     assert {r.seq: r.suppressed_by for r in got.collect()} == want and got.count() == len(rows)
     assert {r.suppressed_by for r in dedup.suppressed_by_table(df, table.where("false")).collect()} == {None}
+
+
+class FakeHandle:
+    """State of one key in dicts."""
+
+    def __init__(self):
+        self.value, self.items, self.timers = None, {}, set()
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def getMapState(self, *_):
+        return SimpleNamespace(getValue=self.items.get, updateValue=self.items.__setitem__, removeKey=self.items.pop)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def tick(self, queue, now):
+        at = min(self.timers)
+        assert at <= now
+        self.timers.remove(at)
+        clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+        return [(r.event, r.seq, r.attempt, r.queue_depth) for r in queue.handleExpiredTimer(("t",), clock, SimpleNamespace(getExpiryTimeInMs=lambda: at))]
+
+
+def failures(*rows):
+    return iter([SimpleNamespace(seq=seq, value=str(seq), enqueued_ms=ms, error="down") for seq, ms in rows])
+
+
+def test_queue_in_state_keeps_the_newest_and_makes_up_for_late_ticks():
+    sent = []
+
+    def resend(value, attempts):
+        if value == "3" and attempts < 3:
+            raise ConnectionError("down")
+        sent.append((value, attempts))
+
+    queue, handle = retries.Queue(resend, 3, 10), FakeHandle()
+    queue.init(handle)
+    at = lambda now: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+    got = [(r.event, r.seq, r.queue_depth) for r in queue.handleInputRows(("t",), failures((1, 5), (0, None), (2, 6), (3, 7)), at(100))]
+    retry, dropped = retries.RETRY, retries.DROPPED
+    assert sorted(got) == sorted([(retry, 1, 1), (retry, 0, 2), (retry, 2, 3), (retry, 3, 3), (dropped, 0, 3)])
+    assert handle.timers == {110} and len(handle.items) == 3
+    # two ticks are due, and the order is that of the queue
+    assert handle.tick(queue, 120) == [("delivered", 1, 2, 2), ("delivered", 2, 2, 1)]
+    # a new row is behind the one that waits; the timer stays
+    assert [r.seq for r in queue.handleInputRows(("t",), failures((4, 8)), at(125))] == [4] and handle.timers == {130}
+    assert handle.tick(queue, 130) == [(retry, 3, 2, 2)]
+    # the oldest of the queue falls out, with its attempts
+    got = [(r.event, r.seq, r.attempt) for r in queue.handleInputRows(("t",), failures((5, 9), (6, 9)), at(135))]
+    assert got == [(retry, 5, 1), (retry, 6, 1), (dropped, 4, 1)]
+    # however late, no row is taken twice in one batch
+    assert handle.tick(queue, 10_000) == [(retry, 3, 3, 3), ("delivered", 5, 2, 2), ("delivered", 6, 2, 1)]
+    assert handle.tick(queue, 10_010) == [("delivered", 3, 4, 0)]
+    assert (handle.value, handle.items, handle.timers) == (None, {}, set())
+    assert sent == [("1", 1), ("2", 1), ("5", 1), ("6", 1), ("3", 3)]
+
+
+def test_retry_stream_of_no_failures_and_one_that_never_ends(spark):
+    rows = spark.createDataFrame([("a", 1, "x", 1, "down"), (None, 2, None, None, None)], "target string, seq long, value string, enqueued_ms long, error string")
+    run = lambda d, done, seconds=60: replayed_by_clock(spark, d, lambda s: retries.retried(s, len_of, 5, 10), done, seconds)
+    assert run(rows.where("false"), lambda found: False).count() == 0
+    got = run(rows, lambda found: found.where("event = 'delivered'").count() == 2)
+    assert {(r.target, r.seq, r.attempt) for r in got.where("event = 'delivered'").collect()} == {("a", 1, 2), (None, 2, 2)}
+    with pytest.raises(TimeoutError):
+        run(rows, lambda found: False, 6)
+    with pytest.raises(ValueError):
+        retries.retried(rows, len_of, 0)
+
+
+def len_of(value, attempts):
+    pass
+
+
+def test_counts_by_hand(spark):
+    df = events(spark, {"ts_ms": 0, "username": "a"}, {"ts_ms": 3_600_000, "username": "b"}, {"ts_ms": 90_000_000, "username": "b", "source_ip": "x"}, {"ts_ms": None, "username": ""}, {"ts_ms": -1, "service": "ftp", "source_ip": None})
+    assert [(r.value, r.n) for r in dashboards.top_of_service(df, "ssh", "username").collect()] == [("b", 2), ("a", 1)]
+    assert [(r.value, r.n) for r in dashboards.top_of_service(df, "ftp", "username", missing="none").collect()] == [("none", 1)]
+    assert {(r.service, r.n) for r in dashboards.unique_by_service(df).collect()} == {("ssh", 2), ("ftp", 0)}
+    assert {(r.hour, r.n) for r in dashboards.hours_of_day(df).collect()} == {(0, 1), (1, 2), (None, 1), (23, 1)}
+    assert {(r.value, r.n, r.per_hour) for r in dashboards.event_rates(df).collect()} == {("1.2.3.4", 3, 3.0), ("x", 1, 1.0), (None, 1, 1.0)}
+    assert dashboards.top_of_service(df.where("false"), "ssh", "username").count() == 0
