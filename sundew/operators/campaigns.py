@@ -117,10 +117,13 @@ def camp005(events: DataFrame, least: int = 20, least_ips: int = 3, burst_ms: in
 def camp006(events: DataFrame) -> DataFrame:
     """Addresses that went from common words to targeted passwords: the first half of their passwords against the rest."""
     known = events.where(F.coalesce("password", F.lit("")) != "")
-    by = Window.partitionBy("campaign", "source_ip")
-    placed = known.withColumns({"rn": F.row_number().over(by.orderBy("ts_ms", "seq")), "half": F.floor(F.count(F.lit(1)).over(by) / 2)})
-    early, late = is_common_word(F.col("password")) & (F.col("rn") <= F.col("half")), is_targeted(F.col("password")) & (F.col("rn") > F.col("half"))
-    ips = placed.groupBy("campaign", "source_ip").agg(F.bool_or(early).alias("early"), F.bool_or(late).alias("late")).where("early and late")
+    key, at, password = F.struct("campaign", "source_ip").alias("k"), F.struct("ts_ms", "seq"), F.col("password")
+    # only the first common word and the last targeted one can decide; their places are counted, so no address is ordered in one task
+    ends = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(is_common_word(password), at)).alias("common"), F.max(F.when(is_targeted(password), at)).alias("targeted"))
+    ends = ends.where("common < targeted")
+    places = known.select(key, at.alias("at")).join(ends, "k").groupBy("k", "n").agg(F.count_if(F.col("at") <= F.col("common")).alias("early"), F.count_if(F.col("at") <= F.col("targeted")).alias("late"))
+    half = F.floor(F.col("n") / 2)
+    ips = places.where((F.col("early") <= half) & (F.col("late") > half)).select("k.campaign", "k.source_ip")
     counted = with_first_ips(ips.groupBy("campaign").agg(F.count(F.lit(1)).alias("n")), ips, ["campaign"])
     return counted.select(F.lit("CAMP-006").alias("check_id"), "campaign", F.concat(F.col("n").cast("string"), F.lit(" addresses")).alias("evidence"), "ips")
 

@@ -74,9 +74,9 @@ def latm003(events: DataFrame) -> DataFrame:
 
 
 def latm004(events: DataFrame) -> DataFrame:
-    """Events from internal addresses: one finding over all. Ids come as one list, as the finding wants."""
+    """Events from internal addresses: one finding over all. Ids come as one list, as the finding wants; who reads no lists, as the risk does, gathers none."""
     inside = events.where(is_internal(F.col("source_ip")))
-    rows = inside.agg(F.array_sort(F.collect_set("source_ip")).alias("ips"), F.array_sort(F.collect_list("seq")).alias("ids")).where(F.size("ips") > 0)
+    rows = inside.agg(F.array_sort(F.collect_set("source_ip")).alias("ips"), F.array_sort(F.collect_list("seq")).alias("ids"), F.count(F.lit(1)).alias("n")).where("n > 0")
     return _finding(rows, "LATM-004", F.lit("internal"), F.col("ips"), F.col("ids"))
 
 

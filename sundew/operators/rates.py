@@ -28,14 +28,14 @@ def haloed(events: DataFrame, window_ms: int) -> DataFrame:
 CELL_GAPS = 64
 
 
-def islands(events: DataFrame, by: list[str], gap_ms: int) -> DataFrame:
+def islands(events: DataFrame, by: list[str], gap_ms: int, width_ms: int | None = None) -> DataFrame:
     """Add ``__island`` (from 0 in each key) and ``__p`` (from 1 in each island): a new one begins after a gap over ``gap_ms``.
 
     Events are ordered inside cells of a key and time; over a whole key only a row for each of its cells is, so that a hot key is many
-    partitions. Events without a time come last and stay in the last island. Null keys are a key.
+    partitions. Cells are ``width_ms`` wide, or CELL_GAPS gaps. Events without a time come last and stay in the last island. Null keys are a key.
     """
     # equal structs may have nulls in them, so this is one key for the window, the sums and the join
-    cell = F.struct(*by, F.floor(F.col("ts_ms") / (max(gap_ms, 1) * CELL_GAPS)).alias("__cell")).alias("__k")
+    cell = F.struct(*by, F.floor(F.col("ts_ms") / (width_ms or max(gap_ms, 1) * CELL_GAPS)).alias("__cell")).alias("__k")
     order = Window.partitionBy("__k").orderBy(F.col("ts_ms").asc_nulls_last(), "seq")
     placed = events.select("*", cell).withColumns({"__at": F.row_number().over(order), "__new": F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) > gap_ms, F.lit(False))})
     placed = placed.withColumns({"__starts": F.count_if("__new").over(order), "__from": F.max(F.when(F.col("__new"), F.col("__at"))).over(order)})
@@ -57,6 +57,12 @@ def islands(events: DataFrame, by: list[str], gap_ms: int) -> DataFrame:
     return placed.join(cells, "__k").select(*events.columns, (F.col("__number") + F.col("__starts")).alias("__island"), place.alias("__p"))
 
 
+def pieces(events: DataFrame, by: list[str], size: int, width_ms: int = 3_600_000) -> DataFrame:
+    """Add ``piece`` (from 0): runs of ``size`` events of a key in order of time, none of them gathered to be counted."""
+    counted = islands(events, by, (1 << 63) - 1, width_ms)  # no gap is longer
+    return counted.withColumn("piece", F.floor((F.col("__p") - 1) / size)).drop("__p", "__island")
+
+
 def rate_limit(events: DataFrame, threshold: int, window_ms: int) -> DataFrame:
     """Add ``hits`` (of the address in the closed window up to the event, later ties not yet seen) and ``triggered``."""
     reach = Window.partitionBy("source_ip", "__bucket").orderBy("ts_ms").rangeBetween(-window_ms, 0)

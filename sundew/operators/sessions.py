@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sundew.functions.fields import session_seconds, session_severity
-from sundew.operators.rates import islands
+from sundew.operators.rates import islands, pieces
 
 #: Types of events that are a success, and points of a phase.
 SUCCESS_TYPES = ("login_success", "auth_success", "authenticated")
@@ -97,6 +97,7 @@ def top_sessions(found: DataFrame, n: int) -> DataFrame:
     return found.orderBy(F.desc("score"), "start_ms", "session_id").limit(n)
 
 
-def timeline(events: DataFrame, session: str = "session_id") -> DataFrame:
-    """Ordered events of each session as one array of structs."""
-    return events.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("ts_ms", "seq", "kind", "data"))).alias("timeline"))
+def timeline(events: DataFrame, session: str = "session_id", piece_events: int | None = None) -> DataFrame:
+    """Ordered events of each session as one array of structs; with ``piece_events`` as rows of so many at most, numbered by ``piece``."""
+    rows, by = (events, [session]) if piece_events is None else (pieces(events, [session], piece_events), [session, "piece"])
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts_ms", "seq", "kind", "data"))).alias("timeline"))

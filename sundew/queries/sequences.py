@@ -115,6 +115,13 @@ def _(hp: DataFrame) -> DataFrame:
     return t.select("session_id", F.size("timeline").alias("n"), F.array_join(F.transform("timeline", lambda x: x["seq"].cast("string")), ",").alias("seqs"))
 
 
+@over_events("w16_timeline_pieces", """WITH p AS (SELECT *, (row_number() OVER (PARTITION BY service ORDER BY ts_ms, seq) - 1) // 500 AS piece FROM hp) SELECT service AS session_id, piece, count(*)::INTEGER AS n, string_agg(seq::VARCHAR, ',' ORDER BY ts_ms, seq) AS seqs FROM p GROUP BY service, piece""")
+def _(hp: DataFrame) -> DataFrame:
+    """Five sessions of any length, each a fifth of all events, in rows of bounded size."""
+    t = sessions.timeline(hp.select(F.col("service").alias("session_id"), "ts_ms", "seq", F.col("service").alias("kind"), F.col("payload").alias("data")), piece_events=500)
+    return t.select("session_id", "piece", F.size("timeline").alias("n"), F.array_join(F.transform("timeline", lambda x: x["seq"].cast("string")), ",").alias("seqs"))
+
+
 @over_events("w19_gaps", "SELECT seq, ts_ms - lag(ts_ms) OVER (PARTITION BY source_ip ORDER BY ts_ms, seq) AS gap_ms FROM hp")
 def _(hp: DataFrame) -> DataFrame:
     return rates.gaps(hp).select("seq", "gap_ms")

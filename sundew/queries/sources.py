@@ -138,6 +138,16 @@ def _(hp: DataFrame) -> DataFrame:
     return docs.select("session_id", events.alias("e")).select(F.col("session_id").alias("source_ip"), F.size("e").cast("long").alias("n"), F.array_join(each, ",").alias("events"))
 
 
+@over_events("s14_session_pieces", """WITH p AS (SELECT *, (row_number() OVER (PARTITION BY service ORDER BY ts_ms, seq) - 1) // 500 AS piece FROM hp)
+  SELECT service, piece, min(ts_ms) AS started_ms, max(ts_ms) AS ended_ms, string_agg(ts_ms || ':' || source_ip, ',' ORDER BY ts_ms, seq) AS events FROM p GROUP BY service, piece""")
+def _(hp: DataFrame) -> DataFrame:
+    rows = hp.select(F.col("service").alias("session_id"), "ts_ms", "seq", F.col("source_ip").alias("kind"), F.col("payload").alias("data"))
+    docs = delivery.session_documents(rows, piece_events=500)
+    read = F.from_json("value", "session_id string, piece long, started_ms long, ended_ms long, events array<struct<ts_ms:long,kind:string>>").alias("d")
+    each = F.transform("d.events", lambda x: F.concat(x["ts_ms"].cast("string"), F.lit(":"), x["kind"]))
+    return docs.select(read).select(F.col("d.session_id").alias("service"), "d.piece", "d.started_ms", "d.ended_ms", F.array_join(each, ",").alias("events"))
+
+
 # The lake spans the month of the table's own times.
 LAKE_NOW = T0 + 20 * 86_400_000 + 7_000_000
 

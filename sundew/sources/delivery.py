@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sundew.operators.rates import pieces
+
 Sender = Callable[[list[str]], None]
 STATUS = "seq long, target string, status string, attempts int, error string"
 
@@ -116,9 +118,20 @@ def write_sessions(documents: DataFrame, path: str) -> None:
     documents.select("value", F.to_date(F.timestamp_millis(started)).alias("date")).write.mode("append").partitionBy("date").text(path)
 
 
-def session_documents(events: DataFrame, session: str = "session_id") -> DataFrame:
-    """One JSON document per session with its ordered events."""
-    order = Window.partitionBy(session).orderBy("ts_ms", "seq")
+def session_documents(events: DataFrame, session: str = "session_id", piece_events: int | None = None) -> DataFrame:
+    """One JSON document per session with its ordered events, numbered from 1.
+
+    With ``piece_events`` a document has so many at most, and a session one for each ``piece``: events are numbered in their piece, and
+    ``started_ms`` and ``ended_ms`` are the piece's.
+    """
+    if piece_events is not None:
+        return _documents(pieces(events, [session], piece_events), [session, "piece"])
+    return _documents(events, [session])
+
+
+def _documents(events: DataFrame, by: list[str]) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("ts_ms", "seq")
     numbered = events.withColumn("n", F.row_number().over(order))
     line = F.struct("n", "ts_ms", "kind", "data")
-    return numbered.groupBy(session).agg(F.to_json(F.struct(F.first(session).alias("session_id"), F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"), F.array_sort(F.collect_list(line)).alias("events"))).alias("value"))
+    own = [F.first(by[0]).alias("session_id"), *(F.first(c).alias(c) for c in by[1:])]
+    return numbered.groupBy(*by).agg(F.to_json(F.struct(*own, F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"), F.array_sort(F.collect_list(line)).alias("events"))).alias("value"))

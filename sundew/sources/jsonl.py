@@ -26,9 +26,11 @@ def judged(lines: DataFrame, schema: StructType = EVENT) -> DataFrame:
     """
     text = F.trim(F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", ""))
     # another JSON value is well-formed exactly when its wrapping is
-    whole = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v string, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
-    rows = lines.select("*", text.alias("__text")).withColumns({"__event": _parsed(F.col("__text"), schema), "__whole": whole})
+    whole = F.from_json(F.concat(F.lit('{"v":'), F.col("__text"), F.lit("}")), f"v string, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    rows = lines.select("*", text.alias("__text"))
     object_ = F.col("__text").startswith("{")
+    # each line is parsed once, in the form that it has
+    rows = rows.withColumns({"__event": F.when(object_, _parsed(F.col("__text"), schema)), "__whole": F.when(~object_ & (F.col("__text") != ""), whole)})
     reason = (
         F.when(F.col("__text") == "", "blank")
         .when(object_, F.when(F.col(f"__event.{_BAD}").isNotNull(), "invalid JSON"))

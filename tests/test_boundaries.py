@@ -729,3 +729,37 @@ def test_counts_by_hand(spark):
     assert {(r.hour, r.n) for r in dashboards.hours_of_day(df).collect()} == {(0, 1), (1, 2), (None, 1), (23, 1)}
     assert {(r.value, r.n, r.per_hour) for r in dashboards.event_rates(df).collect()} == {("1.2.3.4", 3, 3.0), ("x", 1, 1.0), (None, 1, 1.0)}
     assert dashboards.top_of_service(df.where("false"), "ssh", "username").count() == 0
+
+
+def test_pieces_of_a_session_are_bounded(spark):
+    rng = random.Random(7)
+    ms = [rng.choice([None, rng.randrange(100)]) for _ in range(50)]
+    df = times(spark, *ms).select(F.lit("s").alias("session_id"), "ts_ms", "seq", F.col("service").alias("kind"), F.col("path").alias("data"))
+    got = sorted(rates.pieces(df, ["session_id"], 7, 10).collect(), key=lambda r: (r.ts_ms is None, r.ts_ms or 0, r.seq))
+    assert [r.piece for r in got] == [i // 7 for i in range(50)]
+    docs = [json.loads(r.value) for r in delivery.session_documents(df, piece_events=7).orderBy("piece").collect()]
+    assert [(d["piece"], len(d["events"])) for d in docs] == [(i, 7 if i < 7 else 1) for i in range(8)]
+    assert [e["n"] for e in docs[0]["events"]] == list(range(1, 8))
+    assert sessions.timeline(df, piece_events=20).agg(F.max(F.size("timeline")), F.count(F.lit(1))).first() == (20, 3)
+    assert delivery.session_documents(df.where("false"), piece_events=7).count() == 0
+
+
+def test_camp006_agrees_with_places_one_by_one(spark):
+    words, rng = ["admin", "p@ss", "Summer2024", "xyz", "root", ""], random.Random(3)
+    rows = [{"ts_ms": rng.randrange(20), "source_ip": rng.choice(["a", "b", "c", "d", None]), "password": rng.choice(words)} for _ in range(60)]
+    df = events(spark, *rows).withColumn("campaign", F.lit(0))
+    kinds = {r.password: (r.c, r.t) for r in df.select("password", fields.is_common_word(F.col("password")).alias("c"), fields.is_targeted(F.col("password")).alias("t")).distinct().collect()}
+    want = set()
+    for ip in ("a", "b", "c", "d", None):
+        own = sorted(((r["ts_ms"], i, r["password"]) for i, r in enumerate(rows) if r["source_ip"] == ip and r["password"]))
+        half = len(own) // 2
+        if any(kinds[p][0] for *_, p in own[:half]) and any(kinds[p][1] for *_, p in own[half:]):
+            want.add(ip)
+    got = campaigns.camp006(df).collect()
+    assert want and {r.evidence for r in got} == {f"{len(want)} addresses"}
+
+
+def test_risk_gathers_no_ids(spark):
+    found = lateral.findings(times(spark, 1, 2, source_ip="10.0.0.1"), {"LATM-004": lateral.latm004})
+    assert lateral.risk(found).first().findings == 1
+    assert "collect_" not in lateral.risk(found)._jdf.queryExecution().optimizedPlan().toString()
