@@ -36,7 +36,8 @@ def _finding(df: DataFrame, check: str, subject: Column, ips: Column, ids: Colum
 def _window_rows(events: DataFrame, fired: DataFrame, by: list[str], window_ms: int) -> DataFrame:
     """Events of the window that ends with the firing row: ``fired`` has ``by``, ``end_ms``, ``end_seq``. Only firing keys are read again."""
     inside = (F.col("ts_ms") >= F.col("end_ms") - window_ms) & (F.struct("ts_ms", "seq") <= F.struct(F.col("end_ms").alias("ts_ms"), F.col("end_seq").alias("seq")))
-    rows = events.join(fired, by).where(inside)
+    # written events look small to the planner, which would broadcast them
+    rows = events.join(fired.hint("shuffle_hash"), by).where(inside)
     return rows.groupBy(*by).agg(F.array_sort(F.collect_set("source_ip")).alias("ips"), F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "seq"))), lambda x: x["seq"]).alias("ids"))
 
 
@@ -86,20 +87,27 @@ def latm004_events(events: DataFrame) -> DataFrame:
 
 
 def latm005(events: DataFrame) -> DataFrame:
-    """A success followed within five minutes by another host: the next host is the next run's, so there is no self-join."""
-    order = _order("source_ip")
-    runs = events.withColumn("__new", F.when(F.lag("sensor_host").over(order) == F.col("sensor_host"), 0).otherwise(1))
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("__new") == 1, F.struct("ts_ms", "seq")), ignorenulls=True).over(ahead)
-    hits = runs.withColumn("follow", nxt).where(F.col("success") & (F.col("follow.ts_ms") - F.col("ts_ms") <= 5 * MINUTE))
-    rows = hits.groupBy("source_ip").agg(F.min(F.struct("ts_ms", "seq", "follow")).alias("f"))
-    return _finding(rows, "LATM-005", F.col("source_ip"), F.array("source_ip"), F.array("f.seq", "f.follow.seq"))
+    """A success followed within five minutes by another host: the next host is the next run's, so there is no self-join.
+
+    Time runs backwards here, so that what follows an event is a running value, and the halo of a bucket is the five minutes after it.
+    """
+    window_ms = 5 * MINUTE
+    back = haloed(events.withColumns({"ts_ms": -F.col("ts_ms"), "seq": -F.col("seq")}), window_ms)
+    order = _order("source_ip", "__bucket")
+    # the bucket's earliest event has none before it here, and nothing that it could follow
+    runs = back.withColumn("__new", F.when(F.lead("sensor_host").over(order) == F.col("sensor_host"), 0).otherwise(1))
+    later = order.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct((-F.col("ts_ms")).alias("ts_ms"), (-F.col("seq")).alias("seq"))
+    ahead = runs.withColumns({"at": at, "follow": F.last(F.when(F.col("__new") == 1, at), ignorenulls=True).over(later)})
+    hits = ahead.where(F.col("__own") & F.col("success") & (F.col("follow.ts_ms") - F.col("at.ts_ms") <= window_ms))
+    rows = hits.groupBy("source_ip").agg(F.min(F.struct("at", "follow")).alias("f"))
+    return _finding(rows, "LATM-005", F.col("source_ip"), F.array("source_ip"), F.array("f.at.seq", "f.follow.seq"))
 
 
 def latm006(events: DataFrame) -> DataFrame:
     """Failures strictly after an address's first success."""
     first = events.where("success").groupBy("source_ip").agg(F.min(F.struct("ts_ms", "seq")).alias("ok"))
-    failed = events.where(~F.col("success")).join(first, "source_ip").where(F.col("ts_ms") > F.col("ok.ts_ms"))
+    failed = events.where(~F.col("success")).join(first.hint("shuffle_hash"), "source_ip").where(F.col("ts_ms") > F.col("ok.ts_ms"))
     rows = failed.groupBy("source_ip", "ok").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "seq"))), lambda x: x["seq"]).alias("ids"))
     return _finding(rows, "LATM-006", F.col("source_ip"), F.array("source_ip"), F.concat(F.array("ok.seq"), F.col("ids")))
 

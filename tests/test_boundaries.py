@@ -763,3 +763,19 @@ def test_risk_gathers_no_ids(spark):
     found = lateral.findings(times(spark, 1, 2, source_ip="10.0.0.1"), {"LATM-004": lateral.latm004})
     assert lateral.risk(found).first().findings == 1
     assert "collect_" not in lateral.risk(found)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_latm005_agrees_with_pairs_and_looks_at_no_whole_key(spark):
+    rnd, five = random.Random(5), 300_000
+    for spread in (40, 3_000):
+        ms = [1_200_000 + rnd.randrange(-spread, spread) * 1000 for _ in range(120)]
+        rows = [{"ts_ms": t, "source_ip": rnd.choice("ab"), "sensor_host": rnd.choice("xyy"), "success": rnd.random() < 0.3} for t in ms] + [{"ts_ms": 0, "source_ip": "c", "sensor_host": "x", "success": True}, {"ts_ms": five, "source_ip": "c", "sensor_host": "y"}]
+        found, want = lateral.latm005(events(spark, *rows)), {}
+        at = sorted((r["ts_ms"], i, r) for i, r in enumerate(rows))
+        for t, i, r in at:
+            after = [(u, j) for u, j, o in at if (u, j) > (t, i) and u - t <= five and o["source_ip"] == r["source_ip"] and o["sensor_host"] != r["sensor_host"]]
+            if r.get("success") and after:
+                want.setdefault(r["source_ip"], [i, after[0][1]])
+        assert {r.subject: r.event_ids for r in found.collect()} == want and "c" in want
+        # a frame that ends with the key is gone through anew for every row
+        assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString()
