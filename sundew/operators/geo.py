@@ -52,6 +52,8 @@ def resolve(ips: DataFrame, prefixes: DataFrame, ranges: DataFrame | None = None
     """
     names = [c.split()[0] for c in PLACE.split(", ")]
     distinct = ips.select("ip").distinct()
+    if ranges is not None:  # three joins read it
+        distinct = materialize(distinct, "geo-ips")
     keys = F.array(F.concat(F.substring_index("ip", ".", 2), F.lit(".")), F.concat(F.substring_index("ip", ".", 3), F.lit(".")))
     rows = prefixes.select("prefix", F.struct("rule_seq", *names).alias("rule"))
     stub = distinct.select("ip", F.explode(keys).alias("prefix")).join(rows, "prefix").groupBy("ip").agg(F.min("rule").alias("stub"))

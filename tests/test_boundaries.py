@@ -779,3 +779,14 @@ def test_latm005_agrees_with_pairs_and_looks_at_no_whole_key(spark):
         assert {r.subject: r.event_ids for r in found.collect()} == want and "c" in want
         # a frame that ends with the key is gone through anew for every row
         assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_feeds_and_places_read_the_events_once(spark):
+    """What is made of the addresses comes from a written table, not from the events once for each kind of row."""
+    from sundew.queries import QUERIES
+    from sundew.queries.joins import feed_of
+    from sundew.plans.events import attack_events
+
+    sf = "/root/testdata/sf0.001"
+    for df in (feed_of(attack_events(spark, sf)), QUERIES["s20_geo_spans"](spark, sf)):
+        assert df.inputFiles() and not [f for f in df.inputFiles() if f.endswith("/events.parquet")]
