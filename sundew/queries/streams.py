@@ -97,7 +97,8 @@ def _(hp: DataFrame) -> DataFrame:
 
 @over_events("ws6_stream_intel", _FEED + f", young AS (SELECT * FROM feed WHERE {T0} + 3000 - cached_ms <= 2000)" + _HIT.format(feed="young") + "SELECT seq, m.source, m.matched_cidr FROM hp JOIN m ON m.ip = hp.source_ip")
 def _(hp: DataFrame) -> DataFrame:
-    found = replayed_batches(hp.sparkSession, hp, lambda path: detect.intel_batches(lambda: feed_of(hp), path, 2000, lambda: T0 + 3000))
+    feed = materialize(feed_of(hp), "stream-feed")  # read anew by every batch, made once
+    found = replayed_batches(hp.sparkSession, hp.select("seq", "ts_ms", "source_ip"), lambda path: detect.intel_batches(lambda: feed, path, 2000, lambda: T0 + 3000))
     return found.select("seq", F.col("intel.source").alias("source"), "matched_cidr")
 
 
