@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
+from sundew.streaming.pieces import stateful
+
 #: Sends a value again; gets the number of attempts that have failed, and raises when this one fails as well.
 Resend = Callable[[str, int], None]
 OUT = "target string, event string, reason string, seq long, attempt int, queue_depth int, error string"
@@ -92,4 +94,4 @@ def retried(failures: DataFrame, resend: Resend, most: int = 1000, tick_ms: int
     if most < 1 or tick_ms < 1:
         raise ValueError("most and tick_ms must be 1 or more")
     rows = failures.select("target", "seq", "value", "enqueued_ms", "error")
-    return rows.groupBy("target").transformWithState(Queue(resend, most, tick_ms), StructType.fromDDL(OUT), "Append", "ProcessingTime")
+    return stateful(rows, ["target"], Queue(resend, most, tick_ms), StructType.fromDDL(OUT), "ProcessingTime", ["seq", "enqueued_ms"])

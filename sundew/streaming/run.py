@@ -72,11 +72,13 @@ def replayed(spark: SparkSession, events: DataFrame, transform: Callable[[DataFr
 def replayed_by_clock(spark: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], bool], seconds: int = 300) -> DataFrame:
     """``rows`` as a stream through ``transform``, whose timers run on the clock, until ``done`` holds for the result; the result as a table.
 
-    The stream is stopped when its first rows are there, and another one goes on from its checkpoint. It is an error if ``seconds`` pass before the end.
+    The stream is stopped when its first rows are there, and another one goes on from its checkpoint. It is an error if ``seconds``, and one more
+    for every 10,000 rows, pass before the end.
     """
     table = materialize(rows, "clock-input")
     out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     table.write.parquet(f"{out}/events")
+    seconds += table.count() // 10_000
     end = time.monotonic() + seconds
     for enough in (lambda found: not found.isEmpty(), done):
         with keyed_state(spark):

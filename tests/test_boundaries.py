@@ -5,6 +5,7 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -790,3 +791,23 @@ def test_feeds_and_places_read_the_events_once(spark):
     sf = "/root/testdata/sf0.001"
     for df in (feed_of(attack_events(spark, sf)), QUERIES["s20_geo_spans"](spark, sf)):
         assert df.inputFiles() and not [f for f in df.inputFiles() if f.endswith("/events.parquet")]
+
+
+def test_rows_of_a_key_leave_in_pieces():
+    """No more rows are made than the piece that leaves, and numbers beside nulls stay whole."""
+    from sundew.streaming.pieces import PIECE_ROWS, InPieces
+
+    sent, made = InPieces(retries.Queue(len_of, 3, 10), [c.split()[0] for c in retries.OUT.split(", ")], ["seq", "enqueued_ms"]), []
+    sent.init(FakeHandle())
+
+    def frames():
+        for i in range(4):
+            made.append(i)
+            n = 2 * PIECE_ROWS
+            yield pd.DataFrame({"target": ["t"] * n, "seq": [str((1 << 60) + i * n + j) for j in range(n - 1)] + [None], "value": ["v"] * n, "enqueued_ms": ["5"] * n, "error": [None] * n})
+
+    pieces = sent.handleInputRows(("t",), frames(), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0))
+    first = next(pieces)
+    assert made == [0] and len(first) == PIECE_ROWS and first["seq"][0] == 1 << 60
+    rest = list(pieces)
+    assert max(map(len, rest)) <= PIECE_ROWS and len(first) + sum(map(len, rest)) == 16 * PIECE_ROWS - 3 and sum(f["seq"].isna().sum() for f in rest) >= 4
