@@ -32,7 +32,7 @@ def _(hp: DataFrame) -> DataFrame:
 
 @over_events("ws2_stream_rate_limit", "SELECT seq, (count(*) OVER (PARTITION BY source_ip ORDER BY ts_ms RANGE BETWEEN 120000 PRECEDING AND CURRENT ROW) - (count(*) OVER t - row_number() OVER (PARTITION BY source_ip, ts_ms ORDER BY seq)))::BIGINT AS hits FROM hp WINDOW t AS (PARTITION BY source_ip, ts_ms)")
 def _(hp: DataFrame) -> DataFrame:
-    return replayed(hp.sparkSession, hp, lambda s: detect.rate_limit(detect.timed(s), 3, 120_000), END, runs=1).where("seq >= 0").select("seq", "hits")
+    return replayed(hp.sparkSession, hp.select("seq", "ts_ms", "source_ip"), lambda s: detect.rate_limit(detect.timed(s), 3, 120_000), END, runs=1).where("seq >= 0").select("seq", "hits")
 
 
 @over_events("ws3_stream_bursts", "SELECT seq, row_number() OVER (PARTITION BY service, ts_ms // 600000 ORDER BY ts_ms, seq)::BIGINT AS n FROM hp")

@@ -21,6 +21,7 @@ from sundew.operators.dedup import Rule, suppression
 from sundew.operators.filters import is_command, uploads
 from sundew.operators.sessions import scored
 from sundew.plans.tables import owned_tables
+from sundew.streaming.pieces import stateful
 
 
 def timed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -30,6 +31,8 @@ def timed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 #: Events of a key that wait in its value; more wait in a map, by buckets of so many milliseconds.
 HELD_EVENTS, BUCKET_MS = 1024, 60_000
+#: Events of a key that a task gathers from a batch before they go into its map: every time, each of their buckets is written anew.
+GATHERED_EVENTS = 65_536
 
 
 class InOrder(StatefulProcessor):
@@ -37,7 +40,7 @@ class InOrder(StatefulProcessor):
 
     A key has one timer, at the earliest time at which it has something to do. When that fires, all that the watermark has
     passed is handled in order. Few waiting events are part of the key's value, which is read and written once for each batch; those of a
-    key that has many wait in a map by buckets of time, so that a task never holds more than HELD_EVENTS and one bucket of them.
+    key that has many wait in a map by buckets of time, so that a task never holds more than GATHERED_EVENTS and one bucket of them.
 
     Subclasses name their part of the value in ``columns`` and have ``arrive``; a value leaves at ``leaves_at``, and ``leave`` may give rows for it.
     """
@@ -75,9 +78,12 @@ class InOrder(StatefulProcessor):
             times.append(row.ts_ms)
             seqs.append(row.seq)
             first = row.ts_ms if first is None else min(first, row.ts_ms)
-            if len(times) >= HELD_EVENTS:
+            if len(times) >= GATHERED_EVENTS:
                 buckets |= self._put_away(times, seqs)
                 times, seqs = [], []
+        if len(times) >= HELD_EVENTS:
+            buckets |= self._put_away(times, seqs)
+            times, seqs = [], []
         self._keep(timer, first, times, seqs, buckets, value)
         return iter(())
 
@@ -146,7 +152,7 @@ class InOrder(StatefulProcessor):
 def _keyed(events: DataFrame, keys: list[str], processor: InOrder, out: str) -> DataFrame:
     kind = StructType.fromDDL(out)
     processor.row = Row(*kind.names)
-    return events.select(*keys, "seq", "ts_ms", "ts").groupBy(*keys).transformWithState(processor, kind, "Append", "EventTime")
+    return stateful(events.select(*keys, "seq", "ts_ms", "ts"), keys, processor, kind, "EventTime", ["seq", "ts_ms"])
 
 
 class Groups(InOrder):
