@@ -65,7 +65,7 @@ def camp002(events: DataFrame, least: int = 5, window_ms: int = 3_600_000) -> Da
     best = peak.join(seen, by).groupBy("campaign").agg(F.max(F.struct("p.n", (-F.col("seen")).alias("__seen"), "service", "p.__t", "p.__s")).alias("b"))
     best = best.select("campaign", F.col("b.service").alias("service"), F.col("b.n").alias("n"), (-F.col("b.__t")).alias("end_ms"), (-F.col("b.__s")).alias("end_seq"))
     inside = (F.col("ts_ms") >= F.col("end_ms") - window_ms) & (F.struct("ts_ms", "seq") <= F.struct(F.col("end_ms").alias("ts_ms"), F.col("end_seq").alias("seq")))
-    ips = first_values(events.join(best, by).where(inside), ["campaign", "service", "n"], "source_ip", 10).withColumnRenamed("values", "ips")
+    ips = first_values(events.join(best.hint("shuffle_hash"), by).where(inside), ["campaign", "service", "n"], "source_ip", 10).withColumnRenamed("values", "ips")
     return ips.select(F.lit("CAMP-002").alias("check_id"), "campaign", F.concat("service", F.lit(" from "), F.col("n").cast("string"), F.lit(" addresses")).alias("evidence"), "ips")
 
 
@@ -101,12 +101,12 @@ def camp005(events: DataFrame, least: int = 20, least_ips: int = 3, burst_ms: in
     edges = cell.groupBy("campaign", "cell").agg(F.min("ts_ms").alias("first"))
     nxt = edges.withColumn("next", F.lead("first").over(Window.partitionBy("campaign").orderBy("cell"))).select("campaign", "cell", "next")
     inside = F.lead("ts_ms").over(Window.partitionBy("campaign", "cell").orderBy("ts_ms"))
-    ends = cell.withColumn("inside", inside).join(nxt, ["campaign", "cell"]).withColumn("wait", F.coalesce("inside", "next") - F.col("ts_ms"))
+    ends = cell.withColumn("inside", inside).join(nxt.hint("shuffle_hash"), ["campaign", "cell"]).withColumn("wait", F.coalesce("inside", "next") - F.col("ts_ms"))
     ends = ends.where(F.col("wait").isNull() | (F.col("wait") >= silence_ms)).select("campaign", F.col("ts_ms").alias("end_ms"))
     # the burst may reach over one border of burst-long buckets
     bucket = F.floor(F.col("ts_ms") / burst_ms)
     near = ends.withColumn("bucket", F.explode(F.array(F.floor(F.col("end_ms") / burst_ms), F.floor(F.col("end_ms") / burst_ms) - 1))).distinct()
-    back = events.withColumn("bucket", bucket).join(near, ["campaign", "bucket"]).where(F.col("ts_ms").between(F.col("end_ms") - burst_ms, F.col("end_ms")))
+    back = events.withColumn("bucket", bucket).join(near.hint("shuffle_hash"), ["campaign", "bucket"]).where(F.col("ts_ms").between(F.col("end_ms") - burst_ms, F.col("end_ms")))
     by = ["campaign", "end_ms"]
     groups = back.groupBy(*by, "source_ip").agg(F.count(F.lit(1)).alias("k")).groupBy(*by).agg(F.sum("k").alias("events"), F.count(F.lit(1)).alias("n")).where((F.col("events") >= least) & (F.col("n") >= least_ips))
     first = groups.groupBy("campaign").agg(F.min(F.struct("end_ms", "events", "n")).alias("f")).select("campaign", "f.*")
@@ -121,7 +121,7 @@ def camp006(events: DataFrame) -> DataFrame:
     # only the first common word and the last targeted one can decide; their places are counted, so no address is ordered in one task
     ends = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(is_common_word(password), at)).alias("common"), F.max(F.when(is_targeted(password), at)).alias("targeted"))
     ends = ends.where("common < targeted")
-    places = known.select(key, at.alias("at")).join(ends, "k").groupBy("k", "n").agg(F.count_if(F.col("at") <= F.col("common")).alias("early"), F.count_if(F.col("at") <= F.col("targeted")).alias("late"))
+    places = known.select(key, at.alias("at")).join(ends.hint("shuffle_hash"), "k").groupBy("k", "n").agg(F.count_if(F.col("at") <= F.col("common")).alias("early"), F.count_if(F.col("at") <= F.col("targeted")).alias("late"))
     half = F.floor(F.col("n") / 2)
     ips = places.where((F.col("early") <= half) & (F.col("late") > half)).select("k.campaign", "k.source_ip")
     counted = with_first_ips(ips.groupBy("campaign").agg(F.count(F.lit(1)).alias("n")), ips, ["campaign"])

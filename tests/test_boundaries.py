@@ -811,3 +811,9 @@ def test_rows_of_a_key_leave_in_pieces():
     assert made == [0] and len(first) == PIECE_ROWS and first["seq"][0] == 1 << 60
     rest = list(pieces)
     assert max(map(len, rest)) <= PIECE_ROWS and len(first) + sum(map(len, rest)) == 16 * PIECE_ROWS - 3 and sum(f["seq"].isna().sum() for f in rest) >= 4
+
+
+def test_campaign_events_are_not_broadcast(spark):
+    """Written events look small to the planner; the keys they meet are the side that is built."""
+    df = events(spark, {"ts_ms": 1, "password": "root"}).withColumn("campaign", F.lit(0))
+    assert "ShuffledHashJoin" in campaigns.camp006(df)._jdf.queryExecution().executedPlan().toString()
