@@ -766,6 +766,41 @@ def test_risk_gathers_no_ids(spark):
     assert "collect_" not in lateral.risk(found)._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["n23_lateral_summary"])
+def test_counts_of_findings_read_no_event_twice(spark, name):
+    """A count needs the keys that fire; their events, met in an inner join, are for the lists. No window goes over a whole address."""
+    from sundew.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan
+    assert all("__bucket" in line for line in plan.splitlines() if " Window [" in line or line.lstrip(" :+-").startswith("Window ["))
+
+
+def test_rated_has_a_row_for_each_finding(spark):
+    """Also where addresses, names, outcomes or times are null; an event without an address is nobody's finding."""
+    rnd = random.Random(7)
+    pick = lambda *v: rnd.choice(v)
+    rows = [{"ts_ms": pick(None, *(rnd.randrange(400_000) for _ in range(9))), "source_ip": pick("10.0.0.1", "b", "c", f"d{i % 60}", f"e{i % 90}", None), "sensor_host": pick("x", "y", "z", None), "username": pick(*"uvwstr", "", None), "password": pick("p", "q", None), "success": pick(True, False, False, None)} for i in range(600)]
+    df = events(spark, *rows)
+    found = lateral.findings(df)
+    count = lambda d: {tuple(r) for r in d.groupBy("check_id", "weight", "severity").count().collect()}
+    assert count(lateral.rated(df)) == count(found) and {c for c, *_ in count(found)} == set(lateral.CHECKS)
+    assert found.where("subject is null").count() == 0
+    assert lateral.risk(lateral.rated(df)).first() == lateral.risk(found).first()
+
+
+def test_latm007_agrees_with_places_in_a_hot_key(spark):
+    rnd = random.Random(11)
+    rows = [{"ts_ms": rnd.randrange(900_000) + (rnd.randrange(4) * 60_000 if i % 2 else 0), "source_ip": rnd.choice("aaab")} for i in range(200)]
+    found, want = {r.subject: r.event_ids for r in lateral.latm007(events(spark, *rows)).collect()}, {}
+    for ip in "ab":
+        at = sorted((r["ts_ms"], i) for i, r in enumerate(rows) if r["source_ip"] == ip)
+        hit = next((n for n in range(10, len(at)) if at[n][0] - at[n - 10][0] <= 60_000), None)
+        if hit is not None:
+            want[ip] = [i for t, i in at[: hit + 1] if t >= at[hit][0] - 60_000]
+    assert found == want and "a" in want
+
+
 def test_latm005_agrees_with_pairs_and_looks_at_no_whole_key(spark):
     rnd, five = random.Random(5), 300_000
     for spread in (40, 3_000):
