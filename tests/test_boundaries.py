@@ -766,7 +766,7 @@ def test_risk_gathers_no_ids(spark):
     assert "collect_" not in lateral.risk(found)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["n23_lateral_summary", "a15_lateral_risk"])
+@pytest.mark.parametrize("name", ["n23_lateral_summary", "a15_lateral_risk", "a16_by_severity"])
 def test_counts_of_findings_read_no_event_twice(spark, name):
     """A count needs the keys that fire; their events, met in an inner join, are for the lists. No window goes over a whole address."""
     from sundew.queries import QUERIES
